@@ -1,11 +1,18 @@
-"""The corpus pipeline: STAGES in order, each working on all that the stage before it kept."""
+"""The corpus pipeline: STAGES in order, each working on all that the stage before it kept.
+
+All but the last return the columns of documents; a stage that changes texts sets n_chars anew.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerfold.llm import language_id, quality_rules
+from ledgerfold.llm import language_id, near_dedup, packing, quality_rules, suffix_dedup
+from ledgerfold.llm.queries import tokenizer_path
+from ledgerfold.llm.textops import shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -17,18 +24,45 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go that fail the base rule or a cutoff of their language."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality_rules.quality_rules(docs, labels, keep=("text", "lang", "source", "n_chars")).where("kept").select(*COLUMNS)
 
 
-STAGES = [("language_id", language), ("quality_rules", quality)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) the document with the smallest doc_id stays."""
+    gone = near_dedup.near_dedup(docs, size=5, percent=80, bands=40).where("not kept").select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti")
+    named = left.where("doc_id is not null").dropDuplicates(["doc_id"])
+    return named.unionByName(left.where("doc_id is null")).select(*COLUMNS)
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 bytes or more that start in an earlier document are cut out; the document stays."""
+    cut = suffix_dedup.dedup(docs).select(F.col("doc_id").alias("cut_id"), F.col("kept_text").alias("text"))
+    rest = docs.select("doc_id", "lang", "source")
+    out = rest.where("doc_id is not null").join(cut, F.col("doc_id") == F.col("cut_id"))
+    unnamed = docs.where("doc_id is null").select("doc_id", "lang", "source", F.lit(None).cast("long").alias("cut_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return out.unionByName(unnamed).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [("language_id", language), ("quality_rules", quality), ("near_dedup", near), ("suffix_dedup", substrings), ("packing", pack)]
 
 #: No SQL: learned classifiers and cutoffs, and byte-wise suffix matching, are beyond it; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to documents; each result is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    where = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs.write.parquet(f"{where}/{name}")
+            docs = spark.read.parquet(f"{where}/{name}")
     return docs

@@ -7,6 +7,7 @@ runs of bytes outside ``\\x20\\x09-\\x0D``; they never cross the border of a doc
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -14,7 +15,7 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 PAD = 64
 CHUNK_BYTES = 3 << 20
@@ -162,14 +163,16 @@ def bounded_batches(spark) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
 
 
-def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage through the shared folder that the session names; one is set only where there is none."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir; one is made only where none is set, as in tests."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if where is None:
-            import tempfile
+        where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
 
-            where = tempfile.mkdtemp(prefix="checkpoint-")
-        sc.setCheckpointDir(where)
+def shared_checkpoint(df: DataFrame) -> DataFrame:
+    """Cuts lineage through the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
