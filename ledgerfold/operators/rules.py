@@ -199,7 +199,9 @@ def price(quotes: DataFrame) -> DataFrame:
     q = q.withColumn("adjusted", F.col("base_fare") * F.col("multiplier") * F.col("season.seasonal"))
     q = q.withColumn("fare", (F.col("adjusted") - F.col("adjusted") * F.col("discount") + F.col("season.surcharge")) * F.col("passengers"))
     q = q.withColumns({"baggage_fees": total("baggage"), "ancillary_fees": total("ancillary"), "tax_total": total("taxes")})
-    return q.withColumn("grand_total", F.round(F.col("fare") + F.col("baggage_fees") + F.col("ancillary_fees") + F.col("tax_total") + F.col("insurance_fee"), 2))
+    whole = F.col("fare") + F.col("baggage_fees") + F.col("ancillary_fees") + F.col("tax_total") + F.col("insurance_fee")
+    # half cents are rounded up as decimals: sums of doubles fall on either side of them
+    return q.withColumn("grand_total", F.round(whole.cast("decimal(20,6)"), 2).cast("double"))
 
 
 def route_error(errors: DataFrame) -> DataFrame:

@@ -196,7 +196,7 @@ ORACLE_SQL: dict[str, str] = {
     "R13_fee_ancillary": _price("ancillary_fees"),
     "R14_fee_tax": _price("round(tax_total, 2) AS tax_total"),
     "R15_fee_insurance": _price("insurance_fee"),
-    "R16_price_total": _price("round((fare0 * multiplier * seasonal - fare0 * multiplier * seasonal * discount + surcharge) * pax + baggage_fees + ancillary_fees + tax_total + insurance_fee, 2) AS grand_total"),
+    "R16_price_total": _price("CAST(round(CAST((fare0 * multiplier * seasonal - fare0 * multiplier * seasonal * discount + surcharge) * pax + baggage_fees + ancillary_fees + tax_total + insurance_fee AS DECIMAL(20, 6)), 2) AS DOUBLE) AS grand_total"),
     "R17_recover_validation": _recovery("validation"),
     "R18_recover_payment": _recovery("payment"),
     "R19_recover_availability": _recovery("availability"),
