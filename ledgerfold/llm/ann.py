@@ -158,8 +158,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, tables: int = 20, probes:
     sizes = sizes.select("t", "code", F.greatest(F.lit(1), F.ceil(F.col("count") / part)).cast("int").alias("parts"))
     cut = index.join(sizes, ["t", "code"]).withColumn("s", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
     wide = asked.join(sizes, ["t", "code"]).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    # several buckets make a group of groups, so that a task isn't a handful of rows
-    slots = max(16, int(n * tables // 20_000))
+    # several buckets make a group; a query has its buckets in a fixed number of groups, so results grow with the queries and no faster
+    slots = max(128, int(n * tables // 20_000))
     key = F.pmod(F.xxhash64("t", "code", "s"), F.lit(slots)).cast("int").alias("g")
 
     def search(_, left, right):
