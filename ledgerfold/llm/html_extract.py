@@ -138,9 +138,9 @@ def extract(page: str | None, share: float = 0.25) -> str:
     length = smooth(np.array([paths[p.path][0] / paths[p.path][2] for p in live]))
     marks = smooth(np.array([paths[p.path][1] / paths[p.path][2] for p in live]))
     fused = length * (marks + 0.1)
-    score: dict[str, float] = {}
+    score = dict.fromkeys(paths, 0.0)
     for p, f in zip(live, fused):
-        score[p.path] = max(score.get(p.path, 0.0), float(f))
+        score[p.path] += float(f) / paths[p.path][2]
     limit = share * float(np.std(fused))
     within = any(p.article for p in live)
     chosen = {p.path for p in live if (p.article if within else score[p.path] >= limit)}
