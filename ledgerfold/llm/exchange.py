@@ -58,7 +58,7 @@ class Group:
         self.order = np.asarray(self.ids.fill_null(-(1 << 63)))
 
     def chunks(self):
-        return chunks(self.text)
+        return chunks(self.text, 1 << 20)
 
 
 def planes(a: np.ndarray) -> bytes:

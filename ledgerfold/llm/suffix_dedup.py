@@ -81,9 +81,11 @@ class Named:
         self.first_owner = self.owner[self.first]
         doc = g.order
         self.copied = doc[self.owner] > doc[self.first_owner][self.kind] if self.owner.size else np.zeros(0, bool)
+        # an anchor is the least of many hashes: its upper bits are anything but even
+        self.spread_anchor = mix(self.anchor * _U(0xC2B2AE3D27D4EB4F))
         # questions in the order of documents
         order = np.argsort(self.first, kind="stable")
-        self.targets = [(p, order[idx]) for p, idx in by_target((self.anchor[self.first][order] % _U(groups)).astype(np.int64), groups)]
+        self.targets = [(p, order[idx]) for p, idx in by_target((self.spread_anchor[self.first][order] % _U(groups)).astype(np.int64), groups)]
 
     def verdicts(self, got: dict) -> tuple[np.ndarray, np.ndarray]:
         """Kinds that an earlier document has, and kinds that are to be sorted."""
@@ -127,8 +129,8 @@ def dedup(docs: DataFrame, length: int = 50) -> DataFrame:
         out = []
         for p, idx in x.targets:
             at = x.first[idx]
-            key = (x.anchor[at] >> _U(40)).astype(np.uint32)
-            out.append((p, pack_docs(g.order, x.owner[at]) + planes(key)[: 3 * idx.size] + planes(x.name[at])[: 6 * idx.size]))
+            key = (x.spread_anchor[at] >> _U(32)).astype(np.uint32)
+            out.append((p, pack_docs(g.order, x.owner[at]) + planes(key) + planes(x.name[at])[: 5 * idx.size]))
         return out
 
     def settle(payloads: list[bytes]) -> list[bytes]:
@@ -136,8 +138,8 @@ def dedup(docs: DataFrame, length: int = 50) -> DataFrame:
         for raw in payloads:
             ids, at = unpack_docs(raw)
             n = ids.size
-            key = unplanes(raw[at : at + 3 * n] + bytes(n), "<u4", n, 0)[0]
-            parts.append((ids, key, unplanes(raw[at + 3 * n : at + 9 * n] + bytes(2 * n), "<u8", n, 0)[0]))
+            key, at = unplanes(raw, "<u4", n, at)
+            parts.append((ids, key, unplanes(raw[at : at + 5 * n] + bytes(3 * n), "<u8", n, 0)[0]))
         ids, key, label = (np.concatenate([x[k] for x in parts]) for k in range(3))
         order = np.lexsort((ids, label, key))
         k, s, d = key[order], label[order], ids[order]
