@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import paths
+
 
 @dataclass(frozen=True)
 class Table:
@@ -187,6 +189,22 @@ def journey_phase(bags: DataFrame) -> DataFrame:
     return out.select(*bags.columns, F.col("d.phase").alias("phase"), F.col("d.actions").alias("actions"))
 
 
+#: Where the inputs of PHASE stand in a journey's bag.
+PHASE_PATHS = {
+    "origin": "/search/origin", "destination": "/search/destination", "trip_type": "/search/tripType", "adults": "/search/passengers/adults", "children": "/search/passengers/children",
+    "outbound": "/booking/selectedOutboundFlight", "return_flight": "/booking/selectedReturnFlight", "payment_status": "/booking/paymentStatus",
+}
+
+
+def evaluate(bag: DataFrame, pending: DataFrame, persons: DataFrame) -> DataFrame:
+    """The phase of each journey with changes applied that aren't in its bag yet: bag and pending are (aggregate_id, path, value), persons has n_persons and n_untyped."""
+    layer = lambda df, n: df.select("aggregate_id", F.lit(n).alias("sequence"), F.lit(0).alias("part"), "path", "value", F.when(F.col("value").isNull(), "delete").otherwise("set").alias("op"))
+    after = paths.last_writes(layer(bag, 1).unionByName(layer(pending, 2)), ["aggregate_id"], ["sequence", "part"])
+    wide = after.groupBy("aggregate_id").agg(*[F.max(F.when(F.col("path") == p, F.col("value"))).alias(c) for c, p in PHASE_PATHS.items()])
+    wide = wide.join(persons.select("aggregate_id", "n_persons", "n_untyped"), "aggregate_id", "left").fillna(0, ["n_persons", "n_untyped"])
+    return journey_phase(wide.withColumns({"adults": F.col("adults").cast("int"), "children": F.col("children").cast("int")})).select("aggregate_id", "phase", "actions")
+
+
 def total(fees: str) -> Column:
     return F.aggregate(F.col(fees), F.lit(0.0), lambda a, x: a + x["amount"])
 

@@ -127,7 +127,15 @@ FLAT = """fl AS (SELECT aggregate_id, '/search/tripType' AS path, trip_type AS v
 PERSONS = f"""{P}, pe AS (SELECT cap.aggregate_id, cap.person_ref, cap.subject_id, er.subject_id IS NOT NULL AS forgotten, CASE WHEN er.subject_id IS NULL THEN name END AS name, CASE WHEN er.subject_id IS NULL THEN email END AS email, CASE WHEN er.subject_id IS NULL THEN phone END AS phone
   FROM cap LEFT JOIN er ON er.subject_id = cap.subject_id)"""
 
+PHASES = "['booking_confirmed','collecting_search','selecting_outbound','selecting_return','collecting_passengers','collecting_payment'][r] AS phase, ['booking_confirmation','','flight_search_results','return_flight_selection,flight_search_results','passenger_details','seat_selection,passenger_details'][r] AS actions"
+
 ORACLE_SQL: dict[str, str] = {
+    "R1_evaluate_attributes": f"""WITH {S}, s2 AS (SELECT * REPLACE (coalesce(origin, 'NEW') AS origin, CASE WHEN k % 10 = 3 THEN NULL ELSE outbound END AS outbound) FROM sb), ph AS (SELECT aggregate_id, {PHASE} AS r FROM s2) SELECT aggregate_id, {PHASES} FROM ph""",
+    "V2_validate_after_merge": f"WITH {S} SELECT aggregate_id, coalesce(origin, 'NEW') AS origin, adults >= 0 AS valid FROM sb",
+    "S9_command_source": f"WITH {C} SELECT aggregate_id, sequence, command, step, '/journeys' AS uri FROM c",
+    "R5_decision_table_collect": f"""WITH {T}, f AS (SELECT 'Seat Selection' AS kind, 15 AS amount FROM t1 WHERE l_partkey % 2 = 1 AND cabin = 'economy' UNION ALL SELECT 'Premium Seat Selection', 35 FROM t1 WHERE (l_partkey // 2) % 2 = 1 AND cabin = 'economy'
+  UNION ALL SELECT 'Priority Boarding', 20 FROM t1 WHERE (l_partkey // 4) % 2 = 1 AND cabin LIKE '%economy' UNION ALL SELECT 'Meal Selection', 12 FROM t1 WHERE (l_partkey // 8) % 2 = 1 AND cabin = 'economy' AND distance > 1000
+  UNION ALL SELECT 'WiFi Access', 8 FROM t1 WHERE (l_partkey // 16) % 2 = 1 AND distance > 500 UNION ALL SELECT 'Lounge Access', 45 FROM t1 WHERE (l_partkey // 32) % 2 = 1 AND cabin LIKE '%economy') SELECT kind, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS total FROM f GROUP BY 1""",
     "S1_scan_event_log": f"WITH {E} SELECT aggregate_id, sequence, event_type, event_version, ts AS timestamp FROM e",
     "S2_scan_aggregate": f"WITH {E} SELECT aggregate_id, sequence, event_type FROM e WHERE user_id = 8",
     "S3_tail_after": f"WITH {E} SELECT aggregate_id, sequence, event_type FROM e WHERE user_id % 10 = 7 OR sequence > n // 2",

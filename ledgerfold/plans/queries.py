@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..operators import admit, classify, fold, keys, pii, rules, validate, views
+from ..sources import commands, samples
 from ..sources import event_log as log
-from ..sources import samples
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -340,6 +340,37 @@ def F12_upcast_legacy_events(spark, d):
 # rules
 
 
+def _pending(spark, d):
+    """Journeys without an origin get one, those whose number ends in 3 lose their outbound flight."""
+    b = samples.booking_bags(spark, d)
+    origin = b.where("origin is null").select("aggregate_id", F.lit("/search/origin").alias("path"), F.lit("NEW").alias("value"))
+    return origin.unionByName(b.where("aggregate_id like '%3'").select("aggregate_id", F.lit("/booking/selectedOutboundFlight").alias("path"), F.lit(None).cast("string").alias("value")))
+
+
+@query
+def R1_evaluate_attributes(spark, d):
+    b = samples.booking_bags(spark, d)
+    bag = paths.flatten(b, "doc", ["aggregate_id"]).drop("is_null")
+    return rules.evaluate(bag, _pending(spark, d), b).select("aggregate_id", "phase", F.array_join("actions", ",").alias("actions"))
+
+
+@query
+def V2_validate_after_merge(spark, d):
+    b = samples.booking_bags(spark, d)
+    origin = F.coalesce("origin", F.lit("NEW"))
+    merged = b.withColumn("doc", F.expr("to_json(struct(struct(trip_type as tripType, coalesce(origin, 'NEW') as origin, destination, cast(departure_date as string) as departureDate, struct(adults, children) as passengers) as search))"))
+    return validate.validate(merged, "doc", validate.BOOKING).select("aggregate_id", origin.alias("origin"), "valid")
+
+
+@query
+def S9_command_source(spark, d):
+    c = samples.commands(spark, d)
+    body = F.when(F.col("command") == "Start", "").otherwise(F.to_json(F.create_map("command", F.struct("person_ref", "subject_id", "step"))))
+    none = F.lit(None).cast("string")
+    rows = commands.parse_commands(c.select("aggregate_id", "sequence", body.alias("body"), none.alias("time"), F.lit("/journeys").alias("uri"), none.alias("user_agent")))
+    return rows.select("aggregate_id", "sequence", "command", F.get_json_object("arguments", "$.step").alias("step"), F.element_at("metadata", "uri").alias("uri"))
+
+
 @query
 def R4_decision_table_first(spark, d):
     q = rules.price(samples.quotes(spark, d))
