@@ -82,6 +82,18 @@ def superminhash(shingles: np.ndarray, offs: np.ndarray, slots: int) -> np.ndarr
     return best.reshape(n, slots)
 
 
+def digests(shingles: np.ndarray, offs: np.ndarray) -> pa.Array:
+    """A 128-bit digest of each set, whatever the order; null for an empty one."""
+    count = np.diff(offs)
+    node = np.zeros((count.size, 2), dtype=_U)
+    filled = np.flatnonzero(count)
+    for k in range(2):
+        node[filled, k] = np.add.reduceat(mix(shingles * _U(2 * k + 3) + _U(k)), offs[filled]) if filled.size else 0
+    node[:, 1] ^= count.astype(_U)
+    raw = node.tobytes()
+    return pa.array([raw[16 * k : 16 * k + 16] if c else None for k, c in enumerate(count)], pa.binary())
+
+
 def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     """doc_id, n_shingles, node (a digest of the set, null if it is empty) and a key for each band."""
     bounded_batches(docs.sparkSession)
@@ -98,16 +110,10 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                 for k in range(rows):
                     acc = mix(acc * _U(0xC2B2AE3D27D4EB4F) ^ sig[:, b * rows + k])
                 key[:, b] = acc
-            node = np.zeros((count.size, 2), dtype=_U)
-            filled = np.flatnonzero(count)
-            for k in range(2):
-                node[filled, k] = np.add.reduceat(mix(h * _U(2 * k + 3) + _U(k)), offs[filled])
-            node[:, 1] ^= count.astype(_U)
-            raw_nodes = node.tobytes()
             yield {
                 "doc_id": batch.column("doc_id")[t.rows],
                 "n_shingles": count.astype(np.int64),
-                "node": pa.array([raw_nodes[16 * k : 16 * k + 16] if c else None for k, c in enumerate(count)], pa.binary()),
+                "node": digests(h, offs),
                 "bands": pa.FixedSizeListArray.from_arrays(pa.array(key.reshape(-1).view(np.int64)), bands).cast(pa.list_(pa.int64())),
             }
 
@@ -115,15 +121,15 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
 
 
 def set_table(docs: DataFrame, size: int) -> DataFrame:
-    """node and shingles (packed) of docs with columns node and text."""
+    """node and shingles (packed) of each text."""
 
     def run(batch: pa.RecordBatch):
         for raw in chunks(batch.column("text"), 1 << 20):
             h, offs = shingle_sets(raw.lower(), size)
             packed = [h[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for a, b in zip(offs[:-1], offs[1:])]
-            yield {"node": batch.column("node")[raw.rows], "shingles": pa.array(packed, pa.binary())}
+            yield {"node": digests(h, offs), "shingles": pa.array(packed, pa.binary())}
 
-    return map_arrow(docs.select("node", "text"), run, "node binary, shingles binary")
+    return map_arrow(docs.select("text"), run, "node binary, shingles binary")
 
 
 def unpacked(raw: bytes) -> np.ndarray:
@@ -244,15 +250,18 @@ def near_dedup(docs: DataFrame, size: int = 3, percent: int = 85, bands: int = 3
     # whole texts of one row for each node that has a candidate
     wanted = shared.select("node").distinct()
     one = filled.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(wanted, "node")
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(one, "doc_id")
-    sets = shared_checkpoint(set_table(whole, size).join(one.select("node"), "node", "left_semi").dropDuplicates(["node"]))
-    links = shared_checkpoint(verified(pairs, sets, percent))
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(one.select("doc_id").distinct(), "doc_id")
+    sets = shared_checkpoint(set_table(whole, size).join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+    # rows that share a doc_id are linked without comparison
+    shared_id = filled.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b <> last").select("doc_id", "b")
+    same_doc = filled.join(shared_id, "doc_id").where("node <> b").select(F.col("node").alias("a"), "b")
+    links = shared_checkpoint(verified(pairs, sets, percent).unionByName(same_doc).distinct())
     labels = components(links)
     named = shared.where("n > 2").join(labels, "node", "left").select("band", "key", "node", F.coalesce("label", "node").alias("label"))
     more = shared_checkpoint(links_in_buckets(open_buckets(named), sets, percent).distinct())
     if not more.isEmpty():
         labels = components(links.union(more))
-    # rows back to groups; rows that share a doc_id are linked, which only matters if a doc_id has several sets
+    # rows back to groups
     node_label = filled.select("doc_id", "node").join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
     least = node_label.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of_doc = node_label.join(least, "label").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))

@@ -162,6 +162,13 @@ def test_near_dedup(spark, size, percent):
     assert near_dedup.near_dedup(frame(spark, [])).count() == 0
 
 
+def test_near_dedup_of_shared_ids(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(40)) for c in "ab")
+    rows = [(3, a), (5, a), (5, b), (7, b), (7, b), (None, a), (9, "one")]
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_dedup(frame(spark, rows)).collect()), key=str)
+    assert got == sorted([(3, 3, True), (5, 3, False), (5, 3, False), (7, 3, False), (7, 3, False), (None, None, True), (9, 9, True)], key=str)
+
+
 def test_superminhash_estimates_similarity():
     rng = np.random.default_rng(0)
     both, only = rng.integers(0, 1 << 48, 300, dtype=np.uint64), rng.integers(0, 1 << 48, (2, 100), dtype=np.uint64)
