@@ -107,7 +107,8 @@ def valid(vectors: DataFrame) -> tuple[DataFrame, int]:
     """vec_id and embedding of vectors that take part, and their length."""
     v = F.col("embedding")
     finite = F.expr("forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(embedding, x -> x <> 0)")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.cast("array<float>").alias("embedding")).where(F.col("vec_id").isNotNull() & v.isNotNull() & finite)
+    kind = "array<double>" if dict(vectors.dtypes)["embedding"] == "array<double>" else "array<float>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.cast(kind).alias("embedding")).where(F.col("vec_id").isNotNull() & v.isNotNull() & finite)
     dim = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
     dim = dim["d"] if dim else 0
     return rows.where(F.size("embedding") == dim), dim
@@ -151,7 +152,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, tables: int = 20, probes:
 
         return run
 
-    shape = "id long, embedding array<float>, t int, code long"
+    shape = f"id long, embedding {dict(distinct.dtypes)['embedding']}, t int, code long"
     index = distinct.select("rep", "embedding").mapInArrow(bucketed(False), shape)
     asked = queries.select("vec_id", "embedding").mapInArrow(bucketed(True), shape)
     sizes = index.groupBy("t", "code").count()
