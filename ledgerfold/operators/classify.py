@@ -39,6 +39,17 @@ class AttributeSchema:
             out = F.when(path == exact, kind).otherwise(out)
         return out
 
+    def kind(self, path: str) -> str:
+        """The same for one path, for stateful streams."""
+        seg = path[1:].split("/")
+        if path in self.exact:
+            return self.exact[path]
+        if len(seg) == 3 and seg[0] in self.namespaces:
+            for kind in ("plaintext", "secret"):
+                if seg[2] in self.namespaces[seg[0]][kind]:
+                    return kind
+        return "plaintext" if seg[0] in self.prefixes or self.permissive else "unknown"
+
 
 #: The schema of the booking example.
 BOOKING = AttributeSchema(

@@ -1,8 +1,9 @@
 """Streams end where batch does."""
 
 import pytest
-from ledgerfold.operators import fold
+from ledgerfold.operators import admit, classify, fold
 from ledgerfold.sources import event_log, samples
+from ledgerfold.streaming import admission
 from ledgerfold.streaming import store as st
 
 DIR = "/root/testdata/sf0.001"
@@ -69,3 +70,15 @@ def test_dedupe(spark, folder, tmp_path):
     n = []
     st.run_available(st.dedupe(event_log.stream_log(spark, folder), "10000 days"), lambda b, _: n.append(b.count()), str(tmp_path / "c3"))
     assert sum(n) == samples.event_log(spark, DIR).count()
+
+
+def test_admission_of_a_stream_equals_batch(spark, tmp_path):
+    commands = samples.commands(spark, DIR)
+    root = str(tmp_path / "commands")
+    for part in ("sequence <= 20", "sequence > 20"):
+        commands.where(part).coalesce(1).write.mode("append").parquet(root)
+    feed = spark.readStream.schema(commands.schema).option("maxFilesPerTrigger", 1).parquet(root)
+    got = []
+    st.run_available(admission.admit_stream(feed, classify.BOOKING), lambda b, _: got.extend(map(tuple, b.select("aggregate_id", "sequence", "error").collect())), str(tmp_path / "c4"))
+    want = admit.admit(commands, classify.BOOKING)
+    assert sorted(got, key=repr) == rows(want, "aggregate_id", "sequence", "error")
