@@ -182,19 +182,19 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def open_buckets(named: DataFrame) -> DataFrame:
-    """The members (band, key, node, label) of buckets that hold several groups; of buckets with the same members only one."""
+    """The members (band, key, node, n_shingles, label) of buckets that hold several groups; of buckets with the same members only one."""
     digest = F.sum(F.xxhash64("node").cast("decimal(20,0)"))
     many = named.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high"), digest.alias("digest"), F.count(F.lit(1)).alias("n")).where("low <> high")
     once = many.groupBy("digest", "n").agg(F.min(F.struct("band", "key")).alias("first")).select("first.band", "first.key")
     return named.join(once, ["band", "key"])
 
 
-def links_in_buckets(buckets: DataFrame, sets: DataFrame, percent: int, block: int = 1024) -> DataFrame:
-    """Links between members of different groups of the same bucket. buckets: band, key, node, label.
+def links_in_buckets(buckets: DataFrame, sets: DataFrame, percent: int, block: int = 1024, elements: int = 400_000) -> DataFrame:
+    """Links between members of different groups of the same bucket. buckets: band, key, node, n_shingles, label.
 
-    Members are cut into blocks of about block nodes; each pair of blocks is one group, which compares by an inverted index and
+    Members are cut into blocks of about block nodes and elements shingles; each pair of blocks is one group, which compares by an inverted index and
     gives one link for each pair of labels that it can join."""
-    size = buckets.groupBy("band", "key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    size = buckets.groupBy("band", "key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n_shingles") / elements)).cast("int").alias("blocks"))
     cut = buckets.join(size, ["band", "key"]).withColumn("k", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # block k meets the blocks from k on; each meeting is (i, j), i <= j
     meet = F.expr("transform(sequence(0, blocks - 1), o -> struct(least(k, o) as i, greatest(k, o) as j))")
@@ -257,7 +257,7 @@ def near_dedup(docs: DataFrame, size: int = 3, percent: int = 85, bands: int = 3
     same_doc = filled.join(shared_id, "doc_id").where("node <> b").select(F.col("node").alias("a"), "b")
     links = shared_checkpoint(verified(pairs, sets, percent).unionByName(same_doc).distinct())
     labels = components(links)
-    named = shared.where("n > 2").join(labels, "node", "left").select("band", "key", "node", F.coalesce("label", "node").alias("label"))
+    named = shared.where("n > 2").join(labels, "node", "left").select("band", "key", "node", "n_shingles", F.coalesce("label", "node").alias("label"))
     more = shared_checkpoint(links_in_buckets(open_buckets(named), sets, percent).distinct())
     if not more.isEmpty():
         labels = components(links.union(more))

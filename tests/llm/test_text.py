@@ -182,9 +182,9 @@ def test_superminhash_estimates_similarity():
 def test_links_between_blocks_of_a_bucket(spark):
     rows = near_copies(9)[:72]
     docs = frame(spark, rows)
-    sig = near_dedup.signatures(docs, 3, 4, 2).select("doc_id", "node")
-    sets = near_dedup.set_table(docs.join(sig, "doc_id"), 3)
-    one = sig.selectExpr("0 as band", "0L as key", "node", "node as label")
+    sig = near_dedup.signatures(docs, 3, 4, 2).select("doc_id", "node", "n_shingles")
+    sets = near_dedup.set_table(docs, 3)
+    one = sig.selectExpr("0 as band", "0L as key", "node", "n_shingles", "node as label")
     links = near_dedup.links_in_buckets(one, sets, 85, block=10)
     label = {r.node: r.label for r in near_dedup.components(links).collect()}
     ids = {bytes(r.node): r.doc_id for r in sig.collect()}
