@@ -396,16 +396,16 @@ def R9_journey_phase(spark, d):
 
 def _priced(name, *cols):
     def run(spark, d):
-        return rules.price(samples.quotes(spark, d)).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *cols)
+        return rules.price(samples.quotes(spark, d)).selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *cols)
 
     QUERIES[name] = run
 
 
 _priced("R10_price_base", "multiplier", "discount")
-_priced("R11_price_season", F.col("season.seasonal").alias("seasonal"), F.col("season.surcharge").alias("surcharge"))
+_priced("R11_price_season", "season.seasonal as seasonal", "season.surcharge as surcharge")
 _priced("R12_fee_baggage", "baggage_fees")
 _priced("R13_fee_ancillary", "ancillary_fees")
-_priced("R14_fee_tax", F.round("tax_total", 2).alias("tax_total"))
+_priced("R14_fee_tax", "round(tax_total, 2) as tax_total")
 _priced("R15_fee_insurance", "insurance_fee")
 _priced("R16_price_total", "grand_total")
 
