@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textops import shared_checkpoint
+from .textops import release, shared_checkpoint
 
 FOUND = "query_id long, rep long, score double"
 
@@ -189,6 +189,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, tables: int = 20, probes:
             start = np.flatnonzero(np.concatenate([[True], cols[0][1:] != cols[0][:-1]]))
             place = np.arange(cols[0].size) - np.repeat(start, np.diff(np.append(start, cols[0].size)))
             cols = [c[place <= k] for c in cols]
+        release()
         return pa.table({"query_id": cols[0], "rep": cols[1], "score": cols[2]})
 
     found = wide.withColumn("g", key).groupBy("g").cogroup(cut.withColumn("g", key).groupBy("g")).applyInArrow(search, FOUND)

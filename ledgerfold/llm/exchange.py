@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import Texts, bounded_batches, chunks
+from .textops import Texts, bounded_batches, chunks, release
 
 GROUP_BYTES = 6 << 20
 MESSAGE = "q int, p int, kind int, payload binary"
@@ -102,7 +102,9 @@ def ask(docs: DataFrame, fn: Callable[[Group], list[tuple[int, bytes]]]) -> Data
 
     def run(key, table):
         q = key[0].as_py()
-        return messages([(q, p, 0, data) for p, data in fn(Group(table))])
+        out = messages([(q, p, 0, data) for p, data in fn(Group(table))])
+        release()
+        return out
 
     return docs.groupBy("q").applyInArrow(run, MESSAGE)
 
@@ -113,7 +115,9 @@ def answer(asked: DataFrame, kind: int, fn: Callable[[list[bytes]], list[bytes]]
     def run(key, table):
         table = table.sort_by("q")
         p, q = key[0].as_py(), table.column("q").to_pylist()
-        return messages([(a, p, kind, data) for a, data in zip(q, fn(table.column("payload").to_pylist()))])
+        out = messages([(a, p, kind, data) for a, data in zip(q, fn(table.column("payload").to_pylist()))])
+        release()
+        return out
 
     return asked.groupBy("p").applyInArrow(run, MESSAGE)
 
@@ -123,7 +127,9 @@ def told(docs: DataFrame, answers: DataFrame, fn: Callable[[int, Group, dict], p
 
     def run(key, left, right):
         got = {(k, p): data for k, p, data in zip(*(right.column(c).to_pylist() for c in ("kind", "p", "payload")))}
-        return fn(key[0].as_py(), Group(left), got)
+        out = fn(key[0].as_py(), Group(left), got)
+        release()
+        return out
 
     return docs.groupBy("q").cogroup(answers.groupBy("q")).applyInArrow(run, schema)
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import Texts, bounded_batches, chunks, map_arrow, mix, shared_checkpoint
+from .textops import Texts, bounded_batches, chunks, map_arrow, mix, release, shared_checkpoint
 
 BITS = 48
 _U = np.uint64
@@ -234,6 +234,8 @@ def links_in_buckets(buckets: DataFrame, sets: DataFrame, percent: int, block: i
                     a_out.append(node[x])
                     b_out.append(node[y])
                     group[group == group[y]] = group[x]
+        if every.size > 100_000:
+            release()
         return pa.table({"a": pa.array(a_out, pa.binary()), "b": pa.array(b_out, pa.binary())})
 
     return full.groupBy("band", "key", "i", "j").applyInArrow(compare, "a binary, b binary")

@@ -7,6 +7,7 @@ runs of bytes outside ``\\x20\\x09-\\x0D``; they never cross the border of a doc
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -17,6 +18,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library
+    _LIBC = None
 PAD = 64
 CHUNK_BYTES = 3 << 20
 LONG_WORD = 512
@@ -141,6 +147,13 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Texts]:
         lo = hi
 
 
+def release() -> None:
+    """Gives freed memory back to the system: workers are kept from stage to stage, and what their allocators hold adds up."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
     """df.mapInArrow, with fn giving dictionaries of columns in the order of the schema."""
 
@@ -148,6 +161,8 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], sch
         for batch in batches:
             for columns in fn(batch):
                 yield pa.RecordBatch.from_pydict(columns)
+            del batch
+            release()
 
     return df.mapInArrow(run, schema)
 
