@@ -5,7 +5,8 @@ down (names with their class or id), and each path gets the characters and the p
 its nodes. The text ratio (characters per node) and the punctuation ratio (marks per node) of a path are smoothed over
 neighbouring texts in page order with a Gaussian, fused by multiplication, and paths are kept whose fused ratio reaches a share of
 the page's standard deviation. Elements that can't hold main text (scripts, forms, navigation, and the like, or a class
-or id that says so) weigh nothing; texts in an article or main element get the benefit of the doubt.
+or id that says so) weigh nothing; texts in an article or main element weigh more, by as much as the page's
+weight stands in such elements. A heading weighs as much as the text below it, if that is more.
 
 Kept texts are gathered by block element: character references decoded, white space turned to one blank, blocks joined by
 one line break. Defined results: a null or empty page gives an empty text; unclosed, stray and cut-off tags are tolerated; a page
@@ -32,10 +33,15 @@ RAW = frozenset("script style textarea title noscript template iframe svg math".
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 NOT_TEXT = frozenset("head nav header footer aside form menu button select option label dialog fieldset figcaption script style noscript template iframe svg math textarea title object canvas".split())
 ARTICLE = frozenset("article main".split())
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Emphasis inside a text, which without a class is part of the path around it.
+PHRASE = frozenset("abbr b bdi bdo big cite code del dfn em font i ins kbd mark q s samp small strong sub sup tt u var".split())
 # Words in a class, id or role that mark what is not main text.
 NOT_TEXT_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright disclaimer disqus footer form header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe subscription tags toolbar widget".split()
 )
+#: What texts in an article or main element weigh at most; others weigh 1.
+ARTICLE_FACTOR = 4.0
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _MARKER = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
@@ -52,6 +58,7 @@ class Piece:
     text: str
     barred: bool
     article: bool
+    heading: bool
 
 
 def pieces(page: str) -> Iterator[Piece]:
@@ -62,7 +69,7 @@ def pieces(page: str) -> Iterator[Piece]:
     def text(raw: str) -> Iterator[Piece]:
         if raw:
             _, path, barred, article = stack[-1] if stack else ("", "", False, False)
-            yield Piece(path, block, html.unescape(raw), barred, article)
+            yield Piece(path, block, html.unescape(raw), barred, article, any(x[0] in HEADING for x in stack))
 
     while at < n:
         m = _TOKEN.search(page, at)
@@ -110,15 +117,14 @@ def pieces(page: str) -> Iterator[Piece]:
         _, path, barred, article = stack[-1] if stack else ("", "", False, False)
         inner_header = name == "header" and article  # an article's own heading is part of it
         barred = barred or (name in NOT_TEXT and not inner_header) or not NOT_TEXT_WORDS.isdisjoint(marks)
-        stack.append((name, f"{path}/{name}{'.' + '.'.join(marks) if marks else ''}", barred, article or name in ARTICLE))
+        if marks or name not in PHRASE:
+            path = f"{path}/{name}{'.' + '.'.join(marks) if marks else ''}"
+        stack.append((name, path, barred, article or name in ARTICLE))
 
 
 def smooth(x: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     k = np.exp(-0.5 * (np.arange(-2, 3) / sigma) ** 2)
-    weight = np.convolve(np.ones_like(x), k, mode="same") if x.size >= 5 else None
-    if weight is None:
-        return x
-    return np.convolve(x, k, mode="same") / weight
+    return np.convolve(x, k)[2:-2] / np.convolve(np.ones_like(x), k)[2:-2]
 
 
 def extract(page: str | None, share: float = 0.25) -> str:
@@ -138,12 +144,17 @@ def extract(page: str | None, share: float = 0.25) -> str:
     length = smooth(np.array([paths[p.path][0] / paths[p.path][2] for p in live]))
     marks = smooth(np.array([paths[p.path][1] / paths[p.path][2] for p in live]))
     fused = length * (marks + 0.1)
+    for k in range(len(live) - 2, -1, -1):  # a heading has no sentences: it counts as much as the text below it
+        if live[k].heading:
+            fused[k] = max(fused[k], fused[k + 1])
+    within = np.array([p.article for p in live])
+    # articles count as much as they hold of the page: teasers beside a body give no advantage, an article that is the body gives all
+    fused *= np.where(within, 1 + (ARTICLE_FACTOR - 1) * fused[within].sum() / fused.sum(), 1.0)
     score = dict.fromkeys(paths, 0.0)
     for p, f in zip(live, fused):
         score[p.path] += float(f) / paths[p.path][2]
     limit = share * float(np.std(fused))
-    within = any(p.article for p in live)
-    chosen = {p.path for p in live if (p.article if within else score[p.path] >= limit)}
+    chosen = {path for path, x in score.items() if x >= limit}
     lines: list[str] = []
     last, part = None, []
     for p in found:

@@ -167,6 +167,22 @@ def test_html():
     assert html_extract.extract(plain).count("\n") == 8 and "Home" not in html_extract.extract(plain)
 
 
+BODY = [f"Sentence {k} of the body, with some words in it. And more of them, to the end." for k in range(9)]
+
+
+def test_html_ratios_choose_beside_article_teasers():
+    body = "<div class=story><h2>The title</h2>" + "".join(f"<p>{x}</p>" for x in BODY) + "</div>"
+    teasers = "".join(f"<article class=card><h3>Card {k}</h3><p>Read on</p></article>" for k in range(6))
+    for page in (body + f"<div>{teasers}</div>", f"<div>{teasers}</div><div>Published today</div>" + body, f"<main>{body}<div>{teasers}</div></main>"):
+        got = html_extract.extract(f"<body>{page}</body>").split("\n")
+        assert [x for x in got if x in BODY] == BODY and "The title" in got
+    assert "Card 5" not in html_extract.extract(f"<body>{body}<div>{teasers}</div></body>")
+    links = "".join(f"<div><a href=/{k}>more {k}</a></div>" for k in range(9))
+    assert html_extract.extract(f"<article>{body}{links}</article>").split("\n")[:10] == ["The title", *BODY]
+    assert "more 8" not in html_extract.extract(f"<article>{body}{links}</article>")  # article alone does not choose
+    assert html_extract.extract("<div><p>One <b>two</b>, three. Four, five.</p></div>") == "One two, three. Four, five."
+
+
 def test_html_pages(spark):
     rows = [(1, "u", PAGE, 1), (2, None, None, 2), (None, "u", "", 3), (1, "u", PAGE, 1)]
     got = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
