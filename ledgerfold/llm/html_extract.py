@@ -4,9 +4,9 @@ A page is read as a stream of tags and texts. Each text belongs to the path of o
 down (names with their class or id), and each path gets the characters and the punctuation marks of all texts under it and the number of
 its nodes. The text ratio (characters per node) and the punctuation ratio (marks per node) of a path are smoothed over
 neighbouring texts in page order with a Gaussian, fused by multiplication, and paths are kept whose fused ratio reaches a share of
-the page's standard deviation. Elements that can't hold main text (scripts, forms, navigation, and the like, or a class
-or id that says so) weigh nothing; texts in an article or main element weigh more, by as much as the page's
-weight stands in such elements. A heading weighs as much as the text below it, if that is more.
+the page's standard deviation. Elements that can't hold main text (scripts, forms, navigation, and the like) weigh nothing. A class, id or role
+that says so (a whole token, and not on html, body, main or article) takes most of a path's weight; texts in an article or main element weigh
+more, by as much as the page's weight stands in such elements. A heading weighs as much as the text below it, if that is more.
 
 Kept texts are gathered by block element: character references decoded, white space turned to one blank, blocks joined by
 one line break. Defined results: a null or empty page gives an empty text; unclosed, stray and cut-off tags are tolerated; a page
@@ -36,12 +36,16 @@ ARTICLE = frozenset("article main".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Emphasis inside a text, which without a class is part of the path around it.
 PHRASE = frozenset("abbr b bdi bdo big cite code del dfn em font i ins kbd mark q s samp small strong sub sup tt u var".split())
+#: Elements whose class words say nothing about the text inside.
+FRAME = ARTICLE | {"html", "body"}
 # Words in a class, id or role that mark what is not main text.
 NOT_TEXT_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright disclaimer disqus footer form header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe subscription tags toolbar widget".split()
 )
 #: What texts in an article or main element weigh at most; others weigh 1.
 ARTICLE_FACTOR = 4.0
+#: What texts under a class, id or role of NOT_TEXT_WORDS weigh.
+MARKED_FACTOR = 0.02
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _MARKER = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
@@ -58,18 +62,19 @@ class Piece:
     text: str
     barred: bool
     article: bool
+    marked: bool
     heading: bool
 
 
 def pieces(page: str) -> Iterator[Piece]:
     """The texts of a page in order, with their tag path and the number of their block."""
-    stack: list[tuple[str, str, bool, bool]] = []  # name, path, barred, in an article
+    stack: list[tuple[str, str, bool, bool, bool]] = []  # name, path, barred, in an article, marked
     at, block, n = 0, 0, len(page)
 
     def text(raw: str) -> Iterator[Piece]:
         if raw:
-            _, path, barred, article = stack[-1] if stack else ("", "", False, False)
-            yield Piece(path, block, html.unescape(raw), barred, article, any(x[0] in HEADING for x in stack))
+            _, path, barred, article, marked = stack[-1] if stack else ("", "", False, False, False)
+            yield Piece(path, block, html.unescape(raw), barred, article, marked, any(x[0] in HEADING for x in stack))
 
     while at < n:
         m = _TOKEN.search(page, at)
@@ -113,13 +118,15 @@ def pieces(page: str) -> Iterator[Piece]:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else n
             continue
-        marks = sorted({w for x in _MARKER.finditer(m[3]) for w in _WORD.findall((x[2] or x[3] or x[4] or "").lower())}) if "=" in m[3] else []
-        _, path, barred, article = stack[-1] if stack else ("", "", False, False)
+        tokens = [v for x in _MARKER.finditer(m[3]) for v in (x[2] or x[3] or x[4] or "").lower().split()] if "=" in m[3] else []
+        marks = sorted({w for v in tokens for w in _WORD.findall(v)})
+        _, path, barred, article, marked = stack[-1] if stack else ("", "", False, False, False)
         inner_header = name == "header" and article  # an article's own heading is part of it
-        barred = barred or (name in NOT_TEXT and not inner_header) or not NOT_TEXT_WORDS.isdisjoint(marks)
-        if marks or name not in PHRASE:
-            path = f"{path}/{name}{'.' + '.'.join(marks) if marks else ''}"
-        stack.append((name, path, barred, article or name in ARTICLE))
+        barred = barred or (name in NOT_TEXT and not inner_header)
+        marked = marked or (name not in FRAME and not NOT_TEXT_WORDS.isdisjoint(tokens))
+        if tokens or name not in PHRASE:
+            path = f"{path}/{name}{'.' + '.'.join(marks) if marks else ''}{'!' if marked else ''}"
+        stack.append((name, path, barred, article or name in ARTICLE, marked))
 
 
 def smooth(x: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -144,6 +151,7 @@ def extract(page: str | None, share: float = 0.25) -> str:
     length = smooth(np.array([paths[p.path][0] / paths[p.path][2] for p in live]))
     marks = smooth(np.array([paths[p.path][1] / paths[p.path][2] for p in live]))
     fused = length * (marks + 0.1)
+    fused *= np.where([p.marked for p in live], MARKED_FACTOR, 1.0)
     for k in range(len(live) - 2, -1, -1):  # a heading has no sentences: it counts as much as the text below it
         if live[k].heading:
             fused[k] = max(fused[k], fused[k + 1])

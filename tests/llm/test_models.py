@@ -183,6 +183,14 @@ def test_html_ratios_choose_beside_article_teasers():
     assert html_extract.extract("<div><p>One <b>two</b>, three. Four, five.</p></div>") == "One two, three. Four, five."
 
 
+def test_html_class_words_weigh_and_do_not_bar():
+    body, want = "".join(f"<p>{x}</p>" for x in BODY), "\n".join(BODY)
+    for frame in ("<body class='has-sidebar'>", "<body class=sidebar>", "<article class='post comments-open'>", "<article class=comments>", "<main id=form>", "<html class=menu>", "<div class='ad-free'>", "<div class='content sidebar'>"):
+        assert html_extract.extract(frame + body) == want, frame
+    thread = "<div class='thread comments'><p>Great, thanks! Well said, all of it.</p><p>Same here, I think, on all of it.</p></div>"
+    assert html_extract.extract(f"<body class='has-sidebar'><div class=ad>Buy, now.</div><article>{body}{thread}</article>") == want
+
+
 def test_html_pages(spark):
     rows = [(1, "u", PAGE, 1), (2, None, None, 2), (None, "u", "", 3), (1, "u", PAGE, 1)]
     got = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
