@@ -10,8 +10,9 @@ by a zero: the largest inner product is then the nearest angle. Rows that have o
 
 Equal vectors stand once in the index, with their ``k + 1`` smallest ids (all that a result can hold). A large bucket is
 cut into salted parts of about ``part`` rows and queries go to each part, so no bucket is capped and none is one task's. The result of a
-bucket is its ``k`` best per query, not pairs. The tables are fixed in number; the axes per bucket grow with the logarithm of the rows over
-``bucket``, and a query makes ``probes`` probes for each axis (probes ** axes in all), which keeps the recall.
+bucket is its ``k`` best per query, not pairs. The tables are fixed in number; a bucket has one axis, or two if the rows are many times
+``bucket``. A query makes ``probes`` probes, and PROBES_MORE times as many into buckets of two axes, which keeps the recall: the README has it
+for both.
 
 Defined results: vectors that are null, zero or hold a null or non-finite component take no part, as query or candidate; vectors of another
 length than the most frequent one neither; a vec_id that comes repeatedly with one vector counts once; fewer than k candidates give all
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from .textops import release, shared_checkpoint
 
 FOUND = "query_id long, rep long, score double"
+#: How many times as many probes a second axis needs.
+PROBES_MORE = 32
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -78,6 +81,15 @@ def codes(x: np.ndarray, table: int, hashes: int, probes: int) -> list[tuple[np.
     return [(np.arange(len(x)), code[:, j]) for j in range(code.shape[1])]
 
 
+def n_hashes(n: int, width: int, bucket: int = 4096) -> int:
+    """Axes per bucket for n rows and width signed axes. No more than two: with three, recall is not measured; larger buckets are cut into parts."""
+    return min(2, max(1, round(np.log(max(n / bucket, 1)) / np.log(width))))
+
+
+def n_probes(probes: int, hashes: int) -> int:
+    return probes * PROBES_MORE ** (hashes - 1)
+
+
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -130,7 +142,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, tables: int = 20, probes:
     n, shortest, longest = distinct.agg(F.count(F.lit(1)), F.min(squares), F.max(squares)).first()
     one_norm = longest - shortest <= 1e-4 * longest
     width = 2 << max(1, int(np.ceil(np.log2(dim if one_norm else dim + 1))))
-    hashes = hashes or max(1, round(np.log(max(n / bucket, 1)) / np.log(width)))
+    hashes = hashes or n_hashes(n, width, bucket)
     queries = rows.where(is_query(F.col("vec_id"))).dropDuplicates(["vec_id", "embedding"])
 
     def lifted(x: np.ndarray, query: bool) -> np.ndarray:
@@ -147,7 +159,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, tables: int = 20, probes:
             for b in batches:
                 x = lifted(matrix(b.column("embedding"), dim), query)
                 for table in range(tables):
-                    for row, code in codes(x, table, hashes, probes**hashes if query else 1):
+                    for row, code in codes(x, table, hashes, n_probes(probes, hashes) if query else 1):
                         yield pa.RecordBatch.from_pydict({"id": b.column(0), "embedding": b.column("embedding"), "t": pa.array(np.full(len(row), table, np.int32)), "code": pa.array(code)})
 
         return run

@@ -235,6 +235,19 @@ def test_nearest(spark, unit):
     assert [v for _, v, _ in ties] == [v for v, _ in want[1000]]
 
 
+def test_nearest_with_two_axes(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(8, 64))[np.arange(600) % 8] + 1.5 * rng.normal(size=(600, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    assert ann.n_hashes(51_300, 128) == 1 and ann.n_hashes(7_000_000, 128) == ann.n_hashes(10**10, 128) == 2
+    score = x.astype(float) @ x.astype(float).T - 9 * np.eye(600)
+    want = {i: set(np.argsort(-score[i])[:20].tolist()) for i in range(0, 600, 20)}
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>"), lambda c: c % 20 == 0, hashes=2).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert sum(len(got[i] & want[i]) for i in want) >= 0.9 * 20 * len(want)
+
+
 def test_nearest_with_few_rows(spark):
     rows = [(0, [1.0, 0.0]), (20, [-1.0, 0.5]), (21, [0.2, 0.9])]
     got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), lambda c: c % 20 == 0).collect()
