@@ -11,8 +11,8 @@ smallest hash, and windows of one anchor make a phrase (a run of up to length -
    outside the smallest doc_id of their run are repeats;
 3. repeats are removed from the texts.
 
-Sorting a phrase once and not once a copy is what keeps shards small on a corpus of copies; a shard may still be larger
-than memory. Phrase names compare 78 bits and more.
+Sorting a phrase once and not once a copy is what keeps shards small on a corpus of copies. Sorting takes about 80 bytes of memory
+a symbol of the shard (the README has the figures); the distinct phrases of one anchor are one shard's. Phrase names compare 78 bits and more.
 
 Defined results: a null text is empty; documents are judged by doc_id alone, so rows that share one don't repeat each other; a null doc_id is
 smaller than any; texts are bytes, so a removal may cut a character (kept_text leaves such a piece out).
