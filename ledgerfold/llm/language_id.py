@@ -7,7 +7,7 @@ Prediction is a lookup of one weight per trigram and machine, summed over the wh
 
 The machines are fitted on the driver from a sample of ``per_language`` labelled documents of each language at most
 (the smallest hashes of doc_id); the sample's features are made by the executors and have ``BUCKETS`` entries at most,
-whatever the length of a text. No more than ``max_languages`` languages (the most frequent) are learned.
+whatever the length of a text. Every labelled language is learned; the sample stays sparse, so that many languages fit on the driver.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; without any labelled row every text is.
 Repeated rows give repeated results; only the columns named are read, so others may have any name.
@@ -62,20 +62,42 @@ def trigrams(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     return h >> np.uint32(32 - 13), filled
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 12, seed: int = 7) -> np.ndarray:
+@dataclass
+class Sparse:
+    """Rows of features: those of row k are idx[ends[k]:ends[k + 1]] with val there."""
+
+    ends: np.ndarray
+    idx: np.ndarray
+    val: np.ndarray
+
+    def take(self, rows: np.ndarray) -> Sparse:
+        size = np.diff(self.ends)[rows]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        at = np.repeat(self.ends[:-1][rows] - ends[:-1], size) + np.arange(ends[-1])
+        return Sparse(ends, self.idx[at], self.val[at])
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        sums = np.concatenate([[0.0], np.cumsum(self.val * w[self.idx])])
+        return sums[self.ends[1:]] - sums[self.ends[:-1]]
+
+
+def fit_svm(x: Sparse, y: np.ndarray, c: float = 10.0, rounds: int = 12, seed: int = 7) -> np.ndarray:
     """Weights of a linear machine with squared hinge loss, by dual coordinate descent; the last one is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    w, a = np.zeros(x.shape[1]), np.zeros(len(x))
-    norm = (x.astype(np.float64) ** 2).sum(1) + 0.5 / c
+    w, bias, a = np.zeros(BUCKETS), 0.0, np.zeros(y.size)
+    rows = [(x.idx[p:q], x.val[p:q].astype(np.float64)) for p, q in zip(x.ends[:-1], x.ends[1:])]
+    norm = [float(v @ v) + 1 + 0.5 / c for _, v in rows]
     rng = np.random.default_rng(seed)
     for _ in range(rounds):
-        for i in rng.permutation(len(x)):
-            g = y[i] * float(x[i] @ w) - 1 + a[i] * 0.5 / c
+        for i in rng.permutation(y.size):
+            at, v = rows[i]
+            g = y[i] * (float(v @ w[at]) + bias) - 1 + a[i] * 0.5 / c
             new = max(a[i] - g / norm[i], 0.0)
             if new != a[i]:
-                w += (new - a[i]) * y[i] * x[i]
+                step = (new - a[i]) * y[i]
+                w[at] += step * v
+                bias += step
                 a[i] = new
-    return w
+    return np.append(w, bias)
 
 
 def fit_sigmoid(margin: np.ndarray, y: np.ndarray) -> float:
@@ -94,15 +116,15 @@ class Level:
     slopes: np.ndarray
 
     @classmethod
-    def fit(cls, x: np.ndarray, labels: np.ndarray) -> Level:
+    def fit(cls, x: Sparse, labels: np.ndarray) -> Level:
         classes = sorted(set(labels))
         pairs = list(combinations(range(len(classes)), 2))
-        weights, slopes = np.zeros((len(pairs), x.shape[1] + 1)), np.ones(len(pairs))
+        weights, slopes = np.zeros((len(pairs), BUCKETS + 1)), np.ones(len(pairs))
         for k, (a, b) in enumerate(pairs):
-            mine = np.isin(labels, [classes[a], classes[b]])
-            y = np.where(labels[mine] == classes[a], 1.0, -1.0)
-            weights[k] = fit_svm(x[mine], y)
-            slopes[k] = fit_sigmoid(x[mine] @ weights[k, :-1] + weights[k, -1], y)
+            mine = np.flatnonzero(np.isin(labels, [classes[a], classes[b]]))
+            y, own = np.where(labels[mine] == classes[a], 1.0, -1.0), x.take(mine)
+            weights[k] = fit_svm(own, y)
+            slopes[k] = fit_sigmoid(own.dot(weights[k]) + weights[k, -1], y)
         return cls(classes, pairs, weights, slopes)
 
     def decide(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,9 +151,9 @@ class Hierarchy:
     inside: dict[str, Level]
 
     @classmethod
-    def fit(cls, x: np.ndarray, langs: np.ndarray) -> Hierarchy:
+    def fit(cls, x: Sparse, langs: np.ndarray) -> Hierarchy:
         fams = np.array([family(v) for v in langs])
-        return cls(Level.fit(x, fams), {f: Level.fit(x[fams == f], langs[fams == f]) for f in sorted(set(fams))})
+        return cls(Level.fit(x, fams), {f: Level.fit(x.take(np.flatnonzero(fams == f)), langs[fams == f]) for f in sorted(set(fams))})
 
     def levels(self) -> list[Level]:
         return [self.families, *self.inside.values()]
@@ -168,25 +190,28 @@ def _features(batch: pa.RecordBatch):
 SCALE = 20.0
 
 
-def fit(docs: DataFrame, per_language: int = 400, max_languages: int = 24) -> Hierarchy | None:
+def fit(docs: DataFrame, per_language: int = 400) -> Hierarchy | None:
     """Learns from doc_id, text and lang of rows whose lang is not null; None if there are none."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    counts = known.groupBy("lang").count().collect()
     if not counts:
         return None
     # a hash threshold that keeps about twice the sample of each language, so that the ranking sees few rows
-    bound = F.lit(0.0)
-    for row in counts:
-        bound = F.when(F.col("lang") == row["lang"], F.lit(min(1.0, 2.0 * (per_language + 50) / row["count"]))).otherwise(bound)
+    share = {row["lang"]: 2.0 * (per_language + 50) / row["count"] for row in counts}
+    some = [F.lit(v) for lang, x in share.items() if x < 1 for v in (lang, x)]
+    bound = F.coalesce(F.element_at(F.create_map(*some), F.col("lang")), F.lit(1.0)) if some else F.lit(1.0)
     h = F.xxhash64(F.col("doc_id").cast("string"))
     few = known.where((F.pmod(h, F.lit(1 << 30)) / float(1 << 30)) <= bound).select("doc_id", "text", "lang", h.alias("h"))
     few = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", F.xxhash64("text")))).where(F.col("r") <= per_language)
-    rows = map_arrow(few.select("lang", "text"), _features, "lang string, idx array<int>, val array<float>").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["lang"], r["idx"], r["val"]))
-    x = np.zeros((len(rows), BUCKETS), dtype=np.float32)
-    for k, r in enumerate(rows):
-        x[k, r["idx"]] = np.asarray(r["val"], dtype=np.float32) * SCALE
-    return Hierarchy.fit(x, np.array([r["lang"] for r in rows]))
+    rows = map_arrow(few.select("lang", "text"), _features, "lang string, idx array<int>, val array<float>").toArrow().combine_chunks()
+    langs = np.array(rows["lang"].to_pylist())
+    parts = [rows[c].combine_chunks() for c in ("idx", "val")]
+    ends = np.concatenate([[0], np.cumsum(parts[0].value_lengths().to_numpy())])
+    x = Sparse(ends, *(v.flatten().to_numpy() for v in parts))
+    key = lambda k: (langs[k], *(v[ends[k] : ends[k + 1]].astype(kind).tobytes() for v, kind in ((x.idx, ">i4"), (x.val, ">f4"))))
+    order = np.array(sorted(range(langs.size), key=key))
+    x = x.take(order)
+    return Hierarchy.fit(Sparse(x.ends, x.idx, x.val * np.float32(SCALE)), langs[order])
 
 
 def predict(docs: DataFrame, model: Hierarchy | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -33,6 +33,16 @@ def test_language_id(spark):
     assert language_id.identify(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_language_id_learns_every_language(spark):
+    rng = random.Random(3)
+    codes = " ".join(language_id.FAMILIES.values()).split()[:30]
+    words = {c: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)] for c in codes}
+    rows = [(100 * k + i, " ".join(rng.choice(words[c]) for _ in range(20)), c, None, 1) for k, c in enumerate(codes) for i in range(12 + k)]
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(spark.createDataFrame(rows, DOCS), per_language=8).collect()}
+    assert set(got.values()) == set(codes)
+    assert np.mean([got[i] == c for i, _, c, *_ in rows]) > 0.98
+
+
 def test_chat_escapes_round_trip():
     for text in ("", "plain", "<|im_end|>", "<\\|x", "<\\\\|<|", "a|b<", "<|<|im_start|>user\n"):
         assert chat_format.unescape(chat_format.escape(text)) == text
