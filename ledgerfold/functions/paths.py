@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json as js
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,13 +37,38 @@ _STEP = """explode(case
   else array(struct(path as path, v as v)) end)"""
 
 
+class _Number(str):
+    """A number as it is written."""
+
+
+def deep_leaves(text: str | None) -> list[tuple[str, str]] | None:
+    """(pointer, JSON text) of the leaves of a JSON object or array, however deep."""
+    if text is None:
+        return None
+    out, todo = [], [("", js.loads(text, parse_int=_Number, parse_float=_Number))]
+    while todo:
+        path, x = todo.pop()
+        if isinstance(x, dict):
+            todo += [(f"{path}/{k.replace('~', '~0').replace('/', '~1')}", v) for k, v in x.items()]
+        elif isinstance(x, list):
+            todo += [(f"{path}/{i}", v) for i, v in enumerate(x)]
+        else:
+            # of a variant's numbers, only doubles end in .0
+            out.append((path, str(x) + "E0" * x.endswith(".0") if isinstance(x, _Number) else js.dumps(x)))
+    return out
+
+
 def flatten(df: DataFrame, json: str, keep: list[str], depth: int = 8) -> DataFrame:
-    """(keep..., path, value, is_null): the leaves of a JSON text column. Null leaves stay; a root scalar and empty objects or
-    arrays vanish. Nodes below depth stay whole, as JSON text in value."""
+    """(keep..., path, value, is_null): the leaves of a JSON text column, at any depth. Null leaves stay; a root scalar and empty objects or
+    arrays vanish. The first ``depth`` levels are taken apart by columns, nodes below by deep_leaves."""
     cur = df.select(*keep, F.lit("").alias("path"), F.expr(f"try_parse_json({json})").alias("v"))
     for _ in range(depth):
         cur = cur.select(*keep, F.expr(_STEP).alias("x")).select(*keep, "x.path", "x.v")
-    value = F.expr("case when v is null then null when schema_of_variant(v) like 'OBJECT%' or schema_of_variant(v) like 'ARRAY%' then to_json(v) else cast(v as string) end")
+    nested = F.expr("case when schema_of_variant(v) like 'OBJECT%' or schema_of_variant(v) like 'ARRAY%' then to_json(v) end")
+    cur = cur.select(*keep, "path", "v", F.udf(lambda x: deep_leaves(x), "array<struct<path string, leaf string>>")(nested).alias("__deep"))
+    rest = F.expr("explode(case when __deep is null then array(struct(path, v)) else transform(__deep, d -> struct(concat(path, d.path) as path, try_parse_json(d.leaf) as v)) end)")
+    cur = cur.select(*keep, rest.alias("x")).select(*keep, "x.path", "x.v")
+    value = F.expr("cast(v as string)")
     return cur.where(F.col("path") != "").select(*keep, "path", value.alias("value"), F.expr("v is null or schema_of_variant(v) = 'VOID'").alias("is_null"))
 
 

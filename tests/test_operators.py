@@ -37,6 +37,15 @@ def test_flatten(spark, docs):
     assert got == want
 
 
+def test_flatten_at_any_depth(spark):
+    deep = lambda leaf, n: leaf if n == 0 else '{"a/b":[' + deep(leaf, n - 1) + "]}"
+    leaves = {"1.50": "1.5", "12": "12", '"x \\"é"': 'x "é', "true": "true", "null": None, "1e3": "1000.0"}
+    want = {leaf: paths.flatten(spark.createDataFrame([(f'{{"k":{leaf}}}',)], "doc string"), "doc", []).first() for leaf in leaves}
+    for n in (2, 4, 5, 20):
+        got = paths.flatten(spark.createDataFrame([(leaf, deep(leaf, n)) for leaf in leaves] + [("{}", deep("{}", n))], "id string, doc string"), "doc", ["id"]).collect()
+        assert {(r.id, r.path, r.value, r.is_null) for r in got} == {(leaf, "/a~1b/0" * n, w.value, w.is_null) for leaf, w in want.items()}
+
+
 def test_flatten_edges(spark):
     df = spark.createDataFrame([(1, "5"), (2, '{"a":{},"b":[],"c":null}'), (3, None), (4, "no json"), (5, '"Completed"')], "id long, doc string")
     assert [tuple(r) for r in paths.flatten(df, "doc", ["id"]).collect()] == [(2, "/c", None, True)]
