@@ -4,7 +4,8 @@ A text is cut into pretokens as the byte-level tokenizer does; each distinct pre
 pairs are the leaves of a segment tree whose nodes hold the smallest (rank, position), so the root names the leftmost
 pair of lowest rank. A merge rewrites one symbol and updates three leaves (the merged pair's, its left neighbour's and the
 one that it swallowed) with their ancestors, in logarithmic time, until the root holds no mergeable pair. The trees of many
-pretokens of a like length stand side by side in one array and step together.
+pretokens of a like length stand side by side in one array and step together; a pretoken of more than ``LONG`` bytes has a tree of
+its own (some 30 bytes of memory a byte), in which all pairs of the root's rank are merged at once.
 
 Encoded pretokens are kept in a table of bounded size, keyed by a 64-bit hash and the length in bytes.
 Defined results: a null text is empty (no ids); the added special token's string becomes its id, as in the tokenizers library's
@@ -27,6 +28,8 @@ from .textops import PAD, Texts, bounded_batches, chunks, map_arrow, span_hashes
 _NONE = np.int64(1) << 62
 _LETTER, _NUMBER, _SPACE, _OTHER = 0, 1, 2, 3
 _APOSTROPHE, _BLANK = 0x27, 0x20
+#: Pretokens of more bytes are merged one by one.
+LONG = 512
 
 
 def byte_symbols() -> dict[str, int]:
@@ -142,6 +145,66 @@ def merge_all(symbols: np.ndarray, length: np.ndarray, ranks: PairRanks) -> tupl
     return sym, sym >= 0
 
 
+def merge_long(symbols: np.ndarray, ranks: PairRanks) -> np.ndarray:
+    """Merges one long row of symbols. All pairs of the root's rank are merged from left to right in one step, with their leaves updated
+    together; if a merge would make a pair that has to come before the others of that rank, the leftmost alone is merged."""
+    n = symbols.size
+    width = 1 << max(1, (n - 1).bit_length())
+    none = np.int32((1 << 31) - 1)
+    sym = symbols.astype(np.int32)
+    nxt, prv = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+    nxt[-1] = -1
+    tree = np.full(2 * width, none, dtype=np.int32)
+    for lo in range(0, n - 1, 1 << 20):
+        rank = ranks(sym[lo : min(lo + (1 << 20), n - 1)], sym[lo + 1 : lo + 1 + (1 << 20)])
+        tree[width + lo : width + lo + rank.size] = np.where(rank >= 0, rank, none)
+    level = width // 2
+    while level:
+        np.minimum(tree[2 * level : 4 * level : 2], tree[2 * level + 1 : 4 * level : 2], out=tree[level : 2 * level])
+        level //= 2
+
+    def pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of symbols of places left and right, none where one is missing."""
+        rank = ranks(sym[left], sym[right])
+        return np.where((rank >= 0) & (left >= 0) & (right >= 0), rank, none).astype(np.int32)
+
+    while (rank := tree[1]) < none:
+        node = np.ones(1, dtype=np.int64)
+        while node[0] < width:
+            node = np.stack([2 * node, 2 * node + 1], 1).reshape(-1)
+            node = node[tree[node] == rank]
+        at = node - width
+        # of pairs that overlap every other one, from the left
+        chain = np.concatenate([[True], at[1:] != nxt[at[:-1]]])
+        first = np.flatnonzero(chain)
+        at = at[(np.arange(at.size) - np.repeat(first, np.diff(np.append(first, at.size)))) % 2 == 0]
+        while True:
+            gone = nxt[at].astype(np.int64)
+            after, before = nxt[gone].astype(np.int64), prv[at].astype(np.int64)
+            old, old_gone = sym[at].copy(), sym[gone].copy()
+            merged = ranks.merged[rank]
+            early = [ranks(np.where(before >= 0, sym[before], -1), np.full(at.size, merged)), ranks(np.full(at.size, merged), np.where(after >= 0, sym[after], -1))]
+            sym[at], sym[gone] = merged, -1
+            nxt[at] = after
+            prv[after[after >= 0]] = at[after >= 0]
+            before = prv[at].astype(np.int64)
+            left, right = pair(before, at), pair(at, after)
+            if at.size == 1 or not any(((e >= 0) & (e < rank)).any() for e in (*early, left, right)):
+                break
+            sym[at], sym[gone], nxt[at] = old, old_gone, gone
+            prv[after[after >= 0]] = gone[after >= 0]
+            at = at[:1]
+        tree[width + gone] = none
+        tree[width + at] = right
+        some = before >= 0
+        tree[width + before[some]] = left[some]
+        node = np.concatenate([gone, at, before[some]]) + width
+        while node[0] > 1:
+            node = np.unique(node >> 1)
+            tree[node] = np.minimum(tree[2 * node], tree[2 * node + 1])
+    return sym[sym >= 0]
+
+
 class Encoder:
     """A byte-level vocabulary read from a tokenizer's JSON file."""
 
@@ -229,11 +292,9 @@ class Encoder:
             hit = size > 0
             q, size = quote[hit], size[hit]
             start[q + 1] = False
-            start[q + 2] = np.where(size == 3, False, start[q + 2]) if m > 0 and (q + 2 < m).all() else start[np.minimum(q + 2, m - 1)]
-            end = q + size
-            ok = end < m
             # what follows inside the same run of letters is a token of its own
-            start[end[ok]] = True
+            end = q + size
+            start[end[end < m]] = True
         if inside is not None:
             start[inside] = False
             start[forced] = True
@@ -292,7 +353,11 @@ class Encoder:
         counts = np.zeros(start.size, dtype=np.int64)
         flat: list[tuple[np.ndarray, np.ndarray]] = []
         power = np.where(length <= 1, 1, 1 << np.ceil(np.log2(np.maximum(length, 1))).astype(np.int64))
-        for width in np.unique(power):
+        for k in np.flatnonzero(power > LONG):
+            out = merge_long(self.of_byte[buf[start[k] : end[k]]], self.ranks)
+            counts[k] = out.size
+            flat.append((np.array([k]), out))
+        for width in np.unique(power[power <= LONG]):
             group = np.flatnonzero(power == width)
             step = max(1, (1 << 15) // int(width))
             for lo in range(0, group.size, step):
