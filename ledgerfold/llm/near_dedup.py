@@ -8,11 +8,14 @@ the next step. Documents of a chunk step together, and those that are done drop
 Signatures are banded; documents that share a band are candidates, and candidates are linked if their full sets meet the threshold. With 32
 bands of 5 slots a pair at the threshold of 0.85 is missed once in 10^8.
 
-Equal sets are one node from the start. In a bucket not all pairs are compared but as many as the groups need: first every member
-with the bucket's hub; then, as long as a bucket has members of more than one group, the pairs of different groups, in blocks and
-without emitting those that fail. So a bucket of n copies costs n comparisons, and no link that joins two groups is lost.
+Equal sets are one node from the start, named by the least number of their rows. In a bucket not all pairs are compared but as many as the
+groups need: first every member with the bucket's hub; then, as long as a bucket has members of more than one group, members of different
+groups, without emitting pairs that fail. Such an open bucket of more than ``block`` members is first split by rare shingles: in any one order of
+all shingles, two sets that meet the threshold share one of their first ``n - ceil(n * percent / 100) + 1``, so members meet only under
+these, in an order that puts what many members have last. So a bucket of n copies costs n comparisons, and no link that joins two groups is lost.
 
-Groups are found by label hooking and pointer jumping on DataFrames; nothing but counts reaches the driver.
+Groups are found by alternating stars on DataFrames: each node hands its larger neighbours, and then its smaller ones, to the least of
+them, until all point to their group's least. Nothing but counts reaches the driver, and the ``COMMON`` most frequent shingles of open buckets, if there are large ones.
 
 Defined results: a document without words (or text) has an empty set and is alone; one with fewer words than a shingle has its whole sequence
 as the one element; rows that share a doc_id are linked; a null doc_id is alone and kept.
@@ -22,12 +25,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .textops import Texts, bounded_batches, chunks, map_arrow, mix, release, shared_checkpoint
 
 BITS = 48
+#: How many of the most frequent shingles of large open buckets are put last in the order; a bound of what reaches the driver, not of results.
+COMMON = 100_000
 _U = np.uint64
 
 
@@ -95,7 +100,7 @@ def digests(shingles: np.ndarray, offs: np.ndarray) -> pa.Array:
 
 
 def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, node (a digest of the set, null if it is empty) and a key for each band."""
+    """row (a number), doc_id, n_shingles, node (a digest of the set, null if it is empty) and a key for each band."""
     bounded_batches(docs.sparkSession)
 
     def run(batch: pa.RecordBatch):
@@ -117,17 +122,20 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                 "bands": pa.FixedSizeListArray.from_arrays(pa.array(key.reshape(-1).view(np.int64)), bands).cast(pa.list_(pa.int64())),
             }
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_shingles long, node binary, bands array<long>")
+    out = map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_shingles long, node binary, bands array<long>")
+    return out.withColumn("row", F.monotonically_increasing_id())
 
 
 def set_table(docs: DataFrame, size: int) -> DataFrame:
-    """node and shingles (packed) of each text."""
+    """node and shingles (packed) of each text, equal ones of a chunk once."""
 
     def run(batch: pa.RecordBatch):
         for raw in chunks(batch.column("text"), 1 << 20):
             h, offs = shingle_sets(raw.lower(), size)
-            packed = [h[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for a, b in zip(offs[:-1], offs[1:])]
-            yield {"node": digests(h, offs), "shingles": pa.array(packed, pa.binary())}
+            node = digests(h, offs)
+            first = {x: k for k, x in enumerate(node.to_pylist()) if x is not None}
+            packed = [h[offs[k] : offs[k + 1]].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for k in first.values()]
+            yield {"node": pa.array(list(first), pa.binary()), "shingles": pa.array(packed, pa.binary())}
 
     return map_arrow(docs.select("text"), run, "node binary, shingles binary")
 
@@ -148,64 +156,128 @@ def meets(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (a.size + b.size - both)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The rows of (a, b) whose sets meet the threshold."""
-    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
+class Forest:
+    """Union-find over the links that one task sees."""
 
-    def run(batch: pa.RecordBatch):
-        a, b = batch.column("sa"), batch.column("sb")
-        ok = [meets(unpacked(x.as_py()), unpacked(y.as_py()), percent) for x, y in zip(a, b)]
-        keep = pa.array(np.flatnonzero(ok))
-        yield {"a": batch.column("a").take(keep), "b": batch.column("b").take(keep)}
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (up := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(up, up)
+        return x
+
+    def join(self, a: int, b: int) -> None:
+        a, b = self.root(a), self.root(b)
+        self.up[max(a, b)] = min(a, b)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Rows of (a, b) whose sets meet the threshold; of those that a task has linked already, none.
+
+    The sets of a go to b, and not the other way, so that a hub's join is as large as its members' sets and AQE can split it."""
+    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
+    both = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb")
+
+    def run(batches):
+        forest, last, hub = Forest(), None, np.zeros(0, _U)
+        for batch in batches:
+            a, b = (batch.column(c).to_numpy() for c in "ab")
+            sa, sb, ok = batch.column("sa"), batch.column("sb"), []
+            for k in range(a.size):
+                x, y = int(a[k]), int(b[k])
+                if forest.root(x) == forest.root(y):
+                    continue
+                if y != last:
+                    last, hub = y, unpacked(sb[k].as_py())
+                if meets(unpacked(sa[k].as_py()), hub, percent):
+                    forest.join(x, y)
+                    ok.append(k)
+            yield pa.RecordBatch.from_pydict({"a": a[ok], "b": b[ok]})
+            del batch, sa, sb
+            release()
 
-    return map_arrow(both.select("a", "b", "sa", "sb"), run, "a binary, b binary")
+    return both.mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and label (the smallest node reachable) of all nodes of edges (a, b)."""
-    edges = shared_checkpoint(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label"))
-    labels = shared_checkpoint(labels)
+    """node and label (the smallest node reachable) of all nodes of edges (a, b), but for those that are their own label."""
+    cur = shared_checkpoint(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).where("v > m").distinct())
     while True:
-        # hook: the label of a node's neighbours is offered to the node's own label
-        near = edges.join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").groupBy("a").agg(F.min("lb").alias("low"))
-        seen = labels.join(near, labels["node"] == near["a"]).select("node", "label", F.least("label", "low").alias("low"))
-        hook = seen.groupBy("label").agg(F.min("low").alias("to"))
-        offered = seen.join(hook, "label").select("node", F.col("label").alias("old"), F.least("low", "to").alias("label"))
-        # jump: a label that is itself a node takes over that node's label
-        up = offered.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        jumped = offered.join(up, "label", "left").select("node", "old", F.least("label", F.coalesce("up", "label")).alias("label"))
-        jumped = shared_checkpoint(jumped)
-        labels = jumped.select("node", "label")
-        if jumped.where(F.col("old") != F.col("label")).isEmpty():
-            return labels
+        both = cur.selectExpr("v as u", "m as w").union(cur.selectExpr("m as u", "v as w"))
+        least = both.groupBy("u").agg(F.least("u", F.min("w")).alias("low"))
+        large = both.join(least, "u").where("w > u").selectExpr("w as v", "low as m", "low <> u as changed")
+        least = large.groupBy("v").agg(F.min("m").alias("low"))
+        small = large.join(least, "v").selectExpr("case when m = low then v else m end as v", "low as m", "changed or m <> low as changed")
+        seen = Observation()
+        cur = shared_checkpoint(small.observe(seen, F.count_if("changed").alias("n")).select("v", "m"))
+        if not seen.get["n"]:
+            return cur.distinct().selectExpr("v as node", "m as label")
 
 
 def open_buckets(named: DataFrame) -> DataFrame:
-    """The members (band, key, node, n_shingles, label) of buckets that hold several groups; of buckets with the same members only one."""
-    digest = F.sum(F.xxhash64("node").cast("decimal(20,0)"))
-    many = named.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high"), digest.alias("digest"), F.count(F.lit(1)).alias("n")).where("low <> high")
-    once = many.groupBy("digest", "n").agg(F.min(F.struct("band", "key")).alias("first")).select("first.band", "first.key")
-    return named.join(once, ["band", "key"])
+    """The members (band, key, id, n_shingles, label) and the size n of buckets that hold several groups; of buckets with the same members only one."""
+    many = named.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.bit_xor(F.xxhash64("id")).alias("digest"), F.sum(F.xxhash64("id", "label").bitwiseAND(0x7FFFFFFF)).alias("total"), F.count(F.lit(1)).alias("n")).where("low <> high")
+    once = many.groupBy("digest", "total", "n").agg(F.min(F.struct("band", "key")).alias("first")).select("first.band", "first.key", "n")
+    return named.drop("n").join(once, ["band", "key"])
+
+
+def frequent(members: DataFrame, n: int) -> np.ndarray:
+    """The n shingles that most members have, the most frequent first."""
+
+    def run(batch: pa.RecordBatch):
+        every = np.concatenate([np.zeros(0, _U), *(unpacked(x) for x in batch.column("shingles").to_pylist())])
+        x, count = np.unique(every, return_counts=True)
+        yield {"x": x.view(np.int64)[count > 0], "n": count.astype(np.int64)}
+
+    total = map_arrow(members.select("shingles"), run, "x long, n long").groupBy("x").agg(F.sum("n").alias("n")).where("n > 2")
+    rows = total.orderBy(F.desc("n"), "x").limit(n).toArrow()
+    return rows.column("x").to_numpy().astype(_U)
+
+
+def split_buckets(buckets: DataFrame, sets: DataFrame, percent: int, common: np.ndarray) -> DataFrame:
+    """Buckets cut into one for each shingle that stands among the first of a member in the order of rare ones before common ones."""
+    order = np.argsort(common)
+    sorted_, place = common[order], order
+
+    def run(batch: pa.RecordBatch):
+        out: list[list] = [[], []]
+        for k, raw in enumerate(batch.column("shingles").to_pylist()):
+            x = unpacked(raw)
+            size = x.size - -(-x.size * percent // 100) + 1
+            rank = x.copy()
+            if sorted_.size:
+                at = np.minimum(np.searchsorted(sorted_, x), sorted_.size - 1)
+                hit = sorted_[at] == x
+                rank[hit] = (_U(1) << _U(60)) + (common.size - place[at[hit]]).astype(_U)
+            first = np.argpartition(rank, size - 1)[:size] if size < x.size else np.arange(x.size)
+            out[0].append(x[first])
+            out[1].append(np.full(first.size, k))
+        who = pa.array(np.concatenate(out[1]) if out[1] else np.zeros(0, np.int64))
+        element = np.concatenate(out[0]).view(np.int64) if out[0] else np.zeros(0, np.int64)
+        yield {**{c: batch.column(c).take(who) for c in ("band", "key", "id", "n_shingles", "label")}, "element": element}
+
+    rows = map_arrow(buckets.select("band", "key", "id", "n_shingles", "label").join(sets, "id").select("band", "key", "id", "n_shingles", "label", "shingles"), run, "band int, key long, id long, n_shingles long, label long, element long")
+    return rows.select("band", F.xxhash64("key", "element").alias("key"), "id", "n_shingles", "label")
 
 
 def links_in_buckets(buckets: DataFrame, sets: DataFrame, percent: int, block: int = 1024, elements: int = 400_000) -> DataFrame:
-    """Links between members of different groups of the same bucket. buckets: band, key, node, n_shingles, label.
+    """Links (a, b) between labels of members of the same bucket. buckets: band, key, id, n_shingles, label.
 
     Members are cut into blocks of about block nodes and elements shingles; each pair of blocks is one group, which compares by an inverted index and
     gives one link for each pair of labels that it can join."""
     size = buckets.groupBy("band", "key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n_shingles") / elements)).cast("int").alias("blocks"))
-    cut = buckets.join(size, ["band", "key"]).withColumn("k", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    cut = buckets.join(size, ["band", "key"]).withColumn("k", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # block k meets the blocks from k on; each meeting is (i, j), i <= j
     meet = F.expr("transform(sequence(0, blocks - 1), o -> struct(least(k, o) as i, greatest(k, o) as j))")
-    wide = cut.withColumn("m", F.explode(meet)).select("band", "key", "m.i", "m.j", "k", "node", "label")
-    full = wide.join(sets, "node")
+    wide = cut.withColumn("m", F.explode(meet)).select("band", "key", "m.i", "m.j", "k", "id", "label")
+    full = wide.join(sets, "id")
 
     def compare(table):
-        table = table.sort_by("node")
+        table = table.sort_by("id")
         i = table.column("i")[0].as_py()
         j = table.column("j")[0].as_py()
-        node, label = table.column("node").to_pylist(), table.column("label").to_pylist()
+        label = table.column("label").to_numpy()
         k = table.column("k").to_numpy()
         items = [unpacked(x) for x in table.column("shingles").to_pylist()]
         size = np.array([x.size for x in items])
@@ -217,8 +289,7 @@ def links_in_buckets(buckets: DataFrame, sets: DataFrame, percent: int, block: i
         place = np.empty(order.size, dtype=np.int64)
         place[order] = np.arange(order.size)
         ends = np.cumsum(size)
-        group = np.unique(np.array(label, dtype=object), return_inverse=True)[1] if label else np.zeros(0, int)
-        group = group.copy()
+        group = label.copy()
         a_out, b_out = [], []
         for x in range(size.size):  # one member against all the others of the bucket that it may meet
             mine = place[ends[x] - size[x] : ends[x]]
@@ -231,42 +302,58 @@ def links_in_buckets(buckets: DataFrame, sets: DataFrame, percent: int, block: i
                 ok &= k != k[x]
             for y in np.flatnonzero(ok):
                 if group[y] != group[x]:
-                    a_out.append(node[x])
-                    b_out.append(node[y])
+                    a_out.append(label[x])
+                    b_out.append(label[y])
                     group[group == group[y]] = group[x]
         if every.size > 100_000:
             release()
-        return pa.table({"a": pa.array(a_out, pa.binary()), "b": pa.array(b_out, pa.binary())})
+        return pa.table({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
+
+    return full.groupBy("band", "key", "i", "j").applyInArrow(compare, "a long, b long")
 
-    return full.groupBy("band", "key", "i", "j").applyInArrow(compare, "a binary, b binary")
 
+def links_between_groups(named: DataFrame, sets: DataFrame, percent: int, block: int = 1024) -> DataFrame:
+    """Links (a, b) between labels that some bucket holds both of. named: band, key, id, n_shingles, label."""
+    opened = shared_checkpoint(open_buckets(named))
+    large = opened.where(F.col("n") > block)
+    todo = opened.where(F.col("n") <= block).drop("n")
+    if not large.isEmpty():
+        common = frequent(large.select("id").distinct().join(sets, "id"), COMMON)
+        todo = todo.unionByName(open_buckets(split_buckets(large, sets, percent, common)).drop("n"))
+    return links_in_buckets(todo, sets, percent, block)
 
-def near_dedup(docs: DataFrame, size: int = 3, percent: int = 85, bands: int = 32, rows: int = 5) -> DataFrame:
+
+def links_by_doc_id(filled: DataFrame, nodes: DataFrame) -> DataFrame | None:
+    """Links (a, b) between the nodes of rows that share a doc_id; None if no rows do."""
+    several = filled.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    if several.isEmpty():
+        return None
+    rows = filled.select("doc_id", "row", "node").join(several, "doc_id").join(nodes.select("node", "id"), "node", "left").select("doc_id", F.coalesce("id", "row").alias("id"))
+    return rows.join(rows.groupBy("doc_id").agg(F.min("id").alias("b")), "doc_id").where("id <> b").select(F.col("id").alias("a"), "b")
+
+
+def near_dedup(docs: DataFrame, size: int = 3, percent: int = 85, bands: int = 32, rows: int = 5, block: int = 1024) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     sig = shared_checkpoint(signatures(docs, size, bands, rows))
-    filled = sig.where("n_shingles > 0 and doc_id is not null")
-    banded = filled.dropDuplicates(["node"]).select("node", "n_shingles", F.posexplode("bands").alias("band", "key"))
-    hubs = banded.groupBy("band", "key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    named = sig.where("doc_id is not null")
+    nodes = shared_checkpoint(named.where("n_shingles > 0").groupBy("node").agg(F.min("row").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")))
+    banded = nodes.select("id", "n_shingles", F.posexplode("bands").alias("band", "key"))
+    hubs = banded.groupBy("band", "key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = shared_checkpoint(banded.join(hubs, ["band", "key"]))
-    pairs = shared.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    # whole texts of one row for each node that has a candidate
-    wanted = shared.select("node").distinct()
-    one = filled.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(wanted, "node")
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(one.select("doc_id").distinct(), "doc_id")
-    sets = shared_checkpoint(set_table(whole, size).join(wanted, "node", "left_semi").dropDuplicates(["node"]))
-    # rows that share a doc_id are linked without comparison
-    shared_id = filled.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b <> last").select("doc_id", "b")
-    same_doc = filled.join(shared_id, "doc_id").where("node <> b").select(F.col("node").alias("a"), "b")
-    links = shared_checkpoint(verified(pairs, sets, percent).unionByName(same_doc).distinct())
-    labels = components(links)
-    named = shared.where("n > 2").join(labels, "node", "left").select("band", "key", "node", "n_shingles", F.coalesce("label", "node").alias("label"))
-    more = shared_checkpoint(links_in_buckets(open_buckets(named), sets, percent).distinct())
-    if not more.isEmpty():
-        labels = components(links.union(more))
+    pairs = shared.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    wanted = nodes.select("node", "id").join(shared.select("id").distinct(), "id", "left_semi")
+    sets = shared_checkpoint(set_table(docs, size).groupBy("node").agg(F.first("shingles").alias("shingles")).join(wanted, "node").select("id", "shingles"))
+    links = verified(pairs, sets, percent)
+    shared_ids = links_by_doc_id(named, nodes)
+    labels = components(links if shared_ids is None else links.unionByName(shared_ids))
+    in_groups = shared.where("n > 2").join(labels.withColumnRenamed("node", "id"), "id", "left").select("band", "key", "id", "n_shingles", F.coalesce("label", "id").alias("label"))
+    more = shared_checkpoint(links_between_groups(in_groups, sets, percent, block))
     # rows back to groups
-    node_label = filled.select("doc_id", "node").join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
-    least = node_label.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of_doc = node_label.join(least, "label").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    out = sig.select("doc_id", "n_shingles").join(of_doc, "doc_id", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    out = named.select("row", "doc_id", "n_shingles", "node").join(nodes.select("node", "id"), "node", "left").select("doc_id", "n_shingles", F.coalesce("id", "row").alias("node"))
+    out = out.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("label", "node").alias("label"))
+    if not more.isEmpty():
+        joined = components(more).select(F.col("node").alias("label"), F.col("label").alias("top"))
+        out = out.join(joined, "label", "left").select("doc_id", "n_shingles", F.coalesce("top", "label").alias("label"))
+    out = out.join(out.groupBy("label").agg(F.min("doc_id").alias("component_id")), "label")
+    out = out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return out.unionByName(sig.where("doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))

@@ -164,9 +164,9 @@ def test_near_dedup(spark, size, percent):
 
 def test_near_dedup_of_shared_ids(spark):
     a, b = (" ".join(f"{c}{k}" for k in range(40)) for c in "ab")
-    rows = [(3, a), (5, a), (5, b), (7, b), (7, b), (None, a), (9, "one")]
+    rows = [(3, a), (5, a), (5, b), (7, b), (7, b), (5, None), (None, a), (None, ""), (9, "one")]
     got = sorted(((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_dedup(frame(spark, rows)).collect()), key=str)
-    assert got == sorted([(3, 3, True), (5, 3, False), (5, 3, False), (7, 3, False), (7, 3, False), (None, None, True), (9, 9, True)], key=str)
+    assert got == sorted([(3, 3, True), (5, 3, False), (5, 3, False), (5, 3, False), (7, 3, False), (7, 3, False), (None, None, True), (None, None, True), (9, 9, True)], key=str)
 
 
 def test_superminhash_estimates_similarity():
@@ -179,23 +179,42 @@ def test_superminhash_estimates_similarity():
     assert sorted((one[0] >> np.uint64(56)).tolist()) == list(range(200))
 
 
-def test_links_between_blocks_of_a_bucket(spark):
+@pytest.mark.parametrize("block", [1024, 10])
+def test_links_between_groups_of_a_bucket(spark, block):
+    """All in one bucket, in one block and split by rare shingles and into blocks."""
     rows = near_copies(9)[:72]
     docs = frame(spark, rows)
-    sig = near_dedup.signatures(docs, 3, 4, 2).select("doc_id", "node", "n_shingles")
-    sets = near_dedup.set_table(docs, 3)
-    one = sig.selectExpr("0 as band", "0L as key", "node", "n_shingles", "node as label")
-    links = near_dedup.links_in_buckets(one, sets, 85, block=10)
+    sig = near_dedup.signatures(docs, 3, 4, 2).select("doc_id", "node", "n_shingles").collect()
+    first = {}
+    for r in sorted(sig, key=lambda r: r.doc_id):
+        first.setdefault(bytes(r.node), r)
+    one = spark.createDataFrame([(0, 0, r.doc_id, r.n_shingles, r.doc_id) for r in first.values()], "band int, key long, id long, n_shingles long, label long")
+    ids = spark.createDataFrame([(bytearray(k), r.doc_id) for k, r in first.items()], "node binary, id long")
+    sets = near_dedup.set_table(docs, 3).join(ids, "node").select("id", "shingles").dropDuplicates(["id"])
+    links = near_dedup.links_between_groups(one, sets, 85, block)
     label = {r.node: r.label for r in near_dedup.components(links).collect()}
-    ids = {bytes(r.node): r.doc_id for r in sig.collect()}
-    got = {}
-    for node, root in label.items():
-        got.setdefault(bytes(root), set()).add(ids[bytes(node)])
-    want = {}
-    for i, (_, c, _) in groups_brute(rows, 3, 85).items():
-        want.setdefault(c, set()).add(i)
-    copies = {i for i, t in rows if sum(t == u for _, u in rows) > 1}
-    assert {frozenset(v - copies) for v in got.values()} - {frozenset()} == {frozenset(v - copies) for v in want.values() if len({dict(rows)[i] for i in v}) > 1} - {frozenset()}
+    want = {i: c for i, (_, c, _) in groups_brute(rows, 3, 85).items() if i in {r.doc_id for r in first.values()}}
+    assert {i: label.get(i, i) for i in want} == want
+
+
+def test_components(spark):
+    rng = random.Random(7)
+    chain = [(k, k + 1) for k in range(60)]
+    star = [(100, k) for k in rng.sample(range(101, 200), 40)]
+    wild = [(rng.randint(1000, 1400), rng.randint(1000, 1400)) for _ in range(220)]
+    edges = [e if rng.random() < 0.5 else e[::-1] for e in chain + star + wild + [(5, 5)]]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    got = {r.node: r.label for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in root if find(x) != x}
 
 
 def statistics_brute(text):
