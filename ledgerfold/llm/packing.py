@@ -6,11 +6,14 @@ the driver whatever the size of the corpus:
 
 1. lengths over ``capacity * small`` are sorted and divided into groups of equal cardinality; each is rounded up to the
    longest of its group, which leaves a few sizes;
-2. configurations of these sizes are optimised, largest size first: the fullest one by a subset-sum table is used as often as
-   the counts allow;
-3. actual lengths take the places of the rounded ones;
+2. configurations of these sizes are optimised as a linear program: column generation, with a knapsack table that finds the configuration of the
+   best value, until none improves; each is used as often as its share rounded down says;
+3. actual lengths take the places of the rounded ones, and the last place the longest that fits into what rounding left; what the rounding of shares
+   left over goes the same way, longest first;
 4. the small lengths go, longest first, where they fit best.
 
+This is done for a few numbers of groups and limits of small ones (``SETTINGS``), and the plan of the fewest sequences stands.
+
 The plan is a short table of runs: pieces ``rank_from`` to ``rank_to`` of a length go to as many consecutive sequences at
 one offset. Pieces are ranked within their length by a salted window (so a length that a third of all pieces have is ranked in parts)
 and look up their run.
@@ -22,7 +25,7 @@ come; an empty table gives an empty result.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable
 
 import numpy as np
@@ -48,36 +51,59 @@ def groups_of(hist: dict[int, int], n_groups: int) -> list[list[tuple[int, int]]
     return out if out[0] else []
 
 
-def fullest(sizes: np.ndarray, counts: np.ndarray, first: int, capacity: int) -> list[int]:
-    """Indexes into sizes of a configuration that holds size number ``first`` and fills the capacity best; large ones are preferred."""
-    room = capacity - int(sizes[first])
-    use = np.full(room + 1, -1, dtype=np.int64)  # the size added last to reach a sum
-    reach = np.zeros(room + 1, dtype=bool)
-    reach[0] = True
-    for k in range(len(sizes)):
-        s, left = int(sizes[k]), int(counts[k]) - (k == first)
-        if s > room or left <= 0:
-            continue
-        for _ in range(min(left, room // s)):
-            new = np.zeros_like(reach)
-            new[s:] = reach[:-s]
-            new &= ~reach
-            if not new.any():
-                break
-            use[new] = k
-            reach |= new
-        if reach[room]:
+def best_configuration(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The most value that fits into the capacity, and how often each size is taken for it."""
+    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    for room in range(int(sizes.min()), capacity + 1):
+        with_size = np.where(sizes <= room, best[np.maximum(room - sizes, 0)] + values, -1.0)
+        k = int(np.argmax(with_size))
+        best[room] = best[room - 1]
+        if with_size[k] > best[room] + 1e-12:
+            best[room], last[room] = with_size[k], k
+    column, room = np.zeros(sizes.size), capacity
+    while room > 0:
+        if last[room] < 0:
+            room -= 1
+        else:
+            column[last[room]] += 1
+            room -= int(sizes[last[room]])
+    return float(best[capacity]), column
+
+
+def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
+    """Configurations (places of sizes, largest size first) and how often each is used, by column generation; shares are rounded down."""
+    n = sizes.size
+    columns, inverse = np.diag(capacity // sizes).astype(float), np.diag(1.0 / (capacity // sizes))
+    share = inverse @ counts
+    for _ in range(40 * n):
+        value, column = best_configuration(inverse.sum(0), sizes, capacity)
+        if value <= 1 + 1e-7:
             break
-    at, chosen = int(np.flatnonzero(reach)[-1]), [first]
-    while at:
-        chosen.append(int(use[at]))
-        at -= int(sizes[use[at]])
-    return chosen
+        step = inverse @ column
+        ratio = np.divide(share, step, out=np.full(n, np.inf), where=step > 1e-9)
+        k = int(np.argmin(ratio))
+        columns[:, k] = column
+        share -= ratio[k] * step
+        share[k] = ratio[k]
+        row = inverse[k] / step[k]
+        inverse -= np.outer(step, row)
+        inverse[k] = row
+    return [(np.repeat(np.arange(n), columns[:, k].astype(int)).tolist(), int(share[k] + 1e-6)) for k in range(n)]
+
+
+#: Limits of small lengths, as shares of the capacity, and numbers of groups that are tried.
+SETTINGS = ((1 / 3, 32), (1 / 3, 16), (1 / 4, 16), (1 / 4, 8), (1 / 8, 8))
 
 
-def plan(hist: dict[int, int], capacity: int, small: float = 1 / 4, n_groups: int = 512) -> tuple[list[Run], int]:
-    """Runs for all pieces of the histogram, and the number of sequences."""
-    used = dict.fromkeys(hist, 0)
+def plan(hist: dict[int, int], capacity: int, settings: tuple[tuple[float, int], ...] = SETTINGS) -> tuple[list[Run], int]:
+    """Runs for all pieces of the histogram, and the number of sequences: the best of the settings."""
+    return min((plan_once(hist, capacity, *s) for s in settings), key=lambda x: x[1])
+
+
+def plan_once(hist: dict[int, int], capacity: int, small: float, n_groups: int) -> tuple[list[Run], int]:
+    left = {length: n for length, n in hist.items() if n}
+    used = dict.fromkeys(left, 0)
+    large = sorted(length for length in left if length > capacity * small)  # those of which some are left
     runs: list[Run] = []
     bins: list[tuple[int, int, int]] = []  # room left, first sequence, how many
     n_seq = 0
@@ -85,56 +111,59 @@ def plan(hist: dict[int, int], capacity: int, small: float = 1 / 4, n_groups: in
     def put(length: int, n: int, seq: int, offset: int) -> None:
         runs.append((length, used[length], used[length] + n, seq, offset))
         used[length] += n
+        left[length] -= n
+
+    def longest(limit: int, taken: list[int]) -> int:
+        """The longest large length within the limit of which more are left than taken; 0 if there is none."""
+        at = bisect_right(large, limit) - 1
+        while at >= 0 and left[large[at]] <= taken.count(large[at]):
+            at -= 1
+        return large[at] if at >= 0 else 0
 
-    def fill(lengths: list[int], n: int) -> None:
+    def fill(config: list[int], times: int) -> None:
+        """Sequences of actual lengths no longer than those of the configuration; the last place has what rounding left as well."""
         nonlocal n_seq
-        offset = 0
-        for length in lengths:
-            put(length, n, n_seq, offset)
-            offset += length
-        insort(bins, (capacity - offset, n_seq, n))
-        n_seq += n
-
-    large = groups_of({k: v for k, v in hist.items() if k > capacity * small}, n_groups)
-    sizes = np.array([g[0][0] for g in large], dtype=np.int64)
-    counts = np.array([sum(c for _, c in g) for g in large], dtype=np.int64)
-    queues = [[list(r) for r in g] for g in large]
-    for first in range(len(sizes)):
-        while counts[first] > 0:
-            config = fullest(sizes, counts, first, capacity)
-            need = np.bincount(config, minlength=len(sizes))
-            times = int((counts[need > 0] // need[need > 0]).min())
-            counts -= need * times
-            while times:  # substitute actual lengths, as many sequences at a time as have the same ones
-                heads, take = [], {}
-                for g in config:
-                    k = 0
-                    while take.get((g, k), 0) >= queues[g][k][1]:
-                        k += 1
-                    take[(g, k)] = take.get((g, k), 0) + 1
-                    heads.append(queues[g][k][0])
-                n = min(times, *(queues[g][k][1] // m for (g, k), m in take.items()))
-                fill(heads, n)
-                for (g, k), m in take.items():
-                    queues[g][k][1] -= n * m
-                for g in set(config):
-                    queues[g] = [r for r in queues[g] if r[1]]
-                times -= n
-    for length in sorted((k for k in hist if k <= capacity * small), reverse=True):
-        left = hist[length]
-        while left:
+        while times and large:
+            taken: list[int] = []
+            for size in config[:-1]:
+                if length := longest(min(size, capacity - sum(taken)), taken):
+                    taken.append(length)
+            while length := longest(capacity - sum(taken), taken):
+                taken.append(length)
+            n = min(times, *(left[x] // taken.count(x) for x in taken))
+            offset = 0
+            for length in taken:
+                put(length, n, n_seq, offset)
+                offset += length
+            for length in set(taken):
+                if not left[length]:
+                    large.remove(length)
+            insort(bins, (capacity - offset, n_seq, n))
+            n_seq += n
+            times -= n
+
+    groups = groups_of({k: left[k] for k in large}, n_groups)
+    sizes = np.array([g[0][0] for g in groups], dtype=np.int64)
+    counts = np.array([sum(c for _, c in g) for g in groups], dtype=float)
+    if groups:
+        found = [([int(sizes[g]) for g in config], times) for config, times in configurations(sizes, counts, capacity)]
+        for config, times in sorted(found, key=lambda x: -sum(x[0])):
+            fill(config, times)
+    while large:
+        fill([large[-1], 0], left[large[-1]])
+    for length in sorted(left, reverse=True):
+        while n := left[length]:
             at = bisect_left(bins, (length, -1, -1))
             if at == len(bins):
-                n = -(-left // (capacity // length))
-                bins.append((capacity, n_seq, n))
-                n_seq += n
-            room, seq, n = bins.pop(at)
-            q = min(n, left)
+                more = -(-n // (capacity // length))
+                bins.append((capacity, n_seq, more))
+                n_seq += more
+            room, seq, open_ = bins.pop(at)
+            q = min(open_, n)
             put(length, q, seq, capacity - room)
             insort(bins, (room - length, seq, q))
-            if q < n:
-                insort(bins, (room, seq + q, n - q))
-            left -= q
+            if q < open_:
+                insort(bins, (room, seq + q, open_ - q))
     return runs, n_seq
 
 

@@ -91,20 +91,38 @@ def held(runs, hist, capacity):
     return len(seqs)
 
 
+def best_fit(sizes, capacity):
+    bins = []
+    for s in sorted(sizes, reverse=True):
+        at = min((k for k, room in enumerate(bins) if room >= s), key=lambda k: bins[k], default=None)
+        if at is None:
+            bins.append(capacity - s)
+        else:
+            bins[at] -= s
+    return len(bins)
+
+
 def test_packing_plan():
     rng = np.random.default_rng(0)
-    for sizes in (rng.integers(1, 65, 3000), rng.integers(20, 40, 500), np.full(7, 64), np.full(50, 1), np.array([33] * 10 + [31] * 10), np.zeros(0, int)):
+    for sizes in (rng.integers(1, 65, 3000), rng.integers(20, 40, 500), np.full(7, 64), np.full(50, 1), np.array([33] * 10 + [31] * 10), rng.integers(22, 33, 700), np.zeros(0, int)):
         hist = {int(k): int(v) for k, v in zip(*np.unique(sizes, return_counts=True))}
         runs, n = packing.plan(hist, 64)
         assert held(runs, hist, 64) == n
-        bins = []
-        for s in sorted(sizes.tolist(), reverse=True):
-            at = min((k for k, room in enumerate(bins) if room >= s), key=lambda k: bins[k], default=None)
-            if at is None:
-                bins.append(64 - s)
-            else:
-                bins[at] -= s
-        assert n <= 1.03 * len(bins) + 1
+        assert n <= best_fit(sizes.tolist(), 64)
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_packing_of_the_tables_takes_no_more_sequences_than_best_fit(spark, folder):
+    docs = spark.read.parquet(f"/root/testdata/{folder}/documents.parquet")
+    hist = {r["length"]: r["count"] for r in packing.token_pieces(docs, tokenizer_path(), 1024, 2).groupBy("length").count().collect()}
+    runs, n = packing.plan(hist, 1024)
+    assert held(runs, hist, 1024) == n <= best_fit([k for k, v in hist.items() for _ in range(v)], 1024)
+
+
+def test_configurations_are_optimal():
+    sizes, counts = np.array([6, 5, 4]), np.array([10.0, 20.0, 10.0])
+    found = packing.configurations(sizes, counts, 10)  # 6 + 4 and 5 + 5 waste nothing
+    assert sorted((sorted(sizes[c].tolist()), n) for c, n in found if n) == [([4, 6], 10), ([5, 5], 10)]
 
 
 def library():
