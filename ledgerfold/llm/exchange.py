@@ -30,17 +30,23 @@ def n_groups(docs: DataFrame) -> int:
     return max(12, -(-total // GROUP_BYTES))
 
 
-def dealt(docs: DataFrame, groups: int) -> DataFrame:
+def dealt(docs: DataFrame, groups: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, the columns of keep as one (only if there are any) and the group q. Rows without a doc_id are dealt by text."""
     bounded_batches(docs.sparkSession)
-    key = F.coalesce(F.xxhash64("doc_id"), F.lit(0))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.pmod(key, F.lit(groups)).cast("int").alias("q"))
+    key = F.coalesce(F.xxhash64("doc_id"), F.xxhash64("text"))
+    rest = [F.struct(*keep).alias("keep")] if keep else []
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *rest, F.pmod(key, F.lit(groups)).cast("int").alias("q"))
+
+
+def result_schema(docs: DataFrame, keep: tuple[str, ...], columns: str) -> str:
+    return ", ".join([columns, *(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)])
 
 
 class Group:
-    """The documents of a group ordered by doc_id and text (nulls first); equal rows stand once, with the number of copies."""
+    """The documents of a group ordered by doc_id and text (nulls first); equal ones stand once."""
 
     def __init__(self, table: pa.Table):
-        table = table.select(["doc_id", "text"]).combine_chunks()
+        table = table.select([c for c in ("doc_id", "text", "keep") if c in table.column_names]).combine_chunks()
         order = pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("text", "ascending")], null_placement="at_start")
         table = table.take(order).combine_chunks()
         ids = table.column("doc_id").combine_chunks()
@@ -53,13 +59,22 @@ class Group:
             for k in near:
                 new[k + 1] = text[k + 1] != text[k]
         first = np.flatnonzero(new)
-        self.copies = np.diff(np.append(first, n))
+        self.rest = table.column("keep").combine_chunks() if "keep" in table.column_names else None
+        self.back = np.cumsum(new) - 1  # of each row, its place among the different ones
         self.ids, self.text = ids.take(pa.array(first)), text.take(pa.array(first))
         self.order = np.asarray(self.ids.fill_null(-(1 << 63)))
 
     def chunks(self):
         return chunks(self.text, 1 << 20)
 
+    def every_row(self, table: pa.Table) -> pa.Table:
+        """A table of the different rows, for all rows and with the columns that were kept."""
+        if self.back.size > len(table):
+            table = table.take(pa.array(self.back))
+        for k in range(self.rest.type.num_fields if self.rest is not None else 0):
+            table = table.append_column(self.rest.type.field(k).name, pc.struct_field(self.rest, k))
+        return table
+
 
 def planes(a: np.ndarray) -> bytes:
     """The bytes of an array, all lowest ones first: what varies little is compressed away."""

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textops import Texts, bounded_batches, chunks, map_arrow
+from .textops import Texts, bounded_batches, chunks, map_arrow, release
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 13
@@ -211,7 +211,10 @@ def fit(docs: DataFrame, per_language: int = 400) -> Hierarchy | None:
     key = lambda k: (langs[k], *(v[ends[k] : ends[k + 1]].astype(kind).tobytes() for v, kind in ((x.idx, ">i4"), (x.val, ">f4"))))
     order = np.array(sorted(range(langs.size), key=key))
     x = x.take(order)
-    return Hierarchy.fit(Sparse(x.ends, x.idx, x.val * np.float32(SCALE)), langs[order])
+    model = Hierarchy.fit(Sparse(x.ends, x.idx, x.val * np.float32(SCALE)), langs[order])
+    del rows, parts, x
+    release()
+    return model
 
 
 def predict(docs: DataFrame, model: Hierarchy | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -241,7 +244,8 @@ def predict(docs: DataFrame, model: Hierarchy | None, keep: tuple[str, ...] = ("
 
 
 def held_out(fold: int = 1, folds: int = 3):
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) == fold
+    """Whether a document is of the fold that is not learned from; a null doc_id is not."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
 
 
 def identify(docs: DataFrame, per_language: int = 400) -> DataFrame:

@@ -10,7 +10,7 @@ Three passes over one exchange of the texts: probes to the index, windows around
 The index keeps 24 bits of a block's hash beside the group of keys it went to: a false hit costs an extension and no more.
 
 Defined results: a null or blank text has no words; rows equal in doc_id and text count once and are all treated like the one; different
-texts under one doc_id are ordered by text; a null doc_id comes first.
+texts under one doc_id are ordered by text; a null doc_id comes first (of texts without one, that of the document group with the smallest number).
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .exchange import Group, answer, ask, bits, by_target, dealt, kept_bytes, n_groups, pack_docs, planes, told, unbits, unpack_docs, unplanes
+from .exchange import Group, answer, ask, bits, by_target, dealt, kept_bytes, n_groups, pack_docs, planes, result_schema, told, unbits, unpack_docs, unplanes
 from .textops import Texts
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
@@ -90,10 +90,10 @@ def _windows(g: Group, width: int, groups: int, got: dict):
     return h, low, owner, where, first, by_target((h[first] >> np.uint64(40)).astype(np.int64) % groups, groups)
 
 
-def dedup(docs: DataFrame, width: int = 20) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and kept_text of every row."""
+def dedup(docs: DataFrame, width: int = 20, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and kept_text of every row, and the columns of docs that keep names."""
     groups, block = n_groups(docs), width // 2
-    texts = dealt(docs, groups)
+    texts = dealt(docs, groups, keep)
 
     def probe(g: Group) -> list[tuple[int, bytes]]:
         h, _, first, _, count, on_grid, targets = _probes(g, block, groups)
@@ -158,14 +158,13 @@ def dedup(docs: DataFrame, width: int = 20) -> DataFrame:
                 cols["kept_text"].append(raw)
             cols["n_words"].append(np.diff(t.bounds))
             cols["n_removed"].append(np.diff(np.concatenate([[0], np.cumsum(~keep)])[t.bounds]))
-        back = np.repeat(np.arange(g.copies.size), g.copies)
         ints = lambda xs: pa.array(np.concatenate(xs).astype(np.int64) if xs else np.zeros(0, np.int64))
         table = pa.table({"doc_id": g.ids, "n_words": ints(cols["n_words"]), "n_removed": ints(cols["n_removed"]), "kept_sha256": pa.array(cols["kept_sha256"], pa.string()), "kept_text": pa.array(cols["kept_text"], pa.binary()).cast(pa.string())})
-        return table if (g.copies == 1).all() else table.take(pa.array(back))
+        return g.every_row(table)
 
     first_round = answer(ask(texts, probe), 1, lookup)
     second_round = answer(told(texts, first_round, extend, "q int, p int, kind int, payload binary"), 2, earliest)
-    return told(texts, first_round.unionByName(second_round), remove, RESULT)
+    return told(texts, first_round.unionByName(second_round), remove, result_schema(docs, keep, RESULT))
 
 
 def joined(t: Texts, keep: np.ndarray) -> list[bytes]:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 
 from . import induced_sort
 from .bpe import ramp
-from .exchange import Group, answer, ask, bits, by_target, dealt, kept_bytes, messages, n_groups, pack_docs, planes, told, unbits, unpack_docs, unplanes
+from .exchange import Group, answer, ask, bits, by_target, dealt, kept_bytes, messages, n_groups, pack_docs, planes, result_schema, told, unbits, unpack_docs, unplanes
 from .textops import Texts, loads, mix, span_hashes
 
 GRAM = 24
@@ -119,10 +119,10 @@ def sort_shard(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], length: i
     return repeat[np.repeat(ends - size - 1, windows) + ramp(windows)]
 
 
-def dedup(docs: DataFrame, length: int = 50) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept_text of every row."""
+def dedup(docs: DataFrame, length: int = 50, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept_text of every row, and the columns of docs that keep names."""
     groups = n_groups(docs)
-    texts = dealt(docs, groups)
+    texts = dealt(docs, groups, keep)
 
     def name(g: Group) -> list[tuple[int, bytes]]:
         x = Named(g, length, groups)
@@ -230,8 +230,8 @@ def dedup(docs: DataFrame, length: int = 50) -> DataFrame:
                 cols["kept_text"].append(raw.decode("utf-8", errors="ignore"))
         ints = lambda k: pa.array(np.concatenate(cols[k]).astype(np.int64) if cols[k] else np.zeros(0, np.int64))
         table = pa.table({"doc_id": g.ids, "n_bytes": ints("n_bytes"), "n_removed": ints("n_removed"), "n_spans": ints("n_spans"), "kept_sha256": pa.array(cols["kept_sha256"], pa.string()), "kept_text": pa.array(cols["kept_text"], pa.string())})
-        return table if (g.copies == 1).all() else table.take(pa.array(np.repeat(np.arange(g.copies.size), g.copies)))
+        return g.every_row(table)
 
     named = answer(ask(texts, name), 1, settle)
     sorted_ = answer(told(texts, named, send, "q int, p int, kind int, payload binary"), 2, shard)
-    return told(texts, named.unionByName(sorted_), remove, RESULT)
+    return told(texts, named.unionByName(sorted_), remove, result_schema(docs, keep, RESULT))

@@ -85,6 +85,16 @@ def test_dedup_of_repeated_rows_and_empty_tables(spark):
         assert fn(frame(spark, [])).count() == 0
 
 
+def test_dedup_carries_columns(spark):
+    rows = corpus(5, 20)
+    docs = spark.createDataFrame([(i, t, f"l{k}", k) for k, (i, t) in enumerate(rows + [rows[0], (None, rows[0][1]), (None, rows[0][1])])], "doc_id long, text string, keep string, q int")
+    for fn, brute in ((substring_dedup.dedup, substrings_brute), (suffix_dedup.dedup, suffix_brute)):
+        got = fn(docs, keep=("keep", "q")).collect()
+        want = brute(rows + [(-1, rows[0][1])])
+        assert sorted(r.q for r in got) == list(range(len(rows) + 3)) and all(r.keep == f"l{r.q}" for r in got)
+        assert {(r.doc_id, r.n_removed, r.kept_sha256) for r in got} == {(None if i < 0 else i, x[1], x[-1]) for i, x in want.items()}
+
+
 def test_induced_sort_orders_suffixes_and_counts_prefixes():
     rng = random.Random(5)
     for alphabet in (b"a", b"ab", bytes(range(256))):
