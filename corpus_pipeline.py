@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerfold.llm import language_id, near_dedup, packing, quality_rules, suffix_dedup
@@ -30,20 +30,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8) the document with the smallest doc_id stays."""
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) the document with the smallest doc_id stays. Rows of one doc_id are one
+    document, of which the smallest text stays (nulls first); rows without a doc_id stay."""
     gone = near_dedup.near_dedup(docs, size=5, percent=80, bands=40).where("not kept").select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti")
-    named = left.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(left.where("doc_id is null")).select(*COLUMNS)
+    several = left.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    if several.isEmpty():
+        return left.select(*COLUMNS)
+    order = Window.partitionBy("doc_id").orderBy("text", *COLUMNS[2:])
+    first = left.join(several, "doc_id", "left_semi").withColumn("r", F.row_number().over(order)).where("r = 1")
+    return left.join(several, "doc_id", "left_anti").select(*COLUMNS).unionByName(first.select(*COLUMNS))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 bytes or more that start in an earlier document are cut out; the document stays."""
-    cut = suffix_dedup.dedup(docs).select(F.col("doc_id").alias("cut_id"), F.col("kept_text").alias("text"))
-    rest = docs.select("doc_id", "lang", "source")
-    out = rest.where("doc_id is not null").join(cut, F.col("doc_id") == F.col("cut_id"))
-    unnamed = docs.where("doc_id is null").select("doc_id", "lang", "source", F.lit(None).cast("long").alias("cut_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return out.unionByName(unnamed).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    """Passages of 50 bytes or more that start in an earlier document are cut out; the document stays, with what is left of its text."""
+    cut = suffix_dedup.dedup(docs, keep=("lang", "source"))
+    return cut.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +54,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language), ("quality_rules", quality), ("near_dedup", near), ("suffix_dedup", substrings), ("packing", pack)]
 
-#: No SQL: learned classifiers and cutoffs, and byte-wise suffix matching, are beyond it; the tests hold each stage against brute force.
+#: No SQL: learned classifiers and cutoffs, and byte-wise suffix matching, are beyond it; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 
