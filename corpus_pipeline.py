@@ -34,7 +34,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     document, of which the smallest text stays (nulls first); rows without a doc_id stay."""
     gone = near_dedup.near_dedup(docs, size=5, percent=80, bands=40).where("not kept").select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti")
-    several = left.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    several = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
     if several.isEmpty():
         return left.select(*COLUMNS)
     order = Window.partitionBy("doc_id").orderBy("text", *COLUMNS[2:])
