@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json as js
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -28,48 +28,68 @@ def strip_prefix(pointer: Column, prefix: Column) -> Column:
     return F.when(F.startswith(pointer, F.concat(prefix, F.lit("/"))), F.substring(pointer, F.length(prefix) + 1, F.lit(1 << 30)))
 
 
-_STEP = """explode(case
-  when v is null then array(struct(path as path, v as v))
-  when schema_of_variant(v) like 'OBJECT%' then
-    transform(map_entries(cast(v as map<string, variant>)), e -> struct(concat(path, '/', replace(replace(e.key, '~', '~0'), '/', '~1')) as path, e.value as v))
-  when schema_of_variant(v) like 'ARRAY%' then
-    transform(cast(v as array<variant>), (x, i) -> struct(concat(path, '/', i) as path, x as v))
-  else array(struct(path as path, v as v)) end)"""
+def item(path: str, v: str = "cast(null as variant)", kind: str = "cast(null as string)", part: str = "c.part", arrays: str = "c.arrays", fresh: str = "false") -> str:
+    """SQL of a node of a document on its way to leaves. kind: leaf, null, object, array or reset (a fresh object, that replaces); null as long as
+    the node isn't taken apart. part: its place in the order of writes; arrays: the arrays it stands in; fresh: whether it replaces what it is written to."""
+    return f"named_struct('path', {path}, 'v', {v}, 'kind', {kind}, 'part', cast({part} as int), 'arrays', {arrays}, 'fresh', {fresh})"
+
+
+NO_ARRAYS = "cast(array() as array<string>)"
+_KEY = "concat(c.path, '/', replace(replace(e.key, '~', '~0'), '/', '~1'))"
+_APART = f"""case when c.kind is not null then array(c) else coalesce(
+  concat(array({item("c.path", kind="if(c.fresh, 'reset', 'object')")}), transform(map_entries(try_variant_get(c.v, '$', 'map<string,variant>')), e -> {item(_KEY, "e.value")})),
+  concat(array({item("c.path", kind="'array'")}), transform(try_variant_get(c.v, '$', 'array<variant>'), (x, i) -> {item("concat(c.path, '/', i)", "x", arrays="concat(c.arrays, array(c.path))")})),
+  array({item("c.path", "c.v", kind="if(c.v is null or is_variant_null(c.v), 'null', 'leaf')")})) end"""
 
 
 class _Number(str):
     """A number as it is written."""
 
 
-def deep_leaves(text: str | None) -> list[tuple[str, str]] | None:
-    """(pointer, JSON text) of the leaves of a JSON object or array, however deep."""
-    if text is None:
+def deep_items(nodes: list | None) -> list[tuple] | None:
+    """(path, leaf, kind, part, arrays) of all that (path, JSON text, part, arrays) nodes hold, however deep."""
+    if nodes is None:
         return None
-    out, todo = [], [("", js.loads(text, parse_int=_Number, parse_float=_Number))]
-    while todo:
-        path, x = todo.pop()
-        if isinstance(x, dict):
-            todo += [(f"{path}/{k.replace('~', '~0').replace('/', '~1')}", v) for k, v in x.items()]
-        elif isinstance(x, list):
-            todo += [(f"{path}/{i}", v) for i, v in enumerate(x)]
-        else:
-            # of a variant's numbers, only doubles end in .0
-            out.append((path, str(x) + "E0" * x.endswith(".0") if isinstance(x, _Number) else js.dumps(x)))
+    out = []
+    for path, text, part, arrays in nodes:
+        todo = [(path, js.loads(text, parse_int=_Number, parse_float=_Number), arrays)]
+        while todo:
+            path, x, arrays = todo.pop()
+            if isinstance(x, dict):
+                out.append((path, None, "object", part, arrays))
+                todo += [(f"{path}/{k.replace('~', '~0').replace('/', '~1')}", v, arrays) for k, v in x.items()]
+            elif isinstance(x, list):
+                out.append((path, None, "array", part, arrays))
+                todo += [(f"{path}/{i}", v, [*arrays, path]) for i, v in enumerate(x)]
+            else:
+                # of a variant's numbers, only doubles end in .0
+                leaf = str(x) + "E0" * x.endswith(".0") if isinstance(x, _Number) else js.dumps(x)
+                out.append((path, leaf, "null" if x is None else "leaf", part, arrays))
     return out
 
 
+_DEEP = "array<struct<path string, leaf string, kind string, part int, arrays array<string>>>"
+
+
+def taken_apart(df: DataFrame, start: str, keep: list[str], depth: int = 8) -> DataFrame:
+    """(keep..., path, value, kind, part, arrays): the items that start (SQL of an array of items) holds, at any depth, as rows.
+
+    The first ``depth`` levels are one expression of a row; what is deeper, if anything, goes through deep_items."""
+    for _ in range(depth):
+        start = f"flatten(transform({start}, c -> {_APART}))"
+    rows = df.select(*keep, F.expr(start).alias("__i"))
+    rest = F.expr("transform(filter(__i, c -> c.kind is null), c -> struct(c.path, to_json(c.v) as text, c.part, c.arrays))")
+    rows = rows.withColumn("__d", F.udf(lambda nodes: deep_items(nodes), _DEEP)(F.when(F.size(rest) > 0, rest)))
+    found = F.expr(f"explode(case when __d is null then __i else concat(filter(__i, c -> c.kind is not null), transform(__d, c -> {item('c.path', 'try_parse_json(c.leaf)', 'c.kind')})) end)")
+    return rows.select(*keep, found.alias("__x")).where("__x.path <> ''").select(*keep, "__x.path", F.expr("cast(__x.v as string)").alias("value"), "__x.kind", "__x.part", "__x.arrays")
+
+
 def flatten(df: DataFrame, json: str, keep: list[str], depth: int = 8) -> DataFrame:
     """(keep..., path, value, is_null): the leaves of a JSON text column, at any depth. Null leaves stay; a root scalar and empty objects or
-    arrays vanish. The first ``depth`` levels are taken apart by columns, nodes below by deep_leaves."""
-    cur = df.select(*keep, F.lit("").alias("path"), F.expr(f"try_parse_json({json})").alias("v"))
-    for _ in range(depth):
-        cur = cur.select(*keep, F.expr(_STEP).alias("x")).select(*keep, "x.path", "x.v")
-    nested = F.expr("case when schema_of_variant(v) like 'OBJECT%' or schema_of_variant(v) like 'ARRAY%' then to_json(v) end")
-    cur = cur.select(*keep, "path", "v", F.udf(lambda x: deep_leaves(x), "array<struct<path string, leaf string>>")(nested).alias("__deep"))
-    rest = F.expr("explode(case when __deep is null then array(struct(path, v)) else transform(__deep, d -> struct(concat(path, d.path) as path, try_parse_json(d.leaf) as v)) end)")
-    cur = cur.select(*keep, rest.alias("x")).select(*keep, "x.path", "x.v")
-    value = F.expr("cast(v as string)")
-    return cur.where(F.col("path") != "").select(*keep, "path", value.alias("value"), F.expr("v is null or schema_of_variant(v) = 'VOID'").alias("is_null"))
+    arrays vanish."""
+    root = f"array({item(chr(39) * 2, f'try_parse_json({json})', part='0', arrays=NO_ARRAYS)})"
+    rows = taken_apart(df, root, keep, depth).where("kind in ('leaf', 'null')")
+    return rows.select(*keep, "path", "value", (F.col("kind") == "null").alias("is_null"))
 
 
 def ancestors(pointer: Column) -> Column:
@@ -79,18 +99,23 @@ def ancestors(pointer: Column) -> Column:
 
 
 def last_writes(writes: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """Of rows (key..., path, value, op, order...) what stands after all of them in order; op is set, delete or reset (a node replaced).
+    """Of rows (key..., path, value, op, order...) what stands after all of them in order, with arrays (null if writes don't have it). op is set (a value), delete,
+    reset or array (a node replaced), or object (a node merged into: it replaces a value or an array, whose elements name it in arrays).
 
     A write replaces what stood at its path, above it (a scalar that has to become an object) and below it. Rows that stand
-    are found by two aggregations and one join on (key, path): no group is collected."""
-    latest = writes.groupBy(*key, "path").agg(F.max_by(F.struct("value", "op"), F.struct(*order)).alias("w"), F.max(F.struct(*order)).alias("ord"))
-    latest = latest.select(*key, "path", "w.value", "w.op", "ord")
+    are found by two aggregations and one join on (key, path): no group is collected. An element assigned to an array by its own path is not
+    known to be one."""
+    if "arrays" not in writes.columns:
+        writes = writes.withColumn("arrays", F.lit(None).cast("array<string>"))
+    at, merges = F.struct(*order), F.col("op") == "object"
+    latest = writes.groupBy(*key, "path").agg(F.max_by(F.struct("value", "op", "arrays"), at).alias("w"), F.max(at).alias("ord"), F.max(F.when(~merges, at)).alias("replaced"), F.max(F.when(merges, at)).alias("merged"))
+    latest = latest.select(*key, "path", "w.value", "w.op", "w.arrays", "ord", "replaced", "merged")
     deep = latest.where(F.instr(F.substring("path", 2, 1 << 30), "/") > 0)
-    below = deep.select(*key, F.col("path").alias("low"), F.col("ord").alias("low_ord"), F.explode(ancestors(F.col("path"))).alias("path"))
-    pairs = below.join(latest.select(*key, "path", "ord"), [*key, "path"])
-    dead_low = pairs.where(F.col("ord") > F.col("low_ord")).select(*key, F.col("low").alias("path"))
+    below = deep.select(*key, F.col("path").alias("low"), F.col("ord").alias("low_ord"), F.col("arrays").alias("low_arrays"), F.explode(ancestors(F.col("path"))).alias("path"))
+    pairs = below.join(latest.select(*key, "path", "ord", "replaced", "merged"), [*key, "path"])
+    dead_low = pairs.where((F.col("replaced") > F.col("low_ord")) | (F.array_contains("low_arrays", F.col("path")) & (F.col("merged") > F.col("low_ord")))).select(*key, F.col("low").alias("path"))
     dead_high = pairs.where(F.col("low_ord") > F.col("ord")).select(*key, "path")
-    return latest.where("op = 'set'").join(dead_low.unionByName(dead_high).distinct(), [*key, "path"], "left_anti").select(*key, "path", "value")
+    return latest.where("op = 'set'").join(dead_low.unionByName(dead_high).distinct(), [*key, "path"], "left_anti").select(*key, "path", "value", "arrays")
 
 
 def shallow(path: Column) -> Column:
@@ -99,7 +124,7 @@ def shallow(path: Column) -> Column:
 
 
 def shallow_merge(writes: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """Last writer wins for each first segment as a whole; nulls are stored."""
-    top = writes.withColumn("top", shallow(F.col("path")))
-    last = F.max(F.struct(*order)).over(Window.partitionBy(*key, "top"))
-    return top.withColumn("last", last).where(F.struct(*order) == F.col("last")).select(*key, "path", "value")
+    """Last writer wins for each first segment as a whole; nulls are stored. Rows of one order are one write."""
+    top = writes.withColumn("top", shallow(F.col("path"))).withColumn("ord", F.struct(*order))
+    last = top.groupBy(*key, "top").agg(F.max("ord").alias("ord"))
+    return top.where("op = 'set'").join(last, [*key, "top", "ord"]).select(*key, "path", "value")

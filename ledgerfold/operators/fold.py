@@ -16,25 +16,22 @@ ORDER = ["sequence", "part"]
 
 
 def upcast(log: DataFrame) -> DataFrame:
-    """Old and new events as one kind of row, a write: aggregate_id, sequence, part, path, value, op. Data of JourneyModified is a merge
-    patch (a null deletes), AttributesSet assigns (a null is a value); plaintext only, secrets never enter shared state."""
+    """Old and new events as one kind of row, a write: aggregate_id, sequence, part, path, value, op, arrays. Data of JourneyModified is a merge
+    patch (a null outside arrays deletes, an array replaces), AttributesSet assigns (a null is a value, an object replaces), one path after the other; plaintext
+    only, secrets never enter shared state."""
     few = log.where(F.col("event_type").isin("JourneyModified", "AttributesSet"))
-    data = few.select("aggregate_id", "sequence", "event_type", F.expr("case event_type when 'JourneyModified' then get_json_object(payload, '$.Modified.data') else get_json_object(payload, '$.AttributesSet.plaintext') end").alias("data"))
-    patch = paths.flatten(data.where("event_type = 'JourneyModified'"), "data", ["aggregate_id", "sequence"])
-    patch = patch.select("aggregate_id", "sequence", F.lit(0).alias("part"), "path", "value", F.when(F.col("is_null"), "delete").otherwise("set").alias("op"))
-    # keys of an assignment are pointers themselves
-    item = F.explode(F.expr("map_entries(cast(try_parse_json(data) as map<string, variant>))")).alias("e")
-    assigned = data.where("event_type = 'AttributesSet'").select("aggregate_id", "sequence", item).select("aggregate_id", "sequence", F.col("e.key").alias("root"), F.expr("to_json(e.value)").alias("value"))
-    node = F.expr("value like '{%' or value like '[%'")
-    scalar = assigned.where(~node | F.col("value").isNull()).select("aggregate_id", "sequence", F.lit(0).alias("part"), F.col("root").alias("path"), F.expr("cast(try_parse_json(value) as string)").alias("value"), F.lit("set").alias("op"))
-    nodes = assigned.where(node)
-    reset = nodes.select("aggregate_id", "sequence", F.lit(0).alias("part"), F.col("root").alias("path"), F.lit(None).cast("string").alias("value"), F.lit("reset").alias("op"))
-    below = paths.flatten(nodes, "value", ["aggregate_id", "sequence", "root"]).select("aggregate_id", "sequence", F.lit(1).alias("part"), F.concat("root", "path").alias("path"), "value", F.lit("set").alias("op"))
-    return patch.unionByName(scalar).unionByName(reset).unionByName(below)
+    data = few.select("aggregate_id", "sequence", "event_type", F.expr("try_parse_json(payload)").alias("doc"))
+    patch = paths.item("''", "try_variant_get(doc, '$.Modified.data', 'variant')", part="0", arrays=paths.NO_ARRAYS)
+    assigned = paths.item("e.key", "e.value", part="i", arrays=paths.NO_ARRAYS, fresh="true")  # keys of an assignment are pointers themselves
+    start = f"""case event_type when 'JourneyModified' then array({patch})
+        else transform(map_entries(try_variant_get(doc, '$.AttributesSet.plaintext', 'map<string,variant>')), (e, i) -> {assigned}) end"""
+    rows = paths.taken_apart(data, start, ["aggregate_id", "sequence", "event_type"])
+    op = F.when(F.col("kind") == "leaf", "set").when(F.col("kind") == "null", F.when((F.col("event_type") == "JourneyModified") & (F.size("arrays") == 0), "delete").otherwise("set")).otherwise(F.col("kind"))
+    return rows.select("aggregate_id", "sequence", "part", "path", "value", op.alias("op"), "arrays")
 
 
 def fold_bag(log: DataFrame) -> DataFrame:
-    """aggregate_id, path, value: the shared data of every journey."""
+    """aggregate_id, path, value, arrays (those that the path stands in): the shared data of every journey."""
     return paths.last_writes(upcast(log), ["aggregate_id"], ORDER)
 
 
@@ -83,7 +80,7 @@ def snapshot(log: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def resume(last: DataFrame, bag: DataFrame, tail: DataFrame) -> DataFrame:
     """The bag after a tail of events: snapshot and tail together equal a full replay."""
-    stored = bag.join(last, "aggregate_id").select("aggregate_id", F.col("last_sequence").alias("sequence"), F.lit(0).alias("part"), "path", "value", F.lit("set").alias("op"))
+    stored = bag.join(last, "aggregate_id").select("aggregate_id", F.col("last_sequence").alias("sequence"), F.lit(0).alias("part"), "path", "value", F.lit("set").alias("op"), "arrays")
     return paths.last_writes(stored.unionByName(upcast(tail)), ["aggregate_id"], ORDER)
 
 

@@ -11,6 +11,8 @@ e AS (SELECT *, CASE WHEN sequence = 1 THEN 'JourneyOpened' WHEN src = 'signup'
 W = f"""{E}, w AS (
   SELECT aggregate_id, sequence, event_type, '/profile/k' AS path, CAST(k AS DOUBLE) AS value, false AS del FROM e WHERE event_type = 'JourneyModified'
   UNION ALL SELECT aggregate_id, sequence, event_type, '/profile/v', value, k % 10 = 0 FROM e WHERE event_type = 'JourneyModified'
+  UNION ALL SELECT aggregate_id, sequence, event_type, '/profile/tags/x', CAST(k AS DOUBLE), k % 7 <> 0 FROM e WHERE event_type = 'JourneyModified'
+  UNION ALL SELECT aggregate_id, sequence, event_type, '/profile/tags/' || i, CAST(k + i AS DOUBLE), k % 7 = 0 OR i >= k % 3 FROM e, (VALUES (0), (1)) AS t(i) WHERE event_type = 'JourneyModified'
   UNION ALL SELECT aggregate_id, sequence, event_type, '/search/k', CAST(k AS DOUBLE), false FROM e WHERE event_type = 'AttributesSet' AND src = 'click'
   UNION ALL SELECT aggregate_id, sequence, event_type, '/booking/value', value, false FROM e WHERE event_type = 'AttributesSet' AND src = 'click'
   UNION ALL SELECT aggregate_id, sequence, event_type, '/booking/last/amount', value, false FROM e WHERE event_type = 'AttributesSet' AND src = 'purchase')"""
@@ -193,7 +195,9 @@ ORACLE_SQL: dict[str, str] = {
     "F11_state_history": f"""WITH {E} SELECT aggregate_id, sequence, CASE WHEN event_type = 'JourneyClosed' THEN 'Complete' ELSE 'InProgress' END AS state,
   last_value(CASE WHEN event_type = 'StepProgressed' THEN 'step_' || (k % 7) END IGNORE NULLS) OVER p AS current_step, last_value(CASE WHEN event_type = 'WorkflowEvaluated' THEN ph END IGNORE NULLS) OVER p AS phase,
   ts AS valid_from, lead(ts) OVER (PARTITION BY aggregate_id ORDER BY sequence) AS valid_to FROM e WINDOW p AS (PARTITION BY aggregate_id ORDER BY sequence ROWS UNBOUNDED PRECEDING)""",
-    "F12_upcast_legacy_events": f"WITH {W} SELECT path, CASE WHEN del THEN 'delete' ELSE 'set' END AS op, count(*) AS n FROM w GROUP BY ALL",
+    "F12_upcast_legacy_events": f"""WITH {W}, u AS (SELECT path, CASE WHEN del THEN 'delete' ELSE 'set' END AS op FROM w WHERE NOT (del AND path LIKE '/profile/tags/%')
+  UNION ALL SELECT '/profile', 'object' FROM e WHERE event_type = 'JourneyModified' UNION ALL SELECT '/profile/tags', CASE WHEN k % 7 = 0 THEN 'object' ELSE 'array' END FROM e WHERE event_type = 'JourneyModified')
+  SELECT path, op, count(*) AS n FROM u GROUP BY ALL""",
     "R4_decision_table_first": f"WITH {T} SELECT cabin, multiplier, discount, count(*) AS n FROM t1 GROUP BY ALL",
     "R6_switch_node": f"WITH {X} SELECT error_type, branch, count(*) AS n FROM y GROUP BY ALL",
     "R9_journey_phase": f"""WITH {S}, ph AS (SELECT aggregate_id, {PHASE} AS r FROM sb) SELECT aggregate_id, ['booking_confirmed','collecting_search','selecting_outbound','selecting_return','collecting_passengers','collecting_payment'][r] AS phase,

@@ -122,7 +122,7 @@ def J3_merge_patch(spark, d):
 @query
 def J4_shallow_merge(spark, d):
     writes = fold.upcast(_e(spark, d).where("event_type = 'AttributesSet'"))
-    return paths.shallow_merge(writes, ["aggregate_id"], fold.ORDER).select("aggregate_id", "path", F.round(F.col("value").cast("double"), 4).alias("value"))
+    return paths.shallow_merge(writes, ["aggregate_id"], ["sequence"]).select("aggregate_id", "path", F.round(F.col("value").cast("double"), 4).alias("value"))
 
 
 @query

@@ -24,7 +24,8 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         when event_type = 'view' then 'WorkflowEvaluated' when event_type = 'error' then 'StepProgressed' when sequence = n then 'JourneyClosed' else 'AttributesSet' end""")
     payload = F.expr("""case
         when sequence = 1 then to_json(struct(struct(aggregate_id as id) as Started))
-        when event_type = 'signup' then to_json(struct(struct('profile' as step, struct(struct(k as k, case when k % 10 <> 0 then value end as v) as profile) as data) as Modified), map('ignoreNullFields', 'false'))
+        when event_type = 'signup' then concat('{"Modified":{"step":"profile","data":{"profile":{"k":', k, ',"v":', coalesce(cast(case when k % 10 <> 0 then value end as string), 'null'), ',"tags":',
+            case when k % 7 = 0 then concat('{"x":', k, '}') else to_json(filter(array(k, k + 1), (x, i) -> i < k % 3)) end, '}}}}')
         when event_type = 'click' then to_json(struct(struct(struct(k as `/search/k`, value as `/booking/value`) as plaintext, array() as secret_partitions) as AttributesSet))
         when event_type = 'view' then to_json(struct(struct(array(concat('a', k % 5)) as suggested_actions, case when k % 11 <> 0 then concat('phase_', k % 6) end as phase) as WorkflowEvaluated))
         when event_type = 'error' then to_json(struct(struct(concat('step_', k % 7) as to_step) as StepProgressed))

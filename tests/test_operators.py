@@ -5,7 +5,7 @@ import hmac
 import json
 
 import pytest
-from hypothesis import HealthCheck, given, settings
+from hypothesis import HealthCheck, Phase, given, settings
 from hypothesis import strategies as hs
 from ledgerfold.functions import paths
 from ledgerfold.operators import admit, classify, fold, keys, pii, rules, validate, views
@@ -106,6 +106,58 @@ def test_fold_of_objects_and_nulls(spark):
     assert [tuple(r) for r in event_log.sequence_gaps(log.where("sequence <> 3")).collect()] == [("a", 4, "gap")]
 
 
+def merge_patch(target, patch):
+    """RFC 7396."""
+    if not isinstance(patch, dict):
+        return patch
+    target = dict(target) if isinstance(target, dict) else {}
+    for k, v in patch.items():
+        if v is None:
+            target.pop(k, None)
+        else:
+            target[k] = merge_patch(target.get(k), v)
+    return target
+
+
+KEYS = hs.sampled_from(["x", "y", "0", "a/b"])
+PATCHES = hs.dictionaries(KEYS, hs.recursive(hs.none() | hs.integers(0, 9), lambda c: hs.lists(c, max_size=3) | hs.dictionaries(KEYS, c, max_size=3), max_leaves=6), max_size=3)
+
+
+@settings(max_examples=3, deadline=None, suppress_health_check=list(HealthCheck), phases=[Phase.explicit, Phase.generate], derandomize=True)
+@given(hs.lists(hs.lists(PATCHES, min_size=1, max_size=5), min_size=20, max_size=40), hs.integers(1, 4))
+def test_merge_patches_of_arrays_and_empty_nodes(spark, journeys, cut):
+    """A journey of patches each, replayed whole and from a snapshot."""
+    rows = [(f"j{j}", n + 1, "JourneyModified", json.dumps({"Modified": {"step": "s", "data": d}})) for j, docs in enumerate(journeys) for n, d in enumerate(docs)]
+    want = set()
+    for j, docs in enumerate(journeys):
+        state = {}
+        for d in docs:
+            state = merge_patch(state, d)
+        want |= {(f"j{j}", p, None if v is None else str(v)) for p, v in flat(state)}
+    log = log_of(spark, rows)
+    assert {(r.aggregate_id, r.path, r.value) for r in fold.fold_bag(log).collect()} == want
+    last, bag = fold.snapshot(log.where(F.col("sequence") <= cut))
+    assert {(r.aggregate_id, r.path, r.value) for r in fold.resume(last, bag, log.where(F.col("sequence") > cut)).collect()} == want
+
+
+def test_patches_and_assignments_replace_each_other(spark):
+    cases = {
+        "array over array": (['{"x":[1,2,3]}', '{"x":[9]}'], {"/x/0": "9"}),
+        "empty array": (['{"x":[1,2]}', '{"x":[]}'], {}),
+        "empty object over a scalar": (['{"x":1,"y":2}', '{"x":{}}'], {"/y": "2"}),
+        "object over an array": (['{"x":[1,2]}', '{"x":{"k":3}}'], {"/x/k": "3"}),
+        "object over an object": (['{"x":{"0":1}}', '{"x":{"k":3}}'], {"/x/0": "1", "/x/k": "3"}),
+    }
+    rows = [(name, n + 1, "JourneyModified", f'{{"Modified":{{"step":"s","data":{d}}}}}') for name, (docs, _) in cases.items() for n, d in enumerate(docs)]
+    assign = lambda n, d: ("assigned", n, "AttributesSet", f'{{"AttributesSet":{{"plaintext":{d}}}}}')
+    rows += [assign(1, '{"/a":{"b":[1,2],"c":1},"/a/c":2}'), assign(2, '{"/a/b":[3]}'), assign(3, '{"/d/e/f":{}}'), assign(4, '{"/d/e":null}')]
+    cases["assigned"] = (None, {"/a/b/0": "3", "/a/c": "2", "/d/e": None})
+    got = {}
+    for r in fold.fold_bag(log_of(spark, rows)).collect():
+        got.setdefault(r.aggregate_id, {})[r.path] = r.value
+    assert got == {name: want for name, (_, want) in cases.items() if want}
+
+
 def test_classification_order(spark):
     schema = classify.AttributeSchema.load({"plaintext_prefixes": ["search"], "namespace_patterns": {"persons": {"plaintext": ["kind", "both"], "secret": ["name", "both"]}}, "exact": {"/search/code": "secret"}})
     cases = {"/search/a": "plaintext", "/search/code": "secret", "/persons/p/name": "secret", "/persons/p/both": "plaintext", "/persons/p/name/x": "unknown", "/persons/p": "unknown", "/other": "unknown"}
