@@ -24,7 +24,7 @@ try:
 except (OSError, AttributeError):  # another C library
     _LIBC = None
 PAD = 64
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 1 << 20
 LONG_WORD = 512
 _U = np.uint64
 _K1, _K2, _K3 = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)
@@ -175,7 +175,7 @@ def binaries(data: np.ndarray, offs: np.ndarray) -> pa.Array:
 def bounded_batches(spark) -> None:
     """Keeps the rows of one Arrow batch within a worker's memory however long texts are."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def shared_folder(spark: SparkSession) -> str:
