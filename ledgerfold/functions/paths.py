@@ -92,6 +92,15 @@ def flatten(df: DataFrame, json: str, keep: list[str], depth: int = 8) -> DataFr
     return rows.select(*keep, "path", "value", (F.col("kind") == "null").alias("is_null"))
 
 
+def normalize_changes(commands: DataFrame, json: str, keep: list[str]) -> DataFrame:
+    """(keep..., path, value) of the bodies of SetAttributes commands: {"changes": {pointer: value}} as it is, anything else as the nested form of it. A body is
+    canonical if changes is its only key."""
+    c = commands.withColumn("__c", F.coalesce(F.expr(f"map_keys(try_variant_get(try_parse_json({json}), '$', 'map<string,variant>')) = array('changes')"), F.lit(False)))
+    nested = flatten(c.where(~F.col("__c")), json, keep).select(*keep, "path", "value")
+    item = F.explode(F.expr(f"try_variant_get(try_parse_json({json}), '$.changes', 'map<string,variant>')"))
+    return nested.unionByName(c.where("__c").select(*keep, item.alias("path", "__v")).select(*keep, "path", F.expr("cast(__v as string)").alias("value")))
+
+
 def ancestors(pointer: Column) -> Column:
     """The pointers strictly above, the root left out."""
     parts = F.split(F.substring(pointer, 2, 1 << 30), "/")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .classify import AttributeSchema
+from .classify import AttributeSchema, classify_changes, rejections
 
 
 def admit(commands: DataFrame, schema: AttributeSchema) -> DataFrame:
@@ -42,6 +42,21 @@ def admit(commands: DataFrame, schema: AttributeSchema) -> DataFrame:
     return c.withColumn("from_step", F.last(moved, ignorenulls=True).over(before))
 
 
+def admit_change_sets(commands: DataFrame, schema: AttributeSchema) -> DataFrame:
+    """SetAttributes commands with error, unknown_paths (all of them, sorted) and unbound_ref (of the first secret in path order whose slot no accepted capture has
+    bound before). commands has changes, an array of (path, value), beside the columns of admit; the guards come first, then an empty set, unknown paths and unbound secrets."""
+    key = ["aggregate_id", "sequence"]
+    c = admit(commands.drop("changes"), schema)
+    slots = c.where("command = 'CapturePerson' and started and not completed").select("aggregate_id", "person_ref", "subject_id", F.col("sequence").alias("captured_at"))
+    sets = commands.where("command = 'SetAttributes'").select(*key, F.size("changes").alias("n"))
+    changes = commands.where("command = 'SetAttributes'").select(*key, F.explode("changes").alias("x")).select(*key, "x.path", "x.value")
+    refused = rejections(classify_changes(changes, slots, schema)).withColumnRenamed("error", "refusal")
+    out = c.where("command = 'SetAttributes'").select(*key, "started", "completed").join(sets, key).join(refused, key, "left")
+    error = F.when(~F.col("started"), "NotFound").when(F.col("completed"), "AlreadyCompleted").when(F.coalesce("n", F.lit(0)) < 1, "InvalidData").otherwise(F.col("refusal"))
+    out = out.withColumn("error", error)
+    return out.select(*key, "error", F.when(F.col("error") == "UnknownAttributePath", F.col("unknown_paths")).alias("unknown_paths"), F.when(F.col("error") == "PersonNotFound", F.col("unbound_ref")).alias("unbound_ref"))
+
+
 def emitted(admitted: DataFrame) -> DataFrame:
     """The events of accepted commands: aggregate_id, sequence (of the command), n (place among its events), event_type, person_ref, subject_id."""
     name = lambda *types: F.array(*[F.lit(t) for t in types])

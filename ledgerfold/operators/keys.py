@@ -41,7 +41,7 @@ def rewrap(keys: DataFrame, current: str, master: dict[str, str]) -> DataFrame:
     opened = unwrap(keys, master).withColumn("own", F.col("kek_id"))
     todo = (F.col("own") != current) & (F.col("status") == "unwrapped")
     new_master = masters(keys, {current: master[current]}).withColumnRenamed("kek_id", "current")
-    out = opened.crossJoin(new_master)  # one row
+    out = opened.withColumn("current", F.lit(current)).join(new_master, "current")
     sealed = F.expr("aes_encrypt(data_key, master, 'GCM', 'DEFAULT', '', key_id)")
     status = F.when(F.col("own") == current, "already_current").when(F.col("status") == "unwrapped", "rewrapped").otherwise(F.col("status"))
     return out.select("subject_id", "key_id", F.when(todo, F.lit(current)).otherwise(F.col("own")).alias("kek_id"), F.when(todo, sealed).otherwise(F.col("wrapped_key")).alias("wrapped_key"), F.col("own").alias("old_kek_id"), status.alias("status"))
@@ -76,6 +76,20 @@ def shred(keys: DataFrame, requests: DataFrame) -> DataFrame:
     return keys.join(requests.select("subject_id").distinct(), "subject_id", "left_anti")
 
 
+def erase(log: DataFrame, keys: DataFrame, index: DataFrame, requests: DataFrame, journeys: DataFrame) -> dict[str, DataFrame]:
+    """All that an erasure of subjects changes: keys and lookup without them, and the SubjectForgotten events to append, one for each journey that knows the
+    subject (journeys: subject_id, aggregate_id) and hasn't forgotten it, numbered on from its last event. Write keys and lookup first: without events the
+    data is gone all the same, and a second run appends what is missing and nothing twice."""
+    wanted = requests.select("subject_id").where("subject_id is not null").distinct()
+    known = journeys.join(wanted, "subject_id", "left_semi").select("aggregate_id", "subject_id").distinct()
+    done = log.where("event_type = 'SubjectForgotten'").select("aggregate_id", "subject_id")
+    todo = known.join(done, ["aggregate_id", "subject_id"], "left_anti")
+    last = log.join(todo.select("aggregate_id").distinct(), "aggregate_id", "left_semi").groupBy("aggregate_id").agg(F.max("sequence").alias("last"))
+    place = F.row_number().over(Window.partitionBy("aggregate_id").orderBy("subject_id"))  # the subjects of one journey
+    events = todo.join(last, "aggregate_id").select("aggregate_id", (F.col("last") + place).alias("sequence"), F.lit("SubjectForgotten").alias("event_type"), "subject_id")
+    return {"keys": shred(keys, wanted), "lookup": index.join(wanted, "subject_id", "left_anti"), "events": events}
+
+
 def purge_old_versions(spark, root: str, keep: str) -> list[str]:
     """Deletes all versions of a key table below root but one, on whatever file system holds it; returns what went. Snapshots and backups of the store are out of reach."""
     path = spark._jvm.org.apache.hadoop.fs.Path(root)

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +27,7 @@ def _is(kind: str, schema: Column) -> Column:
     return schema == _KINDS[kind]
 
 
-def compile_schema(schema: dict, column: str = "doc", defs: dict | None = None) -> Column:
+def compile_schema(schema: dict, column: str = "doc", defs: dict | None = None, at: str = "") -> Column:
     """An array of "path keyword" for all that is wrong with the variant column: type, properties, required, enum, minimum, maximum, minLength,
     items, anyOf, oneOf, $ref and additionalProperties (false); other keywords are annotations."""
     defs = defs or schema.get("$defs", {})
@@ -71,14 +74,74 @@ def compile_schema(schema: dict, column: str = "doc", defs: dict | None = None)
                 out.append(fail(good < 1 if least is None else good != 1, word))
         return F.concat(*out) if out else F.array().cast("array<string>")
 
-    return check(schema, F.col(column), F.lit(""), 0)
+    return check(schema, F.col(column), F.lit(at), 0)
+
+
+@dataclass
+class _Node:
+    """A node of the schema that every document is asked for by name: its schema, its pointer, and its number."""
+
+    schema: dict
+    path: str
+    number: int
+    parent: int
+    name: str
+    depth: int
+
+
+def _named_nodes(schema: dict, defs: dict) -> list[_Node]:
+    """The root and what properties lead to, with references followed; what is inside items, anyOf and oneOf isn't named."""
+    out = [_Node(schema, "", 0, -1, "", 0)]
+    for node in out:
+        while "$ref" in node.schema:
+            node.schema = defs[node.schema["$ref"].rsplit("/", 1)[1]]
+        if node.depth >= 32:
+            raise ValueError(f"{node.path}: the schema refers to itself")
+        for name, sub in node.schema.get("properties", {}).items():
+            out.append(_Node(sub, f"{node.path}/{name}", len(out), node.number, name, node.depth + 1))
+    return out
 
 
 def validate(docs: DataFrame, json: str, schema: dict) -> DataFrame:
-    """docs with errors (sorted) and valid; text that is no JSON has the error "json"."""
-    v = docs.withColumn("__v", F.expr(f"try_parse_json({json})"))
-    errors = F.when(F.col("__v").isNull(), F.array(F.lit(" json"))).otherwise(F.array_sort(compile_schema(schema, "__v")))
-    return v.withColumn("errors", errors).withColumn("valid", F.size("errors") == 0).drop("__v")
+    """docs with errors (sorted) and valid; text that is no JSON has the error "json".
+
+    Each named node is taken out of its parent once, as a column, and so is its kind; a keyword is one condition on these columns."""
+    defs = schema.get("$defs", {})
+    nodes = _named_nodes(schema, defs)
+    v = docs.withColumn("__v0", F.expr(f"try_parse_json({json})"))
+    for depth in range(max(n.depth for n in nodes) + 1):
+        if depth:
+            v = v.withColumns({f"__v{n.number}": F.try_variant_get(f"__v{n.parent}", f"$.{n.name}", "variant") for n in nodes if n.depth == depth})
+        v = v.withColumns({f"__k{n.number}": F.substring_index(F.schema_of_variant(f"__v{n.number}"), "<", 1) for n in nodes if n.depth == depth})
+    found, rest = [], []
+    for n in nodes:
+        s, value, kind = n.schema, F.col(f"__v{n.number}"), F.col(f"__k{n.number}")
+        there = kind.isNotNull()  # a key that is missing has no kind
+        fail = lambda bad, word: found.append(F.when(there & bad, F.lit(f"{n.path} {word}")))  # noqa: B023, E731
+        if "type" in s:
+            kinds = s["type"] if isinstance(s["type"], list) else [s["type"]]
+            fail(~reduce(or_, [_is(k, kind) for k in kinds]), "type")
+        if "enum" in s:
+            fail(~F.coalesce(F.try_variant_get(value, "$", "string").isin(*[str(x) for x in s["enum"]]), F.lit(False)), "enum")
+        for word, over in (("minimum", lambda x, y: x < y), ("maximum", lambda x, y: x > y)):
+            if word in s:
+                fail(_is("number", kind) & over(F.try_variant_get(value, "$", "double"), s[word]), word)
+        if "minLength" in s:
+            fail(_is("string", kind) & (F.length(F.try_variant_get(value, "$", "string")) < s["minLength"]), "minLength")
+        named = {m.name: m.number for m in nodes if m.parent == n.number}
+        for name in s.get("required", []):
+            missing = F.col(f"__k{named[name]}").isNull() if name in named else F.try_variant_get(value, f"$.{name}", "variant").isNull()
+            fail(_is("object", kind) & missing, f"required:{name}")
+        other = {k: s[k] for k in ("additionalProperties", "items", "anyOf", "oneOf") if k in s}
+        if other:
+            names = {"properties": dict.fromkeys(s.get("properties", {}), {})} if "additionalProperties" in other else {}
+            rest.append(F.when(there, compile_schema(other | names, f"__v{n.number}", defs, n.path)))
+    errors = F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
+    for more in rest:
+        errors = F.concat(errors, F.coalesce(more, F.array().cast("array<string>")))
+    errors = F.when(F.col("__v0").isNull(), F.array(F.lit(" json"))).otherwise(F.array_sort(errors))
+    out = v.withColumn("errors", errors).withColumn("valid", F.size("errors") == 0)
+    return out.select(*docs.columns, "errors", "valid")
 
 
 _NULLABLE = lambda kind: {"type": [kind, "null"]}

@@ -185,7 +185,8 @@ ORACLE_SQL: dict[str, str] = {
     UNION ALL SELECT aggregate_id, 'WorkflowEvaluated' FROM ok WHERE command IN ('SetAttributes', 'Capture') UNION ALL SELECT aggregate_id, 'StepProgressed' FROM ok WHERE command = 'Capture' AND step IS DISTINCT FROM from_step)
   SELECT aggregate_id, event_type, count(*) AS n FROM ev GROUP BY ALL""",
     "K10_error_summary": f"WITH {ADMIT} SELECT command, error, count(*) AS n FROM a WHERE error IS NOT NULL GROUP BY ALL",
-    "F1_replay_state": f"WITH {W}, {_bag()}, {_scalars()} SELECT aggregate_id, state, current_step, phase, actions, version, (SELECT count(*) FROM bag WHERE bag.aggregate_id = sd.aggregate_id) AS bag_size FROM sd",
+    "F1_replay_state": f"""WITH {W}, {_bag()}, {_scalars()}, bg AS (SELECT aggregate_id, count(*) AS bag_size, string_agg(path, ',' ORDER BY path) AS bag_paths, round(sum(value), 2) AS bag_total FROM bag GROUP BY 1)
+  SELECT sd.aggregate_id, state, current_step, phase, actions, version, coalesce(bag_size, 0) AS bag_size, coalesce(bag_paths, '') AS bag_paths, bag_total FROM sd LEFT JOIN bg USING (aggregate_id)""",
     "F3_fold_bag": f"WITH {W}, {_bag()} SELECT * FROM bag",
     "F5_fold_person_captured": f"WITH {P} SELECT aggregate_id, person_ref, subject_id, name, email FROM cap",
     "F7_fold_workflow": f"WITH {E}, {_scalars()} SELECT aggregate_id, phase, actions FROM sd",
@@ -245,9 +246,33 @@ ORACLE_SQL: dict[str, str] = {
     "Q15_erasure_survival_report": f"WITH {P} SELECT subject_id, CASE WHEN subject_id IN (SELECT subject_id FROM er) THEN 0 ELSE count(*) END AS n_kept, CASE WHEN subject_id IN (SELECT subject_id FROM er) THEN count(*) ELSE 0 END AS n_redacted FROM pa GROUP BY subject_id",
     "C1_extract_partitions": f"WITH {P} SELECT subject_id, label, count(*) AS n FROM pa GROUP BY ALL",
     "C4_decrypt_events": f"WITH {P} SELECT aggregate_id, sequence, label, path, value FROM att",
-    "C6_redact_events": f"""WITH {PERSONS} SELECT cap.aggregate_id, CAST(cap.sequence AS BIGINT) AS sequence, cap.subject_id, coalesce(pe.name, '[redacted]') AS name, coalesce(pe.email, '[redacted]') AS email, pe.phone, CASE WHEN forgotten THEN 'redacted' ELSE 'decrypted' END AS status
-  FROM cap JOIN pe USING (aggregate_id, person_ref)""",
-    "C8_read_legacy_ciphertext": f"WITH {PERSONS} SELECT cap.aggregate_id, CAST(cap.sequence AS BIGINT) AS sequence, cap.subject_id, pe.name, CASE WHEN forgotten THEN 'redacted' ELSE 'decrypted' END AS status FROM cap JOIN pe USING (aggregate_id, person_ref)",
+    "C6_redact_events": f"""WITH {P} SELECT aggregate_id, CAST(sequence AS BIGINT) AS sequence, cap.subject_id, CASE WHEN er.subject_id IS NULL THEN name ELSE '[redacted]' END AS name,
+  CASE WHEN er.subject_id IS NULL THEN email ELSE '[redacted]' END AS email, CASE WHEN er.subject_id IS NULL THEN phone END AS phone, CASE WHEN er.subject_id IS NULL THEN 'decrypted' ELSE 'redacted' END AS status
+  FROM cap LEFT JOIN er ON er.subject_id = cap.subject_id""",
+    "C8_read_legacy_ciphertext": f"""WITH {P} SELECT aggregate_id, CAST(sequence AS BIGINT) AS sequence, cap.subject_id, CASE WHEN er.subject_id IS NULL THEN name END AS name, CASE WHEN er.subject_id IS NULL THEN 'decrypted' ELSE 'redacted' END AS status
+  FROM cap LEFT JOIN er ON er.subject_id = cap.subject_id""",
+    "C18_forgotten_events": f"""WITH {P}, hit AS (SELECT DISTINCT aggregate_id, subject_id FROM cap WHERE subject_id IN (SELECT subject_id FROM er)), mx AS (SELECT 'o' || o_orderkey AS aggregate_id, greatest(3, coalesce(m + 3, 2), CASE WHEN o_orderstatus = 'F' THEN coalesce(m, -1) + 4 ELSE 0 END, CASE WHEN m IS NULL THEN 2 ELSE 3 END) AS last, m FROM orders LEFT JOIN m ON l_orderkey = o_orderkey)
+  SELECT hit.aggregate_id, hit.subject_id, CAST(CASE WHEN mx.m IS NULL THEN CASE WHEN EXISTS (SELECT 1 FROM orders WHERE 'o' || o_orderkey = hit.aggregate_id AND o_orderstatus = 'F') THEN 3 ELSE 2 END ELSE mx.last END + row_number() OVER (PARTITION BY hit.aggregate_id ORDER BY hit.subject_id) AS BIGINT) AS sequence FROM hit JOIN mx USING (aggregate_id)""",
+    "J9_normalize_attributes_command": f"""WITH {S}, {FLAT} SELECT aggregate_id, path, value FROM fl WHERE CAST(substr(aggregate_id, 2) AS BIGINT) % 2 = 0
+  UNION ALL SELECT aggregate_id, '/booking/paymentStatus', payment_status FROM sb WHERE k % 2 = 1""",
+    "V3_validate_step_rules": f"""WITH {S}, v AS (SELECT aggregate_id, k % 6 AS st, origin, destination, adults + children AS pax, trip_type, adults = 2 AS returns, outbound, return_flight, k, n_persons FROM sb),
+f AS (SELECT aggregate_id, st, CASE st WHEN 0 THEN CAST(coalesce(length(origin) <> 3, true) AS INT) + CAST(length(destination) <> 3 AS INT) + CAST(pax <= 0 OR pax > 9 AS INT) + CAST(trip_type = 'round-trip' AND NOT returns AS INT)
+  WHEN 1 THEN CAST(outbound IS NULL AS INT) WHEN 2 THEN CAST(return_flight IS NULL AS INT)
+  WHEN 3 THEN CAST(n_persons = 0 OR k % 4 = 3 AS INT) + CAST(n_persons > 0 AND k % 5 = 0 AS INT) + CAST(n_persons > 0 AND k % 11 = 0 AS INT)
+  WHEN 4 THEN CAST(k % 3 = 2 AS INT) + CAST(k % 3 = 0 AND k % 2 = 0 AS INT) + CAST(k % 3 = 0 AND k % 5 = 1 AS INT) + CAST(k % 7 = 0 AS INT) ELSE CAST(k % 4 = 1 AS INT) END AS n FROM v)
+SELECT aggregate_id, n = 0 AS is_valid, n AS n_errors, ['origin,destination,departureDate,passengers,returnDate', 'selectedOutboundFlight', 'selectedReturnFlight', 'passengers,passengerNames,passengerAges', 'paymentMethod,cardNumber,expiryDate,billingAddress', 'termsAccepted'][st + 1] AS validated FROM f""",
+    "F6_fold_person_details": f"""WITH {ADMIT}, w AS (
+  SELECT aggregate_id, person_ref, sequence, '/note/k' AS path, CAST(k AS VARCHAR) AS value, false AS del FROM a WHERE command = 'CapturePersonDetails' AND error IS NULL
+  UNION ALL SELECT aggregate_id, person_ref, sequence, '/seat', CAST(k % 5 AS VARCHAR), k % 4 = 0 FROM a WHERE command = 'CapturePersonDetails' AND error IS NULL
+  UNION ALL SELECT aggregate_id, person_ref, sequence, '/passportNumber', CAST(k AS VARCHAR), false FROM a WHERE command = 'SetAttributes' AND error IS NULL AND path LIKE '/persons/%')
+  SELECT aggregate_id, person_ref, path, value FROM (SELECT *, row_number() OVER (PARTITION BY aggregate_id, person_ref, path ORDER BY sequence DESC) AS r FROM w) WHERE r = 1 AND NOT del""",
+    "K5_admit_change_sets": f"""WITH {ADMIT}, x AS (SELECT aggregate_id, sequence, k, path FROM a WHERE command = 'SetAttributes' AND path IS NOT NULL
+    UNION ALL SELECT aggregate_id, sequence, k, '/persons/p' || ((k + 1) % 4) || '/lastName' FROM a WHERE command = 'SetAttributes' AND k % 3 = 0
+    UNION ALL SELECT aggregate_id, sequence, k, '/other/x' FROM a WHERE command = 'SetAttributes' AND k % 7 = 0),
+  y AS (SELECT x.*, {CLASS.replace("path", "x.path")} AS class, b.b0 FROM x LEFT JOIN b ON b.aggregate_id = x.aggregate_id AND b.person_ref = split_part(x.path, '/', 3)),
+  z AS (SELECT aggregate_id, sequence, string_agg(path, ',' ORDER BY path) FILTER (WHERE class = 'unknown') AS unknown_paths, arg_min(split_part(path, '/', 3), path) FILTER (WHERE class = 'secret' AND (b0 IS NULL OR b0 >= sequence)) AS unbound_ref FROM y GROUP BY ALL)
+  SELECT a.aggregate_id, a.sequence, CASE WHEN NOT started THEN 'NotFound' WHEN completed THEN 'AlreadyCompleted' WHEN z.sequence IS NULL THEN 'InvalidData' WHEN unknown_paths IS NOT NULL THEN 'UnknownAttributePath' WHEN unbound_ref IS NOT NULL THEN 'PersonNotFound' END AS error,
+    CASE WHEN started AND NOT completed THEN unknown_paths END AS unknown_paths, CASE WHEN started AND NOT completed AND unknown_paths IS NULL THEN unbound_ref END AS unbound_ref FROM a LEFT JOIN z USING (aggregate_id, sequence) WHERE command = 'SetAttributes'""",
     "C9_audit_ciphertext_integrity": f"WITH {P} SELECT CASE WHEN label = 'agent' THEN 'failed' ELSE 'decrypted' END AS status, count(*) AS n FROM pa GROUP BY 1",
     "C11_ensure_keys": f"WITH {P} SELECT DISTINCT subject_id FROM pa WHERE subject_id IN (SELECT subject_id FROM er)",
     "C13_unwrap_keys": f"WITH {P} SELECT kek_id, CASE WHEN kek_id = 'v2' THEN 'unwrapped' ELSE 'unknown_version' END AS status, count(*) AS n FROM ks GROUP BY ALL",

@@ -153,11 +153,8 @@ def J8_pointer_strip_prefix(spark, d):
 
 @query
 def J9_normalize_attributes_command(spark, d):
-    nested = samples.booking_bags(spark, d).select("aggregate_id", F.when(F.expr("crc32(aggregate_id) % 2 = 0"), F.col("doc")).otherwise(F.concat(F.lit('{"changes":{"/booking/paymentStatus":"'), "payment_status", F.lit('"}}'))).alias("body"))
-    canonical = F.expr("map_keys(cast(try_parse_json(body) as map<string, variant>)) = array('changes')")
-    sugar = paths.flatten(nested.where(~canonical), "body", ["aggregate_id"]).select("aggregate_id", "path", "value")
-    item = F.explode(F.from_json(F.get_json_object("body", "$.changes"), "map<string,string>"))
-    return sugar.unionByName(nested.where(canonical).select("aggregate_id", item.alias("path", "value")))
+    nested = samples.booking_bags(spark, d).select("aggregate_id", F.when(F.expr("cast(substr(aggregate_id, 2) as bigint) % 2 = 0"), F.col("doc")).otherwise(F.concat(F.lit('{"changes":{"/booking/paymentStatus":"'), "payment_status", F.lit('"}}'))).alias("body"))
+    return paths.normalize_changes(nested, "body", ["aggregate_id"])
 
 
 @query
@@ -235,9 +232,18 @@ def V1_validate_json_schema(spark, d):
 
 
 def _steps(spark, d):
-    b = samples.booking_bags(spark, d)
-    step = F.expr("case crc32(aggregate_id) % 3 when 0 then 'search_criteria' when 1 then 'outbound_flight_selection' else 'return_flight_selection' end")
-    return b.withColumns({"step": step, "passengers": F.expr("adults + children"), "return_date": F.expr("case when adults = 2 then date_add(departure_date, 7) end")})
+    """Documents with one step each, and what the rules of all steps look at."""
+    b = samples.booking_bags(spark, d).withColumn("k", F.expr("cast(substr(aggregate_id, 2) as bigint)"))
+    step = F.expr("element_at(array('search_criteria', 'outbound_flight_selection', 'return_flight_selection', 'passenger_details', 'payment', 'booking_summary'), cast(k % 6 as int) + 1)")
+    person = """struct(case when k % 5 = 0 then 'A' else 'Ann' end as first_name, 'Lee' as last_name, case when k % 11 = 0 then date'1850-01-01' else date'1980-01-01' end as birth, case when k % 4 <> 3 then 'P1' end as document)"""
+    return b.withColumns(
+        {
+            "step": step, "passengers": F.expr("adults + children"), "return_date": F.expr("case when adults = 2 then date_add(departure_date, 7) end"),
+            "details": F.expr(f"case when n_persons > 0 then array_repeat({person}, n_persons) end"), "payment_type": F.expr("element_at(array('credit_card', 'paypal', null), cast(k % 3 as int) + 1)"),
+            "card_number": F.expr("case when k % 2 = 0 then '4111' else '4111111111111111' end"), "expiry": F.expr("case when k % 5 = 1 then '1990-01' else '2090-01' end"),
+            "street": F.expr("case when k % 7 <> 0 then 'Main' end"), "city": F.lit("X"), "country": F.lit("Y"), "terms_accepted": F.expr("k % 4 <> 1"),
+        }
+    )
 
 
 @query
@@ -270,6 +276,14 @@ for _name, _command in {"K1_admit_start": "Start", "K2_admit_capture_person": "C
     QUERIES[_name] = _verdict(_command)
 
 
+@query
+def K5_admit_change_sets(spark, d):
+    c = samples.commands(spark, d)
+    extra = F.expr("""filter(array(path, case when k % 3 = 0 then concat('/persons/p', (k + 1) % 4, '/lastName') end, case when k % 7 = 0 then '/other/x' end), p -> p is not null)""")
+    changes = F.when(F.col("command") == "SetAttributes", F.transform(extra, lambda p: F.struct(p.alias("path"), F.col("amount").cast("string").alias("value"))))
+    return admit.admit_change_sets(c.withColumn("changes", changes), classify.BOOKING).select("aggregate_id", "sequence", "error", "unknown_paths", "unbound_ref")
+
+
 @query
 def K7_admit_forget_subject(spark, d):
     bound = pii.slots(samples.personal_log(spark, d)).withColumn("forgotten", F.lit(False))
@@ -291,8 +305,10 @@ def K10_error_summary(spark, d):
 
 @query
 def F1_replay_state(spark, d):
-    v = views.journeys(_e(spark, d))
-    return v.select("aggregate_id", "state", "current_step", "phase", F.array_join("actions", ",").alias("actions"), "version", "bag_size")
+    e = _e(spark, d)
+    bag = fold.fold_bag(e).groupBy("aggregate_id").agg(F.count(F.lit(1)).alias("bag_size"), F.array_join(F.array_sort(F.collect_list("path")), ",").alias("bag_paths"), F.round(F.sum(F.round(F.col("value").cast("double"), 4)), 2).alias("bag_total"))
+    v = fold.fold_scalars(e).join(bag, "aggregate_id", "left").withColumn("bag_size", F.coalesce("bag_size", F.lit(0)))
+    return v.select("aggregate_id", "state", "current_step", "phase", F.array_join("actions", ",").alias("actions"), "version", "bag_size", F.coalesce("bag_paths", F.lit("")).alias("bag_paths"), "bag_total")
 
 
 @query
@@ -305,6 +321,15 @@ def F5_fold_person_captured(spark, d):
     return views.persons(samples.personal_log(spark, d), _open_keys(spark, d)).select("aggregate_id", "person_ref", "subject_id", "name", "email")
 
 
+@query
+def F6_fold_person_details(spark, d):
+    ok = admit.admit(samples.commands(spark, d), classify.BOOKING).where("error is null")
+    data = F.expr("""concat('{"note":{"k":', k, '},"seat":', case when k % 4 = 0 then 'null' else cast(k % 5 as string) end, '}')""")
+    updates = ok.where("command = 'CapturePersonDetails'").select("aggregate_id", "person_ref", "sequence", data.alias("data"))
+    secret = ok.where("command = 'SetAttributes' and path like '/persons/%'").select("aggregate_id", "person_ref", "sequence", "path", F.col("k").cast("string").alias("value"))
+    return fold.fold_details(updates, secret, ok.where("command = 'CapturePerson'")).select("aggregate_id", "person_ref", "path", "value")
+
+
 @query
 def F7_fold_workflow(spark, d):
     return fold.fold_scalars(_e(spark, d)).select("aggregate_id", "phase", F.array_join("actions", ",").alias("actions"))
@@ -628,6 +653,13 @@ def C18_shred_subjects(spark, d):
     return _live_keys(spark, d).select("subject_id", "kek_id")
 
 
+@query
+def C18_forgotten_events(spark, d):
+    p = samples.personal_log(spark, d)
+    erased = keys.erase(p, _open_keys(spark, d), keys.lookup(p.where("event_type = 'PersonCaptured'")), samples.erasure_requests(spark, d), views.subject_journeys(p, pii.extract_partitions(p)))
+    return erased["events"].select("aggregate_id", "subject_id", "sequence")
+
+
 @query
 def C19_shred_by_email(spark, d):
     index = keys.lookup(samples.personal_log(spark, d).where("event_type = 'PersonCaptured'"))

@@ -36,7 +36,7 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """aggregate_id, sequence, command, person_ref, subject_id, path, step, amount."""
+    """aggregate_id, sequence, command, person_ref, subject_id, path, step, amount, k."""
     e = _numbered(spark, sf_dir)
     command = F.expr("""case when sequence = 1 and user_id % 10 <> 0 then 'Start' when event_type = 'signup' then 'CapturePerson' when event_type = 'click' then 'SetAttributes'
         when event_type = 'view' then 'Capture' when event_type = 'error' then 'CapturePersonDetails' when k % 20 = 0 then 'Complete' else 'SetAttributes' end""")
@@ -46,7 +46,7 @@ def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         "aggregate_id", "sequence", command.alias("command"), F.when(command != "Start", ref).alias("person_ref"),
         F.when(command == "CapturePerson", F.expr("concat('s', user_id + k % 4)")).alias("subject_id"),
-        F.when(command == "SetAttributes", path).alias("path"), F.when(command == "Capture", F.expr("concat('step_', k % 7)")).alias("step"), F.col("value").alias("amount"),
+        F.when(command == "SetAttributes", path).alias("path"), F.when(command == "Capture", F.expr("concat('step_', k % 7)")).alias("step"), F.col("value").alias("amount"), "k",
     )
 
 
