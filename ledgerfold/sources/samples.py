@@ -10,6 +10,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """A table of fewer files than cores dealt to all cores: what is made of its rows costs more than to move them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = read(spark, sf_dir, "events").withColumn("sequence", F.row_number().over(w).cast("long")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("user_id")))
@@ -106,7 +112,7 @@ def erasure_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def booking_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One booking document per order, as columns and as JSON text (doc)."""
-    o = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    o = _spread(read(spark, sf_dir, "orders")).join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     cols = o.select(
         F.concat(F.lit("o"), "o_orderkey").alias("aggregate_id"), F.expr("case when o_orderkey % 7 <> 0 then n_name end").alias("origin"), F.expr("concat('N', o_orderkey % 25)").alias("destination"),
         F.expr("case o_orderkey % 3 when 0 then 'one-way' when 1 then 'round-trip' else 'multi-city' end").alias("trip_type"), F.expr("case when o_orderkey % 5 <> 0 then concat('F', o_orderkey % 100) end").alias("outbound"),
