@@ -210,9 +210,10 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("v").agg(F.min("m").alias("low"))
         small = large.join(least, "v").selectExpr("case when m = low then v else m end as v", "low as m", "changed or m <> low as changed")
         seen = Observation()
-        cur = shared_checkpoint(small.observe(seen, F.count_if("changed").alias("n")).select("v", "m"))
+        # of the neighbours that two nodes share, each says the same of the two: once is enough
+        cur = shared_checkpoint(small.observe(seen, F.count_if("changed").alias("n")).select("v", "m").distinct())
         if not seen.get["n"]:
-            return cur.distinct().selectExpr("v as node", "m as label")
+            return cur.selectExpr("v as node", "m as label")
 
 
 def open_buckets(named: DataFrame) -> DataFrame:
