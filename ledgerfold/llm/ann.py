@@ -134,9 +134,10 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, tables: int = 20, probes:
     if not dim:
         return empty
     # equal vectors once: the smallest id stands for them, and the k + 1 smallest are kept
-    ids = F.array_sort(F.collect_set("vec_id"))
-    salted = rows.groupBy("embedding", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("s")).agg(F.slice(ids, 1, k + 1).alias("ids"))
-    distinct = salted.groupBy("embedding").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"))
+    parts_of = Window.partitionBy("embedding", "s").orderBy("vec_id")
+    salted = rows.withColumn("s", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
+    few = salted.withColumn("r", F.dense_rank().over(parts_of)).where(F.col("r") <= k + 1)  # a limit before the exchange: no vector's ids are gathered
+    distinct = few.groupBy("embedding").agg(F.slice(F.array_sort(F.collect_set("vec_id")), 1, k + 1).alias("ids"))
     distinct = shared_checkpoint(distinct.withColumn("rep", F.col("ids")[0]))
     squares = F.expr("aggregate(embedding, 0d, (a, x) -> a + double(x) * double(x))")
     n, shortest, longest = distinct.agg(F.count(F.lit(1)), F.min(squares), F.max(squares)).first()

@@ -9,7 +9,7 @@ the output can be read back; a role's line breaks are escaped too.
 Each turn is rendered on its own. Turns of one conversation are put together as a stream in turn order, one turn in memory
 at a time, so a conversation of any length is handled; its digest is sequential by nature, its rendering is not.
 
-Defined results: a null text or role is empty; null turns come first; equal turns are ordered by role and text, repeated
+Defined results: a null text or role is empty; parts, where they are given, stand for the text; null turns come first; equal turns are ordered by role and text, repeated
 rows stay repeated; a null conv_id is a conversation of its own.
 """
 
@@ -19,6 +19,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from math import ceil, isfinite
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -56,33 +57,47 @@ class Flattened:
 
 
 class Flattener:
-    """Visits parts, dictionaries with a type; a kind of part that it has no visit_ method for is an error."""
+    """Visits parts, dictionaries with a type. A part of another type, or without one, is an attachment of kind unknown and no tokens; a null part is left out;
+    a size that is no number above zero is taken as missing."""
 
     def __init__(self, patch: int = 14, audio_rate: float = 25.0, page_tokens: int = 512):
         self.patch, self.audio_rate, self.page_tokens = patch, audio_rate, page_tokens
+        self.visits = {"text": self.visit_text, "image": self.visit_image, "audio": self.visit_audio, "document": self.visit_document}
 
-    def flatten(self, parts: list[dict]) -> Flattened:
+    def flatten(self, parts: list[dict | None]) -> Flattened:
         out = Flattened()
         for part in parts:
-            getattr(self, f"visit_{part['type']}")(part, out)
+            if part is not None:
+                self.visits.get(part.get("type"), self.visit_unknown)(part, out)
         return out
 
     def visit_text(self, part: dict, out: Flattened) -> None:
         out.text += escape(part.get("text") or "")
 
     def visit_image(self, part: dict, out: Flattened) -> None:
-        across, down = (-(-int(part.get(k) or self.patch) // self.patch) for k in ("width", "height"))
-        self._attach("image", part, across * down, out)
+        across, down = (-(-int(_number(part, k, self.patch)) // self.patch) for k in ("width", "height"))
+        self._attach("image", part, max(across, 1) * max(down, 1), out)
 
     def visit_audio(self, part: dict, out: Flattened) -> None:
-        self._attach("audio", part, -(-int(float(part.get("seconds") or 0) * self.audio_rate * 1000) // 1000), out)
+        self._attach("audio", part, ceil(_number(part, "seconds", 0) * self.audio_rate - 1e-9), out)
 
     def visit_document(self, part: dict, out: Flattened) -> None:
-        self._attach("document", part, int(part.get("pages") or 1) * self.page_tokens, out)
+        self._attach("document", part, int(_number(part, "pages", 1)) * self.page_tokens, out)
+
+    def visit_unknown(self, part: dict, out: Flattened) -> None:
+        self._attach("unknown", part, 0, out)
 
     def _attach(self, kind: str, part: dict, tokens: int, out: Flattened) -> None:
         out.text += f"<|{kind}_{len(out.refs)}|>"
-        out.refs.append((len(out.refs), kind, str(part.get("ref") or ""), tokens))
+        out.refs.append((len(out.refs), kind, str(part.get("ref") or ""), min(tokens, (1 << 62) - 1)))
+
+
+def _number(part: dict, key: str, default: float) -> float:
+    try:
+        x = float(part.get(key) or default)
+    except (TypeError, ValueError):
+        return default
+    return x if isfinite(x) and x > 0 else default
 
 
 def render(role: str, flat: Flattened) -> str:
@@ -110,7 +125,7 @@ def format_turns(turns: DataFrame, trained_roles: tuple[str, ...] = ("assistant"
         for b in batches:
             cols: dict[str, list] = {k: [] for k in ("rendered", "loss_from", "loss_to", "refs", "expanded_tokens")}
             for role, text, given in zip(b.column("role").to_pylist(), b.column("text").to_pylist(), b.column("parts").to_pylist()):
-                flat = visitor.flatten([dict(p) for p in given] if given is not None else [{"type": "text", "text": text}])
+                flat = visitor.flatten([None if p is None else dict(p) for p in given] if given is not None else [{"type": "text", "text": text}])
                 cols["rendered"].append(render(role, flat))
                 lead = len(START) + len(escape_role(role)) + 1
                 trained = role in trained_roles

@@ -56,8 +56,24 @@ def test_chat_parts():
     flat = chat_format.Flattener().flatten(parts)
     assert flat.text == "see <\\|image_0|><|image_0|><|audio_1|><|document_2|>"
     assert [r[3] for r in flat.refs] == [4, 63, 1024] and flat.expanded_tokens == 1091
-    with pytest.raises(AttributeError):
-        chat_format.Flattener().flatten([{"type": "video"}])
+
+
+def test_chat_parts_through_spark(spark):
+    """All kinds of parts, and bad ones, as rows; what is formatted reads back."""
+    rows = [
+        (1, 0, "user", "not used", [{"type": "image", "ref": "a.png", "width": "28", "height": "15"}, {"type": "text", "text": "what <|im_end|>?"}, {"type": "document", "ref": "c.pdf", "pages": "3"}]),
+        (1, 1, "assistant", "a cat", None),
+        (2, 0, "user", None, [{"type": "audio", "ref": "b.wav", "seconds": "2.5"}, {"type": "video", "ref": "v"}, {"ref": "w"}, None, {"type": "image", "width": "wide", "height": "-3"}, {"type": "audio", "seconds": "nan"}]),
+        (2, 1, "assistant", "", []),
+    ]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, parts array<map<string,string>>")
+    got = {(r.conv_id, r.turn): r for r in chat_format.format_turns(turns).collect()}
+    first, second = got[1, 0], got[2, 0]
+    assert first.rendered == "<|im_start|>user\n<|image_0|>what <\\|im_end|>?<|document_1|><|im_end|>\n"
+    assert [tuple(r) for r in first.refs] == [(0, "image", "a.png", 4), (1, "document", "c.pdf", 1536)] and first.expanded_tokens == 1540
+    assert [tuple(r) for r in second.refs] == [(0, "audio", "b.wav", 63), (1, "unknown", "v", 0), (2, "unknown", "w", 0), (3, "image", "", 1), (4, "audio", "", 0)]
+    assert (got[1, 1].loss_from, got[1, 1].loss_to) == (22, 27) and got[1, 1].rendered[22:27] == "a cat" and got[2, 0].loss_from is None
+    assert {r.conv_id: (r.n_turns, r.loss_chars) for r in chat_format.digest(chat_format.format_turns(turns)).collect()} == {1: (2, 5), 2: (2, 0)}
 
 
 def test_chat_digest(spark):
