@@ -10,8 +10,8 @@ bands of 5 slots a pair at the threshold of 0.85 is missed once in 10^8.
 
 Equal sets are one node from the start, named by the least number of their rows. In a bucket not all pairs are compared but as many as the
 groups need: first every member with the bucket's hub; then, as long as a bucket has members of more than one group, members of different
-groups, without emitting pairs that fail. Such an open bucket of more than ``block`` members is first split by rare shingles: in any one order of
-all shingles, two sets that meet the threshold share one of their first ``n - ceil(n * percent / 100) + 1``, so members meet only under
+groups, in blocks of ``block`` and without emitting pairs that fail. An open bucket of more blocks than its members have first shingles is split by
+rare shingles before: in any one order of all shingles, two sets that meet the threshold share one of their first ``n - ceil(n * percent / 100) + 1``, so members meet only under
 these, in an order that puts what many members have last. So a bucket of n copies costs n comparisons, and no link that joins two groups is lost.
 
 Groups are found by alternating stars on DataFrames: each node hands its larger neighbours, and then its smaller ones, to the least of
@@ -217,9 +217,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def open_buckets(named: DataFrame) -> DataFrame:
-    """The members (band, key, id, n_shingles, label) and the size n of buckets that hold several groups; of buckets with the same members only one."""
-    many = named.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.bit_xor(F.xxhash64("id")).alias("digest"), F.sum(F.xxhash64("id", "label").bitwiseAND(0x7FFFFFFF)).alias("total"), F.count(F.lit(1)).alias("n")).where("low <> high")
-    once = many.groupBy("digest", "total", "n").agg(F.min(F.struct("band", "key")).alias("first")).select("first.band", "first.key", "n")
+    """The members (band, key, id, n_shingles, label), the size n and the mean set of buckets that hold several groups; of buckets with the same members only one."""
+    many = named.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.bit_xor(F.xxhash64("id")).alias("digest"), F.sum(F.xxhash64("id", "label").bitwiseAND(0x7FFFFFFF)).alias("total"), F.count(F.lit(1)).alias("n"), F.avg("n_shingles").alias("mean")).where("low <> high")
+    once = many.groupBy("digest", "total", "n").agg(F.min(F.struct("band", "key")).alias("first"), F.min("mean").alias("mean")).select("first.band", "first.key", "n", "mean")
     return named.drop("n").join(once, ["band", "key"])
 
 
@@ -316,11 +316,12 @@ def links_in_buckets(buckets: DataFrame, sets: DataFrame, percent: int, block: i
 def links_between_groups(named: DataFrame, sets: DataFrame, percent: int, block: int = 1024) -> DataFrame:
     """Links (a, b) between labels that some bucket holds both of. named: band, key, id, n_shingles, label."""
     opened = shared_checkpoint(open_buckets(named))
-    large = opened.where(F.col("n") > block)
-    todo = opened.where(F.col("n") <= block).drop("n")
+    # a member goes to n / block blocks, or to as many buckets as it has first shingles: whichever is less
+    splits = F.col("n") > block * (F.col("mean") * (100 - percent) / 100 + 1)
+    large, todo = opened.where(splits), opened.where(~splits).drop("n", "mean")
     if not large.isEmpty():
         common = frequent(large.select("id").distinct().join(sets, "id"), COMMON)
-        todo = todo.unionByName(open_buckets(split_buckets(large, sets, percent, common)).drop("n"))
+        todo = todo.unionByName(open_buckets(split_buckets(large, sets, percent, common)).drop("n", "mean"))
     return links_in_buckets(todo, sets, percent, block)
 
 

@@ -189,7 +189,7 @@ def test_superminhash_estimates_similarity():
     assert sorted((one[0] >> np.uint64(56)).tolist()) == list(range(200))
 
 
-@pytest.mark.parametrize("block", [1024, 10])
+@pytest.mark.parametrize("block", [1024, 10, 2])
 def test_links_between_groups_of_a_bucket(spark, block):
     """All in one bucket, in one block and split by rare shingles and into blocks."""
     rows = near_copies(9)[:72]
