@@ -8,11 +8,13 @@ smallest hash, and windows of one anchor make a phrase (a run of up to length -
    which are repeats as a whole; anchors that no other document has, and those whose phrases are all equal, are settled by that;
 2. of the others one copy of each phrase goes to its anchor's shard, where external induced sorting (induced_sort) brings
    their suffixes and common prefixes in order: windows with a common prefix of ``length`` bytes or more are equal, and those
-   outside the smallest doc_id of their run are repeats;
+   outside the smallest doc_id of their run are repeats. An anchor with more than ``hot`` distinct phrases (a passage that very
+   many documents have, each with other neighbours) is split: its phrases fall into single windows, which go to shards by a hash of
+   the whole window, so equal ones still meet and no anchor is one shard's;
 3. repeats are removed from the texts.
 
 Sorting a phrase once and not once a copy is what keeps shards small on a corpus of copies. Sorting takes about 80 bytes of memory
-a symbol of the shard (the README has the figures); the distinct phrases of one anchor are one shard's. Phrase names compare 78 bits and more.
+a symbol of the shard (the README has the figures). Phrase names compare 78 bits and more.
 
 Defined results: a null text is empty; documents are judged by doc_id alone, so rows that share one don't repeat each other; a null doc_id is
 smaller than any; texts are bytes, so a removal may cut a character (kept_text leaves such a piece out).
@@ -34,6 +36,7 @@ from .textops import Texts, loads, mix, span_hashes
 
 GRAM = 24
 IN_MEMORY = 64 << 20
+HOT = 1 << 15  # phrases of one anchor in one shard: 2.5 million symbols, some 200 MB
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
 _U = np.uint64
 
@@ -69,6 +72,7 @@ class Named:
     """The phrases of a group, named: kinds of equal phrases, the first document of each, and which phrases repeat one."""
 
     def __init__(self, g: Group, length: int, groups: int):
+        self.length, self.groups = length, groups
         self.chunks, parts, base = [], [], 0
         for t in g.chunks():
             start, windows, anchor, owner = phrases_of(t, length)
@@ -87,13 +91,35 @@ class Named:
         order = np.argsort(self.first, kind="stable")
         self.targets = [(p, order[idx]) for p, idx in by_target((self.spread_anchor[self.first][order] % _U(groups)).astype(np.int64), groups)]
 
-    def verdicts(self, got: dict) -> tuple[np.ndarray, np.ndarray]:
-        """Kinds that an earlier document has, and kinds that are to be sorted."""
-        copied, wanted = np.zeros(self.first.size, dtype=bool), np.zeros(self.first.size, dtype=bool)
+    def verdicts(self, got: dict) -> np.ndarray:
+        """Rows of three: kinds that an earlier document has, kinds that are to be sorted, and those of them whose anchor is hot."""
+        flags = np.zeros((3, self.first.size), dtype=bool)
         for p, idx in self.targets:
-            flags = unbits(got[(1, p)], 2 * idx.size).reshape(-1, 2)
-            copied[idx], wanted[idx] = flags[:, 0], flags[:, 1]
-        return copied, wanted
+            flags[:, idx] = unbits(got[(1, p)], 3 * idx.size).reshape(-1, 3).T
+        return flags
+
+    def units(self, wanted: np.ndarray, hot: np.ndarray) -> tuple[list[tuple[int, np.ndarray]], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What is to be sorted, in the order of the texts: kind, window it begins with, number of windows, first byte in its chunk; before these the units of each shard.
+        A kind is one unit, or one a window if its anchor is hot."""
+        kind = np.flatnonzero(wanted)
+        kind = kind[np.argsort(self.first[kind], kind="stable")]
+        single = hot[kind]
+        count = np.where(single, self.windows[self.first[kind]], 1)
+        kind, skip = np.repeat(kind, count), ramp(count)
+        single = np.repeat(single, count)
+        at = self.first[kind]
+        size = np.where(single, 1, self.windows[at])
+        target = (self.spread_anchor[at] % _U(self.groups)).astype(np.int64)
+        start = np.zeros(at.size, dtype=np.int64)
+        base = 0
+        for t, begin, _ in self.chunks:
+            here = np.flatnonzero((at >= base) & (at < base + begin.size))
+            start[here] = begin[at[here] - base] + skip[here]
+            base += begin.size
+            one = here[single[here]]
+            if one.size:
+                target[one] = (mix(span_hashes(t.buf, start[one], start[one] + self.length)) % _U(self.groups)).astype(np.int64)
+        return by_target(target, self.groups), kind, skip, size, start
 
 
 def sort_shard(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], length: int) -> np.ndarray:
@@ -119,7 +145,7 @@ def sort_shard(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], length: i
     return repeat[np.repeat(ends - size - 1, windows) + ramp(windows)]
 
 
-def dedup(docs: DataFrame, length: int = 50, keep: tuple[str, ...] = ()) -> DataFrame:
+def dedup(docs: DataFrame, length: int = 50, keep: tuple[str, ...] = (), hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept_text of every row, and the columns of docs that keep names."""
     groups = n_groups(docs)
     texts = dealt(docs, groups, keep)
@@ -147,30 +173,29 @@ def dedup(docs: DataFrame, length: int = 50, keep: tuple[str, ...] = ()) -> Data
         new = new_key | np.concatenate([[True], s[1:] != s[:-1]])
         starts = np.flatnonzero(new_key)
         sizes = np.diff(np.append(starts, k.size))
-        several = np.add.reduceat(new.astype(np.int64), starts) > 1
+        distinct = np.add.reduceat(new.astype(np.int64), starts)
         spread = np.maximum.reduceat(d, starts) > np.minimum.reduceat(d, starts)
         first = np.flatnonzero(new)
         earlier = d > np.repeat(d[first], np.diff(np.append(first, k.size)))
-        flags = np.empty((k.size, 2), dtype=bool)
+        flags = np.empty((k.size, 3), dtype=bool)
         flags[order, 0] = earlier
-        flags[order, 1] = new & np.repeat(several & spread, sizes)
+        flags[order, 1] = new & np.repeat((distinct > 1) & spread, sizes)
+        flags[order, 2] = np.repeat(distinct > hot, sizes)
         ends = np.concatenate([[0], np.cumsum([x[0].size for x in parts])])
         return [bits(flags[a:b].reshape(-1)) for a, b in zip(ends[:-1], ends[1:])]
 
     def send(q: int, g: Group, got: dict) -> pa.Table:
         x = Named(g, length, groups)
-        _, wanted = x.verdicts(got)
+        _, wanted, split = x.verdicts(got)
+        targets, kind, _, windows, start = x.units(wanted, split)
         base = np.cumsum([0, *(s.size for _, s, _ in x.chunks)])
         rows = []
-        for p, idx in x.targets:
-            at = x.first[idx[wanted[idx]]]
-            if not at.size:
-                continue
-            size = x.windows[at] + length - 1
+        for p, idx in targets:
+            at, size = x.first[kind[idx]], windows[idx] + length - 1
             data = []
-            for (t, start, _), lo, hi in zip(x.chunks, base[:-1], base[1:]):  # at ascends, chunk by chunk
+            for (t, _, _), lo, hi in zip(x.chunks, base[:-1], base[1:]):  # at ascends, chunk by chunk
                 here = np.flatnonzero((at >= lo) & (at < hi))
-                data.append(t.buf[np.repeat(start[at[here] - lo], size[here]) + ramp(size[here])])
+                data.append(t.buf[np.repeat(start[idx[here]], size[here]) + ramp(size[here])])
             rows.append((q, p, 0, pack_docs(g.order, x.owner[at]) + size.astype(np.uint8 if length + 200 < 256 else np.uint16).tobytes() + np.concatenate(data).tobytes()))
         return messages(rows)
 
@@ -187,20 +212,16 @@ def dedup(docs: DataFrame, length: int = 50, keep: tuple[str, ...] = ()) -> Data
 
     def remove(q: int, g: Group, got: dict) -> pa.Table:
         x = Named(g, length, groups)
-        copied, wanted = x.verdicts(got)
-        at_kind = np.full(x.first.size, -1, dtype=np.int64)  # where the windows of a sorted kind are among the answers
-        answers, total = [np.zeros(0, bool)], 0
-        for p, idx in x.targets:
-            kinds = idx[wanted[idx]]
-            if not kinds.size:
-                continue
-            windows = x.windows[x.first[kinds]]
-            at_kind[kinds] = total + np.cumsum(windows) - windows
-            answers.append(unbits(got[(2, p)], int(windows.sum())))
-            total += int(windows.sum())
-        flags = np.concatenate(answers)
+        copied, wanted, split = x.verdicts(got)
+        n_windows = np.where(wanted, x.windows[x.first], 0)
+        at_kind = np.cumsum(n_windows) - n_windows  # where the windows of a sorted kind are among the flags
+        flags = np.zeros(int(n_windows.sum()), dtype=bool)
+        targets, kind, skip, size, _ = x.units(wanted, split)
+        for p, idx in targets:
+            place = np.repeat(at_kind[kind[idx]] + skip[idx], size[idx]) + ramp(size[idx])
+            flags[place] = unbits(got[(2, p)], place.size)
         whole = x.copied | copied[x.kind]
-        sorted_at = np.where(whole, -1, at_kind[x.kind])
+        sorted_at = np.where(whole | ~wanted[x.kind], -1, at_kind[x.kind])
         cols: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")}
         base = 0
         for t, start, windows in x.chunks:

@@ -71,8 +71,9 @@ def test_substring_dedup(spark, seed):
 @pytest.mark.parametrize("seed", [3, 4])
 def test_suffix_dedup(spark, seed):
     rows = corpus(seed)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(frame(spark, rows)).collect()}
-    assert got == suffix_brute(rows)
+    for hot in (suffix_dedup.HOT, 2, 0):  # the last two split anchors
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(frame(spark, rows), hot=hot).collect()}
+        assert got == suffix_brute(rows)
 
 
 def test_dedup_of_repeated_rows_and_empty_tables(spark):
