@@ -35,15 +35,20 @@ def fold_bag(log: DataFrame) -> DataFrame:
     return paths.last_writes(upcast(log), ["aggregate_id"], ORDER)
 
 
+def patch_writes(patches: DataFrame, key: list[str]) -> DataFrame:
+    """Writes (key..., sequence, part, path, value, op, arrays) of merge patches: data, JSON text, of each row (key..., sequence)."""
+    root = f"array({paths.item(chr(39) * 2, 'try_parse_json(data)', part='0', arrays=paths.NO_ARRAYS)})"
+    rows = paths.taken_apart(patches, root, [*key, "sequence"])
+    op = F.when(F.col("kind") == "leaf", "set").when(F.col("kind") == "null", F.when(F.size("arrays") == 0, "delete").otherwise("set")).otherwise(F.col("kind"))
+    return rows.select(*key, "sequence", "part", "path", "value", op.alias("op"), "arrays")
+
+
 def fold_details(updates: DataFrame, secrets: DataFrame, captures: DataFrame) -> DataFrame:
     """aggregate_id, person_ref, path, value: the details of every slot. updates (aggregate_id, person_ref, sequence, data) are merge patches of PersonDetailsUpdated;
     secrets (aggregate_id, person_ref, sequence, path, value) are secret attributes, which are mirrored at their path below the slot; what comes
     before the slot's first capture (captures: aggregate_id, person_ref, sequence) is left out."""
     key = ["aggregate_id", "person_ref"]
-    root = f"array({paths.item(chr(39) * 2, 'try_parse_json(data)', part='0', arrays=paths.NO_ARRAYS)})"
-    patch = paths.taken_apart(updates, root, [*key, "sequence"])
-    op = F.when(F.col("kind") == "leaf", "set").when(F.col("kind") == "null", F.when(F.size("arrays") == 0, "delete").otherwise("set")).otherwise(F.col("kind"))
-    patch = patch.select(*key, "sequence", "part", "path", "value", op.alias("op"), "arrays")
+    patch = patch_writes(updates, key)
     below = paths.strip_prefix(F.col("path"), F.concat(F.lit("/persons/"), "person_ref"))
     mirror = secrets.select(*key, "sequence", F.lit(0).alias("part"), below.alias("path"), "value", F.lit("set").alias("op"), F.lit(None).cast("array<string>").alias("arrays")).where("path is not null")
     bound = captures.groupBy(*key).agg(F.min("sequence").alias("captured_at"))

@@ -7,10 +7,14 @@ kek_id names, bound to key_id. Master keys come as a dictionary of hexadecimal t
 from __future__ import annotations
 
 import hashlib
+import secrets
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+KEYS = "subject_id string, key_id string, kek_id string, wrapped_key binary"
+
 
 def masters(df: DataFrame, master: dict[str, str]) -> DataFrame:
     rows = df.sparkSession.createDataFrame([(k, bytearray.fromhex(v)) for k, v in master.items()], "kek_id string, master binary")
@@ -71,6 +75,21 @@ def missing_subjects(subjects: DataFrame, keys: DataFrame) -> DataFrame:
     return subjects.select("subject_id").where("subject_id is not null").distinct().join(keys.select("subject_id"), "subject_id", "left_anti")
 
 
+def ensure_keys(subjects: DataFrame, path: str, current: str, master: dict[str, str]) -> DataFrame:
+    """The key table at path with a key for every subject, one each: those that lack one get a random key, appended before anyone reads it, so that
+    all uses see the same. Run again it adds nothing; one writer at a time. Keys come from the operating system's generator on the executors."""
+    @F.pandas_udf("binary")
+    def drawn(ids: pd.Series) -> pd.Series:
+        return pd.Series([secrets.token_bytes(32) for _ in ids])
+
+    spark = subjects.sparkSession
+    stored = spark.read.schema(KEYS).parquet(path)
+    new = missing_subjects(subjects, stored).select("subject_id", F.expr("uuid()").alias("key_id"), F.lit(current).alias("kek_id"))
+    new = new.withColumn("data_key", drawn.asNondeterministic()("subject_id"))
+    wrap(new, master).write.mode("append").parquet(path)
+    return spark.read.schema(KEYS).parquet(path)
+
+
 def shred(keys: DataFrame, requests: DataFrame) -> DataFrame:
     """The key table without the erased subjects; what was encrypted under their keys can't be read again once old versions are purged."""
     return keys.join(requests.select("subject_id").distinct(), "subject_id", "left_anti")

@@ -69,6 +69,18 @@ def attribute_partitions(log: DataFrame, columns: dict[str, str], name: str) ->
     return bound.select("aggregate_id", "sequence", "subject_id", F.col("person_ref").alias("label"), payload.alias("payload"))
 
 
+def details_partitions(log: DataFrame) -> DataFrame:
+    """Partitions of PersonDetailsUpdated events (aggregate_id, sequence, event_type, subject_id, data): the patch as it is, under the label default. No data, or a JSON null, gives none."""
+    rows = log.where("event_type = 'PersonDetailsUpdated' and subject_id is not null and data is not null and trim(data) <> 'null'")
+    return rows.select("aggregate_id", "sequence", "subject_id", F.lit("default").alias("label"), F.col("data").alias("payload"))
+
+
+def details_read(decrypted: DataFrame) -> DataFrame:
+    """Patches back, or the redaction of a document."""
+    data = F.when(F.col("status") == "decrypted", F.col("payload")).otherwise(F.lit(redaction_default("json")))
+    return decrypted.select("aggregate_id", "sequence", "subject_id", data.alias("data"), "status")
+
+
 def extract_partitions(log: DataFrame) -> DataFrame:
     return PERSON.extract(log).unionByName(attribute_partitions(log, {"lead": "passport_lead", "agent": "passport_agent"}, "passportNumber"))
 

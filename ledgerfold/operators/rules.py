@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from .fold import patch_writes
 
 
 @dataclass(frozen=True)
@@ -198,11 +199,30 @@ PHASE_PATHS = {
 
 def evaluate(bag: DataFrame, pending: DataFrame, persons: DataFrame) -> DataFrame:
     """The phase of each journey with changes applied that aren't in its bag yet: bag and pending are (aggregate_id, path, value), persons has n_persons and n_untyped."""
-    layer = lambda df, n: df.select("aggregate_id", F.lit(n).alias("sequence"), F.lit(0).alias("part"), "path", "value", F.when(F.col("value").isNull(), "delete").otherwise("set").alias("op"))
-    after = paths.last_writes(layer(bag, 1).unionByName(layer(pending, 2)), ["aggregate_id"], ["sequence", "part"])
+    writes = _layer(bag, 1).unionByName(_layer(pending, 2))
+    return journey_phase(_inputs(writes, persons)).select("aggregate_id", "phase", "actions")
+
+
+def evaluate_next_steps(bag: DataFrame, captured: DataFrame, persons: DataFrame, table: Table = PHASE) -> DataFrame:
+    """The older envelope: captured (aggregate_id, step, data) has a step and a merge patch for each journey. The decision is made on the patched bag, with current_step as
+    one more input of the table's conditions; journeys without a row in captured get none. A patch that isn't JSON changes nothing; outputs of table are returned."""
+    here = captured.select("aggregate_id", F.col("step").alias("current_step"))
+    before = _layer(bag.join(here, "aggregate_id", "left_semi"), 1).withColumn("arrays", F.lit(None).cast("array<string>"))
+    patch = patch_writes(captured.select("aggregate_id", F.lit(2).alias("sequence"), "data").where("try_parse_json(data) is not null"), ["aggregate_id"])
+    inputs = here.join(_inputs(before.unionByName(patch), persons), "aggregate_id", "left").fillna(0, ["adults", "children", "n_persons", "n_untyped"])
+    return phase_flags(inputs).withColumn("d", table.first()).select("aggregate_id", "current_step", "d.*")
+
+
+def _layer(rows: DataFrame, n: int) -> DataFrame:
+    return rows.select("aggregate_id", F.lit(n).alias("sequence"), F.lit(0).alias("part"), "path", "value", F.when(F.col("value").isNull(), "delete").otherwise("set").alias("op"))
+
+
+def _inputs(writes: DataFrame, persons: DataFrame) -> DataFrame:
+    """What PHASE tests, of the bag that stands after the writes."""
+    after = paths.last_writes(writes, ["aggregate_id"], ["sequence", "part"])
     wide = after.groupBy("aggregate_id").agg(*[F.max(F.when(F.col("path") == p, F.col("value"))).alias(c) for c, p in PHASE_PATHS.items()])
     wide = wide.join(persons.select("aggregate_id", "n_persons", "n_untyped"), "aggregate_id", "left").fillna(0, ["n_persons", "n_untyped"])
-    return journey_phase(wide.withColumns({"adults": F.col("adults").cast("int"), "children": F.col("children").cast("int")})).select("aggregate_id", "phase", "actions")
+    return wide.withColumns({"adults": F.col("adults").cast("int"), "children": F.col("children").cast("int")})
 
 
 def total(fees: str) -> Column:

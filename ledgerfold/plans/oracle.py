@@ -133,6 +133,7 @@ PHASES = "['booking_confirmed','collecting_search','selecting_outbound','selecti
 
 ORACLE_SQL: dict[str, str] = {
     "R1_evaluate_attributes": f"""WITH {S}, s2 AS (SELECT * REPLACE (coalesce(origin, 'NEW') AS origin, CASE WHEN k % 10 = 3 THEN NULL ELSE outbound END AS outbound) FROM sb), ph AS (SELECT aggregate_id, {PHASE} AS r FROM s2) SELECT aggregate_id, {PHASES} FROM ph""",
+    "R2_evaluate_next_steps": f"""WITH {S}, s2 AS (SELECT * REPLACE (coalesce(origin, 'NEW') AS origin, CASE WHEN k % 10 = 3 THEN NULL ELSE outbound END AS outbound) FROM sb), ph AS (SELECT aggregate_id, {PHASE} AS r FROM s2) SELECT ph.aggregate_id, 'step_' || n_persons AS current_step, {PHASES} FROM ph JOIN sb USING (aggregate_id)""",
     "V2_validate_after_merge": f"WITH {S} SELECT aggregate_id, coalesce(origin, 'NEW') AS origin, adults >= 0 AS valid FROM sb",
     "S9_command_source": f"WITH {C} SELECT aggregate_id, sequence, command, step, '/journeys' AS uri FROM c",
     "R5_decision_table_collect": f"""WITH {T}, f AS (SELECT 'Seat Selection' AS kind, 15 AS amount FROM t1 WHERE l_partkey % 2 = 1 AND cabin = 'economy' UNION ALL SELECT 'Premium Seat Selection', 35 FROM t1 WHERE (l_partkey // 2) % 2 = 1 AND cabin = 'economy'
@@ -146,6 +147,12 @@ ORACLE_SQL: dict[str, str] = {
     "S6_latest_snapshot": f"WITH {W}, {_bag()} SELECT * FROM bag",
     "S10_parse_event_variant": f"""WITH {E} SELECT aggregate_id, sequence, CASE WHEN event_type = 'JourneyModified' THEN 'profile' END AS step, CASE WHEN event_type = 'StepProgressed' THEN 'step_' || (k % 7) END AS to_step,
   CASE WHEN event_type = 'WorkflowEvaluated' THEN ph END AS phase, CASE WHEN event_type = 'WorkflowEvaluated' THEN 'a' || (k % 5) END AS actions, event_type = 'JourneyClosed' AS is_completed FROM e""",
+    "S10_parse_person_events": f"""WITH {ADMIT}, ok AS (SELECT * FROM a WHERE error IS NULL AND command IN ('CapturePerson', 'CapturePersonDetails', 'Complete'))
+  SELECT aggregate_id, sequence, CASE command WHEN 'CapturePerson' THEN 'PersonCaptured' WHEN 'Complete' THEN 'SubjectForgotten' ELSE 'PersonDetailsUpdated' END AS event_type, CASE WHEN command <> 'Complete' THEN person_ref END AS person_ref,
+  CASE command WHEN 'CapturePerson' THEN subject_id WHEN 'Complete' THEN 's' || k ELSE slot_subject END AS subject_id, CASE WHEN command = 'CapturePerson' THEN 'N' || k END AS name, CASE WHEN command = 'CapturePerson' THEN 'M' || k || '@x.org' END AS email,
+  CASE WHEN command = 'CapturePerson' AND k % 2 = 0 THEN '+' || k END AS phone, CASE WHEN command = 'CapturePersonDetails' THEN CASE WHEN k % 4 = 0 THEN 'null' ELSE '{{"seat":' || k || '}}' END END AS data FROM ok""",
+    "C1_details_partitions": f"""WITH {ADMIT} SELECT aggregate_id, sequence, slot_subject AS subject_id, CASE WHEN slot_subject LIKE '%3' THEN '{{}}' ELSE '{{"seat":' || k || '}}' END AS data,
+  CASE WHEN slot_subject LIKE '%3' THEN 'redacted' ELSE 'decrypted' END AS status FROM a WHERE error IS NULL AND command = 'CapturePersonDetails' AND k % 4 <> 0""",
     "W2_check_append_conflicts": f"""WITH {E}, ba AS (SELECT aggregate_id, sequence FROM e WHERE sequence BETWEEN 40 AND 45 UNION ALL SELECT aggregate_id, sequence FROM e WHERE sequence = 44 AND user_id % 10 = 5)
   SELECT aggregate_id, sequence, sequence <= 42 OR count(*) OVER (PARTITION BY aggregate_id, sequence) > 1 AS conflict FROM ba""",
     "W3_check_sequence_gaps": f"""WITH {E} SELECT b.aggregate_id, b.sequence, 'gap' AS problem FROM e b LEFT JOIN e p ON p.aggregate_id = b.aggregate_id AND p.sequence = b.sequence - 1

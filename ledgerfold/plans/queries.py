@@ -82,6 +82,23 @@ def S10_parse_event_variant(spark, d):
     return p.select("aggregate_id", "sequence", "step", "to_step", "phase", F.array_join("actions", ",").alias("actions"), F.coalesce("is_completed", F.lit(False)).alias("is_completed"))
 
 
+def _person_events(spark, d):
+    """Captures, details and erasures of accepted commands as events in the log's envelope."""
+    ok = admit.admit(samples.commands(spark, d), classify.BOOKING).where("error is null")
+    kind = F.expr("case command when 'CapturePerson' then 'PersonCaptured' when 'CapturePersonDetails' then 'PersonDetailsUpdated' when 'Complete' then 'SubjectForgotten' end")
+    payload = F.expr("""case command
+        when 'CapturePerson' then to_json(struct(struct(person_ref, subject_id, concat('N', k) as name, concat('M', k, '@x.org') as email, case when k % 2 = 0 then concat('+', k) end as phone) as PersonCaptured))
+        when 'CapturePersonDetails' then concat('{"PersonDetailsUpdated":{"person_ref":"', person_ref, '","subject_id":"', slot_subject, '","data":', case when k % 4 = 0 then 'null' else concat('{"seat":', k, '}') end, '}}')
+        else to_json(struct(struct(concat('s', k) as subject_id) as SubjectForgotten)) end""")
+    rows = ok.select(F.lit("journey").alias("aggregate_type"), "aggregate_id", "sequence", kind.alias("event_type"), F.lit("1.0").alias("event_version"), payload.alias("payload"), F.lit("2020-01-01").cast("timestamp").alias("timestamp"))
+    return rows.where("event_type is not null")
+
+
+@query
+def S10_parse_person_events(spark, d):
+    return log.parse_events(_person_events(spark, d)).select("aggregate_id", "sequence", "event_type", "person_ref", "subject_id", "name", "email", "phone", "data")
+
+
 @query
 def W2_check_append_conflicts(spark, d):
     e = _e(spark, d)
@@ -379,6 +396,17 @@ def R1_evaluate_attributes(spark, d):
     return rules.evaluate(bag, _pending(spark, d), b).select("aggregate_id", "phase", F.array_join("actions", ",").alias("actions"))
 
 
+@query
+def R2_evaluate_next_steps(spark, d):
+    b = samples.booking_bags(spark, d)
+    bag = paths.flatten(b, "doc", ["aggregate_id"]).drop("is_null")
+    outbound = F.when(F.col("aggregate_id").like("%3"), '"booking":{"selectedOutboundFlight":null}')
+    origin = F.when(F.col("origin").isNull(), '"search":{"origin":"NEW"}')
+    data = F.concat(F.lit("{"), F.concat_ws(",", origin, outbound), F.lit("}"))
+    got = rules.evaluate_next_steps(bag, b.select("aggregate_id", F.concat(F.lit("step_"), "n_persons").alias("step"), data.alias("data")), b)
+    return got.select("aggregate_id", "current_step", "phase", F.array_join("actions", ",").alias("actions"))
+
+
 @query
 def V2_validate_after_merge(spark, d):
     b = samples.booking_bags(spark, d)
@@ -586,6 +614,13 @@ def C1_extract_partitions(spark, d):
     return pii.extract_partitions(samples.personal_log(spark, d)).groupBy("subject_id", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def C1_details_partitions(spark, d):
+    p = pii.details_partitions(log.parse_events(_person_events(spark, d)))
+    data_keys = p.select("subject_id").distinct().withColumn("data_key", F.unhex(F.sha2("subject_id", 256)))
+    return pii.details_read(pii.decrypt(pii.encrypt(p, data_keys), data_keys.where("subject_id not like '%3'")))
+
+
 @query
 def C4_decrypt_events(spark, d):
     got = pii.decrypt(_sealed(spark, d), _open_keys(spark, d))

@@ -48,17 +48,25 @@ def tail_last(log: DataFrame, n: int) -> DataFrame:
 
 
 def parse_events(log: DataFrame) -> DataFrame:
-    """The envelope with typed columns of each event: step, to_step, actions, phase (null in version 1.0), is_completed."""
+    """The envelope with typed columns of each event: step, data (JSON of a patch), from_step, to_step, actions, phase (null in version 1.0), is_completed,
+    person_ref, subject_id, name, email, phone, plaintext (JSON of the attributes set) and partitions (JSON of the secret ones)."""
     get = lambda tag, field, kind: F.expr(f"try_variant_get(doc, '$.{tag}.{field}', '{kind}')")
     doc = log.withColumn("doc", F.expr("try_parse_json(payload)"))
     return doc.select(
         *log.columns,
         get("Started", "id", "string").alias("started_id"),
         get("Modified", "step", "string").alias("step"),
+        F.coalesce(*[F.to_json(get(tag, "data", "variant")) for tag in ("Modified", "PersonDetailsUpdated")]).alias("data"),
+        get("StepProgressed", "from_step", "string").alias("from_step"),
         get("StepProgressed", "to_step", "string").alias("to_step"),
         F.expr("cast(try_variant_get(doc, '$.WorkflowEvaluated.suggested_actions', 'array<string>') as array<string>)").alias("actions"),
         get("WorkflowEvaluated", "phase", "string").alias("phase"),
         (F.expr("try_variant_get(doc, '$', 'string')") == "Completed").alias("is_completed"),
+        F.coalesce(*[get(tag, "person_ref", "string") for tag in ("PersonCaptured", "PersonDetailsUpdated")]).alias("person_ref"),
+        F.coalesce(*[get(tag, "subject_id", "string") for tag in ("PersonCaptured", "PersonDetailsUpdated", "SubjectForgotten")]).alias("subject_id"),
+        *[get("PersonCaptured", name, "string").alias(name) for name in ("name", "email", "phone")],
+        F.to_json(get("AttributesSet", "plaintext", "variant")).alias("plaintext"),
+        F.to_json(get("AttributesSet", "secret_partitions", "variant")).alias("partitions"),
     )
 
 

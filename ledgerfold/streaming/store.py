@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import fold
+from ..operators import fold, keys, views
 from ..sources import event_log
 
 Hook = Callable[[DataFrame], dict[str, DataFrame]]
@@ -61,22 +61,32 @@ def persist_with_hooks(store: Store, hooks: list[Hook] = ()) -> Callable[[DataFr
     return run
 
 
-def project(store: Store, views: Store) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch over the log: the scalar state of the journeys that the batch touched, replayed and appended as a version; the
-    latest version of a journey counts (see latest)."""
+def lookup_hook(events: DataFrame) -> dict[str, DataFrame]:
+    """A hook: the address of each subject that the batch captures, for the same commit as the events. Captures whose address is encrypted or missing give none."""
+    captured = event_log.parse_events(events.where("event_type = 'PersonCaptured'")).where("email <> '[redacted]'")
+    return {"subject_lookup": keys.lookup(captured)}
+
+
+def project(store: Store, models: Store, key_table: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch over the log: the three read models (journeys, persons, workflow_history) of the journeys that the batch touched, replayed and appended as a
+    version, in one commit; a journey's latest version counts (see latest). Without a key table a subject has a key until it is forgotten."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         touched = batch.select("aggregate_id").distinct()
         log = store.read("events", event_log.ENVELOPE).join(touched, "aggregate_id", "left_semi")
-        views.write(batch_id, {"journeys": fold.fold_scalars(log)})
+        events = event_log.parse_events(log.where("event_type in ('PersonCaptured', 'SubjectForgotten')"))
+        forgets = events.where("event_type = 'SubjectForgotten'").select("aggregate_id", "subject_id")
+        alive = key_table if key_table is not None else events.select("subject_id").join(forgets, "subject_id", "left_anti")
+        models.write(batch_id, {"journeys": fold.fold_scalars(log), "persons": views.persons(events, alive, forgets), "workflow_history": fold.workflow_history(log)})
 
     return run
 
 
-def latest(views: Store) -> DataFrame:
-    rows = views.read("journeys")
-    cols = [c for c in rows.columns if c not in ("aggregate_id", "batch_id")]
-    return rows.groupBy("aggregate_id").agg(F.max_by(F.struct(*cols), "batch_id").alias("j")).select("aggregate_id", "j.*")
+def latest(models: Store, name: str = "journeys") -> DataFrame:
+    """The rows of a read model that each journey's latest version has."""
+    rows = models.read(name)
+    newest = models.read("journeys").groupBy("aggregate_id").agg(F.max("batch_id").alias("batch_id"))
+    return rows.join(newest, ["aggregate_id", "batch_id"], "left_semi").drop("batch_id")
 
 
 def dedupe(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -116,6 +126,58 @@ def fold_stream(stream: DataFrame) -> DataFrame:
     return parsed.groupBy("aggregate_id").applyInPandasWithState(step, FOLDED, kept, "update", GroupStateTimeout.NoTimeout)
 
 
+ORDERED = "aggregate_type string, aggregate_id string, sequence long, event_type string, event_version string, payload string, timestamp timestamp, status string"
+
+
+def ordered(stream: DataFrame, wait_seconds: int = 3600) -> DataFrame:
+    """Events (event_log.ENVELOPE) in the order of their sequence: one that comes before its predecessor is held as state until that is there. status: in_order, repeated
+    (its sequence went out before), or dead_letter: it was held for wait_seconds after the last event of its journey had come; such events have to be
+    sent again after the missing one. The watermark is on the time of arrival, so no event is too late by its own time; it moves on with batches that bring rows. Of two held events with one sequence the first stays and the other is repeated. Sequences begin with 1."""
+    import json
+
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    names = [c.split()[0] for c in ORDERED.split(", ")]
+
+    def step(key, frames, state):
+        expected, waiting = state.get if state.exists else (1, "{}")
+        held = {int(k): v for k, v in json.loads(waiting).items()}
+        if state.hasTimedOut:
+            yield pd.DataFrame([(*key, s, *held[s][:3], pd.Timestamp(held[s][3]), "dead_letter") for s in sorted(held)], columns=names)
+            state.update((expected, "{}"))
+            return
+        for frame in frames:
+            out, arrived = [], int(frame["arrived_ms"].max())
+            for r in frame.sort_values("sequence").itertuples():
+                if r.sequence < expected or r.sequence in held:
+                    out.append((*key, r.sequence, r.event_type, r.event_version, r.payload, r.timestamp, "repeated"))
+                    continue
+                held[int(r.sequence)] = [r.event_type, r.event_version, r.payload, str(r.timestamp)]
+                while expected in held:
+                    kind, version, payload, at = held.pop(expected)
+                    out.append((*key, expected, kind, version, payload, pd.Timestamp(at), "in_order"))
+                    expected += 1
+            if out:
+                yield pd.DataFrame(out, columns=names)
+        state.update((expected, json.dumps(held)))
+        if held:
+            state.setTimeoutTimestamp(arrived + 1000 * wait_seconds)
+
+    rows = stream.select(*names[:-1], F.current_timestamp().alias("arrived")).withWatermark("arrived", "0 seconds").withColumn("arrived_ms", F.unix_millis("arrived"))
+    return rows.groupBy("aggregate_type", "aggregate_id").applyInPandasWithState(step, ORDERED, "expected long, waiting string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def rewrap_available(spark: SparkSession, source: str, target: str, current: str, master: dict[str, str]) -> DataFrame:
+    """Wraps all keys at source anew that no run has seen since current became the version, and returns what was made of them in all runs, for keys.apply_rewrap.
+    A schedule calls it; each version has a folder and a checkpoint of its own below target, so the first run after a rotation sweeps the whole
+    table and later ones what is new."""
+    made = Store(spark, f"{target}/{current}")
+    feed = spark.readStream.schema(keys.KEYS).parquet(source)
+    run_available(feed, lambda batch, batch_id: made.write(batch_id, {"rewrapped": keys.rewrap(batch, current, master)}), f"{target}/{current}/_checkpoint")
+    return made.read("rewrapped", f"{keys.KEYS}, old_kek_id string, status string").drop("batch_id")
+
+
 def run_available(stream: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     """All that is there now, once: a schedule and not a loop of ours brings the next run."""
     q = stream.writeStream.outputMode(mode).foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,10 +1,13 @@
 """Streams end where batch does."""
 
+import time
+
 import pytest
-from ledgerfold.operators import admit, classify, fold
+from ledgerfold.operators import admit, classify, fold, keys
 from ledgerfold.sources import event_log, samples
 from ledgerfold.streaming import admission
 from ledgerfold.streaming import store as st
+from pyspark.sql import functions as F
 
 DIR = "/root/testdata/sf0.001"
 SCALARS = ["aggregate_id", "state", "current_step", "phase", "version"]
@@ -82,3 +85,70 @@ def test_admission_of_a_stream_equals_batch(spark, tmp_path):
     st.run_available(admission.admit_stream(feed, classify.BOOKING), lambda b, _: got.extend(map(tuple, b.select("aggregate_id", "sequence", "error").collect())), str(tmp_path / "c4"))
     want = admit.admit(commands, classify.BOOKING)
     assert sorted(got, key=repr) == rows(want, "aggregate_id", "sequence", "error")
+
+
+PEOPLE = [
+    ("a", 1, "JourneyOpened", '{"Started":{"id":"a"}}'),
+    ("a", 2, "PersonCaptured", '{"PersonCaptured":{"person_ref":"p","subject_id":"s1","name":"Ann","email":"Ann@x.org","phone":null}}'),
+    ("a", 3, "PersonCaptured", '{"PersonCaptured":{"person_ref":"p","subject_id":"s1","name":"Ann L","email":"AL@x.org","phone":"1"}}'),
+    ("a", 4, "WorkflowEvaluated", '{"WorkflowEvaluated":{"suggested_actions":["x"],"phase":"f"}}'),
+    ("b", 1, "PersonCaptured", '{"PersonCaptured":{"person_ref":"q","subject_id":"s2","name":"Bo","email":"bo@x.org","phone":null}}'),
+    ("b", 2, "SubjectForgotten", '{"SubjectForgotten":{"subject_id":"s2"}}'),
+    ("b", 3, "PersonCaptured", '{"PersonCaptured":{"person_ref":"r","subject_id":"s3","name":"[redacted]","email":"[redacted]","phone":null}}'),
+]
+
+
+def people(spark, rows=PEOPLE):
+    base = [("journey", a, s, kind, "1.0", payload, "2020-01-01 00:00:00") for a, s, kind, payload in rows]
+    return spark.createDataFrame(base, event_log.ENVELOPE.replace("timestamp timestamp", "timestamp string")).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+
+
+def test_all_read_models_and_the_lookup_hook(spark, tmp_path):
+    log, models = st.Store(spark, str(tmp_path / "log")), st.Store(spark, str(tmp_path / "models"))
+    for n, part in enumerate(("sequence < 3", "sequence >= 3")):
+        st.persist_with_hooks(log, [st.lookup_hook])(people(spark).where(part), n)
+        st.project(log, models)(people(spark).where(part), n)
+    got = rows(st.latest(models, "persons"), "aggregate_id", "person_ref", "subject_id", "name", "email", "phone", "forgotten")
+    assert got == [("a", "p", "s1", "Ann L", "AL@x.org", "1", False), ("b", "q", "s2", None, None, None, True), ("b", "r", "s3", None, None, None, False)]
+    assert rows(st.latest(models, "workflow_history"), "aggregate_id", "sequence", "actions", "phase", "is_latest") == [("a", 4, "x", "f", True)]
+    assert rows(st.latest(models), "aggregate_id", "version") == [("a", 4), ("b", 3)]
+    assert rows(log.read("subject_lookup"), "batch_id", "subject_id", "email_lower") == [(0, "s1", "ann@x.org"), (0, "s2", "bo@x.org"), (1, "s1", "al@x.org")]
+
+
+def test_out_of_order(spark, tmp_path):
+    root, got = str(tmp_path / "log"), []
+    everything = samples.event_log(spark, DIR).where("aggregate_id in ('u1', 'u2', 'u3')")
+
+    def run(part):
+        part.coalesce(1).write.mode("append").parquet(root)
+        before = len(got)
+        st.run_available(st.ordered(event_log.stream_log(spark, root), 1), lambda b, _: got.extend(b.orderBy("aggregate_id").select("aggregate_id", "sequence", "status", "payload", "timestamp").collect()), str(tmp_path / "c"))
+        return got[before:]
+
+    assert run(everything.where("sequence > 10 and aggregate_id <> 'u3'")) == []
+    run(everything.where("sequence <= 10 or aggregate_id = 'u3' and sequence > 12"))
+    want = {(r.aggregate_id, r.sequence): (r.payload, r.timestamp) for r in everything.collect()}
+    fine = [r for r in got if r.status == "in_order"]
+    assert {(r.aggregate_id, r.sequence) for r in fine} == {k for k in want if k[0] != "u3" or k[1] <= 10}
+    assert all(want[r.aggregate_id, r.sequence] == (r.payload, r.timestamp) for r in got)
+    for a in ("u1", "u2", "u3"):
+        assert [r.sequence for r in fine if r.aggregate_id == a] == sorted(r.sequence for r in fine if r.aggregate_id == a)
+    time.sleep(3)
+    later = run(everything.where("aggregate_id = 'u1' and sequence = 1"))  # 11 and 12 of u3 don't come
+    assert {(r.aggregate_id, r.sequence, r.status) for r in later} == {("u1", 1, "repeated")} | {(*k, "dead_letter") for k in want if k[0] == "u3" and k[1] > 12}
+
+
+def test_rewrap_by_schedule(spark, tmp_path):
+    master = {"v1": "11" * 32, "v2": "22" * 32, "v3": "33" * 32}
+    source, target = str(tmp_path / "keys"), str(tmp_path / "rewrapped")
+    table = samples.key_table(spark, DIR, master)
+    table.write.parquet(source)
+    assert st.rewrap_available(spark, source, target, "v3", master).count() == table.count()
+    keys.ensure_keys(spark.createDataFrame([("new",), ("new",), ("c1",), (None,)], "subject_id string"), source, "v2", master)
+    made = keys.ensure_keys(spark.createDataFrame([("new",)], "subject_id string"), source, "v2", master)
+    assert made.count() == table.count() + 1
+    delta = st.rewrap_available(spark, source, target, "v3", master)
+    assert rows(delta.groupBy("status").count(), "status", "count") == [("rewrapped", table.count() + 1)]
+    after = keys.unwrap(keys.apply_rewrap(made, delta), {"v3": master["v3"]})
+    assert rows(after.select("subject_id", "data_key", "status"), "subject_id", "data_key") == rows(keys.unwrap(made, master), "subject_id", "data_key")
+    assert after.where("status <> 'unwrapped'").count() == 0
