@@ -131,6 +131,11 @@ PERSONS = f"""{P}, pe AS (SELECT cap.aggregate_id, cap.person_ref, cap.subject_i
 
 PHASES = "['booking_confirmed','collecting_search','selecting_outbound','selecting_return','collecting_passengers','collecting_payment'][r] AS phase, ['booking_confirmation','','flight_search_results','return_flight_selection,flight_search_results','passenger_details','seat_selection,passenger_details'][r] AS actions"
 
+def _pad(byte: int) -> str:
+    """The key of C21 as one of the two pads of an HMAC, in hexadecimal."""
+    return bytes(b ^ byte for b in b"namespace".ljust(64, b"\0")).hex()
+
+
 ORACLE_SQL: dict[str, str] = {
     "R1_evaluate_attributes": f"""WITH {S}, s2 AS (SELECT * REPLACE (coalesce(origin, 'NEW') AS origin, CASE WHEN k % 10 = 3 THEN NULL ELSE outbound END AS outbound) FROM sb), ph AS (SELECT aggregate_id, {PHASE} AS r FROM s2) SELECT aggregate_id, {PHASES} FROM ph""",
     "R2_evaluate_next_steps": f"""WITH {S}, s2 AS (SELECT * REPLACE (coalesce(origin, 'NEW') AS origin, CASE WHEN k % 10 = 3 THEN NULL ELSE outbound END AS outbound) FROM sb), ph AS (SELECT aggregate_id, {PHASE} AS r FROM s2) SELECT ph.aggregate_id, 'step_' || n_persons AS current_step, {PHASES} FROM ph JOIN sb USING (aggregate_id)""",
@@ -230,7 +235,8 @@ ORACLE_SQL: dict[str, str] = {
     "R24_phase_funnel": f"WITH {E}, {_scalars()} SELECT phase, count(*) AS n_journeys FROM sd GROUP BY 1",
     "R24_phase_gaps": f"""WITH {E}, d AS (SELECT ph AS phase, epoch_us(lead(ts) OVER (PARTITION BY aggregate_id ORDER BY sequence)) - epoch_us(ts) AS gap FROM e WHERE event_type = 'WorkflowEvaluated')
   SELECT phase, count(gap) AS n, round(avg(gap) / 1e6, 3) AS mean_seconds FROM d GROUP BY 1""",
-    "P1_project_journey_view": f"WITH {E}, {_scalars()} SELECT aggregate_id, state, current_step, version, created_at, updated_at FROM s",
+    "P1_project_journey_view": f"""WITH {W}, {_bag()}, {_scalars()}, bg AS (SELECT aggregate_id, string_agg(path, ',' ORDER BY path) AS bag_paths, round(sum(value), 2) AS bag_total FROM bag GROUP BY 1)
+  SELECT s.aggregate_id, state, current_step, version, created_at, updated_at, coalesce(bag_paths, '') AS bag_paths, bag_total FROM s LEFT JOIN bg USING (aggregate_id)""",
     "P2_project_persons": f"WITH {PERSONS} SELECT aggregate_id, person_ref, subject_id, name, email, phone, forgotten FROM pe",
     "P3_project_workflow_history": f"""WITH {E} SELECT aggregate_id, sequence, 'a' || (k % 5) AS actions, ph AS phase, sequence = max(sequence) OVER (PARTITION BY aggregate_id) AS is_latest FROM e WHERE event_type = 'WorkflowEvaluated'""",
     "Q1_load_journey": f"""WITH {PERSONS} SELECT 'o42' AS aggregate_id, (SELECT max(v) FROM (SELECT 1 AS v UNION ALL SELECT sequence FROM cap WHERE aggregate_id = 'o42' UNION ALL SELECT sequence FROM att WHERE aggregate_id = 'o42'
@@ -240,12 +246,12 @@ ORACLE_SQL: dict[str, str] = {
   SELECT 'o' || o_orderkey AS aggregate_id, CAST(CASE WHEN o_orderstatus = 'F' THEN coalesce(m.m, -1) + 4 WHEN m.m > 0 THEN m.m + 3 ELSE 2 END AS BIGINT) AS version, o_orderstatus = 'F' AS complete, coalesce(g.n, 0) AS n_persons, g.subjects
   FROM orders LEFT JOIN m ON l_orderkey = o_orderkey LEFT JOIN g ON g.aggregate_id = 'o' || o_orderkey""",
     "Q3_page_journeys": f"WITH {E}, {_scalars()} SELECT aggregate_id, created_at FROM s ORDER BY created_at DESC, aggregate_id LIMIT 50 OFFSET 50",
-    "Q4_load_persons": f"WITH {PERSONS} SELECT person_ref, forgotten, count(*) AS n FROM pe GROUP BY ALL",
+    "Q4_load_persons": f"WITH {PERSONS} SELECT aggregate_id, person_ref, subject_id, name, email, phone, forgotten FROM pe",
     "Q5_find_by_email": f"WITH {PERSONS} SELECT DISTINCT aggregate_id FROM pe WHERE NOT forgotten AND lower(email) IN (SELECT e FROM em)",
     "Q6_find_journeys_by_subject": f"WITH {P} SELECT DISTINCT subject_id, aggregate_id FROM cap WHERE subject_id IN (SELECT subject_id FROM er)",
     "Q7_find_subjects_by_email": f"WITH {P} SELECT subject_id FROM lk WHERE email_lower IN (SELECT e FROM em)",
     "Q8_maintain_subject_lookup": f"WITH {P} SELECT subject_id, email_lower FROM lk WHERE subject_id NOT IN (SELECT subject_id FROM er)",
-    "Q10_subject_journey_map": f"WITH {P} SELECT subject_id, count(DISTINCT aggregate_id) AS n_journeys FROM cap GROUP BY 1",
+    "Q10_subject_journey_map": f"WITH {P} SELECT subject_id, aggregate_id FROM cap UNION SELECT subject_id, aggregate_id FROM pa",
     "Q11_kek_usage": f"WITH {P} SELECT kek_id, count(*) AS n FROM ks GROUP BY 1",
     "Q12_unknown_kek_ids": f"WITH {P} SELECT DISTINCT kek_id FROM ks WHERE kek_id = 'v1'",
     "Q13_inspect_raw_events": "SELECT 'o42' AS aggregate_id, 3 + row_number() OVER (ORDER BY l_linenumber, l_partkey, l_suppkey) AS sequence, l_extendedprice AS price, CAST(NULL AS VARCHAR) AS passport_lead FROM lineitem WHERE l_orderkey = 42",
@@ -290,7 +296,8 @@ SELECT aggregate_id, n = 0 AS is_valid, n AS n_errors, ['origin,destination,depa
     "C18_shred_subjects": f"WITH {P} SELECT subject_id, kek_id FROM ks WHERE subject_id NOT IN (SELECT subject_id FROM er)",
     "C19_shred_by_email": f"WITH {P} SELECT kek_id, count(*) AS n FROM ks WHERE subject_id NOT IN (SELECT subject_id FROM lk WHERE email_lower IN (SELECT e FROM em)) GROUP BY 1",
     "C20_partial_shred_read": f"WITH {P} SELECT aggregate_id, sequence, label, CASE WHEN subject_id IN (SELECT subject_id FROM er) THEN 'redacted' ELSE 'decrypted' END AS status FROM pa WHERE label <> 'default'",
-    "C21_derive_subject_id": "SELECT c_custkey, 36 AS n, '5' AS version FROM customer",
+    "C21_derive_subject_id": f"""WITH x AS (SELECT c_custkey, sha256(from_hex('{_pad(0x5C)}') || from_hex(sha256(from_hex('{_pad(0x36)}') || encode('user' || (c_custkey % 1000) || '@mail.example.com')))) AS h FROM customer)
+  SELECT c_custkey, concat_ws('-', h[1:8], h[9:12], '5' || h[14:16], ('89ab')[(instr('0123456789abcdef', h[17:17]) - 1) % 4 + 1] || h[18:20], h[21:32]) AS id FROM x""",
     "C22_subject_linkage_report": f"WITH {P} SELECT lower(email) AS email, count(DISTINCT subject_id) AS n_subjects FROM cap GROUP BY 1 HAVING count(DISTINCT subject_id) > 1",
     "W7_backfill_subject_lookup": f"WITH {P} SELECT subject_id, email_lower FROM lk WHERE subject_id LIKE 'c%'",
     "W8_backfill_kek_id": f"WITH {P} SELECT CASE WHEN kek_id = 'v2' THEN 'v2' ELSE 'legacy:v1' END AS kek_id, count(*) AS n FROM ks GROUP BY 1",
