@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, chat_format, html_extract, language_id, near_dedup, packing, quality_rules, substring_dedup, suffix_dedup
+from .oracle import ORACLE_SQL as ORACLE_SQL
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -75,4 +76,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_extract": op9_html_extract,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
-ORACLE_SQL: dict[str, str] = {}
