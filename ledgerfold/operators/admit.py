@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import documents
 from .classify import AttributeSchema, classify_changes, rejections
 
 
@@ -57,6 +58,24 @@ def admit_change_sets(commands: DataFrame, schema: AttributeSchema) -> DataFrame
     return out.select(*key, "error", F.when(F.col("error") == "UnknownAttributePath", F.col("unknown_paths")).alias("unknown_paths"), F.when(F.col("error") == "PersonNotFound", F.col("unbound_ref")).alias("unbound_ref"))
 
 
+def admit_data(commands: DataFrame, schema: AttributeSchema, json_schema: dict) -> DataFrame:
+    """All of admit's columns with data taken into account: commands has changes (array of (path, JSON text)) and data (a Capture's JSON text) beside the columns of admit. After the
+    guards and the paths, a Capture's data is validated by itself, and plaintext changes are merged with what the accepted commands before left and validated
+    then: InvalidData, or InvalidJsonPointer where a path doesn't fit an array. reasons says what was wrong."""
+    key = ["aggregate_id", "sequence"]
+    guards = admit(commands.withColumn("path", F.lit(None).cast("string")), schema).drop("from_step")
+    sets = admit_change_sets(commands.withColumn("path", F.lit(None).cast("string")), schema)
+    c = guards.withColumnRenamed("error", "guard").join(sets.withColumnRenamed("error", "set_error"), key, "left")
+    c = c.withColumn("error", F.when(F.col("command") == "SetAttributes", F.col("set_error")).otherwise(F.col("guard"))).drop("guard", "set_error", "path")
+    plain = F.filter("changes", lambda x: schema.classify(x["path"]) == "plaintext")
+    todo = c.where(F.col("error").isNull() & F.col("command").isin("Capture", "SetAttributes")).withColumn("writes", F.when(F.col("command") == "SetAttributes", plain))
+    refused = documents.refusals(todo.where("command = 'Capture' or size(writes) > 0"), json_schema)
+    c = c.join(refused, key, "left").withColumn("error", F.coalesce("error", "refusal")).drop("refusal")
+    before = Window.partitionBy("aggregate_id").orderBy("sequence").rowsBetween(Window.unboundedPreceding, -1)
+    moved = F.when((F.col("command") == "Capture") & F.col("error").isNull(), F.col("step"))
+    return c.withColumn("from_step", F.last(moved, ignorenulls=True).over(before))
+
+
 def emitted(admitted: DataFrame) -> DataFrame:
     """The events of accepted commands: aggregate_id, sequence (of the command), n (place among its events), event_type, person_ref, subject_id."""
     name = lambda *types: F.array(*[F.lit(t) for t in types])

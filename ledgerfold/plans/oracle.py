@@ -279,6 +279,17 @@ SELECT aggregate_id, n = 0 AS is_valid, n AS n_errors, ['origin,destination,depa
   UNION ALL SELECT aggregate_id, person_ref, sequence, '/seat', CAST(k % 5 AS VARCHAR), k % 4 = 0 FROM a WHERE command = 'CapturePersonDetails' AND error IS NULL
   UNION ALL SELECT aggregate_id, person_ref, sequence, '/passportNumber', CAST(k AS VARCHAR), false FROM a WHERE command = 'SetAttributes' AND error IS NULL AND path LIKE '/persons/%')
   SELECT aggregate_id, person_ref, path, value FROM (SELECT *, row_number() OVER (PARTITION BY aggregate_id, person_ref, path ORDER BY sequence DESC) AS r FROM w) WHERE r = 1 AND NOT del""",
+    # A whole search is good or bad by itself; anything else about it needs an accepted one before.
+    "K5_admit_data": f"""WITH {ADMIT}, w AS (SELECT aggregate_id, sequence, command, k, CASE WHEN NOT started THEN 'NotFound' WHEN completed THEN 'AlreadyCompleted' END AS guard,
+    CASE WHEN command = 'Capture' THEN CASE WHEN k % 3 = 0 THEN 'data' ELSE 'other' END ELSE CASE k % 9 WHEN 0 THEN 'search' WHEN 1 THEN 'status' WHEN 2 THEN 'empty' ELSE 'adults' END END AS what
+    FROM a WHERE command IN ('Capture', 'SetAttributes')),
+  f AS (SELECT *, coalesce(min(sequence) FILTER (WHERE guard IS NULL AND what IN ('data', 'search') AND k % 4 > 0) OVER (PARTITION BY aggregate_id) < sequence, false) AS filled FROM w),
+  r AS (SELECT *, CASE WHEN guard IS NOT NULL THEN '' WHEN what IN ('data', 'search') THEN CASE WHEN k % 4 = 0 THEN '/search/passengers/adults minimum' ELSE '' END
+    WHEN what = 'status' THEN CASE WHEN k % 2 = 0 THEN '' ELSE '/booking/paymentStatus type' END WHEN what = 'other' THEN ''
+    ELSE concat_ws(',', CASE WHEN NOT filled THEN '/search required:departureDate,/search required:destination,/search required:origin,/search required:tripType' END,
+      CASE WHEN NOT filled AND what = 'empty' THEN '/search/passengers required:adults' END,
+      CASE WHEN NOT filled THEN '/search/passengers required:children' END, CASE WHEN what = 'adults' AND k % 5 = 0 THEN '/search/passengers/adults minimum' END) END AS found FROM f)
+  SELECT aggregate_id, sequence, command, coalesce(guard, CASE WHEN found <> '' THEN 'InvalidData' END) AS error, nullif(found, '') AS reasons FROM r""",
     "K5_admit_change_sets": f"""WITH {ADMIT}, x AS (SELECT aggregate_id, sequence, k, path FROM a WHERE command = 'SetAttributes' AND path IS NOT NULL
     UNION ALL SELECT aggregate_id, sequence, k, '/persons/p' || ((k + 1) % 4) || '/lastName' FROM a WHERE command = 'SetAttributes' AND k % 3 = 0
     UNION ALL SELECT aggregate_id, sequence, k, '/other/x' FROM a WHERE command = 'SetAttributes' AND k % 7 = 0),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..operators import admit, classify, fold, keys, pii, rules, validate, views
+from ..operators import admit, classify, documents, fold, keys, pii, rules, validate, views
 from ..sources import commands, samples
 from ..sources import event_log as log
 
@@ -301,6 +301,22 @@ def K5_admit_change_sets(spark, d):
     return admit.admit_change_sets(c.withColumn("changes", changes), classify.BOOKING).select("aggregate_id", "sequence", "error", "unknown_paths", "unbound_ref")
 
 
+def _with_data(spark, d):
+    """Commands whose changes and data are of three kinds: a whole search, its number of adults, a status of payment."""
+    c = samples.commands(spark, d)
+    search = """concat('{"tripType":"one-way","origin":"AMS","destination":"JFK","departureDate":"2030-01-01","passengers":{"adults":', k % 4 - 1, ',"children":0}}')"""
+    change = F.expr(f"""case k % 9 when 0 then struct('/search' as path, {search} as value) when 1 then struct('/booking/paymentStatus' as path, if(k % 2 = 0, '"paid"', '7') as value)
+        when 2 then struct('/search/passengers/' as path, 'null' as value) else struct('/search/passengers/adults' as path, cast(k % 5 - 1 as string) as value) end""")
+    data = F.expr(f"""case when k % 3 = 0 then concat('{{"search":', {search}, '}}') else concat('{{"booking":{{"paymentStatus":', if(k % 2 = 0, '"open"', 'null'), '}}}}') end""")
+    return c.withColumn("changes", F.when(F.col("command") == "SetAttributes", F.array(change))).withColumn("data", F.when(F.col("command") == "Capture", data))
+
+
+@query
+def K5_admit_data(spark, d):
+    done = admit.admit_data(_with_data(spark, d), classify.BOOKING, validate.BOOKING)
+    return done.where("command in ('Capture', 'SetAttributes')").select("aggregate_id", "sequence", "command", "error", F.array_join("reasons", ",").alias("reasons"))
+
+
 @query
 def K7_admit_forget_subject(spark, d):
     bound = pii.slots(samples.personal_log(spark, d)).withColumn("forgotten", F.lit(False))
@@ -413,10 +429,9 @@ def R2_evaluate_next_steps(spark, d):
 
 @query
 def V2_validate_after_merge(spark, d):
-    b = samples.booking_bags(spark, d)
-    origin = F.coalesce("origin", F.lit("NEW"))
-    merged = b.withColumn("doc", F.expr("to_json(struct(struct(trip_type as tripType, coalesce(origin, 'NEW') as origin, destination, cast(departure_date as string) as departureDate, struct(adults, children) as passengers) as search))"))
-    return validate.validate(merged, "doc", validate.BOOKING).select("aggregate_id", origin.alias("origin"), "valid")
+    change = F.struct(F.lit("/search/origin").alias("path"), F.concat(F.lit('"'), F.coalesce("origin", F.lit("NEW")), F.lit('"')).alias("value"))
+    merged = documents.assign_changes(samples.booking_bags(spark, d).withColumn("changes", F.array(change)), "doc", "changes")
+    return validate.validate(merged, "merged", validate.BOOKING).select("aggregate_id", F.get_json_object("merged", "$.search.origin").alias("origin"), "valid")
 
 
 @query

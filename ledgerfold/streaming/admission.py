@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame
 
+from ..operators import documents
 from ..operators.classify import AttributeSchema
 
 VERDICTS = "aggregate_id string, sequence long, command string, error string, slot_subject string, from_step string"
-STATE = "started boolean, completed boolean, slots string, step string"
+STATE = "started boolean, completed boolean, slots string, step string, doc string"
 
 
-def verdict(state: dict, c, schema: AttributeSchema) -> str | None:
-    """The error of a command, or None; an accepted one changes state (started, completed, slots, step)."""
+def verdict(state: dict, c, schema: AttributeSchema, check: Callable[[Any], list[str]] | None = None) -> str | None:
+    """The error of a command, or None; an accepted one changes state (started, completed, slots, step, doc). With check, a command has changes (path, JSON text) and data (JSON
+    text), which are validated as documents.step says."""
     slots = state["slots"]
     if c.command == "Start":
         if state["started"]:
@@ -31,6 +35,21 @@ def verdict(state: dict, c, schema: AttributeSchema) -> str | None:
             return "PersonRefConflict"
     elif c.command == "CapturePersonDetails" and c.person_ref not in slots:
         return "PersonNotFound"
+    elif check and c.command == "SetAttributes":
+        changes = [(w["path"], w["value"]) for w in (c.changes if c.changes is not None else [])]
+        if not changes:
+            return "InvalidData"
+        kinds = {path: schema.kind(path) for path, _ in changes}
+        if "unknown" in kinds.values():
+            return "UnknownAttributePath"
+        if any(kind == "secret" and [*path.split("/"), None, None][2] not in slots for path, kind in kinds.items()):
+            return "PersonNotFound"
+        if plain := [w for w in changes if kinds[w[0]] == "plaintext"]:
+            state["doc"], error, _ = documents.step(state["doc"], None, plain, check)
+            return error
+    elif check and c.command == "Capture":
+        state["doc"], error, _ = documents.step(state["doc"], c.data, None, check)
+        return error
     elif c.command == "SetAttributes":
         if c.path is None:
             return "InvalidData"
@@ -42,28 +61,29 @@ def verdict(state: dict, c, schema: AttributeSchema) -> str | None:
     return None
 
 
-def admit_stream(commands: DataFrame, schema: AttributeSchema) -> DataFrame:
+def admit_stream(commands: DataFrame, schema: AttributeSchema, json_schema: dict | None = None) -> DataFrame:
     """commands (aggregate_id, sequence, command, person_ref, subject_id, path, step) with their verdicts; rejected ones have an error, which is the side output. Within a batch
-    commands are taken in sequence; across batches in the order they come."""
+    commands are taken in sequence; across batches in the order they come. With json_schema, commands have changes and data in place of path and the verdicts are admit_data's."""
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     names = [c.split()[0] for c in VERDICTS.split(", ")]
 
     def step(key, frames, state):
-        started, completed, slots, at = state.get if state.exists else (False, False, "{}", None)
-        now = {"started": started, "completed": completed, "slots": json.loads(slots), "step": at}
+        started, completed, slots, at, doc = state.get if state.exists else (False, False, "{}", None, "{}")
+        now = {"started": started, "completed": completed, "slots": json.loads(slots), "step": at, "doc": json.loads(doc)}
+        check = documents.checker(json_schema) if json_schema else None
         rows = pd.concat(list(frames)).sort_values("sequence")
         rows = rows.astype(object).where(rows.notna(), None)
         out = []
         for c in rows.itertuples():
             before = now["step"]
-            error = verdict(now, c, schema)
+            error = verdict(now, c, schema, check)
             if error is None and c.command == "Capture":
                 now["step"] = c.step
             out.append((key[0], int(c.sequence), c.command, error, now["slots"].get(c.person_ref) if c.person_ref else None, before))
-        state.update((now["started"], now["completed"], json.dumps(now["slots"]), now["step"]))
+        state.update((now["started"], now["completed"], json.dumps(now["slots"]), now["step"], json.dumps(now["doc"])))
         yield pd.DataFrame(out, columns=names)
 
-    few = commands.select("aggregate_id", "sequence", "command", "person_ref", "subject_id", "path", "step")
+    few = commands.select("aggregate_id", "sequence", "command", "person_ref", "subject_id", *(["changes", "data"] if json_schema else ["path"]), "step")
     return few.groupBy("aggregate_id").applyInPandasWithState(step, VERDICTS, STATE, "append", GroupStateTimeout.NoTimeout)

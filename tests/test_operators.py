@@ -8,7 +8,7 @@ import pytest
 from hypothesis import HealthCheck, Phase, given, settings
 from hypothesis import strategies as hs
 from ledgerfold.functions import paths
-from ledgerfold.operators import admit, classify, fold, keys, pii, rules, validate, views
+from ledgerfold.operators import admit, classify, documents, fold, keys, pii, rules, validate, views
 from ledgerfold.sources import event_log
 from pyspark.sql import functions as F
 
@@ -183,6 +183,59 @@ def test_admission(spark):
     assert events == [(11, "JourneyModified"), (11, "WorkflowEvaluated"), (11, "StepProgressed"), (12, "JourneyModified"), (12, "WorkflowEvaluated")]
 
 
+FULL = {"tripType": "one-way", "origin": "A", "destination": "B", "departureDate": "d", "passengers": {"adults": 1, "children": 0}}
+DATA = CMD + ", changes array<struct<path string, value string>>, data string"
+
+
+def test_admission_with_data(spark):
+    sets = lambda *w: [(p, None if v is None else json.dumps(v)) for p, v in w]
+    c = [
+        (1, "Start", None, None), (2, "SetAttributes", sets(("/search/origin", "A")), None), (3, "SetAttributes", sets(("/search", FULL)), None), (4, "SetAttributes", sets(("/search/origin", "C")), None),
+        (5, "SetAttributes", sets(("/search/passengers/adults", -1)), None), (6, "SetAttributes", sets(("/booking/list", [1]), ("/booking/list/1", 2)), None), (7, "SetAttributes", sets(("/booking/list/3", 2)), None),
+        (8, "SetAttributes", sets(("/booking/list/x", 2), ("/search/passengers/adults", -1)), None), (9, "SetAttributes", sets(("/booking/list/x", 2), ("/bad", 1)), None), (10, "SetAttributes", [], None),
+        (11, "Capture", None, '{"search":{"origin":"A"}}'), (12, "Capture", None, '{"search":null}'), (13, "Capture", None, None), (14, "Capture", None, '{"booking":{"list":null}}'),
+        (15, "SetAttributes", sets(("/booking/list/7", 2)), None), (16, "SetAttributes", [("/search/x", "no json")], None), (17, "SetAttributes", sets(("/booking/n", None)), None),
+        (18, "SetAttributes", None, None), (19, "Complete", None, None), (20, "Capture", None, "{}"),
+    ]
+    rows = [("a", n, cmd, None, None, None, f"s{n}" if cmd == "Capture" else None, None, w, d) for n, cmd, w, d in c]
+    rows += [("b", 1, "SetAttributes", None, None, None, None, None, sets(("/search", FULL)), None), (None, 1, "Start", *[None] * 7)]
+    done = admit.admit_data(spark.createDataFrame(rows, DATA).repartition(3), classify.BOOKING, validate.BOOKING)
+    got = {r.sequence: (r.error, r.from_step) for r in done.where("aggregate_id = 'a'").collect()}
+    bad, pointer = "InvalidData", "InvalidJsonPointer"
+    want = [None, bad, None, None, bad, None, pointer, pointer, "UnknownAttributePath", bad, bad, bad, bad, None, None, bad, None, bad, None, "AlreadyCompleted"]
+    assert [got[n][0] for n in range(1, 21)] == want
+    assert got[14][1] is None and got[15][1] == "s14"  # refused captures move no step
+    assert [r.error for r in done.where("aggregate_id = 'b'").collect()] == ["NotFound"]
+    assert done.count() == len(rows)
+    assert admit.admit_data(spark.createDataFrame([], DATA), classify.BOOKING, validate.BOOKING).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("doc", "pointer", "want"),
+    [({}, "/a/0/b", {"a": [{"b": 9}]}), ({}, "/a/1", {"a": {"1": 9}}), ({"a": 1}, "/a/b", {"a": {"b": 9}}), ({"a": [1]}, "/a/-", {"a": [1, 9]}), ({"a": [1]}, "/a/1/0", {"a": [1, [9]]}),
+     ({"a": [1]}, "/a/0", {"a": [9]}), ({"a": [1]}, "/a/2", "OutOfBounds"), ({"a": [1]}, "/a/01", "FailedToParseIndex"), ({"a/b": {"~": 1}}, "/a~1b/~0", {"a/b": {"~": 9}}), (None, "", 9), ({"a": None}, "/a/-/x", {"a": [{"x": 9}]})],
+)
+def test_assignment(doc, pointer, want):
+    if isinstance(want, str):
+        with pytest.raises(documents.PointerError, match=want):
+            documents.assign(doc, pointer, 9)
+    else:
+        assert documents.assign(doc, pointer, 9) == want
+
+
+def test_checker_equals_validate(spark):
+    schema = {
+        "type": "object", "required": ["a"], "additionalProperties": False,
+        "properties": {"a": {"type": ["integer", "null"], "minimum": 0, "maximum": 5}, "b": {"type": "array", "items": {"$ref": "#/$defs/s"}}, "c": {"anyOf": [{"type": "null"}, {"$ref": "#/$defs/s"}]}, "d": {"oneOf": [{"type": "number"}, {"type": "integer"}]}, "e": {"enum": ["x", "y"]}},
+        "$defs": {"s": {"type": "string", "minLength": 2}},
+    }
+    values = [None, -1, 3, 9, 1.5, "x", "xyz", True, [], ["ab", "a", 1], {}, {"a": 1}]
+    docs = [{k: v} for k in "abcdez" for v in values] + [{"a": 1, k: v} for k in "bcdez" for v in values] + values
+    df = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)] + [(-1, "{")], "i long, doc string")
+    check = documents.checker(schema)
+    assert {r.i: r.errors for r in validate.validate(df, "doc", schema).collect()} == {-1: check(documents.BAD), **{i: check(d) for i, d in enumerate(docs)}}
+
+
 def test_forgetting_twice_is_once(spark):
     slots = spark.createDataFrame([("a", "p", "s1", False), ("a", "q", "s1", False), ("b", "p", "s1", True), ("b", "q", "s2", False)], "aggregate_id string, person_ref string, subject_id string, forgotten boolean")
     req = spark.createDataFrame([("s1",), ("s1",), ("none",)], "subject_id string")

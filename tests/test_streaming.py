@@ -3,7 +3,8 @@
 import time
 
 import pytest
-from ledgerfold.operators import admit, classify, fold, keys
+from ledgerfold.operators import admit, classify, fold, keys, validate
+from ledgerfold.plans import queries
 from ledgerfold.sources import event_log, samples
 from ledgerfold.streaming import admission
 from ledgerfold.streaming import store as st
@@ -87,6 +88,19 @@ def test_admission_of_a_stream_equals_batch(spark, tmp_path):
     assert sorted(got, key=repr) == rows(want, "aggregate_id", "sequence", "error")
 
 
+def test_admission_of_a_stream_with_data_equals_batch(spark, tmp_path):
+    commands = queries._with_data(spark, DIR)
+    root = str(tmp_path / "commands")
+    for part in ("sequence <= 20", "sequence > 20"):
+        commands.where(part).coalesce(1).write.mode("append").parquet(root)
+    feed = spark.readStream.schema(commands.schema).option("maxFilesPerTrigger", 1).parquet(root)
+    got = []
+    stream = admission.admit_stream(feed, classify.BOOKING, validate.BOOKING)
+    st.run_available(stream, lambda b, _: got.extend(map(tuple, b.select("aggregate_id", "sequence", "error", "from_step").collect())), str(tmp_path / "c4"))
+    want = admit.admit_data(commands, classify.BOOKING, validate.BOOKING)
+    assert sorted(got, key=repr) == rows(want, "aggregate_id", "sequence", "error", "from_step")
+
+
 PEOPLE = [
     ("a", 1, "JourneyOpened", '{"Started":{"id":"a"}}'),
     ("a", 2, "PersonCaptured", '{"PersonCaptured":{"person_ref":"p","subject_id":"s1","name":"Ann","email":"Ann@x.org","phone":null}}'),
