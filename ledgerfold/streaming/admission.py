@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from ..operators import documents
 from ..operators.classify import AttributeSchema
 
-VERDICTS = "aggregate_id string, sequence long, command string, error string, slot_subject string, from_step string"
+VERDICTS = "aggregate_id string, sequence long, command string, error string, slot_subject string, from_step string, person_ref string, subject_id string, step string"
 STATE = "started boolean, completed boolean, slots string, step string, doc string"
 
 
@@ -63,7 +63,8 @@ def verdict(state: dict, c, schema: AttributeSchema, check: Callable[[Any], list
 
 def admit_stream(commands: DataFrame, schema: AttributeSchema, json_schema: dict | None = None) -> DataFrame:
     """commands (aggregate_id, sequence, command, person_ref, subject_id, path, step) with their verdicts; rejected ones have an error, which is the side output. Within a batch
-    commands are taken in sequence; across batches in the order they come. With json_schema, commands have changes and data in place of path and the verdicts are admit_data's."""
+    commands are taken in sequence; across batches in the order they come. With json_schema, commands have changes and data in place of path and the verdicts are admit_data's.
+    admit.emitted turns the verdicts into the stream of accepted events."""
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -81,7 +82,7 @@ def admit_stream(commands: DataFrame, schema: AttributeSchema, json_schema: dict
             error = verdict(now, c, schema, check)
             if error is None and c.command == "Capture":
                 now["step"] = c.step
-            out.append((key[0], int(c.sequence), c.command, error, now["slots"].get(c.person_ref) if c.person_ref else None, before))
+            out.append((key[0], int(c.sequence), c.command, error, now["slots"].get(c.person_ref) if c.person_ref else None, before, c.person_ref, c.subject_id, c.step))
         state.update((now["started"], now["completed"], json.dumps(now["slots"]), now["step"], json.dumps(now["doc"])))
         yield pd.DataFrame(out, columns=names)
 

@@ -99,6 +99,9 @@ def test_admission_of_a_stream_with_data_equals_batch(spark, tmp_path):
     st.run_available(stream, lambda b, _: got.extend(map(tuple, b.select("aggregate_id", "sequence", "error", "from_step").collect())), str(tmp_path / "c4"))
     want = admit.admit_data(commands, classify.BOOKING, validate.BOOKING)
     assert sorted(got, key=repr) == rows(want, "aggregate_id", "sequence", "error", "from_step")
+    events = []
+    st.run_available(admit.emitted(admission.admit_stream(feed, classify.BOOKING, validate.BOOKING)), lambda b, _: events.extend(map(tuple, b.collect())), str(tmp_path / "c5"))
+    assert sorted(events, key=repr) == rows(admit.emitted(want), "aggregate_id", "sequence", "n", "event_type", "person_ref", "subject_id")
 
 
 PEOPLE = [
