@@ -68,4 +68,44 @@ sizes as (select doc_id, count(*) as n from shingles group by doc_id)
 select doc_id, coalesce(n, 0)::bigint as n_shingles, root::bigint as component_id, doc_id = root as kept from reached left join sizes using (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_suffix_dedup": _OP2, "op3_chat_format": _OP3, "op5_substring_dedup": _OP5, "op10_minhash_near_dedup": _OP10}
+_OP11 = """
+with whole as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select a.vec_id as anchor_id, a.label as own, c.vec_id, c.label, list_inner_product(a.v, c.v)::bigint as score
+  from whole a join whole c on a.vec_id % 100 = 0 and len(a.v) = len(c.v) and a.vec_id <> c.vec_id),
+near as (select anchor_id, vec_id as positive_id, score as positive_score from scored where own = label qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+ranked as (
+  select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) as rank, vec_id as negative_id, positive_score, score as negative_score
+  from near join scored using (anchor_id) where own <> label and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from ranked where rank <= 5
+"""
+
+# A run has equal strings of 16 words one period apart at every place but its last ones: of 24 words with a period to 8, and of two periods of more. Islands of such pairs are the runs.
+_OP13 = f"""
+with bytes as (select doc_id, unnest(range(1, len(doc_id::varchar) + 1)) as pos, ascii(substr(doc_id::varchar, pos::int, 1)) as b from documents),
+codes as (
+  select doc_id, xor(list_reduce(list_prepend(4294967295::bigint, list(b::bigint order by pos)), lambda acc, x: list_reduce(list_prepend(xor(acc, x), range(8)), lambda c, i: xor(c >> 1, (c & 1) * 3988292384::bigint))), 4294967295::bigint) as h
+  from bytes group by doc_id),
+listed as (select doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') as ws, len(ws)::bigint as n, coalesce(h, 1) as h, coalesce(h, 1) // 10 as g from documents left join codes using (doc_id)),
+planted as (select doc_id, ws, n, h, g, case when h % 10 = 0 and n > 0 then g % n end as a from listed),
+sized as (select *, 1 + (n - a) // (3 + g % 8) as p from planted),
+texts as (select doc_id, n, case when a is null then ws else list_transform(range(n), lambda i: ws[(case when i < a then i else a + (i - a) % p end) + 1]) end as ws from sized),
+pieces as (select doc_id, base, ws[base + 1:base + 64 + 15] as piece from texts, unnest(range(0, n - 15, 64)) t(base)),
+windows as (select doc_id, base + o - 1 as i, md5_number(array_to_string(piece[o:o + 15], ' ')) as k from pieces, unnest(range(1, len(piece) - 14)) t(o)),
+pairs as (select x.doc_id, x.i, y.i - x.i as q from windows x join windows y on x.doc_id = y.doc_id and x.k = y.k and x.i < y.i),
+islands as (select doc_id, q, i, i - row_number() over (partition by doc_id, q order by i) as island from pairs),
+stretches as (select doc_id, q, min(i) as s, max(i) - min(i) + 16 + q as n from islands group by doc_id, q, island),
+runs as (select doc_id, s, n, min(q) as q from stretches where n >= greatest(24, 3 * q) group by doc_id, s, n),
+best as (select doc_id, s, n, q from runs qualify row_number() over (partition by doc_id order by n::hugeint * 1000000000000 // q desc, s, q) = 1),
+lines as (select doc_id, count(*) as n_runs, string_agg(s || ',' || n || ',' || q || chr(10), '' order by s, q) as said from runs group by doc_id),
+gone as (select distinct doc_id, unnest(range(s + q, s + n)) as pos from runs),
+words as (select doc_id, unnest(ws) as word, unnest(range(n)) as pos from texts),
+kept as (select doc_id, string_agg(word, ' ' order by pos) as rest from words anti join gone using (doc_id, pos) group by doc_id)
+select doc_id, coalesce(n_runs, 0)::bigint as n_runs, s::bigint as start, best.n::bigint as length, q::bigint as period, (1000 * best.n // q)::bigint as exponent_milli,
+  sha256(coalesce(said, '')) as runs_sha256, sha256(coalesce(rest, '')) as collapsed_sha256
+from texts left join best using (doc_id) left join lines using (doc_id) left join kept using (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_suffix_dedup": _OP2, "op3_chat_format": _OP3, "op5_substring_dedup": _OP5, "op10_minhash_near_dedup": _OP10, "op11_hard_negatives": _OP11, "op13_periodic_runs": _OP13}

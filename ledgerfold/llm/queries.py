@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat_format, html_extract, language_id, near_dedup, packing, quality_rules, substring_dedup, suffix_dedup
+from . import ann, bpe, chat_format, hard_negatives, html_extract, language_id, near_dedup, packing, periodic_runs, quality_rules, substring_dedup, suffix_dedup
 from .oracle import ORACLE_SQL as ORACLE_SQL
 
 
@@ -64,6 +64,30 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(_read(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = _read(spark, sf_dir, "embeddings").select("vec_id", moved.alias("label"), "embedding")
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    # each regular expression and array once a row: a lambda's variable is bound, a column may be copied into every use
+    planted = r"""transform(transform(array(struct(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0) as w, crc32(cast(doc_id as string)) div 10 as g)),
+        s -> struct(s.w, s.g % size(s.w) as a, s.g)),
+        s -> array_join(transform(s.w, (x, i) -> if(i < s.a, x, s.w[cast(s.a + (i - s.a) % (1 + (size(s.w) - s.a) div (3 + s.g % 8)) as int)])), ' '))[0]"""
+    text = F.when(F.expr("crc32(cast(doc_id as string)) % 10 = 0 and text is not null"), F.expr(planted)).otherwise(F.col("text"))
+    found = periodic_runs.collapse(docs.select("doc_id", text.alias("text")))
+    best = """array_sort(runs, (x, y) -> case when x.length * y.period <> y.length * x.period then if(x.length * y.period > y.length * x.period, -1, 1)
+        when x.start <> y.start then if(x.start < y.start, -1, 1) when x.period <> y.period then if(x.period < y.period, -1, 1) else 0 end)"""
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    out = found.withColumn("b", F.expr(f"get({best}, 0)"))
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "b.start", "b.length", "b.period", F.expr("1000 * b.length div b.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("kept_text", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -75,4 +99,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_html_extract": op9_html_extract,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op13_periodic_runs": op13_periodic_runs,
 }
