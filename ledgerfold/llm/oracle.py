@@ -68,6 +68,8 @@ sizes as (select doc_id, count(*) as n from shingles group by doc_id)
 select doc_id, coalesce(n, 0)::bigint as n_shingles, root::bigint as component_id, doc_id = root as kept from reached left join sizes using (doc_id)
 """
 
+_OP12 = _OP10.replace("85", "90").replace(" as component_id, doc_id = root as kept", " as component_id")
+
 _OP11 = """
 with whole as (
   select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
@@ -108,4 +110,4 @@ select doc_id, coalesce(n_runs, 0)::bigint as n_runs, s::bigint as start, best.n
 from texts left join best using (doc_id) left join lines using (doc_id) left join kept using (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_suffix_dedup": _OP2, "op3_chat_format": _OP3, "op5_substring_dedup": _OP5, "op10_minhash_near_dedup": _OP10, "op11_hard_negatives": _OP11, "op13_periodic_runs": _OP13}
+ORACLE_SQL: dict[str, str] = {"op2_suffix_dedup": _OP2, "op3_chat_format": _OP3, "op5_substring_dedup": _OP5, "op10_minhash_near_dedup": _OP10, "op11_hard_negatives": _OP11, "op12_ngram_jaccard_join": _OP12, "op13_periodic_runs": _OP13}

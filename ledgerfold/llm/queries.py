@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat_format, hard_negatives, html_extract, language_id, near_dedup, packing, periodic_runs, quality_rules, substring_dedup, suffix_dedup
+from . import ann, bpe, chat_format, hard_negatives, html_extract, language_id, near_dedup, packing, periodic_runs, quality_rules, set_join, substring_dedup, suffix_dedup
 from .oracle import ORACLE_SQL as ORACLE_SQL
 
 
@@ -70,6 +70,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
 
 
+def op12_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.join_groups(_read(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     # each regular expression and array once a row: a lambda's variable is bound, a column may be copied into every use
@@ -100,5 +104,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_extract": op9_html_extract,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_ngram_jaccard_join": op12_ngram_jaccard_join,
     "op13_periodic_runs": op13_periodic_runs,
 }
