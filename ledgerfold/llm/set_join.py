@@ -4,13 +4,12 @@ A document is the set of its distinct shingles of ``size`` words (64-bit hashes)
 o = ceil(percent * (n + m) / (100 + percent)) elements, so in any one order of all shingles they share one of the first n - ceil(n * percent / 100) + 1 of each: the prefix. Every prefix element has an index
 list of (set size, position, set) entries, and only sets that meet in a list are compared.
 
-Order. Shingles stand in the order of their hashes, but those that many sets have are put off by up to ``SHIFT`` of the range of hashes, the more the more sets have them. Which elements can be in a prefix
-under any such order is known before the counts are (hash at most ``SHIFT`` above that of the plain prefix), so only these are kept and counted, over all distinct sets. The ``COMMON`` most
-frequent ones are put off; that bound limits what reaches the driver, and changes lengths of lists but no result.
+Order. Shingles stand in the order of their hashes, but those that several sets have are put off by up to ``SHIFT`` of the range of hashes, the more the more sets have them. Which elements can be in a prefix
+under any such order is known before the counts are (hash at most ``SHIFT`` above that of the plain prefix), so only these are kept (low) and counted, over all distinct sets. A set whose prefix holds no shared element is done.
 
 Index-level skipping. A list is sorted by size and, within a size, by position: blocks in which, once an entry stands too far back for o elements to be left, all later ones do. Blocks too small for the probing set
-and entries beyond that position are passed over. A list is read as a stream, in which each entry is paired with the last one that could still reach it. Lists of very frequent elements are
-salted by element and set, so the parts differ from list to list.
+and entries beyond that position are passed over. A short list gives all pairs that are left. A long one is read as a stream, in which each entry is paired with the last one that could still reach it; lists of frequent elements are
+dealt to parts by element and set, so the parts differ from list to list.
 
 Answer-level skipping. What joins two groups is then looked for in lists that still hold several groups: blocks of members are compared through an index of their whole sets. The overlaps of the first set of a group with all others are
 counted from the index; those of the next, similar set are derived from them by the lists of the few elements that only one of both has. Members of one group are not compared.
@@ -32,10 +31,12 @@ from pyspark.sql import functions as F
 from .near_dedup import Forest, components, digests, links_by_doc_id, meets, open_buckets
 from .textops import Texts, binaries, bounded_batches, chunks, map_arrow, mix, release, shared_checkpoint
 
-SHIFT = 1 << 60  # an eighth of the range of places
-COMMON = 100_000
-#: Sets that have an element before it is put off, and sets of one part of a list.
-OFTEN, PART = 8, 4096
+SHIFT = 1 << 59  # a sixteenth of the range of places
+#: From so many sets on, an element counts as frequent, and its list is dealt to so many parts.
+OFTEN, PARTS = 64, 16
+#: Lists of so many sets are compared pair by pair.
+FEW = 8
+BITMAP_PARTS = 2048
 _U = np.uint64
 
 
@@ -75,8 +76,8 @@ def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
     return n + n * -percent // 100 + 1
 
 
-def heads(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """row (a number), doc_id, n_shingles, node (a digest of the set) and low: the shingles, ascending, that can be in the prefix; null for all but one of the equal sets of a chunk."""
+def heads(docs: DataFrame, size: int, percent: int, with_low: bool) -> DataFrame:
+    """doc_id, n_shingles, node (a digest of the set) and, if asked for, low: the shingles, ascending, that can be in the prefix; null for all but one of the equal sets of a chunk."""
     bounded_batches(docs.sparkSession)
 
     def run(batch: pa.RecordBatch):
@@ -84,121 +85,165 @@ def heads(docs: DataFrame, size: int, percent: int) -> DataFrame:
             t = raw.lower()
             h, offs = shingle_sets(t, size)
             n = np.diff(offs)
-            filled = np.flatnonzero(n)
-            limit = np.zeros(n.size, dtype=_U)
-            limit[filled] = (h[offs[filled] + prefix_size(n[filled], percent) - 1] >> _U(1)) + _U(SHIFT)
-            low = (h >> _U(1)) <= np.repeat(limit, n)
-            node = digests(h, offs)
-            many = np.concatenate([[0], np.cumsum(low)])[offs]
-            seen: set = set()
-            ids = batch.column("doc_id")[t.rows]
-            again = np.array([i is None or x is None or x in seen or seen.add(x) is not None for i, x in zip(ids.to_pylist(), node.to_pylist())], dtype=bool)
-            packed = binaries(h[low], 8 * many)
-            yield {"doc_id": ids, "n_shingles": n.astype(np.int64), "node": node, "low": pc.if_else(pa.array(again), pa.scalar(None, pa.binary()), packed)}
-
-    out = map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_shingles long, node binary, low binary")
-    return out.withColumn("row", F.monotonically_increasing_id())
-
-
-def frequent(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The COMMON elements of low that most sets have, ascending, and how many sets have them."""
-
-    def run(batch: pa.RecordBatch):
-        x, count = np.unique(numbers(batch.column("low"))[0], return_counts=True)
-        yield {"x": x.view(np.int64), "n": count.astype(np.int64)}
-
-    total = map_arrow(nodes.select("low"), run, "x long, n long").groupBy("x").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
-    rows = total.orderBy(F.desc("n"), "x").limit(COMMON).toArrow()
-    x, n = rows.column("x").to_numpy().astype(_U), rows.column("n").to_numpy()
-    order = np.argsort(x)
-    return x[order], n[order]
+            node, ids = digests(h, offs), batch.column("doc_id")[t.rows]
+            out = {"doc_id": ids, "n_shingles": n.astype(np.int64), "node": node}
+            if with_low:
+                filled = np.flatnonzero(n)
+                limit = np.zeros(n.size, dtype=_U)
+                limit[filled] = (h[offs[filled] + prefix_size(n[filled], percent) - 1] >> _U(1)) + _U(SHIFT)
+                low = (h >> _U(1)) <= np.repeat(limit, n)
+                seen: set = set()
+                again = np.array([i is None or x is None or x in seen or seen.add(x) is not None for i, x in zip(ids.to_pylist(), node.to_pylist())], dtype=bool)
+                low &= ~np.repeat(again, n)
+                packed = binaries(h[low], 8 * np.concatenate([[0], np.cumsum(low)])[offs])
+                out["low"] = pc.if_else(pa.array(again), pa.scalar(None, pa.binary()), packed)
+            yield out
+
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_shingles long, node binary" + ", low binary" * with_low)
+
+
+def shared_elements(nodes: DataFrame) -> DataFrame:
+    """id, element and often of the elements of low that several sets have in low: often is how many, OFTEN at most. Elements come as sorted streams."""
+
+    def run_rows(batch: pa.RecordBatch):
+        low, offs = numbers(batch.column("low"))
+        yield {"element": low.view(np.int64), "id": np.repeat(batch.column("id").to_numpy(), np.diff(offs))}
 
+    rows = map_arrow(nodes.select("id", "low"), run_rows, "element long, id long").repartition("element").sortWithinPartitions("element")
 
-def postings(nodes: DataFrame, percent: int, common: np.ndarray, often: np.ndarray) -> DataFrame:
-    """element, part (0 if the list is whole), id, n and position of the prefix of each set."""
-    put_off = (np.minimum(np.log2(np.maximum(often, 1)) / 12, 1) * SHIFT).astype(_U)
-    parts = -(-often // PART)
+    def run(batches):
+        held_x, held = np.zeros(0, np.int64), np.zeros(0, np.int64)  # the last element's sets, as long as they are fewer than OFTEN
+        full = None  # an element that has reached OFTEN
+        for batch in batches:
+            x, ids = np.concatenate([held_x, batch.column(0).to_numpy()]), np.concatenate([held, batch.column(1).to_numpy()])
+            start = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+            count = np.diff(np.append(start, x.size))
+            if full is not None and x[0] == full:
+                count[0] += OFTEN  # with those that have gone before
+            keep = x.size
+            full = x[-1] if count[-1] >= OFTEN else None
+            if full is None:
+                keep = start[-1]
+            often = np.repeat(np.minimum(count, OFTEN), np.diff(np.append(start, x.size)))[:keep]
+            many = np.flatnonzero(often > 1)
+            yield pa.RecordBatch.from_pydict({"id": ids[:keep][many], "element": x[:keep][many], "often": often[many].astype(np.int32)})
+            held_x, held = x[keep:].copy(), ids[keep:].copy()
+        if held.size > 1:
+            yield pa.RecordBatch.from_pydict({"id": held, "element": held_x, "often": np.full(held.size, held.size, dtype=np.int32)})
+
+    return rows.mapInArrow(run, "id long, element long, often int")
+
+
+def postings(nodes: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """element, part (0 if the list is whole), id, n and position of those elements of each set's prefix that other sets have."""
+    own = shared.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("element", "often"))).alias("s"))  # no more than the set's own elements
+    rows = own.join(nodes.select("id", "n_shingles", "low"), "id").select("id", "n_shingles", "low", F.col("s.element").alias("element"), F.col("s.often").alias("often"))
 
     def run(batch: pa.RecordBatch):
         low, offs = numbers(batch.column("low"))
-        n = batch.column("n_shingles").to_numpy()
-        ids = batch.column("id").to_numpy()
+        n, ids = batch.column("n_shingles").to_numpy(), batch.column("id").to_numpy()
         owner = np.repeat(np.arange(n.size), np.diff(offs))
-        rank, part = low >> _U(1), np.ones(low.size, dtype=np.int64)
-        if common.size:
-            at = np.minimum(np.searchsorted(common, low), common.size - 1)
-            hit = np.flatnonzero(common[at] == low)
-            rank[hit] += put_off[at[hit]]
-            part[hit] = parts[at[hit]]
+        rank, often = low >> _U(1), np.ones(low.size, dtype=np.int64)
+        element = batch.column("element")
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in element])])
+        mine, count = element.flatten().to_numpy().view(_U), batch.column("often").flatten().to_numpy()
+        for k in range(n.size):
+            at = offs[k] + np.searchsorted(low[offs[k] : offs[k + 1]], mine[ends[k] : ends[k + 1]])
+            often[at] = count[ends[k] : ends[k + 1]]
+        # shared elements are put off by half of SHIFT at least, frequent ones by all of it
+        rank += np.where(often > 1, (np.log2(2 * often) / np.log2(2 * OFTEN) * SHIFT), 0).astype(_U)
         order = np.lexsort((low, rank, owner))
-        low, part = low[order], part[order]
+        low, often = low[order], often[order]
         position = np.arange(low.size) - offs[owner]
-        first = position < prefix_size(n, percent)[owner]
-        low, part, owner, position = low[first], part[first], owner[first], position[first]
-        salt = (mix(low ^ ids[owner].astype(_U)) >> _U(1)).astype(np.int64) % part + (part > 1)
+        first = (position < prefix_size(n, percent)[owner]) & (often > 1)
+        low, often, owner, position = low[first], often[first], owner[first], position[first]
+        salt = np.where(often < OFTEN, 0, (mix(low ^ ids[owner].astype(_U)) >> _U(1)).astype(np.int64) % PARTS + 1)
         yield {"element": low.view(np.int64), "part": salt.astype(np.int32), "id": ids[owner], "n": n[owner].astype(np.int32), "position": position.astype(np.int32)}
 
-    return map_arrow(nodes.select("id", "n_shingles", "low"), run, "element long, part int, id long, n int, position int")
+    return map_arrow(rows, run, "element long, part int, id long, n int, position int")
 
 
 def shared_lists(entries: DataFrame, percent: int) -> DataFrame:
-    """element, id, n and mate of the entries of lists of several sets, or of several parts: mate is an earlier entry that size and position leave possible, null if there is none.
+    """element, id, n and mate. Of a list of up to FEW sets: all pairs (id, mate) that size and position leave possible, with a null element. Of others: every entry, with an earlier entry that it may link with as mate, or null.
 
-    Lists come as sorted streams. The entry that later ones are paired with is replaced once it is too small, or stands too far back, for the next."""
-    few = entries.repartition("element", "part").sortWithinPartitions("element", "part", "n", "position", "id")
+    Lists come as sorted streams. The entry that later ones of a long list are paired with is replaced once it is too small, or stands too far back, for the next."""
+    rows = entries.repartition("element", "part").sortWithinPartitions("element", "part", "n", "position", "id")
+
+    def pair(x, y):
+        """Whether x can still reach a set of y's size, and whether both can be linked through this list."""
+        need = -(-percent * (x[3] + y[3]) // (100 + percent))
+        fits = 100 * x[3] >= percent * y[3] and x[3] - x[4] >= need
+        return fits, fits and y[3] - y[4] >= need
 
     def run(batches):
-        last, out = None, []  # last: element, part, id, n, position and whether it has been given out
+        few, hub, out = [], None, []  # the entries of a list that is short so far; of a long one the entry to be paired with
+
+        def long_list(e):
+            nonlocal hub
+            fits, both = pair(hub, e) if hub is not None else (False, False)
+            out.append((e[0], e[2], e[3], hub[2] if both else None))
+            if not fits:
+                hub = e
 
-        def pair(x, y):
-            need = -(-percent * (x[3] + y[3]) // (100 + percent))
-            fits = 100 * x[3] >= percent * y[3] and x[3] - x[4] >= need
-            return fits, fits and y[3] - y[4] >= need
+        def short_list():
+            for y, e in enumerate(few):
+                out.extend((None, e[2], e[3], x[2]) for x in few[:y] if pair(x, e)[1])
 
-        hub = None
+        last = None
         for batch in batches:
             cols = [batch.column(c).to_numpy() for c in ("element", "part", "id", "n", "position")]
             same = (cols[0][1:] == cols[0][:-1]) & (cols[1][1:] == cols[1][:-1])
-            inner = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-            inner |= cols[1] > 0
+            inner = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | (cols[1] > 0)
             inner[[0, -1]] = True  # their list may go on in another batch
             for e in zip(*(c[inner].tolist() for c in cols)):
-                if last is not None and last[:2] == e[:2]:
-                    if hub is None:
-                        hub = last
-                        out.append((last[0], last[2], last[3], None))
-                    fits, both = pair(hub, e)
-                    out.append((e[0], e[2], e[3], hub[2] if both else None))
-                    if not fits:
-                        hub = e
+                if last != e[:2]:
+                    short_list()
+                    few, hub, last = [], None, e[:2]
+                if hub is None and not e[1] and len(few) < FEW:
+                    few.append(e)
                 else:
-                    hub = None
-                    if e[1]:
-                        hub = e
-                        out.append((e[0], e[2], e[3], None))
-                last = e
+                    for x in few:
+                        long_list(x)
+                    few = []
+                    long_list(e)
             del batch, cols
-            element, ids, n, mate = zip(*out) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_pydict({"element": pa.array(element, pa.int64()), "id": pa.array(ids, pa.int64()), "n": pa.array(n, pa.int64()), "mate": pa.array(mate, pa.int64())})
-            out = []
+            yield listed(out)
+            out.clear()
             release()
+        short_list()
+        yield listed(out)
 
-    return few.mapInArrow(run, "element long, id long, n long, mate long")
+    def listed(out):
+        element, ids, n, mate = zip(*out) if out else ((), (), (), ())
+        return pa.RecordBatch.from_pydict({"element": pa.array(element, pa.int64()), "id": pa.array(ids, pa.int64()), "n": pa.array(n, pa.int64()), "mate": pa.array(mate, pa.int64())})
+
+    return rows.mapInArrow(run, "element long, id long, n long, mate long")
 
 
 def set_table(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """id and shingles (packed, ascending) of the wanted sets (doc_id of a row that has it, node, id)."""
+    """id and shingles (packed, ascending) of the wanted sets (doc_id of a row that has it, node, id).
+
+    A bitmap of BITMAP_PARTS * 4 KB at most says which documents may be wanted, so only their sets are built and shuffled; the join decides."""
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_PARTS << 15))
+    marks = wanted.select(F.bitmap_bucket_number(bit).alias("p"), F.bitmap_bit_position(bit).alias("x")).groupBy("p").agg(F.bitmap_construct_agg("x").alias("m"))
+    bitmap = np.zeros((BITMAP_PARTS + 1, 4096), dtype=np.uint8)
+    for p, m in marks.collect():  # BITMAP_PARTS rows at most
+        bitmap[p] = np.frombuffer(m, np.uint8)
+    if not bitmap.any():
+        return docs.sparkSession.createDataFrame([], "id long, shingles binary")
 
     def run(batch: pa.RecordBatch):
-        for raw in chunks(batch.column("text")):
+        p, x = batch.column("p").to_numpy(), batch.column("x").to_numpy()
+        maybe = np.flatnonzero(bitmap[p, x // 8] >> (x % 8).astype(np.uint8) & 1)
+        for raw in chunks(batch.column("text").take(pa.array(maybe))):
             h, offs = shingle_sets(raw.lower(), size)
             node = digests(h, offs)
             first = {x: k for k, x in enumerate(node.to_pylist()) if x is not None}
             yield {"node": pa.array(list(first), pa.binary()), "shingles": pa.array([h[offs[k] : offs[k + 1]].tobytes() for k in first.values()], pa.binary())}
 
-    texts = docs.join(wanted.select("doc_id").distinct(), docs["doc_id"].cast("long") == wanted["doc_id"], "left_semi").select("text")
-    found = map_arrow(texts, run, "node binary, shingles binary").join(wanted.select("node", "id"), "node")
-    return found.groupBy("id").agg(F.first("shingles").alias("shingles"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").select(F.bitmap_bucket_number(bit).alias("p"), F.bitmap_bit_position(bit).alias("x"), "text")
+    found = map_arrow(rows, run, "node binary, shingles binary").join(wanted.select("node", "id"), "node")
+    return found.groupBy("node", "id").agg(F.first("shingles").alias("shingles")).select("id", "shingles")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -301,14 +346,17 @@ def links_in_lists(lists: DataFrame, sets: DataFrame, percent: int, block: int,
 
 def join_groups(docs: DataFrame, size: int = 3, percent: int = 90, block: int = 1024) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of documents (doc_id, text): component_id is the smallest doc_id reachable by links."""
-    every = shared_checkpoint(heads(docs, size, percent))
-    named = every.where("doc_id is not null").select("row", "doc_id", "n_shingles", "node", "low")
-    rows = named.where("n_shingles > 0").groupBy("node").agg(F.min_by(F.struct("row", "doc_id"), "row").alias("r"), F.first("n_shingles").alias("n_shingles"), F.first("low", ignorenulls=True).alias("low"))
-    nodes = shared_checkpoint(rows.select(F.col("r.row").alias("id"), F.col("r.doc_id").alias("doc_id"), "node", "n_shingles", "low"))
-    shared = shared_checkpoint(shared_lists(postings(nodes, percent, *frequent(nodes)), percent))
-    wanted = nodes.select("doc_id", "node", "id").join(shared.select("id").distinct(), "id", "left_semi")
-    sets = shared_checkpoint(set_table(docs.select("doc_id", "text"), wanted, size))
-    links = verified(shared.where("mate is not null").select(F.col("id").alias("a"), F.col("mate").alias("b")).distinct(), sets, percent)
+    every = shared_checkpoint(heads(docs, size, percent, False).withColumn("row", F.monotonically_increasing_id()))
+    named = every.where("doc_id is not null")
+    filled = lambda rows: rows.where("doc_id is not null and n_shingles > 0").groupBy("node")
+    firsts = filled(every).agg(F.min("row").alias("id"), F.min_by("doc_id", "row").alias("doc_id"), F.first("n_shingles").alias("n_shingles"))
+    lows = filled(heads(docs, size, percent, True)).agg(F.first("low", ignorenulls=True).alias("low"))
+    nodes = shared_checkpoint(firsts.join(lows, "node"))
+    lists = shared_checkpoint(shared_lists(postings(nodes, shared_elements(nodes), percent), percent))
+    pairs, shared = lists.where("mate is not null").select(F.col("id").alias("a"), F.col("mate").alias("b")).distinct(), lists.where("element is not null")
+    wanted = nodes.select("doc_id", "node", "id").join(pairs.select(F.explode(F.array("a", "b")).alias("id")).union(shared.select("id")).distinct(), "id", "left_semi")
+    sets = shared_checkpoint(set_table(docs, wanted, size))
+    links = verified(pairs, sets, percent)
     shared_ids = links_by_doc_id(named, nodes)
     labels = components(links if shared_ids is None else links.unionByName(shared_ids))
     members = shared.join(labels.withColumnRenamed("node", "id"), "id", "left").select(F.lit(0).alias("band"), F.col("element").alias("key"), "id", F.col("n").alias("n_shingles"), F.coalesce("label", "id").alias("label"))

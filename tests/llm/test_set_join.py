@@ -55,18 +55,17 @@ def grouped(spark, rows, size, percent, block):
     return sorted((tuple(r) for r in set_join.join_groups(df, size, percent, block).collect()), key=repr)
 
 
-@pytest.mark.parametrize("seed, size, percent, block, often, part", [(0, 3, 90, 1024, 8, 4096), (1, 3, 90, 2, 2, 3), (2, 1, 70, 3, 3, 2), (3, 2, 50, 1024, 2, 1)])
-def test_groups_equal_brute_force(spark, monkeypatch, seed, size, percent, block, often, part):
-    monkeypatch.setattr(set_join, "OFTEN", often)
-    monkeypatch.setattr(set_join, "PART", part)
-    rows = corpus(seed, 160, 3)
+@pytest.mark.parametrize("seed, size, percent, block", [(0, 3, 90, 1024), (1, 3, 90, 2), (2, 1, 70, 3), (3, 2, 50, 1024)])
+def test_groups_equal_brute_force(spark, seed, size, percent, block):
+    rows = corpus(seed, 260, 3)
     assert grouped(spark, rows, size, percent, block) == groups_brute(rows, size, percent)
 
 
-def test_order_does_not_matter(spark, monkeypatch):
-    monkeypatch.setattr(set_join, "COMMON", 1)
-    rows = corpus(9, 100, 2)
-    assert grouped(spark, rows, 3, 90, 4) == groups_brute(rows, 3, 90)
+def test_lists_longer_than_often(spark):
+    """One phrase that all documents share, in more copies than OFTEN."""
+    common = " ".join(f"c{i}" for i in range(25))
+    rows = [(i, f"{common} {' '.join(f't{i % 9}' for _ in range(i % 4))} e{i % 40}") for i in range(300)]
+    assert grouped(spark, rows, 3, 90, 64) == groups_brute(rows, 3, 90)
 
 
 def test_edges(spark):
@@ -95,8 +94,8 @@ def test_overlaps_are_derived():
 
 def test_positions_are_skipped(spark):
     """An entry so far back that too few elements are left has no mate."""
-    rows = [(1, 0, 1, 10, 0), (1, 0, 2, 10, 5), (1, 0, 3, 20, 0), (2, 0, 4, 10, 0), (2, 0, 5, 10, 0), (3, 0, 6, 10, 0), (4, 1, 7, 10, 0)]
+    rows = [(1, 0, 1, 10, 0), (1, 0, 2, 10, 5), (1, 0, 3, 20, 0), (2, 0, 4, 10, 0), (2, 0, 5, 10, 0), (3, 0, 6, 10, 0), (4, 1, 7, 10, 0), *((5, 0, 10 + i, 100 + i, 0) for i in range(20))]
     df = spark.createDataFrame(rows, "element long, part int, id long, n int, position int")
-    got = {(r.element, r.id): r.mate for r in set_join.shared_lists(df, 90).collect()}
-    assert got == {(1, 1): None, (1, 2): None, (1, 3): None, (2, 4): None, (2, 5): 4, (4, 7): None}
+    got = sorted(((r.element or 0, r.id, r.mate or 0) for r in set_join.shared_lists(df, 90).collect()))
+    assert got == [(0, 5, 4), (4, 7, 0), (5, 10, 0), *((5, 10 + i, 10) for i in range(1, 12)), (5, 22, 0), *((5, 10 + i, 22) for i in range(13, 20))]
     assert set_join.shared_lists(df.where(F.lit(False)), 90).collect() == []
