@@ -11,7 +11,7 @@ Index-level skipping. A list is sorted by size and, within a size, by position:
 and entries beyond that position are passed over. A short list gives all pairs that are left. A long one is read as a stream, in which each entry is paired with the last one that could still reach it; lists of frequent elements are
 dealt to parts by element and set, so the parts differ from list to list.
 
-Answer-level skipping. What joins two groups is then looked for in lists that still hold several groups: blocks of members are compared through an index of their whole sets. The overlaps of the first set of a group with all others are
+Answer-level skipping. What joins two groups is then looked for in long lists that still hold several groups: by pairs of different groups that the blocks leave, and in lists of more than ``MANY`` sets blocks of members are compared through an index of their whole sets. The overlaps of the first set of a group with all others are
 counted from the index; those of the next, similar set are derived from them by the lists of the few elements that only one of both has. Members of one group are not compared.
 
 Groups are the components of the links. A link between two sets of one group adds nothing to the result and is skipped; no link that joins two groups is.
@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 from .near_dedup import Forest, components, digests, links_by_doc_id, meets, open_buckets
 from .textops import Texts, binaries, bounded_batches, chunks, map_arrow, mix, release, shared_checkpoint
 
-SHIFT = 1 << 59  # a sixteenth of the range of places
+SHIFT = 1 << 60  # an eighth of the range of places
 #: From so many sets on, an element counts as frequent, and its list is dealt to so many parts.
 OFTEN, PARTS = 64, 16
-#: Lists of so many sets are compared pair by pair.
-FEW = 8
+#: Lists of so many sets are compared pair by pair; of so many, once most groups are known.
+FEW, MANY = 8, 512
 BITMAP_PARTS = 2048
 _U = np.uint64
 
@@ -150,8 +150,8 @@ def postings(nodes: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
         for k in range(n.size):
             at = offs[k] + np.searchsorted(low[offs[k] : offs[k + 1]], mine[ends[k] : ends[k + 1]])
             often[at] = count[ends[k] : ends[k + 1]]
-        # shared elements are put off by half of SHIFT at least, frequent ones by all of it
-        rank += np.where(often > 1, (np.log2(2 * often) / np.log2(2 * OFTEN) * SHIFT), 0).astype(_U)
+        # shared elements are put off by most of SHIFT, frequent ones by all of it
+        rank += np.where(often > 1, (0.8 + 0.2 * np.log2(often) / np.log2(OFTEN)) * SHIFT, 0).astype(_U)
         order = np.lexsort((low, rank, owner))
         low, often = low[order], often[order]
         position = np.arange(low.size) - offs[owner]
@@ -164,7 +164,7 @@ def postings(nodes: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
 
 
 def shared_lists(entries: DataFrame, percent: int) -> DataFrame:
-    """element, id, n and mate. Of a list of up to FEW sets: all pairs (id, mate) that size and position leave possible, with a null element. Of others: every entry, with an earlier entry that it may link with as mate, or null.
+    """element, id, n, position and mate. Of a list of up to FEW sets: all pairs (id, mate) that size and position leave possible, with a null element. Of others: every entry, with an earlier entry that it may link with as mate, or null.
 
     Lists come as sorted streams. The entry that later ones of a long list are paired with is replaced once it is too small, or stands too far back, for the next."""
     rows = entries.repartition("element", "part").sortWithinPartitions("element", "part", "n", "position", "id")
@@ -181,13 +181,13 @@ def shared_lists(entries: DataFrame, percent: int) -> DataFrame:
         def long_list(e):
             nonlocal hub
             fits, both = pair(hub, e) if hub is not None else (False, False)
-            out.append((e[0], e[2], e[3], hub[2] if both else None))
+            out.append((*e[:1], *e[2:], hub[2] if both else None))
             if not fits:
                 hub = e
 
         def short_list():
             for y, e in enumerate(few):
-                out.extend((None, e[2], e[3], x[2]) for x in few[:y] if pair(x, e)[1])
+                out.extend((None, *e[2:], x[2]) for x in few[:y] if pair(x, e)[1])
 
         last = None
         for batch in batches:
@@ -214,10 +214,58 @@ def shared_lists(entries: DataFrame, percent: int) -> DataFrame:
         yield listed(out)
 
     def listed(out):
-        element, ids, n, mate = zip(*out) if out else ((), (), (), ())
-        return pa.RecordBatch.from_pydict({"element": pa.array(element, pa.int64()), "id": pa.array(ids, pa.int64()), "n": pa.array(n, pa.int64()), "mate": pa.array(mate, pa.int64())})
+        columns = zip(*out) if out else [()] * 5
+        return pa.RecordBatch.from_pydict({c: pa.array(x, pa.int64()) for c, x in zip(("element", "id", "n", "position", "mate"), columns)})
 
-    return rows.mapInArrow(run, "element long, id long, n long, mate long")
+    return rows.mapInArrow(run, "element long, id long, n long, position long, mate long")
+
+
+def between_groups(members: DataFrame, percent: int) -> DataFrame:
+    """Of long lists (element, id, n, position, label), element, id, n, label and mate: of those of up to MANY sets the pairs (id, mate) of different labels that size and position leave possible, with a null element; every
+    entry of others.
+
+    In a sorted list the sizes that fit are one range, and of these only the entries that stand far enough in front count."""
+    many = MANY
+    rows = members.repartition("element").sortWithinPartitions("element", "n", "position", "id")
+
+    def pairs(ids, n, position, label):
+        found = []
+        left = n - position
+        for y in range(1, n.size):
+            x = np.arange(np.searchsorted(n[:y], -(-percent * n[y] // 100)), y)
+            need = -(-percent * (n[x] + n[y]) // (100 + percent))
+            x = x[(left[x] >= need) & (left[y] >= need) & (label[x] != label[y])]
+            found.append((np.full(x.size, y), x))
+        y, x = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+        return [None] * y.size, ids[y], n[y], label[y], ids[x]
+
+    def run(batches):
+        held, passing = None, None  # the last list as long as it is short; an element whose list is longer
+        for batch in batches:
+            cols = [batch.column(c).to_numpy() for c in ("element", "id", "n", "position", "label")]
+            if held is not None:
+                cols = [np.concatenate(c) for c in zip(held, cols)]
+            edge = np.append(np.flatnonzero(np.concatenate([[True], cols[0][1:] != cols[0][:-1]])), cols[0].size)
+            out = []
+            held = None
+            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                element, ids, n, position, label = (c[lo:hi] for c in cols)
+                if hi - lo > many or element[0] == passing:
+                    passing = element[0]
+                    out.append((element, ids, n, label, [None] * (hi - lo)))
+                elif hi == edge[-1]:
+                    held = [c[lo:hi].copy() for c in cols]
+                elif hi - lo > 1:
+                    out.append(pairs(ids, n, position, label))
+            yield listed(out)
+            release()
+        if held is not None:
+            yield listed([pairs(*held[1:])])
+
+    def listed(out):
+        return pa.RecordBatch.from_pydict({c: pa.chunked_array([pa.array(o[k], pa.int64()) for o in out], pa.int64()).combine_chunks() for k, c in enumerate(("element", "id", "n", "label", "mate"))})
+
+    return rows.mapInArrow(run, "element long, id long, n long, label long, mate long")
 
 
 def set_table(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -353,15 +401,24 @@ def join_groups(docs: DataFrame, size: int = 3, percent: int = 90, block: int =
     lows = filled(heads(docs, size, percent, True)).agg(F.first("low", ignorenulls=True).alias("low"))
     nodes = shared_checkpoint(firsts.join(lows, "node"))
     lists = shared_checkpoint(shared_lists(postings(nodes, shared_elements(nodes), percent), percent))
-    pairs, shared = lists.where("mate is not null").select(F.col("id").alias("a"), F.col("mate").alias("b")).distinct(), lists.where("element is not null")
-    wanted = nodes.select("doc_id", "node", "id").join(pairs.select(F.explode(F.array("a", "b")).alias("id")).union(shared.select("id")).distinct(), "id", "left_semi")
-    sets = shared_checkpoint(set_table(docs, wanted, size))
+    whole = lambda ids: nodes.select("doc_id", "node", "id").join(ids.distinct(), "id", "left_semi")
+    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    pairs = lists.where("mate is not null").select(F.col("id").alias("a"), F.col("mate").alias("b")).distinct()
+    sets = shared_checkpoint(set_table(docs, whole(ends(pairs)), size))
     links = verified(pairs, sets, percent)
     shared_ids = links_by_doc_id(named, nodes)
     labels = components(links if shared_ids is None else links.unionByName(shared_ids))
-    members = shared.join(labels.withColumnRenamed("node", "id"), "id", "left").select(F.lit(0).alias("band"), F.col("element").alias("key"), "id", F.col("n").alias("n_shingles"), F.coalesce("label", "id").alias("label"))
-    opened = open_buckets(members.withColumn("n", F.lit(0))).drop("n", "mean")
-    more = shared_checkpoint(links_in_lists(opened, sets, percent, block))
+    # long lists that hold several groups still
+    members = lists.where("element is not null").join(labels.withColumnRenamed("node", "id"), "id", "left").select("element", "id", "n", "position", F.coalesce("label", "id").alias("label"))
+    several = members.groupBy("element").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("element")
+    rest = shared_checkpoint(between_groups(members.join(several, "element", "left_semi"), percent))
+    pairs = rest.where("mate is not null").select(F.col("id").alias("a"), F.col("mate").alias("b")).distinct()
+    longest = open_buckets(rest.where("element is not null").select(F.lit(0).alias("band"), F.col("element").alias("key"), "id", F.col("n").alias("n_shingles"), "label", F.lit(0).alias("n"))).drop("n", "mean")
+    new = ends(pairs).union(longest.select("id")).join(sets.select("id"), "id", "left_anti")
+    sets = sets.unionByName(shared_checkpoint(set_table(docs, whole(new), size)))
+    more = verified(pairs, sets, percent).unionByName(links_in_lists(longest, sets, percent, block))
+    more = more.join(labels.selectExpr("node as a", "label as la"), "a", "left").join(labels.selectExpr("node as b", "label as lb"), "b", "left").selectExpr("coalesce(la, a) as a", "coalesce(lb, b) as b").where("a <> b")
+    more = shared_checkpoint(more)
     out = named.select("row", "doc_id", "n_shingles", "node").join(nodes.select("node", "id"), "node", "left").select("doc_id", "n_shingles", F.coalesce("id", "row").alias("node"))
     out = out.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("label", "node").alias("label"))
     if not more.isEmpty():

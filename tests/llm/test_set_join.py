@@ -61,8 +61,10 @@ def test_groups_equal_brute_force(spark, seed, size, percent, block):
     assert grouped(spark, rows, size, percent, block) == groups_brute(rows, size, percent)
 
 
-def test_lists_longer_than_often(spark):
-    """One phrase that all documents share, in more copies than OFTEN."""
+@pytest.mark.parametrize("many", [512, 20])
+def test_long_lists(spark, monkeypatch, many):
+    """One phrase that all documents share, in more copies than OFTEN, and in lists that are cut into blocks."""
+    monkeypatch.setattr(set_join, "MANY", many)
     common = " ".join(f"c{i}" for i in range(25))
     rows = [(i, f"{common} {' '.join(f't{i % 9}' for _ in range(i % 4))} e{i % 40}") for i in range(300)]
     assert grouped(spark, rows, 3, 90, 64) == groups_brute(rows, 3, 90)
