@@ -8,7 +8,7 @@ Order. Shingles stand in the order of their hashes, but those that several sets
 under any such order is known before the counts are (hash at most ``SHIFT`` above that of the plain prefix), so only these are kept (low) and counted, over all distinct sets. A set whose prefix holds no shared element is done.
 
 Index-level skipping. A list is sorted by size and, within a size, by position: blocks in which, once an entry stands too far back for o elements to be left, all later ones do. Blocks too small for the probing set
-and entries beyond that position are passed over. A short list gives all pairs that are left. A long one is read as a stream, in which each entry is paired with the last one that could still reach it; lists of frequent elements are
+and entries beyond that position are passed over, as are pairs whose elements that no other set has are more than the two may differ by. A short list gives all pairs that are left. A long one is read as a stream, in which each entry is paired with the last one that could still reach it; lists of frequent elements are
 dealt to parts by element and set, so the parts differ from list to list.
 
 Answer-level skipping. What joins two groups is then looked for in long lists that still hold several groups: by pairs of different groups that the blocks leave, and in lists of more than ``MANY`` sets blocks of members are compared through an index of their whole sets. The overlaps of the first set of a group with all others are
@@ -135,7 +135,8 @@ def shared_elements(nodes: DataFrame) -> DataFrame:
 
 
 def postings(nodes: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
-    """element, part (0 if the list is whole), id, n and position of those elements of each set's prefix that other sets have."""
+    """element, part (0 if the list is whole), id, n, position and alone of those elements of each set's prefix that other sets have. alone: how many elements below SHIFT no other set has; every
+    set has all of its own in low. A set with more of them than it can do without in a link is left out."""
     own = shared.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("element", "often"))).alias("s"))  # no more than the set's own elements
     rows = own.join(nodes.select("id", "n_shingles", "low"), "id").select("id", "n_shingles", "low", F.col("s.element").alias("element"), F.col("s.often").alias("often"))
 
@@ -152,19 +153,20 @@ def postings(nodes: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
             often[at] = count[ends[k] : ends[k + 1]]
         # shared elements are put off by most of SHIFT, frequent ones by all of it
         rank += np.where(often > 1, (0.8 + 0.2 * np.log2(often) / np.log2(OFTEN)) * SHIFT, 0).astype(_U)
+        alone = np.bincount(owner[((low >> _U(1)) <= _U(SHIFT)) & (often == 1)], minlength=n.size)
         order = np.lexsort((low, rank, owner))
         low, often = low[order], often[order]
         position = np.arange(low.size) - offs[owner]
-        first = (position < prefix_size(n, percent)[owner]) & (often > 1)
+        first = (position < prefix_size(n, percent)[owner]) & (often > 1) & (alone < prefix_size(n, percent))[owner]
         low, often, owner, position = low[first], often[first], owner[first], position[first]
         salt = np.where(often < OFTEN, 0, (mix(low ^ ids[owner].astype(_U)) >> _U(1)).astype(np.int64) % PARTS + 1)
-        yield {"element": low.view(np.int64), "part": salt.astype(np.int32), "id": ids[owner], "n": n[owner].astype(np.int32), "position": position.astype(np.int32)}
+        yield {"element": low.view(np.int64), "part": salt.astype(np.int32), "id": ids[owner], "n": n[owner].astype(np.int32), "position": position.astype(np.int32), "alone": alone[owner].astype(np.int32)}
 
-    return map_arrow(rows, run, "element long, part int, id long, n int, position int")
+    return map_arrow(rows, run, "element long, part int, id long, n int, position int, alone int")
 
 
 def shared_lists(entries: DataFrame, percent: int) -> DataFrame:
-    """element, id, n, position and mate. Of a list of up to FEW sets: all pairs (id, mate) that size and position leave possible, with a null element. Of others: every entry, with an earlier entry that it may link with as mate, or null.
+    """element, id, n, position, alone and mate. Of a list of up to FEW sets: all pairs (id, mate) that size and position leave possible, with a null element. Of others: every entry, with an earlier entry that it may link with as mate, or null.
 
     Lists come as sorted streams. The entry that later ones of a long list are paired with is replaced once it is too small, or stands too far back, for the next."""
     rows = entries.repartition("element", "part").sortWithinPartitions("element", "part", "n", "position", "id")
@@ -173,7 +175,7 @@ def shared_lists(entries: DataFrame, percent: int) -> DataFrame:
         """Whether x can still reach a set of y's size, and whether both can be linked through this list."""
         need = -(-percent * (x[3] + y[3]) // (100 + percent))
         fits = 100 * x[3] >= percent * y[3] and x[3] - x[4] >= need
-        return fits, fits and y[3] - y[4] >= need
+        return fits, fits and y[3] - y[4] >= need and x[5] + y[5] <= x[3] + y[3] - 2 * need
 
     def run(batches):
         few, hub, out = [], None, []  # the entries of a list that is short so far; of a long one the entry to be paired with
@@ -191,7 +193,7 @@ def shared_lists(entries: DataFrame, percent: int) -> DataFrame:
 
         last = None
         for batch in batches:
-            cols = [batch.column(c).to_numpy() for c in ("element", "part", "id", "n", "position")]
+            cols = [batch.column(c).to_numpy() for c in ("element", "part", "id", "n", "position", "alone")]
             same = (cols[0][1:] == cols[0][:-1]) & (cols[1][1:] == cols[1][:-1])
             inner = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | (cols[1] > 0)
             inner[[0, -1]] = True  # their list may go on in another batch
@@ -214,27 +216,27 @@ def shared_lists(entries: DataFrame, percent: int) -> DataFrame:
         yield listed(out)
 
     def listed(out):
-        columns = zip(*out) if out else [()] * 5
-        return pa.RecordBatch.from_pydict({c: pa.array(x, pa.int64()) for c, x in zip(("element", "id", "n", "position", "mate"), columns)})
+        columns = zip(*out) if out else [()] * 6
+        return pa.RecordBatch.from_pydict({c: pa.array(x, pa.int64()) for c, x in zip(("element", "id", "n", "position", "alone", "mate"), columns)})
 
-    return rows.mapInArrow(run, "element long, id long, n long, position long, mate long")
+    return rows.mapInArrow(run, "element long, id long, n long, position long, alone long, mate long")
 
 
 def between_groups(members: DataFrame, percent: int) -> DataFrame:
-    """Of long lists (element, id, n, position, label), element, id, n, label and mate: of those of up to MANY sets the pairs (id, mate) of different labels that size and position leave possible, with a null element; every
+    """Of long lists (element, id, n, position, alone, label), element, id, n, label and mate: of those of up to MANY sets the pairs (id, mate) of different labels that size and position leave possible, with a null element; every
     entry of others.
 
     In a sorted list the sizes that fit are one range, and of these only the entries that stand far enough in front count."""
     many = MANY
     rows = members.repartition("element").sortWithinPartitions("element", "n", "position", "id")
 
-    def pairs(ids, n, position, label):
+    def pairs(ids, n, position, alone, label):
         found = []
         left = n - position
         for y in range(1, n.size):
             x = np.arange(np.searchsorted(n[:y], -(-percent * n[y] // 100)), y)
             need = -(-percent * (n[x] + n[y]) // (100 + percent))
-            x = x[(left[x] >= need) & (left[y] >= need) & (label[x] != label[y])]
+            x = x[(left[x] >= need) & (left[y] >= need) & (alone[x] + alone[y] <= n[x] + n[y] - 2 * need) & (label[x] != label[y])]
             found.append((np.full(x.size, y), x))
         y, x = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
         return [None] * y.size, ids[y], n[y], label[y], ids[x]
@@ -242,21 +244,21 @@ def between_groups(members: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         held, passing = None, None  # the last list as long as it is short; an element whose list is longer
         for batch in batches:
-            cols = [batch.column(c).to_numpy() for c in ("element", "id", "n", "position", "label")]
+            cols = [batch.column(c).to_numpy() for c in ("element", "id", "n", "position", "alone", "label")]
             if held is not None:
                 cols = [np.concatenate(c) for c in zip(held, cols)]
             edge = np.append(np.flatnonzero(np.concatenate([[True], cols[0][1:] != cols[0][:-1]])), cols[0].size)
             out = []
             held = None
             for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                element, ids, n, position, label = (c[lo:hi] for c in cols)
+                element, ids, n, position, alone, label = (c[lo:hi] for c in cols)
                 if hi - lo > many or element[0] == passing:
                     passing = element[0]
                     out.append((element, ids, n, label, [None] * (hi - lo)))
                 elif hi == edge[-1]:
                     held = [c[lo:hi].copy() for c in cols]
                 elif hi - lo > 1:
-                    out.append(pairs(ids, n, position, label))
+                    out.append(pairs(ids, n, position, alone, label))
             yield listed(out)
             release()
         if held is not None:
@@ -409,7 +411,7 @@ def join_groups(docs: DataFrame, size: int = 3, percent: int = 90, block: int =
     shared_ids = links_by_doc_id(named, nodes)
     labels = components(links if shared_ids is None else links.unionByName(shared_ids))
     # long lists that hold several groups still
-    members = lists.where("element is not null").join(labels.withColumnRenamed("node", "id"), "id", "left").select("element", "id", "n", "position", F.coalesce("label", "id").alias("label"))
+    members = lists.where("element is not null").join(labels.withColumnRenamed("node", "id"), "id", "left").select("element", "id", "n", "position", "alone", F.coalesce("label", "id").alias("label"))
     several = members.groupBy("element").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("element")
     rest = shared_checkpoint(between_groups(members.join(several, "element", "left_semi"), percent))
     pairs = rest.where("mate is not null").select(F.col("id").alias("a"), F.col("mate").alias("b")).distinct()

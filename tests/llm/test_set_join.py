@@ -96,8 +96,8 @@ def test_overlaps_are_derived():
 
 def test_positions_are_skipped(spark):
     """An entry so far back that too few elements are left has no mate."""
-    rows = [(1, 0, 1, 10, 0), (1, 0, 2, 10, 5), (1, 0, 3, 20, 0), (2, 0, 4, 10, 0), (2, 0, 5, 10, 0), (3, 0, 6, 10, 0), (4, 1, 7, 10, 0), *((5, 0, 10 + i, 100 + i, 0) for i in range(20))]
-    df = spark.createDataFrame(rows, "element long, part int, id long, n int, position int")
+    rows = [(1, 0, 1, 10, 0), (1, 0, 2, 10, 5), (1, 0, 3, 20, 0), (2, 0, 4, 10, 0), (2, 0, 5, 10, 0), (3, 0, 6, 10, 0), (4, 1, 7, 10, 0), *((5, 0, 10 + i, 100 + i, 0) for i in range(20)), (6, 0, 8, 100, 0), (6, 0, 9, 100, 0)]
+    df = spark.createDataFrame([(*r, 6 * (r[0] == 6)) for r in rows], "element long, part int, id long, n int, position int, alone int")
     got = sorted(((r.element or 0, r.id, r.mate or 0) for r in set_join.shared_lists(df, 90).collect()))
     assert got == [(0, 5, 4), (4, 7, 0), (5, 10, 0), *((5, 10 + i, 10) for i in range(1, 12)), (5, 22, 0), *((5, 10 + i, 22) for i in range(13, 20))]
     assert set_join.shared_lists(df.where(F.lit(False)), 90).collect() == []
