@@ -35,7 +35,7 @@ SHIFT = 1 << 60  # an eighth of the range of places
 #: From so many sets on, an element counts as frequent, and its list is dealt to so many parts.
 OFTEN, PARTS = 64, 16
 #: Lists of so many sets are compared pair by pair; of so many, once most groups are known.
-FEW, MANY = 8, 512
+FEW, MANY = 8, 4096
 BITMAP_PARTS = 2048
 _U = np.uint64
 

@@ -61,7 +61,7 @@ def test_groups_equal_brute_force(spark, seed, size, percent, block):
     assert grouped(spark, rows, size, percent, block) == groups_brute(rows, size, percent)
 
 
-@pytest.mark.parametrize("many", [512, 20])
+@pytest.mark.parametrize("many", [4096, 20])
 def test_long_lists(spark, monkeypatch, many):
     """One phrase that all documents share, in more copies than OFTEN, and in lists that are cut into blocks."""
     monkeypatch.setattr(set_join, "MANY", many)
