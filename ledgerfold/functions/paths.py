@@ -7,6 +7,8 @@ import json as js
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .cut import cut
+
 
 def escape(token: Column) -> Column:
     return F.replace(F.replace(token, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
@@ -28,10 +30,10 @@ def strip_prefix(pointer: Column, prefix: Column) -> Column:
     return F.when(F.startswith(pointer, F.concat(prefix, F.lit("/"))), F.substring(pointer, F.length(prefix) + 1, F.lit(1 << 30)))
 
 
-def item(path: str, v: str = "cast(null as variant)", kind: str = "cast(null as string)", part: str = "c.part", arrays: str = "c.arrays", fresh: str = "false") -> str:
+def item(path: str, v: str = "cast(null as variant)", kind: str = "cast(null as string)", part: str = "c.part", arrays: str = "c.arrays", fresh: str = "false", base: str = "c.base") -> str:
     """SQL of a node of a document on its way to leaves. kind: leaf, null, object, array or reset (a fresh object, that replaces); null as long as
-    the node isn't taken apart. part: its place in the order of writes; arrays: the arrays it stands in; fresh: whether it replaces what it is written to."""
-    return f"named_struct('path', {path}, 'v', {v}, 'kind', {kind}, 'part', cast({part} as int), 'arrays', {arrays}, 'fresh', {fresh})"
+    the node isn't taken apart. part: its place in the order of writes; arrays: the arrays it stands in; fresh: whether it replaces what it is written to; base: how many tokens of its path are a pointer that was assigned, 0 if none was."""
+    return f"named_struct('path', {path}, 'v', {v}, 'kind', {kind}, 'part', cast({part} as int), 'arrays', {arrays}, 'fresh', {fresh}, 'base', cast({base} as int))"
 
 
 NO_ARRAYS = "cast(array() as array<string>)"
@@ -47,51 +49,62 @@ class _Number(str):
 
 
 def deep_items(nodes: list | None) -> list[tuple] | None:
-    """(path, leaf, kind, part, arrays) of all that (path, JSON text, part, arrays) nodes hold, however deep."""
+    """(path, leaf, kind, part, arrays, base) of all that (path, JSON text, part, arrays, base) nodes hold, however deep."""
     if nodes is None:
         return None
     out = []
-    for path, text, part, arrays in nodes:
+    for path, text, part, arrays, base in nodes:
         todo = [(path, js.loads(text, parse_int=_Number, parse_float=_Number), arrays)]
         while todo:
             path, x, arrays = todo.pop()
             if isinstance(x, dict):
-                out.append((path, None, "object", part, arrays))
+                out.append((path, None, "object", part, arrays, base))
                 todo += [(f"{path}/{k.replace('~', '~0').replace('/', '~1')}", v, arrays) for k, v in x.items()]
             elif isinstance(x, list):
-                out.append((path, None, "array", part, arrays))
+                out.append((path, None, "array", part, arrays, base))
                 todo += [(f"{path}/{i}", v, [*arrays, path]) for i, v in enumerate(x)]
             else:
                 # of a variant's numbers, only doubles end in .0
                 leaf = str(x) + "E0" * x.endswith(".0") if isinstance(x, _Number) else js.dumps(x)
-                out.append((path, leaf, "null" if x is None else "leaf", part, arrays))
+                out.append((path, leaf, "null" if x is None else "leaf", part, arrays, base))
     return out
 
 
-_DEEP = "array<struct<path string, leaf string, kind string, part int, arrays array<string>>>"
+_DEEP = "array<struct<path string, leaf string, kind string, part int, arrays array<string>, base int>>"
 
 
 def taken_apart(df: DataFrame, start: str, keep: list[str], depth: int = 8) -> DataFrame:
-    """(keep..., path, value, kind, part, arrays): the items that start (SQL of an array of items) holds, at any depth, as rows.
+    """(keep..., path, value, json, kind, part, arrays, base): the items that start (SQL of an array of items) holds, at any depth, as rows. value is a leaf as text, json its JSON text.
 
-    The first ``depth`` levels are one expression of a row; what is deeper, if anything, goes through deep_items."""
+    The first ``depth`` levels are one expression of a row. The rows are written once; only if some are deeper, these (and no others) go through deep_items."""
     for _ in range(depth):
         start = f"flatten(transform({start}, c -> {_APART}))"
-    rows = df.select(*keep, F.expr(start).alias("__i"))
-    rest = F.expr("transform(filter(__i, c -> c.kind is null), c -> struct(c.path, to_json(c.v) as text, c.part, c.arrays))")
-    rows = rows.withColumn("__d", F.udf(lambda nodes: deep_items(nodes), _DEEP)(F.when(F.size(rest) > 0, rest)))
-    found = F.expr(f"explode(case when __d is null then __i else concat(filter(__i, c -> c.kind is not null), transform(__d, c -> {item('c.path', 'try_parse_json(c.leaf)', 'c.kind')})) end)")
-    return rows.select(*keep, found.alias("__x")).where("__x.path <> ''").select(*keep, "__x.path", F.expr("cast(__x.v as string)").alias("value"), "__x.kind", "__x.part", "__x.arrays")
+    rows = df.select(*keep, F.explode(F.expr(start)).alias("__x")).where("__x.path <> '' or __x.kind is null")
+    flat = ["path", F.expr("if(kind = 'leaf', cast(v as string), null)").alias("value"), F.expr("if(kind = 'leaf' or kind is null, to_json(v), null)").alias("json"), "kind", "part", "arrays", "base"]
+    rows = cut(rows.select(*keep, "__x.*").select(*keep, *flat))
+    deep = rows.where("kind is null")
+    if deep.isEmpty():
+        return rows
+    nodes = F.udf(lambda nodes: deep_items(nodes), _DEEP)(F.array(F.struct("path", F.col("json").alias("text"), "part", "arrays", "base")))
+    found = deep.select(*keep, F.explode(nodes).alias("c")).select(*keep, "c.*").select(*keep, "path", F.expr("cast(try_parse_json(leaf) as string)").alias("value"), F.expr("to_json(try_parse_json(leaf))").alias("json"), "kind", "part", "arrays", "base")
+    return rows.where("kind is not null").unionByName(found.where("path <> ''"))
 
 
 def flatten(df: DataFrame, json: str, keep: list[str], depth: int = 8) -> DataFrame:
     """(keep..., path, value, is_null): the leaves of a JSON text column, at any depth. Null leaves stay; a root scalar and empty objects or
     arrays vanish."""
-    root = f"array({item(chr(39) * 2, f'try_parse_json({json})', part='0', arrays=NO_ARRAYS)})"
+    root = f"array({item(chr(39) * 2, f'try_parse_json({json})', part='0', arrays=NO_ARRAYS, base='0')})"
     rows = taken_apart(df, root, keep, depth).where("kind in ('leaf', 'null')")
     return rows.select(*keep, "path", "value", (F.col("kind") == "null").alias("is_null"))
 
 
+def flatten_nodes(df: DataFrame, json: str, keep: list[str], depth: int = 8) -> DataFrame:
+    """(keep..., path, kind, json): leaves and containers of a JSON text column, at any depth, as trees.rehydrate reads them; without the root."""
+    root = f"array({item(chr(39) * 2, f'try_parse_json({json})', part='0', arrays=NO_ARRAYS, base='0')})"
+    rows = taken_apart(df, root, keep, depth)
+    return rows.select(*keep, "path", F.expr("case when kind in ('leaf', 'null') then 'leaf' else kind end").alias("kind"), F.expr("case when kind = 'null' then 'null' else json end").alias("json"))
+
+
 def normalize_changes(commands: DataFrame, json: str, keep: list[str]) -> DataFrame:
     """(keep..., path, value) of the bodies of SetAttributes commands: {"changes": {pointer: value}} as it is, anything else as the nested form of it. A body is
     canonical if changes is its only key."""
@@ -107,24 +120,35 @@ def ancestors(pointer: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, n), "/")))
 
 
-def last_writes(writes: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+def below(pointer: Column) -> Column:
+    """ancestors, for pointers of one token or none too, which have none."""
+    return F.when(F.instr(F.substring(pointer, 2, 1 << 30), "/") > 0, ancestors(pointer)).otherwise(F.array().cast("array<string>"))
+
+
+def last_writes(writes: DataFrame, key: list[str], order: list[str], containers: bool = False) -> DataFrame:
     """Of rows (key..., path, value, op, order...) what stands after all of them in order, with arrays (null if writes don't have it). op is set (a value), delete,
     reset or array (a node replaced), or object (a node merged into: it replaces a value or an array, whose elements name it in arrays).
 
     A write replaces what stood at its path, above it (a scalar that has to become an object) and below it. Rows that stand
-    are found by two aggregations and one join on (key, path): no group is collected. An element assigned to an array by its own path is not
-    known to be one."""
-    if "arrays" not in writes.columns:
-        writes = writes.withColumn("arrays", F.lit(None).cast("array<string>"))
+    are found by two aggregations and one join on (key, path): no group is collected. Positions in arrays are taken as they are written (see trees.resolve_positions). With containers, the
+    rows of objects and arrays that stand are there too, with kind (leaf, object or array) and json."""
+    for name, kind in (("arrays", "array<string>"), ("json", "string")):
+        if name not in writes.columns:
+            writes = writes.withColumn(name, F.lit(None).cast(kind))
     at, merges = F.struct(*order), F.col("op") == "object"
-    latest = writes.groupBy(*key, "path").agg(F.max_by(F.struct("value", "op", "arrays"), at).alias("w"), F.max(at).alias("ord"), F.max(F.when(~merges, at)).alias("replaced"), F.max(F.when(merges, at)).alias("merged"))
-    latest = latest.select(*key, "path", "w.value", "w.op", "w.arrays", "ord", "replaced", "merged")
+    latest = writes.groupBy(*key, "path").agg(F.max_by(F.struct("value", "json", "op", "arrays"), at).alias("w"), F.max(at).alias("ord"), F.max(F.when(~merges, at)).alias("replaced"), F.max(F.when(merges, at)).alias("merged"))
+    latest = latest.select(*key, "path", "w.value", "w.json", "w.op", "w.arrays", "ord", "replaced", "merged")
     deep = latest.where(F.instr(F.substring("path", 2, 1 << 30), "/") > 0)
     below = deep.select(*key, F.col("path").alias("low"), F.col("ord").alias("low_ord"), F.col("arrays").alias("low_arrays"), F.explode(ancestors(F.col("path"))).alias("path"))
     pairs = below.join(latest.select(*key, "path", "ord", "replaced", "merged"), [*key, "path"])
     dead_low = pairs.where((F.col("replaced") > F.col("low_ord")) | (F.array_contains("low_arrays", F.col("path")) & (F.col("merged") > F.col("low_ord")))).select(*key, F.col("low").alias("path"))
     dead_high = pairs.where(F.col("low_ord") > F.col("ord")).select(*key, "path")
-    return latest.where("op = 'set'").join(dead_low.unionByName(dead_high).distinct(), [*key, "path"], "left_anti").select(*key, "path", "value", "arrays")
+    leaves = latest.where("op = 'set'").join(dead_low.unionByName(dead_high).distinct(), [*key, "path"], "left_anti")
+    if not containers:
+        return leaves.select(*key, "path", "value", "arrays")
+    kind = F.expr("case op when 'set' then 'leaf' when 'array' then 'array' else 'object' end").alias("kind")
+    nodes = latest.where("op not in ('set', 'delete')").join(dead_low.distinct(), [*key, "path"], "left_anti")
+    return leaves.unionByName(nodes).select(*key, "path", "value", "arrays", kind, "json")
 
 
 def shallow(path: Column) -> Column:

@@ -9,35 +9,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import paths
+from ..functions import paths, trees
 from ..sources.event_log import parse_events
 
 ORDER = ["sequence", "part"]
 
 
 def upcast(log: DataFrame) -> DataFrame:
-    """Old and new events as one kind of row, a write: aggregate_id, sequence, part, path, value, op, arrays. Data of JourneyModified is a merge
+    """Old and new events as one kind of row, a write: aggregate_id, sequence, part, path, value, json, op, arrays, base. Data of JourneyModified is a merge
     patch (a null outside arrays deletes, an array replaces), AttributesSet assigns (a null is a value, an object replaces), one path after the other; plaintext
     only, secrets never enter shared state."""
     few = log.where(F.col("event_type").isin("JourneyModified", "AttributesSet"))
     data = few.select("aggregate_id", "sequence", "event_type", F.expr("try_parse_json(payload)").alias("doc"))
-    patch = paths.item("''", "try_variant_get(doc, '$.Modified.data', 'variant')", part="0", arrays=paths.NO_ARRAYS)
-    assigned = paths.item("e.key", "e.value", part="i", arrays=paths.NO_ARRAYS, fresh="true")  # keys of an assignment are pointers themselves
+    patch = paths.item("''", "try_variant_get(doc, '$.Modified.data', 'variant')", part="0", arrays=paths.NO_ARRAYS, base="0")
+    assigned = paths.item("e.key", "e.value", part="i", arrays=paths.NO_ARRAYS, fresh="true", base="size(split(e.key, '/')) - 1")  # keys of an assignment are pointers themselves
     start = f"""case event_type when 'JourneyModified' then array({patch})
         else transform(map_entries(try_variant_get(doc, '$.AttributesSet.plaintext', 'map<string,variant>')), (e, i) -> {assigned}) end"""
     rows = paths.taken_apart(data, start, ["aggregate_id", "sequence", "event_type"])
     op = F.when(F.col("kind") == "leaf", "set").when(F.col("kind") == "null", F.when((F.col("event_type") == "JourneyModified") & (F.size("arrays") == 0), "delete").otherwise("set")).otherwise(F.col("kind"))
-    return rows.select("aggregate_id", "sequence", "part", "path", "value", op.alias("op"), "arrays")
+    return rows.select("aggregate_id", "sequence", "part", "path", "value", "json", op.alias("op"), "arrays", "base")
+
+
+def resolved(log: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The writes of a log with positions in arrays made plain, and those that fail (aggregate_id, sequence, part, error)."""
+    return trees.resolve_positions(upcast(log), ["aggregate_id"])
 
 
 def fold_bag(log: DataFrame) -> DataFrame:
     """aggregate_id, path, value, arrays (those that the path stands in): the shared data of every journey."""
-    return paths.last_writes(upcast(log), ["aggregate_id"], ORDER)
+    return paths.last_writes(resolved(log)[0], ["aggregate_id"], ORDER)
+
+
+def fold_documents(log: DataFrame) -> DataFrame:
+    """aggregate_id and document: the shared data of every journey that has any, as JSON text."""
+    return trees.rehydrate(paths.last_writes(resolved(log)[0], ["aggregate_id"], ORDER, containers=True), ["aggregate_id"])
 
 
 def patch_writes(patches: DataFrame, key: list[str]) -> DataFrame:
     """Writes (key..., sequence, part, path, value, op, arrays) of merge patches: data, JSON text, of each row (key..., sequence)."""
-    root = f"array({paths.item(chr(39) * 2, 'try_parse_json(data)', part='0', arrays=paths.NO_ARRAYS)})"
+    root = f"array({paths.item(chr(39) * 2, 'try_parse_json(data)', part='0', arrays=paths.NO_ARRAYS, base='0')})"
     rows = paths.taken_apart(patches, root, [*key, "sequence"])
     op = F.when(F.col("kind") == "leaf", "set").when(F.col("kind") == "null", F.when(F.size("arrays") == 0, "delete").otherwise("set")).otherwise(F.col("kind"))
     return rows.select(*key, "sequence", "part", "path", "value", op.alias("op"), "arrays")
@@ -94,15 +104,32 @@ def history(log: DataFrame) -> DataFrame:
 
 
 def snapshot(log: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(aggregate_id, last_sequence) and the writes that make up each aggregate's bag, to be stored."""
+    """(aggregate_id, last_sequence) and what makes up each aggregate's bag (aggregate_id, path, value, arrays, kind, json; leaves and containers), to be stored."""
     last = log.groupBy("aggregate_id").agg(F.max("sequence").alias("last_sequence"))
-    return last, fold_bag(log)
+    return last, paths.last_writes(resolved(log)[0], ["aggregate_id"], ORDER, containers=True)
 
 
-def resume(last: DataFrame, bag: DataFrame, tail: DataFrame) -> DataFrame:
+def _resumed(last: DataFrame, nodes: DataFrame, tail: DataFrame) -> DataFrame:
+    # an object that stands because of what is below it has no row of its own, but is no array
+    above = nodes.select("aggregate_id", F.explode(paths.below(F.col("path"))).alias("path")).distinct().join(nodes.select("aggregate_id", "path"), ["aggregate_id", "path"], "left_anti")
+    nodes = nodes.drop("arrays").unionByName(above.withColumn("kind", F.lit("object")), allowMissingColumns=True)
+    arrays = nodes.where("kind = 'array'").select("aggregate_id", F.col("path").alias("up"))
+    inside = nodes.select("aggregate_id", "path", F.explode(paths.below(F.col("path"))).alias("up")).join(arrays, ["aggregate_id", "up"]).groupBy("aggregate_id", "path").agg(F.collect_list("up").alias("arrays"))  # as many as it is deep
+    nodes = nodes.join(inside, ["aggregate_id", "path"], "left")
+    op = F.when(F.col("kind") == "leaf", "set").otherwise(F.col("kind"))
+    stored = nodes.join(last, "aggregate_id").select("aggregate_id", F.col("last_sequence").alias("sequence"), F.lit(0).alias("part"), "path", "value", "json", op.alias("op"), "arrays", F.lit(0).alias("base"))
+    writes, _ = trees.resolve_positions(stored.unionByName(upcast(tail)), ["aggregate_id"])
+    return paths.last_writes(writes, ["aggregate_id"], ORDER, containers=True)
+
+
+def resume(last: DataFrame, nodes: DataFrame, tail: DataFrame) -> DataFrame:
     """The bag after a tail of events: snapshot and tail together equal a full replay."""
-    stored = bag.join(last, "aggregate_id").select("aggregate_id", F.col("last_sequence").alias("sequence"), F.lit(0).alias("part"), "path", "value", F.lit("set").alias("op"), "arrays")
-    return paths.last_writes(stored.unionByName(upcast(tail)), ["aggregate_id"], ORDER)
+    return _resumed(last, nodes, tail).where("kind = 'leaf'").select("aggregate_id", "path", "value", "arrays")
+
+
+def resume_documents(last: DataFrame, nodes: DataFrame, tail: DataFrame) -> DataFrame:
+    """fold_documents after a tail of events."""
+    return trees.rehydrate(_resumed(last, nodes, tail), ["aggregate_id"])
 
 
 def workflow_history(log: DataFrame) -> DataFrame:
