@@ -73,35 +73,37 @@ def deep_items(nodes: list | None) -> list[tuple] | None:
 _DEEP = "array<struct<path string, leaf string, kind string, part int, arrays array<string>, base int>>"
 
 
-def taken_apart(df: DataFrame, start: str, keep: list[str], depth: int = 8) -> DataFrame:
-    """(keep..., path, value, json, kind, part, arrays, base): the items that start (SQL of an array of items) holds, at any depth, as rows. value is a leaf as text, json its JSON text.
+def taken_apart(df: DataFrame, start: str, keep: list[str], text: str, depth: int = 8) -> DataFrame:
+    """(keep..., path, value, json, kind, part, arrays, base): the items that start (SQL of an array of items, made of the JSON text) holds, at any depth, as rows. value is a leaf as text, json its JSON text.
 
-    The first ``depth`` levels are one expression of a row. The rows are written once; only if some are deeper, these (and no others) go through deep_items."""
-    for _ in range(depth):
+    Levels are one expression of a row, as many as the texts have brackets, ``depth`` at most. Only if some text goes deeper, these texts and no others go through deep_items."""
+    brackets = F.coalesce(F.length(text) - F.length(F.translate(text, "{[", "")), F.lit(0))
+    most = df.agg(F.max(brackets)).first()[0] or 0
+    for _ in range(min(depth, most + 1)):
         start = f"flatten(transform({start}, c -> {_APART}))"
-    rows = df.select(*keep, F.explode(F.expr(start)).alias("__x")).where("__x.path <> '' or __x.kind is null")
-    flat = ["path", F.expr("if(kind = 'leaf', cast(v as string), null)").alias("value"), F.expr("if(kind = 'leaf' or kind is null, to_json(v), null)").alias("json"), "kind", "part", "arrays", "base"]
-    rows = cut(rows.select(*keep, "__x.*").select(*keep, *flat))
-    deep = rows.where("kind is null")
-    if deep.isEmpty():
-        return rows
-    nodes = F.udf(lambda nodes: deep_items(nodes), _DEEP)(F.array(F.struct("path", F.col("json").alias("text"), "part", "arrays", "base")))
-    found = deep.select(*keep, F.explode(nodes).alias("c")).select(*keep, "c.*").select(*keep, "path", F.expr("cast(try_parse_json(leaf) as string)").alias("value"), F.expr("to_json(try_parse_json(leaf))").alias("json"), "kind", "part", "arrays", "base")
-    return rows.where("kind is not null").unionByName(found.where("path <> ''"))
+    flat = ["path", F.expr("if(kind = 'leaf', cast(v as string), null)").alias("value"), F.expr("if(kind = 'leaf', to_json(v), null)").alias("json"), "kind", "part", "arrays", "base"]
+    exploded = lambda rows, items: rows.select(*keep, F.explode(items).alias("__x")).where("__x.path <> '' or __x.kind is null").select(*keep, "__x.*")
+    many = df.where(brackets >= depth).withColumn("__i", F.expr(start))
+    if most < depth or many.where("exists(__i, c -> c.kind is null)").isEmpty():
+        return exploded(df, F.expr(start)).select(*keep, *flat)
+    rows = exploded(df.where(brackets < depth), F.expr(start)).unionByName(exploded(many, F.col("__i")))
+    nodes = F.udf(lambda nodes: deep_items(nodes), _DEEP)(F.array(F.struct("path", F.to_json("v").alias("text"), "part", "arrays", "base")))
+    found = rows.where("kind is null").select(*keep, F.explode(nodes).alias("c")).select(*keep, "c.*").select(*keep, "path", F.expr("cast(try_parse_json(leaf) as string)").alias("value"), F.expr("to_json(try_parse_json(leaf))").alias("json"), "kind", "part", "arrays", "base")
+    return rows.where("kind is not null").select(*keep, *flat).unionByName(found.where("path <> ''"))
 
 
 def flatten(df: DataFrame, json: str, keep: list[str], depth: int = 8) -> DataFrame:
     """(keep..., path, value, is_null): the leaves of a JSON text column, at any depth. Null leaves stay; a root scalar and empty objects or
     arrays vanish."""
     root = f"array({item(chr(39) * 2, f'try_parse_json({json})', part='0', arrays=NO_ARRAYS, base='0')})"
-    rows = taken_apart(df, root, keep, depth).where("kind in ('leaf', 'null')")
+    rows = taken_apart(df, root, keep, json, depth).where("kind in ('leaf', 'null')")
     return rows.select(*keep, "path", "value", (F.col("kind") == "null").alias("is_null"))
 
 
 def flatten_nodes(df: DataFrame, json: str, keep: list[str], depth: int = 8) -> DataFrame:
     """(keep..., path, kind, json): leaves and containers of a JSON text column, at any depth, as trees.rehydrate reads them; without the root."""
     root = f"array({item(chr(39) * 2, f'try_parse_json({json})', part='0', arrays=NO_ARRAYS, base='0')})"
-    rows = taken_apart(df, root, keep, depth)
+    rows = taken_apart(df, root, keep, json, depth)
     return rows.select(*keep, "path", F.expr("case when kind in ('leaf', 'null') then 'leaf' else kind end").alias("kind"), F.expr("case when kind = 'null' then 'null' else json end").alias("json"))
 
 
@@ -137,7 +139,7 @@ def last_writes(writes: DataFrame, key: list[str], order: list[str], containers:
             writes = writes.withColumn(name, F.lit(None).cast(kind))
     at, merges = F.struct(*order), F.col("op") == "object"
     latest = writes.groupBy(*key, "path").agg(F.max_by(F.struct("value", "json", "op", "arrays"), at).alias("w"), F.max(at).alias("ord"), F.max(F.when(~merges, at)).alias("replaced"), F.max(F.when(merges, at)).alias("merged"))
-    latest = latest.select(*key, "path", "w.value", "w.json", "w.op", "w.arrays", "ord", "replaced", "merged")
+    latest = cut(latest.select(*key, "path", "w.value", "w.json", "w.op", "w.arrays", "ord", "replaced", "merged"))  # read by four branches
     deep = latest.where(F.instr(F.substring("path", 2, 1 << 30), "/") > 0)
     below = deep.select(*key, F.col("path").alias("low"), F.col("ord").alias("low_ord"), F.col("arrays").alias("low_arrays"), F.explode(ancestors(F.col("path"))).alias("path"))
     pairs = below.join(latest.select(*key, "path", "ord", "replaced", "merged"), [*key, "path"])

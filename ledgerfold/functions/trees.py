@@ -114,8 +114,6 @@ def resolve_positions(writes: DataFrame, key: list[str]) -> tuple[DataFrame, Dat
     level, as the container of a level is known once those above it are. At each level, what happens to the containers in question (their length is given, they are replaced, an element is appended) is read as one sorted
     stream a container, of which only a kind and a length are kept; no group is gathered. A write that fails (FailedToParseIndex, OutOfBounds) is left out. An object merged over an array replaces it (op reset), and an array
     that an assignment starts gets a row of its own."""
-    if writes.where("base > 1").isEmpty():
-        return writes, None
     order = ["sequence", "part"]
     errors, level = None, 2
     while True:
@@ -125,11 +123,10 @@ def resolve_positions(writes: DataFrame, key: list[str]) -> tuple[DataFrame, Dat
         at = at.select(*key, *order, "d", F.get("p", F.col("d") - 1).alias("token"), _upto(F.col("p"), F.col("d") - 1).alias("at"))
         arrays = writes.where("op = 'array'").select(*key, F.col("path").alias("at")).distinct()
         hits = at.where("token in ('0', '-')").select(*key, "at", "d").union(at.join(arrays, [*key, "at"], "left_semi").select(*key, "at", "d"))
-        hits = cut(hits.distinct())
         d = hits.agg(F.min("d")).first()[0]
         if d is None:
             return writes, errors
-        here = hits.where(F.col("d") == d).drop("d")
+        here = cut(hits.where(F.col("d") == d).drop("d").distinct())
         access = at.where(F.col("d") == d).drop("d").join(here, [*key, "at"], "left_semi").select(*key, "at", *order, F.lit(_ACCESS).alias("event"), "token", F.lit(0).alias("n"))
         values = writes.withColumn("size", F.size(parts))
         count = values.where((F.col("size") >= d) & (F.col("base") < d)).groupBy(*key, *order, _upto(parts, d - 1).alias("at")).agg(F.count_distinct(F.get(parts, F.lit(d - 1))).cast("int").alias("n"))

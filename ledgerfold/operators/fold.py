@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, trees
+from ..functions.cut import cut
 from ..sources.event_log import parse_events
 
 ORDER = ["sequence", "part"]
@@ -20,19 +21,19 @@ def upcast(log: DataFrame) -> DataFrame:
     patch (a null outside arrays deletes, an array replaces), AttributesSet assigns (a null is a value, an object replaces), one path after the other; plaintext
     only, secrets never enter shared state."""
     few = log.where(F.col("event_type").isin("JourneyModified", "AttributesSet"))
-    data = few.select("aggregate_id", "sequence", "event_type", F.expr("try_parse_json(payload)").alias("doc"))
+    data = few.select("aggregate_id", "sequence", "event_type", "payload", F.expr("try_parse_json(payload)").alias("doc"))
     patch = paths.item("''", "try_variant_get(doc, '$.Modified.data', 'variant')", part="0", arrays=paths.NO_ARRAYS, base="0")
     assigned = paths.item("e.key", "e.value", part="i", arrays=paths.NO_ARRAYS, fresh="true", base="size(split(e.key, '/')) - 1")  # keys of an assignment are pointers themselves
     start = f"""case event_type when 'JourneyModified' then array({patch})
         else transform(map_entries(try_variant_get(doc, '$.AttributesSet.plaintext', 'map<string,variant>')), (e, i) -> {assigned}) end"""
-    rows = paths.taken_apart(data, start, ["aggregate_id", "sequence", "event_type"])
+    rows = paths.taken_apart(data, start, ["aggregate_id", "sequence", "event_type"], "payload")
     op = F.when(F.col("kind") == "leaf", "set").when(F.col("kind") == "null", F.when((F.col("event_type") == "JourneyModified") & (F.size("arrays") == 0), "delete").otherwise("set")).otherwise(F.col("kind"))
     return rows.select("aggregate_id", "sequence", "part", "path", "value", "json", op.alias("op"), "arrays", "base")
 
 
 def resolved(log: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """The writes of a log with positions in arrays made plain, and those that fail (aggregate_id, sequence, part, error)."""
-    return trees.resolve_positions(upcast(log), ["aggregate_id"])
+    return trees.resolve_positions(cut(upcast(log)), ["aggregate_id"])
 
 
 def fold_bag(log: DataFrame) -> DataFrame:
@@ -48,7 +49,7 @@ def fold_documents(log: DataFrame) -> DataFrame:
 def patch_writes(patches: DataFrame, key: list[str]) -> DataFrame:
     """Writes (key..., sequence, part, path, value, op, arrays) of merge patches: data, JSON text, of each row (key..., sequence)."""
     root = f"array({paths.item(chr(39) * 2, 'try_parse_json(data)', part='0', arrays=paths.NO_ARRAYS, base='0')})"
-    rows = paths.taken_apart(patches, root, [*key, "sequence"])
+    rows = paths.taken_apart(patches, root, [*key, "sequence"], "data")
     op = F.when(F.col("kind") == "leaf", "set").when(F.col("kind") == "null", F.when(F.size("arrays") == 0, "delete").otherwise("set")).otherwise(F.col("kind"))
     return rows.select(*key, "sequence", "part", "path", "value", op.alias("op"), "arrays")
 
@@ -118,7 +119,7 @@ def _resumed(last: DataFrame, nodes: DataFrame, tail: DataFrame) -> DataFrame:
     nodes = nodes.join(inside, ["aggregate_id", "path"], "left")
     op = F.when(F.col("kind") == "leaf", "set").otherwise(F.col("kind"))
     stored = nodes.join(last, "aggregate_id").select("aggregate_id", F.col("last_sequence").alias("sequence"), F.lit(0).alias("part"), "path", "value", "json", op.alias("op"), "arrays", F.lit(0).alias("base"))
-    writes, _ = trees.resolve_positions(stored.unionByName(upcast(tail)), ["aggregate_id"])
+    writes, _ = trees.resolve_positions(cut(stored.unionByName(upcast(tail))), ["aggregate_id"])
     return paths.last_writes(writes, ["aggregate_id"], ORDER, containers=True)
 
 

@@ -10,16 +10,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """A table of fewer files than cores dealt to all cores: what is made of its rows costs more than to move them."""
+def _spread(df: DataFrame, read_from: DataFrame | None = None) -> DataFrame:
+    """Rows that come from a table of fewer files than cores dealt to all cores: what is made of them costs more than to move them."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if len((read_from or df).inputFiles()) < cores else df
 
 
 def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = read(spark, sf_dir, "events").withColumn("sequence", F.row_number().over(w).cast("long")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("user_id")))
-    return e.withColumn("k", F.get_json_object("props", "$.k").cast("int")).withColumn("aggregate_id", F.concat(F.lit("u"), "user_id"))
+    raw = read(spark, sf_dir, "events")
+    e = raw.withColumn("sequence", F.row_number().over(w).cast("long")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("user_id")))
+    e = e.withColumn("k", F.get_json_object("props", "$.k").cast("int")).withColumn("aggregate_id", F.concat(F.lit("u"), "user_id"))
+    return _spread(e, raw)
 
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
