@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import documents
-from .classify import AttributeSchema, classify_changes, rejections
+from .classify import INVALID, AttributeSchema, classify_changes, rejections
 
 
 def admit(commands: DataFrame, schema: AttributeSchema) -> DataFrame:
@@ -28,7 +28,8 @@ def admit(commands: DataFrame, schema: AttributeSchema) -> DataFrame:
     c = c.withColumn("slot_subject", F.when(F.col("person_ref").isNotNull(), bound))
     kind = F.when(F.col("path").isNotNull(), schema.classify(F.col("path")))
     error = (
-        F.when(F.col("command") == "Start", F.when(F.col("started"), "AlreadyStarted"))
+        F.when((F.col("command") == "SetAttributes") & (kind == INVALID), "InvalidJsonPointer")  # never gets as far as a journey
+        .when(F.col("command") == "Start", F.when(F.col("started"), "AlreadyStarted"))
         .when(~F.col("started"), "NotFound")
         .when(F.col("completed"), "AlreadyCompleted")
         .when(F.col("command") == "CapturePerson", F.when(F.col("slot_subject") != F.col("subject_id"), "PersonRefConflict"))
@@ -45,7 +46,7 @@ def admit(commands: DataFrame, schema: AttributeSchema) -> DataFrame:
 
 def admit_change_sets(commands: DataFrame, schema: AttributeSchema) -> DataFrame:
     """SetAttributes commands with error, unknown_paths (all of them, sorted) and unbound_ref (of the first secret in path order whose slot no accepted capture has
-    bound before). commands has changes, an array of (path, value), beside the columns of admit; the guards come first, then an empty set, unknown paths and unbound secrets."""
+    bound before). commands has changes, an array of (path, value), beside the columns of admit; a path that is no pointer comes first, then the guards, an empty set, unknown paths and unbound secrets."""
     key = ["aggregate_id", "sequence"]
     c = admit(commands.drop("changes"), schema)
     slots = c.where("command = 'CapturePerson' and started and not completed").select("aggregate_id", "person_ref", "subject_id", F.col("sequence").alias("captured_at"))
@@ -53,7 +54,7 @@ def admit_change_sets(commands: DataFrame, schema: AttributeSchema) -> DataFrame
     changes = commands.where("command = 'SetAttributes'").select(*key, F.explode("changes").alias("x")).select(*key, "x.path", "x.value")
     refused = rejections(classify_changes(changes, slots, schema)).withColumnRenamed("error", "refusal")
     out = c.where("command = 'SetAttributes'").select(*key, "started", "completed").join(sets, key).join(refused, key, "left")
-    error = F.when(~F.col("started"), "NotFound").when(F.col("completed"), "AlreadyCompleted").when(F.coalesce("n", F.lit(0)) < 1, "InvalidData").otherwise(F.col("refusal"))
+    error = F.when(F.col("refusal") == "InvalidJsonPointer", F.col("refusal")).when(~F.col("started"), "NotFound").when(F.col("completed"), "AlreadyCompleted").when(F.coalesce("n", F.lit(0)) < 1, "InvalidData").otherwise(F.col("refusal"))
     out = out.withColumn("error", error)
     return out.select(*key, "error", F.when(F.col("error") == "UnknownAttributePath", F.col("unknown_paths")).alias("unknown_paths"), F.when(F.col("error") == "PersonNotFound", F.col("unbound_ref")).alias("unbound_ref"))
 

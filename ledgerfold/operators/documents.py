@@ -18,13 +18,26 @@ class PointerError(ValueError):
 
 
 def parse(text: str | None) -> Any:
-    """A JSON text; null is null."""
+    """A JSON text; null is null. What isn't JSON (NaN and the infinities too), or is nested too deep to be read, is BAD."""
     try:
-        return None if text is None else js.loads(text)
-    except ValueError:
+        return None if text is None else js.loads(text, parse_constant=_refuse)
+    except (ValueError, RecursionError):
         return BAD
 
 
+def _refuse(name: str) -> None:
+    raise ValueError(name)
+
+
+def canonical(x: Any) -> str:
+    """One text for equal JSON values: 1 and 1.0 are equal, 1 and "1" and true are not."""
+    if isinstance(x, dict):
+        return "{" + ",".join(f"{js.dumps(k)}:{canonical(v)}" for k, v in sorted(x.items())) + "}"
+    if isinstance(x, list):
+        return "[" + ",".join(map(canonical, x)) + "]"
+    return js.dumps(int(x) if isinstance(x, float) and x.is_integer() else x)
+
+
 def kind_of(x: Any) -> str:
     if x is None:
         return "null"
@@ -48,7 +61,7 @@ def checker(schema: dict) -> Callable[[Any], list[str]]:
         wanted = [wanted] if isinstance(wanted, str) else wanted
         if wanted and kind not in wanted and not (number and "number" in wanted):
             yield f"{at} type"
-        if "enum" in s and js.dumps(x, sort_keys=True) not in {js.dumps(e, sort_keys=True) for e in s["enum"]}:
+        if "enum" in s and canonical(x) not in {canonical(e) for e in s["enum"]}:
             yield f"{at} enum"
         if number and x < s.get("minimum", x):
             yield f"{at} minimum"
@@ -127,12 +140,24 @@ def merge_patch(doc: Any, patch: Any) -> Any:
 
 def step(doc: Any, data: str | None, writes: list[tuple[str, str | None]] | None, check: Callable[[Any], list[str]]) -> tuple[Any, str | None, list[str]]:
     """(document afterwards, error, reasons) of one command: data is a Capture's, writes (path, JSON text; null for a Capture) are the plaintext ones of SetAttributes. A refused
-    command leaves the document as it was. Data is validated by itself and then merged; writes are merged, in path order, and the result is validated."""
+    command leaves the document as it was. Data is validated by itself and then merged; writes are merged, in path order, and the result is validated. A value nested too deep to be merged is refused."""
+    try:
+        return _step(doc, data, writes, check)
+    except RecursionError:
+        return doc, "InvalidData", [" depth"]
+
+
+def _step(doc, data, writes, check):
     if writes is None:
         patch = parse(data)
         reasons = check(patch)
         return (doc, "InvalidData", reasons) if reasons else (merge_patch(doc, patch), None, [])
-    new = js.loads(js.dumps(doc))
+    new = doc
+    if isinstance(doc, dict):  # only what is below a written key can change
+        touched = {t[0] for path, _ in writes if (t := _tokens(path)) and t[0] in doc}
+        new = doc | {t: js.loads(js.dumps(doc[t])) for t in touched}
+    elif isinstance(doc, list):
+        new = js.loads(js.dumps(doc))
     try:
         for path, text in sorted(writes, key=lambda w: w[0]):
             value = parse(text)

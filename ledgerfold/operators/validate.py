@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json as js
 import re
 from dataclasses import dataclass
 from functools import reduce
@@ -10,10 +11,13 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import documents
+
 _KINDS = {"string": "STRING", "boolean": "BOOLEAN"}
 
 
-def _is(kind: str, schema: Column) -> Column:
+def _is(kind: str, schema: Column, value: Column | None = None) -> Column:
+    """Whether a variant's kind (and value, for integers: 1.0 and 1e0 are such) is of a JSON Schema type."""
     if kind == "null":
         return schema.isin("VOID", "NULL")
     if kind == "object":
@@ -21,12 +25,49 @@ def _is(kind: str, schema: Column) -> Column:
     if kind == "array":
         return F.startswith(schema, F.lit("ARRAY"))
     if kind == "integer":
-        return schema.isin("BIGINT", "TINYINT", "SMALLINT", "INT") | schema.rlike(r"^DECIMAL\(\d+,0\)$")
+        whole = schema.isin("BIGINT", "TINYINT", "SMALLINT", "INT") | schema.rlike(r"^DECIMAL\(\d+,0\)$")
+        if value is None:
+            return whole
+        number = F.try_variant_get(value, "$", "double")
+        return whole | (_is("number", schema) & F.coalesce(number == F.floor(number), F.lit(False)))
     if kind == "number":
         return schema.isin("BIGINT", "TINYINT", "SMALLINT", "INT", "DOUBLE", "FLOAT") | F.startswith(schema, F.lit("DECIMAL"))
     return schema == _KINDS[kind]
 
 
+def _in_enum(entries: list, kind: Column, value: Column) -> Column:
+    """Whether a variant equals one of the entries, as JSON values: by kind, numbers by their value."""
+    ok = F.lit(False)
+    of = lambda test: [x for x in entries if test(x)]
+    if strings := of(lambda x: isinstance(x, str)):
+        ok = ok | (_is("string", kind) & F.try_variant_get(value, "$", "string").isin(*strings))
+    if numbers := of(lambda x: isinstance(x, (int, float)) and not isinstance(x, bool)):
+        ok = ok | (_is("number", kind) & F.try_variant_get(value, "$", "double").isin(*map(float, numbers)))
+    if flags := of(lambda x: isinstance(x, bool)):
+        ok = ok | (_is("boolean", kind) & F.try_variant_get(value, "$", "boolean").isin(*flags))
+    if None in entries:
+        ok = ok | _is("null", kind)
+    for x in of(lambda x: isinstance(x, (dict, list))):
+        ok = ok | (F.to_json(value) == F.to_json(F.parse_json(F.lit(js.dumps(x)))))
+    return F.coalesce(ok, F.lit(False))
+
+
+def _refers_to_itself(schema: dict) -> bool:
+    """Whether following the references of a schema comes back to one that is being followed."""
+    defs = schema.get("$defs", {})
+
+    def walk(node: object, above: tuple[str, ...]) -> bool:
+        if isinstance(node, list):
+            return any(walk(x, above) for x in node)
+        if not isinstance(node, dict):
+            return False
+        if isinstance(ref := node.get("$ref"), str):
+            return ref in above or walk(defs[ref.rsplit("/", 1)[1]], (*above, ref))
+        return any(walk(x, above) for k, x in node.items() if k not in ("$defs", "enum"))
+
+    return walk(schema, ())
+
+
 def compile_schema(schema: dict, column: str = "doc", defs: dict | None = None, at: str = "") -> Column:
     """An array of "path keyword" for all that is wrong with the variant column: type, properties, required, enum, minimum, maximum, minLength,
     items, anyOf, oneOf, $ref and additionalProperties (false); other keywords are annotations."""
@@ -42,10 +83,10 @@ def compile_schema(schema: dict, column: str = "doc", defs: dict | None = None,
             kinds = s["type"] if isinstance(s["type"], list) else [s["type"]]
             ok = F.lit(False)
             for k in kinds:
-                ok = ok | _is(k, kind)
+                ok = ok | _is(k, kind, value)
             out.append(fail(~ok, "type"))
         if "enum" in s:
-            out.append(fail(~F.coalesce(F.try_variant_get(value, "$", "string").isin(*[str(x) for x in s["enum"]]), F.lit(False)), "enum"))
+            out.append(fail(~_in_enum(s["enum"], kind, value), "enum"))
         number = F.try_variant_get(value, "$", "double")
         if "minimum" in s:
             out.append(fail(_is("number", kind) & (number < s["minimum"]), "minimum"))
@@ -105,7 +146,18 @@ def _named_nodes(schema: dict, defs: dict) -> list[_Node]:
 def validate(docs: DataFrame, json: str, schema: dict) -> DataFrame:
     """docs with errors (sorted) and valid; text that is no JSON has the error "json".
 
-    Each named node is taken out of its parent once, as a column, and so is its kind; a keyword is one condition on these columns."""
+    Each named node is taken out of its parent once, as a column, and so is its kind; a keyword is one condition on these columns. A schema that refers to itself has no such finite form: then each text is
+    looked through by documents.checker, in Arrow batches; one too deep for that has the error "depth"."""
+    if _refers_to_itself(schema):
+
+        def look(text: str | None) -> list[str]:
+            try:
+                return documents.checker(schema)(documents.BAD if text is None else documents.parse(text))
+            except RecursionError:
+                return [" depth"]
+
+        errors = F.udf(look, "array<string>", useArrow=True)(F.col(json))
+        return docs.withColumn("errors", errors).withColumn("valid", F.size("errors") == 0)
     defs = schema.get("$defs", {})
     nodes = _named_nodes(schema, defs)
     v = docs.withColumn("__v0", F.expr(f"try_parse_json({json})"))
@@ -120,9 +172,9 @@ def validate(docs: DataFrame, json: str, schema: dict) -> DataFrame:
         fail = lambda bad, word: found.append(F.when(there & bad, F.lit(f"{n.path} {word}")))  # noqa: B023, E731
         if "type" in s:
             kinds = s["type"] if isinstance(s["type"], list) else [s["type"]]
-            fail(~reduce(or_, [_is(k, kind) for k in kinds]), "type")
+            fail(~reduce(or_, [_is(k, kind, value) for k in kinds]), "type")
         if "enum" in s:
-            fail(~F.coalesce(F.try_variant_get(value, "$", "string").isin(*[str(x) for x in s["enum"]]), F.lit(False)), "enum")
+            fail(~_in_enum(s["enum"], kind, value), "enum")
         for word, over in (("minimum", lambda x, y: x < y), ("maximum", lambda x, y: x > y)):
             if word in s:
                 fail(_is("number", kind) & over(F.try_variant_get(value, "$", "double"), s[word]), word)

@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 
 from ..operators import documents
-from ..operators.classify import AttributeSchema
+from ..operators.classify import INVALID, AttributeSchema
 
 VERDICTS = "aggregate_id string, sequence long, command string, error string, slot_subject string, from_step string, person_ref string, subject_id string, step string"
 STATE = "started boolean, completed boolean, slots string, step string, doc string"
@@ -19,6 +19,10 @@ def verdict(state: dict, c, schema: AttributeSchema, check: Callable[[Any], list
     """The error of a command, or None; an accepted one changes state (started, completed, slots, step, doc). With check, a command has changes (path, JSON text) and data (JSON
     text), which are validated as documents.step says."""
     slots = state["slots"]
+    if c.command == "SetAttributes":
+        given = [w["path"] for w in (c.changes if c.changes is not None else [])] if check else [c.path]
+        if any(p is not None and schema.kind(p) == INVALID for p in given):
+            return "InvalidJsonPointer"
     if c.command == "Start":
         if state["started"]:
             return "AlreadyStarted"
