@@ -14,6 +14,12 @@ def journeys(log: DataFrame) -> DataFrame:
     return fold.fold_scalars(log).join(size, "aggregate_id", "left").withColumn("bag_size", F.coalesce("bag_size", F.lit(0)))
 
 
+def journey_documents(log: DataFrame) -> DataFrame:
+    """One row per journey: state, step, latest decision, version, times and shared_data, the document as JSON text ({} where nothing is stored)."""
+    docs = fold.fold_documents(log).withColumnRenamed("document", "shared_data")
+    return fold.fold_scalars(log).join(docs, "aggregate_id", "left").withColumn("shared_data", F.coalesce("shared_data", F.lit("{}")))
+
+
 def persons(log: DataFrame, keys: DataFrame, forgets: DataFrame | None = None) -> DataFrame:
     """One row per slot: the last capture's name, email and phone, the first one's subject. A slot is forgotten once its subject was (forgets: aggregate_id, subject_id);
     it has no identity if its subject has no key, even if captured again."""

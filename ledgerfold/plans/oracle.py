@@ -22,6 +22,11 @@ def _bag(where: str = "true") -> str:
     return f"""bag AS (SELECT aggregate_id, path, round(value, 4) AS value FROM (SELECT *, row_number() OVER (PARTITION BY aggregate_id, path ORDER BY sequence DESC) AS r FROM w WHERE {where}) WHERE r = 1 AND NOT del)"""
 
 
+def _number(x: str) -> str:
+    """A value of cents as JSON text."""
+    return f"CASE WHEN {x} = floor({x}) THEN CAST(CAST({x} AS BIGINT) AS VARCHAR) ELSE CAST({x} AS VARCHAR) END"
+
+
 def _scalars(source: str = "e") -> str:
     return f"""s AS (SELECT aggregate_id, CASE WHEN bool_or(event_type = 'JourneyClosed') THEN 'Complete' ELSE 'InProgress' END AS state, bool_or(event_type = 'JourneyOpened') AS started,
   arg_max('step_' || (k % 7), sequence) FILTER (WHERE event_type = 'StepProgressed') AS current_step, max(sequence) FILTER (WHERE event_type = 'WorkflowEvaluated') AS dseq,
@@ -165,6 +170,13 @@ ORACLE_SQL: dict[str, str] = {
     "W6_audit_log": f"""WITH {E} SELECT aggregate_id || '-' || sequence AS event, 'StepProgressed {{"StepProgressed":{{"to_step":"step_' || (k % 7) || '"}}}}' AS line FROM e WHERE event_type = 'StepProgressed'""",
     "J1_flatten_json": f"WITH {S}, {FLAT} SELECT aggregate_id, path, value, false AS is_null FROM fl",
     "J2_assign_all": f"WITH {W}, {_bag("event_type = 'AttributesSet'")} SELECT * FROM bag",
+    "J2_rehydrate_json": f"""WITH {S} SELECT aggregate_id, '{{"booking":{{"paymentStatus":"' || payment_status || '"' || coalesce(',"selectedOutboundFlight":"' || outbound || '"', '') || coalesce(',"selectedReturnFlight":"' || return_flight || '"', '')
+    || '}},"search":{{"departureDate":"' || departure_date || '","destination":"' || destination || '"' || coalesce(',"origin":"' || origin || '"', '') || ',"passengers":{{"adults":' || adults || ',"children":' || children || '}},"tripType":"' || trip_type || '"}}}}' AS document FROM sb""",
+    "J2_array_positions": f"""WITH RECURSIVE {E}, ops AS (SELECT aggregate_id, sequence, k, CASE WHEN sequence = 1 OR k % 4 = 0 THEN NULL WHEN k % 4 = 1 THEN 0 WHEN k % 4 = 2 THEN 1 ELSE k % 9 END AS place FROM e),
+  r AS (SELECT aggregate_id, sequence, [k] AS l, 0 AS n_errors, CAST(NULL AS VARCHAR) AS first_error FROM ops WHERE sequence = 1
+    UNION ALL SELECT o.aggregate_id, o.sequence, CASE WHEN place > len(l) THEN l WHEN coalesce(place, len(l)) = len(l) THEN list_append(l, k) ELSE l[1:place] || [k] || l[place + 2:] END,
+      n_errors + CASE WHEN place > len(l) THEN 1 ELSE 0 END, coalesce(first_error, CASE WHEN place > len(l) THEN 'OutOfBounds: ' || place END) FROM r JOIN ops o ON o.aggregate_id = r.aggregate_id AND o.sequence = r.sequence + 1)
+  SELECT aggregate_id, '{{"list":[' || array_to_string(l, ',') || ']}}' AS document, CAST(n_errors AS BIGINT) AS n_errors, first_error FROM r QUALIFY sequence = max(sequence) OVER (PARTITION BY aggregate_id)""",
     "J3_merge_patch": f"WITH {W}, {_bag("event_type = 'JourneyModified'")} SELECT * FROM bag",
     "J4_shallow_merge": f"""WITH {W}, f AS (SELECT *, split_part(path, '/', 2) AS top FROM w WHERE event_type = 'AttributesSet') SELECT aggregate_id, path, round(value, 4) AS value FROM f
   WHERE sequence = (SELECT max(sequence) FROM f g WHERE g.aggregate_id = f.aggregate_id AND g.top = f.top)""",
@@ -235,8 +247,16 @@ ORACLE_SQL: dict[str, str] = {
     "R24_phase_funnel": f"WITH {E}, {_scalars()} SELECT phase, count(*) AS n_journeys FROM sd GROUP BY 1",
     "R24_phase_gaps": f"""WITH {E}, d AS (SELECT ph AS phase, epoch_us(lead(ts) OVER (PARTITION BY aggregate_id ORDER BY sequence)) - epoch_us(ts) AS gap FROM e WHERE event_type = 'WorkflowEvaluated')
   SELECT phase, count(gap) AS n, round(avg(gap) / 1e6, 3) AS mean_seconds FROM d GROUP BY 1""",
-    "P1_project_journey_view": f"""WITH {W}, {_bag()}, {_scalars()}, bg AS (SELECT aggregate_id, string_agg(path, ',' ORDER BY path) AS bag_paths, round(sum(value), 2) AS bag_total FROM bag GROUP BY 1)
-  SELECT s.aggregate_id, state, current_step, version, created_at, updated_at, coalesce(bag_paths, '') AS bag_paths, bag_total FROM s LEFT JOIN bg USING (aggregate_id)""",
+    "P1_project_journey_view": f"""WITH {E}, {_scalars()},
+  lm AS (SELECT aggregate_id, k, value AS v FROM e WHERE event_type = 'JourneyModified' QUALIFY row_number() OVER (PARTITION BY aggregate_id ORDER BY sequence DESC) = 1),
+  lc AS (SELECT aggregate_id, k, value AS v FROM e WHERE event_type = 'AttributesSet' AND src = 'click' QUALIFY row_number() OVER (PARTITION BY aggregate_id ORDER BY sequence DESC) = 1),
+  lp AS (SELECT aggregate_id, value AS v FROM e WHERE event_type = 'AttributesSet' AND src = 'purchase' QUALIFY row_number() OVER (PARTITION BY aggregate_id ORDER BY sequence DESC) = 1)
+  SELECT sd.aggregate_id, state, current_step, phase, actions, version, created_at, updated_at, '{{' || concat_ws(',',
+    CASE WHEN lp.v IS NOT NULL OR lc.v IS NOT NULL THEN '"booking":{{' || concat_ws(',', '"last":{{"amount":' || {_number("lp.v")} || '}}', '"value":' || {_number("lc.v")}) || '}}' END,
+    CASE WHEN lm.k IS NOT NULL THEN '"profile":{{"k":' || lm.k || ',"tags":' || CASE WHEN lm.k % 7 = 0 THEN '{{"x":' || lm.k || '}}' ELSE '[' || array_to_string([lm.k, lm.k + 1][1:lm.k % 3], ',') || ']' END
+      || CASE WHEN lm.k % 10 <> 0 THEN ',"v":' || {_number("lm.v")} ELSE '' END || '}}' END,
+    '"search":{{"k":' || lc.k || '}}') || '}}' AS shared_data
+  FROM sd LEFT JOIN lm USING (aggregate_id) LEFT JOIN lc USING (aggregate_id) LEFT JOIN lp USING (aggregate_id)""",
     "P2_project_persons": f"WITH {PERSONS} SELECT aggregate_id, person_ref, subject_id, name, email, phone, forgotten FROM pe",
     "P3_project_workflow_history": f"""WITH {E} SELECT aggregate_id, sequence, 'a' || (k % 5) AS actions, ph AS phase, sequence = max(sequence) OVER (PARTITION BY aggregate_id) AS is_latest FROM e WHERE event_type = 'WorkflowEvaluated'""",
     "Q1_load_journey": f"""WITH {PERSONS} SELECT 'o42' AS aggregate_id, (SELECT max(v) FROM (SELECT 1 AS v UNION ALL SELECT sequence FROM cap WHERE aggregate_id = 'o42' UNION ALL SELECT sequence FROM att WHERE aggregate_id = 'o42'

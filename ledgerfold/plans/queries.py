@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import paths
+from ..functions import paths, trees
 from ..operators import admit, classify, documents, fold, keys, pii, rules, validate, views
 from ..sources import commands, samples
 from ..sources import event_log as log
@@ -131,6 +131,25 @@ def J2_assign_all(spark, d):
     return fold.fold_bag(_e(spark, d).where("event_type = 'AttributesSet'")).select("aggregate_id", "path", F.round(F.col("value").cast("double"), 4).alias("value"))
 
 
+@query
+def J2_rehydrate_json(spark, d):
+    nodes = paths.flatten_nodes(samples.booking_bags(spark, d), "doc", ["aggregate_id"])
+    return trees.rehydrate(nodes, ["aggregate_id"])
+
+
+def _positions(spark, d):
+    return fold.resolved(samples.list_log(spark, d))
+
+
+@query
+def J2_array_positions(spark, d):
+    """Appended, replaced and refused elements of one list a journey."""
+    writes, errors = _positions(spark, d)
+    docs = trees.rehydrate(paths.last_writes(writes, ["aggregate_id"], fold.ORDER, containers=True), ["aggregate_id"])
+    failed = errors.groupBy("aggregate_id").agg(F.count(F.lit(1)).alias("n_errors"), F.min_by("error", "sequence").alias("first_error"))
+    return docs.join(failed, "aggregate_id", "left").select("aggregate_id", "document", F.coalesce("n_errors", F.lit(0)).alias("n_errors"), "first_error")
+
+
 @query
 def J3_merge_patch(spark, d):
     return fold.fold_bag(_e(spark, d).where("event_type = 'JourneyModified'")).select("aggregate_id", "path", F.round(F.col("value").cast("double"), 4).alias("value"))
@@ -521,8 +540,8 @@ def R24_phase_gaps(spark, d):
 @query
 def P1_project_journey_view(spark, d):
     e = _e(spark, d)
-    v = fold.fold_scalars(e).join(_bag_columns(e), "aggregate_id", "left")
-    return v.select("aggregate_id", "state", "current_step", "version", "created_at", "updated_at", F.coalesce("bag_paths", F.lit("")).alias("bag_paths"), "bag_total")
+    v = views.journey_documents(e)
+    return v.select("aggregate_id", "state", "current_step", "phase", F.array_join("actions", ",").alias("actions"), "version", "created_at", "updated_at", "shared_data")
 
 
 def _people(spark, d):

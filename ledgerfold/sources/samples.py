@@ -43,6 +43,14 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.lit("journey").alias("aggregate_type"), "aggregate_id", "sequence", kind.alias("event_type"), version.alias("event_version"), payload.alias("payload"), F.col("ts").alias("timestamp"))
 
 
+def list_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Journeys of users that append to, replace in and miss the positions of one list, in the envelope of event_log.ENVELOPE."""
+    token = F.expr("case when sequence = 1 or k % 4 = 0 then '-' when k % 4 = 1 then '0' when k % 4 = 2 then '1' else cast(k % 9 as string) end")
+    payload = F.concat(F.lit('{"AttributesSet":{"plaintext":{"/list/'), token, F.lit('":'), F.col("k"), F.lit("}}}"))
+    none = F.lit("AttributesSet").alias("event_type")
+    return _numbered(spark, sf_dir).select(F.lit("journey").alias("aggregate_type"), "aggregate_id", "sequence", none, F.lit("1.0").alias("event_version"), payload.alias("payload"), F.col("ts").alias("timestamp"))
+
+
 def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """aggregate_id, sequence, command, person_ref, subject_id, path, step, amount, k."""
     e = _numbered(spark, sf_dir)
