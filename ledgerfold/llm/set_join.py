@@ -271,7 +271,7 @@ def between_groups(members: DataFrame, percent: int) -> DataFrame:
 
 
 def set_table(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """id and shingles (packed, ascending) of the wanted sets (doc_id of a row that has it, node, id).
+    """id, shingles (packed, ascending) and n_first (how many are in the first quarter of the range) of the wanted sets (doc_id of a row that has it, node, id).
 
     A bitmap of BITMAP_PARTS * 4 KB at most says which documents may be wanted, so only their sets are built and shuffled; the join decides."""
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_PARTS << 15))
@@ -280,7 +280,7 @@ def set_table(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     for p, m in marks.collect():  # BITMAP_PARTS rows at most
         bitmap[p] = np.frombuffer(m, np.uint8)
     if not bitmap.any():
-        return docs.sparkSession.createDataFrame([], "id long, shingles binary")
+        return docs.sparkSession.createDataFrame([], "id long, shingles binary, n_first long")
 
     def run(batch: pa.RecordBatch):
         p, x = batch.column("p").to_numpy(), batch.column("x").to_numpy()
@@ -289,11 +289,29 @@ def set_table(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             h, offs = shingle_sets(raw.lower(), size)
             node = digests(h, offs)
             first = {x: k for k, x in enumerate(node.to_pylist()) if x is not None}
-            yield {"node": pa.array(list(first), pa.binary()), "shingles": pa.array([h[offs[k] : offs[k + 1]].tobytes() for k in first.values()], pa.binary())}
+            yield {"node": pa.array(list(first), pa.binary()), "shingles": pa.array([h[offs[k] : offs[k + 1]].tobytes() for k in first.values()], pa.binary()), "n_first": pa.array([int(np.searchsorted(h[offs[k] : offs[k + 1]], _U(1 << 62))) for k in first.values()], pa.int64())}
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").select(F.bitmap_bucket_number(bit).alias("p"), F.bitmap_bit_position(bit).alias("x"), "text")
-    found = map_arrow(rows, run, "node binary, shingles binary").join(wanted.select("node", "id"), "node")
-    return found.groupBy("node", "id").agg(F.first("shingles").alias("shingles")).select("id", "shingles")
+    found = map_arrow(rows, run, "node binary, shingles binary, n_first long").join(wanted.select("node", "id"), "node")
+    return found.groupBy("node", "id").agg(F.first("shingles").alias("shingles"), F.first("n_first").alias("n_first")).select("id", "shingles", "n_first")
+
+
+def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose elements in the first quarter of the range of hashes don't differ by more than two linked sets may differ by as a whole. Only these elements are shuffled."""
+    small = sets.select("id", F.expr("substring(shingles, 1, 8 * n_first)").alias("s"), (F.octet_length("shingles") / 8).cast("long").alias("n"))
+    both = pairs.join(small.select(F.col("id").alias("a"), F.col("s").alias("sa"), F.col("n").alias("na")), "a").join(small.select(F.col("id").alias("b"), F.col("s").alias("sb"), F.col("n").alias("nb")), "b")
+
+    def run(batch: pa.RecordBatch):
+        na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+        spare = na + nb - 2 * -(-percent * (na + nb) // (100 + percent))
+        keep = []
+        for k, (x, y) in enumerate(zip(batch.column("sa"), batch.column("sb"))):
+            x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
+            keep.append(x.size + y.size - 2 * np.intersect1d(x, y, assume_unique=True).size <= spare[k])
+        mask = np.array(keep, dtype=bool)
+        yield {"a": batch.column("a").to_numpy()[mask], "b": batch.column("b").to_numpy()[mask]}
+
+    return map_arrow(both.select("a", "b", "sa", "sb", "na", "nb"), run, "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -391,7 +409,7 @@ def links_in_lists(lists: DataFrame, sets: DataFrame, percent: int, block: int,
                 release()
         return pa.table({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
 
-    return wide.join(sets, "id").groupBy("band", "key", "i", "j").applyInArrow(compare, "a long, b long")
+    return wide.join(sets.select("id", "shingles"), "id").groupBy("band", "key", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def join_groups(docs: DataFrame, size: int = 3, percent: int = 90, block: int = 1024) -> DataFrame:
@@ -418,7 +436,7 @@ def join_groups(docs: DataFrame, size: int = 3, percent: int = 90, block: int =
     longest = open_buckets(rest.where("element is not null").select(F.lit(0).alias("band"), F.col("element").alias("key"), "id", F.col("n").alias("n_shingles"), "label", F.lit(0).alias("n"))).drop("n", "mean")
     new = ends(pairs).union(longest.select("id")).join(sets.select("id"), "id", "left_anti")
     sets = sets.unionByName(shared_checkpoint(set_table(docs, whole(new), size)))
-    more = verified(pairs, sets, percent).unionByName(links_in_lists(longest, sets, percent, block))
+    more = verified(possible(pairs, sets, percent), sets, percent).unionByName(links_in_lists(longest, sets, percent, block))
     more = more.join(labels.selectExpr("node as a", "label as la"), "a", "left").join(labels.selectExpr("node as b", "label as lb"), "b", "left").selectExpr("coalesce(la, a) as a", "coalesce(lb, b) as b").where("a <> b")
     more = shared_checkpoint(more)
     out = named.select("row", "doc_id", "n_shingles", "node").join(nodes.select("node", "id"), "node", "left").select("doc_id", "n_shingles", F.coalesce("id", "row").alias("node"))
