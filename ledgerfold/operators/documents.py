@@ -7,9 +7,12 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import paths, trees
+from ..functions.cut import cut
+
 BAD = object()  # text that is no JSON
 
 
@@ -170,29 +173,123 @@ def _step(doc, data, writes, check):
     return (doc, "InvalidData", reasons) if reasons else (new, None, [])
 
 
-def refusals(commands: DataFrame, schema: dict) -> DataFrame:
-    """aggregate_id, sequence, refusal, reasons of those that fail, of commands (aggregate_id, sequence, data, writes: array of (path, value), null for a Capture).
-
-    What a command may do depends on the document that the accepted ones before it left, so each aggregate's commands are read as a sorted stream; one document
-    is in memory, no group is collected. An aggregate's stream is one task's."""
+SEGMENT = 2000  # commands of one aggregate that one task reads in a row
+_PIECE = ["aggregate_id", "segment"]
+
+
+def refusals(commands: DataFrame, schema: dict, segment: int = SEGMENT) -> DataFrame:
+    """aggregate_id, sequence, refusal, reasons of those that fail; see settle."""
+    return settle(commands, schema, segment)[0]
+
+
+def settle(commands: DataFrame, schema: dict, segment: int = SEGMENT) -> tuple[DataFrame, int]:
+    """(aggregate_id, sequence, refusal, reasons) of the commands (aggregate_id, sequence, data, writes: array of (path, value), null for a Capture) that fail, and the rounds it took.
+
+    What a command may do depends on the document that the accepted ones before it left. An aggregate's commands are cut into pieces of ``segment`` sequence numbers, each a sorted stream of its
+    own with one document in memory, and pieces run side by side on a guess: that all candidates before them were accepted. The fold of what was accepted gives each piece's start
+    anew, for all pieces in one go; pieces whose start is another one than they were judged from run again, until there are none. An aggregate's first piece starts from nothing, so
+    piece k is settled after k rounds at the latest, and the verdicts are those of one command after the other. Mostly two or three rounds do: a refused command spoils a guess only if its writes are still there at the
+    start of a later piece. A start is as large as the document; there is one a piece, not one a command.
+
+    Sequence numbers should be dense in an aggregate, gaps make pieces small. Pointers aren't empty. Only documents of schemas of type object are cut; others are read in one piece. A start that is
+    too deep to be read refuses its piece's commands (InvalidData, depth)."""
+    whole = schema.get("type") != "object"
+    piece = F.lit(0).cast("long") if whole else F.floor(F.col("sequence") / segment)
+    todo = cut(commands.select("aggregate_id", piece.alias("segment"), "sequence", "data", "writes"))
+    pieces = todo.select(*_PIECE).distinct()
+    spread = cut(pieces.groupBy("aggregate_id").agg(F.min("segment").alias("first"), F.max("segment").alias("last")).where("first < last"))
+    if spread.isEmpty():
+        return _judged(todo, None, schema), 1
+    later = cut(pieces.join(spread, "aggregate_id").where("first < segment").select(*_PIECE))
+    most = spread.agg(F.max(F.col("last") - F.col("first"))).first()[0] + 1
+    writes = _writes(todo.join(spread, "aggregate_id", "left_semi"))
+    starts = cut(_starts(writes, later))
+    found = cut(_judged(todo, starts, schema))
+    spoiled, rounds = found, 1
+    while True:
+        # only journeys with a verdict that isn't what was assumed can have other starts now
+        open_ = later.join(spoiled.select("aggregate_id").distinct(), "aggregate_id", "left_semi")
+        accepted = writes.join(open_.select("aggregate_id").distinct(), "aggregate_id", "left_semi").join(found, ["aggregate_id", "sequence"], "left_anti")
+        now = cut(_starts(accepted, open_))
+        again = cut(now.join(starts, [*_PIECE, "document"], "left_anti"))
+        if again.isEmpty():
+            return found.drop("segment"), rounds
+        if rounds > most:
+            raise RuntimeError("starts differ between equal folds")
+        starts = cut(starts.join(again, _PIECE, "left_anti").unionByName(again))
+        run = _judged(todo.join(again, _PIECE, "left_semi"), again, schema)
+        found = cut(found.join(again, _PIECE, "left_anti").unionByName(run))
+        spoiled, rounds = again, rounds + 1
+
+
+def _judged(todo: DataFrame, starts: DataFrame | None, schema: dict) -> DataFrame:
+    """(aggregate_id, segment, sequence, refusal, reasons) of what fails, each piece read from its start (document; none is an empty one)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        check, key, doc = checker(schema), BAD, {}
+        check, key, doc = checker(schema), None, {}
         for b in batches:
-            out: list[list] = [[], [], [], []]
-            for agg, seq, data, writes in zip(*(b.column(c).to_pylist() for c in ("aggregate_id", "sequence", "data", "writes"))):
-                if agg != key:
-                    key, doc = agg, {}
-                doc, error, reasons = step(doc, data, None if writes is None else [(w["path"], w["value"]) for w in writes], check)
+            out: list[list] = [[], [], [], [], []]
+            for agg, seg, seq, data, writes in zip(*(b.column(c).to_pylist() for c in (*_PIECE, "sequence", "data", "writes"))):
+                if (agg, seg) != key:
+                    key, doc = (agg, seg), {}
+                if seq is None:
+                    doc = parse(data)
+                    continue
+                if doc is BAD:
+                    error, reasons = "InvalidData", [" depth"]
+                else:
+                    doc, error, reasons = step(doc, data, None if writes is None else [(w["path"], w["value"]) for w in writes], check)
                 if error:
-                    for col, x in zip(out, (agg, seq, error, reasons)):
+                    for col, x in zip(out, (agg, seg, seq, error, reasons)):
                         col.append(x)
-            types = (b.schema.field("aggregate_id").type, b.schema.field("sequence").type, pa.string(), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["aggregate_id", "sequence", "refusal", "reasons"])
-
-    kinds = dict(commands.dtypes)
-    few = commands.select("aggregate_id", "sequence", "data", "writes").repartition("aggregate_id").sortWithinPartitions("aggregate_id", "sequence")
-    return few.mapInArrow(run, f"aggregate_id {kinds['aggregate_id']}, sequence {kinds['sequence']}, refusal string, reasons array<string>")
+            types = [*(b.schema.field(c).type for c in (*_PIECE, "sequence")), pa.string(), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], [*_PIECE, "sequence", "refusal", "reasons"])
+
+    kinds = dict(todo.dtypes)
+    rows = todo.select(*_PIECE, "sequence", "data", "writes")
+    if starts is not None:
+        rows = rows.unionByName(starts.select(*_PIECE, F.col("document").alias("data")), allowMissingColumns=True)
+    rows = rows.repartition(*_PIECE).sortWithinPartitions(*_PIECE, F.col("sequence").asc_nulls_first())
+    return rows.mapInArrow(run, f"aggregate_id {kinds['aggregate_id']}, segment long, sequence {kinds['sequence']}, refusal string, reasons array<string>")
+
+
+def _plain(text: str | None) -> str | None:
+    """JSON text that a variant takes, where Python's reading differs (a repeated name counts last)."""
+    value = parse(text)
+    return text if text is None or value is BAD else js.dumps(value)
+
+
+def _writes(commands: DataFrame) -> DataFrame:
+    """What the commands write, node by node, as fold.upcast has it: data of a Capture is a merge patch, the others assign in path order. Data that is no object can't be accepted and writes nothing."""
+    keep = ["aggregate_id", "segment", "sequence", "data", "writes"]
+    odd = F.coalesce(F.expr("data is not null and try_parse_json(data) is null or exists(writes, w -> w.value is not null and try_parse_json(w.value) is null)"), F.lit(False))
+    again = F.udf(lambda data, writes: (_plain(data), None if writes is None else [(w["path"], _plain(w["value"])) for w in writes]), "data string, writes array<struct<path string, value string>>")
+    mended = commands.where(odd).withColumn("m", again("data", "writes")).select("aggregate_id", "segment", "sequence", "m.data", "m.writes")
+    c = commands.where(~odd).select(*keep).unionByName(mended).withColumn("text", F.coalesce("data", F.expr("array_join(transform(writes, w -> w.value), ' ')")))
+    c = cut(c.where("writes is not null or try_variant_get(try_parse_json(data), '$', 'map<string,variant>') is not null"))
+    patch = paths.item("''", "try_parse_json(data)", part="0", arrays=paths.NO_ARRAYS, base="0")
+    assigned = paths.item("e.path", "try_parse_json(e.value)", part="i", arrays=paths.NO_ARRAYS, fresh="true", base="size(split(e.path, '/')) - 1")
+    by_path = "array_sort(writes, (a, b) -> case when a.path < b.path then -1 when a.path > b.path then 1 else 0 end)"
+    start = f"case when writes is null then array({patch}) else transform({by_path}, (e, i) -> {assigned}) end"
+    rows = paths.taken_apart(c.withColumn("patch", F.col("writes").isNull()), start, ["aggregate_id", "segment", "sequence", "patch"], "text")
+    op = F.when(F.col("kind") == "leaf", "set").when(F.col("kind") == "null", F.when(F.col("patch") & (F.size("arrays") == 0), "delete").otherwise("set")).otherwise(F.col("kind"))
+    return cut(rows.select("aggregate_id", "segment", "sequence", "part", "path", "value", "json", op.alias("op"), "arrays", "base"))
+
+
+def _starts(writes: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(aggregate_id, segment, document): what the writes of earlier pieces leave at the start of each of pieces. The last write of a path in a piece stands until the next piece that writes it, so each
+    start gets a path's last two writes (one that merges, one that replaces) and no more."""
+    plain, _ = trees.resolve_positions(cut(writes.drop("segment")), ["aggregate_id"])
+    plain = plain.join(writes.select("aggregate_id", "sequence", "segment").distinct(), ["aggregate_id", "sequence"])
+    at = F.struct("sequence", "part")
+    kept = plain.groupBy(*_PIECE, "path", (F.col("op") == "object").alias("merges")).agg(F.max_by(F.struct("sequence", "part", "value", "json", "op", "arrays"), at).alias("w"))
+    until = F.lead("segment").over(Window.partitionBy("aggregate_id", "path", "merges").orderBy("segment"))
+    last = pieces.groupBy("aggregate_id").agg(F.max("segment").alias("last"))
+    kept = kept.withColumn("until", until).join(last, "aggregate_id").withColumn("until", F.coalesce("until", "last")).where("segment < until")
+    seen = kept.select("aggregate_id", F.explode(F.sequence(F.col("segment") + 1, F.col("until"))).alias("segment"), "path", "w.*").join(pieces, _PIECE, "left_semi")
+    nodes = paths.last_writes(seen, _PIECE, ["sequence", "part"], containers=True)
+    built = trees.rehydrate(nodes, _PIECE)
+    return pieces.join(built, _PIECE, "left").select(*_PIECE, F.coalesce("document", F.lit("{}")).alias("document"))
 
 
 def assign_changes(rows: DataFrame, doc: str, changes: str) -> DataFrame:
