@@ -95,6 +95,12 @@ def _tokens(pointer: str) -> list[str]:
     return [t.replace("~1", "/").replace("~0", "~") for t in pointer.split("/")[1:]]
 
 
+def split_first(pointer: str) -> tuple[str, str]:
+    """(first token, decoded, and the pointer below it)."""
+    first, slash, rest = pointer[1:].partition("/")
+    return first.replace("~1", "/").replace("~0", "~"), slash + rest
+
+
 def _built(tokens: list[str], value: Any) -> Any:
     """value below tokens that don't exist yet: 0 and - start an array."""
     for t in reversed(tokens):
