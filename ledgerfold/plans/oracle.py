@@ -227,6 +227,10 @@ ORACLE_SQL: dict[str, str] = {
     "R6_switch_node": f"WITH {X} SELECT error_type, branch, count(*) AS n FROM y GROUP BY ALL",
     "R9_journey_phase": f"""WITH {S}, ph AS (SELECT aggregate_id, {PHASE} AS r FROM sb) SELECT aggregate_id, ['booking_confirmed','collecting_search','selecting_outbound','selecting_return','collecting_passengers','collecting_payment'][r] AS phase,
   ['booking_confirmation','','flight_search_results','return_flight_selection,flight_search_results','passenger_details','seat_selection,passenger_details'][r] AS actions FROM ph""",
+    "R8_rule_cells": f"WITH {S}, ph AS (SELECT aggregate_id, {PHASE} AS r FROM sb) SELECT aggregate_id, {PHASES} FROM ph",
+    "R3_expression_node": f"""WITH {S} SELECT aggregate_id, origin IS NOT NULL AND destination IS NOT NULL AS has_search, outbound IS NOT NULL AS has_outbound, return_flight IS NOT NULL AS has_return, trip_type = 'round-trip' AS round_trip,
+  payment_status = 'completed' AS payment_done, n_persons >= adults + children AND n_persons > 0 AND n_untyped = 0 AS pax_complete, CAST(adults + children AS INTEGER) AS n_required FROM sb""",
+    "S8_load_rule_tables": _price("multiplier, discount, seasonal, surcharge, baggage_fees, round(tax_total, 2) AS tax_total, insurance_fee"),
     "R10_price_base": _price("multiplier, discount"),
     "R11_price_season": _price("seasonal, surcharge"),
     "R12_fee_baggage": _price("baggage_fees"),

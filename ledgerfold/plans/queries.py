@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, trees
 from ..operators import admit, classify, documents, fold, keys, pii, rules, validate, views
+from ..operators import models as rule_models
 from ..sources import commands, samples
 from ..sources import event_log as log
+from . import models
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -485,6 +487,40 @@ def R9_journey_phase(spark, d):
     return p.select("aggregate_id", "phase", F.array_join("actions", ",").alias("actions"))
 
 
+def _phase_rows(spark, d):
+    """Booking documents as nested columns, the persons as a map by reference, with the columns of the model's expression nodes."""
+    b = samples.booking_bags(spark, d).selectExpr(
+        "aggregate_id", "struct(origin, destination, trip_type as tripType, struct(adults, children) as passengers) as search", "struct(outbound as selectedOutboundFlight, return_flight as selectedReturnFlight, payment_status as paymentStatus) as booking",
+        "case when n_persons > 0 then map_from_entries(transform(sequence(1, n_persons), i -> struct(concat('p', i) as ref, struct(if(i > n_untyped, 'adult', null) as passengerType) as person))) end as persons",
+    )
+    for node in rule_models.load_model(models.PHASE).values():
+        b = rule_models.evaluate(b, node)
+    return b
+
+
+@query
+def R3_expression_node(spark, d):
+    c = _phase_rows(spark, d)
+    return c.selectExpr("aggregate_id", "computed.hasSearch as has_search", "computed.hasOutbound as has_outbound", "computed.hasReturn as has_return", "computed.isRoundTrip as round_trip", "computed.paymentDone as payment_done", "computed.passengersComplete as pax_complete", "cast(passenger_counts.required as int) as n_required")
+
+
+@query
+def R8_rule_cells(spark, d):
+    return _phase_rows(spark, d).select("aggregate_id", "decision.phase", F.array_join("decision.actions", ",").alias("actions"))
+
+
+@query
+def S8_load_rule_tables(spark, d):
+    q = samples.quotes(spark, d).selectExpr(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "cabin as cabinClass", "distance", "cast(departure_date as string) as departureDate", "as_of", "struct(bags, weight) as selectedBaggage", "departure_country as departureCountry",
+        "arrival_country as arrivalCountry", "plan as travelInsurance", "trip_cost as tripCost", "passengers as passengerCount",
+    )
+    for name, node in rule_models.load_model(models.PRICING).items():
+        q = rule_models.evaluate(q, node, name)
+    total = "aggregate({0}, 0D, (s, x) -> s + x.amount)".format
+    return q.selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "base.multiplier", "base.discount", "season.seasonal", "season.surcharge", f"{total('baggage')} as baggage_fees", f"round({total('tax')}, 2) as tax_total", "cast(coalesce(insurance.fee, 0) as double) as insurance_fee")
+
+
 def _priced(name, *cols):
     def run(spark, d):
         return rules.price(samples.quotes(spark, d)).selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *cols)
