@@ -112,6 +112,21 @@ ru(rule, action, next_step, extra) AS (VALUES (1,'suggest_airports','search_crit
 r AS (SELECT z.*, ru.action, CASE WHEN ru.next_step = '=' THEN z.step ELSE ru.next_step END AS next_step, ru.extra FROM z LEFT JOIN ru USING (rule))"""
 
 
+def _payloads(erased: str) -> str:
+    """Every event of the personal log; data of the subjects in erased is redacted."""
+    keep = lambda who, text, gone: f"CASE WHEN {who} IN (SELECT subject_id FROM {erased}) THEN {gone} ELSE {text} END"
+    return f"""WITH {P}, nobody AS (SELECT subject_id FROM er WHERE false),
+st AS (SELECT 'o' || l_orderkey AS aggregate_id, n + 3 AS sequence, l_extendedprice AS price, 'P' || l_partkey AS lv, CASE WHEN l_linenumber % 2 = 0 THEN 'Q' || l_partkey END AS av, c.subject_id AS ls, a.subject_id AS asub
+  FROM l JOIN lead_ c ON c.aggregate_id = 'o' || l_orderkey JOIN agent_ a ON a.aggregate_id = 'o' || l_orderkey),
+bad AS (SELECT aggregate_id, sequence, CASE WHEN ls IN (SELECT subject_id FROM {erased}) OR (av IS NOT NULL AND asub IN (SELECT subject_id FROM {erased})) THEN 'redacted' ELSE 'decrypted' END AS status FROM st),
+none AS (SELECT 'o' || o_orderkey AS aggregate_id, 1 AS sequence, 'JourneyOpened' AS event_type FROM orders UNION ALL SELECT 'o' || o_orderkey, coalesce(m, -1) + 4, 'JourneyClosed' FROM orders LEFT JOIN m ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F')
+SELECT aggregate_id, CAST(sequence AS BIGINT) AS sequence, event_type, 'plain' AS status, CAST(NULL AS VARCHAR) AS subject_id, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS VARCHAR) AS email, CAST(NULL AS VARCHAR) AS phone, CAST(NULL AS DOUBLE) AS price,
+  CAST(NULL AS VARCHAR) AS lead_path, CAST(NULL AS VARCHAR) AS lead_value, CAST(NULL AS VARCHAR) AS agent_path, CAST(NULL AS VARCHAR) AS agent_value FROM none
+UNION ALL SELECT aggregate_id, sequence, 'PersonCaptured', {keep('subject_id', "'decrypted'", "'redacted'")}, subject_id, {keep('subject_id', 'name', "'[redacted]'")}, {keep('subject_id', 'email', "'[redacted]'")}, {keep('subject_id', 'phone', 'NULL')}, NULL, NULL, NULL, NULL, NULL FROM cap
+UNION ALL SELECT st.aggregate_id, st.sequence, 'AttributesSet', bad.status, NULL, NULL, NULL, NULL, price, {keep('ls', "'/persons/lead/passportNumber'", "'/redacted'")}, {keep('ls', 'lv', "'true'")},
+  CASE WHEN av IS NOT NULL THEN {keep('asub', "'/persons/agent/passportNumber'", "'/redacted'")} END, CASE WHEN av IS NOT NULL THEN {keep('asub', 'av', "'true'")} END FROM st JOIN bad USING (aggregate_id, sequence)"""
+
+
 def _price(cols: str) -> str:
     return f"WITH {T} SELECT {KEY}, {cols} FROM t1"
 
@@ -282,6 +297,13 @@ ORACLE_SQL: dict[str, str] = {
     "Q14_events_by_type": f"WITH {E} SELECT event_type, event_version, count(*) AS n FROM e GROUP BY ALL",
     "Q15_erasure_survival_report": f"WITH {P} SELECT subject_id, CASE WHEN subject_id IN (SELECT subject_id FROM er) THEN 0 ELSE count(*) END AS n_kept, CASE WHEN subject_id IN (SELECT subject_id FROM er) THEN count(*) ELSE 0 END AS n_redacted FROM pa GROUP BY subject_id",
     "C1_extract_partitions": f"WITH {P} SELECT subject_id, label, count(*) AS n FROM pa GROUP BY ALL",
+    "C3_encrypt_events": f"""WITH {P}, one AS (SELECT aggregate_id, sequence, 'PersonCaptured' AS event_type, 0 AS n, subject_id, 'default' AS label, length('{{"name":"' || name || '","email":"' || email || '","phone":' || coalesce('"' || phone || '"', 'null') || '}}') + 16 AS b FROM cap
+  UNION ALL SELECT att.aggregate_id, att.sequence, 'AttributesSet', CASE label WHEN 'lead' THEN 0 ELSE 1 END, cap.subject_id, label, length('{{"' || path || '":"' || value || '"}}') + 16 FROM att JOIN cap ON cap.aggregate_id = att.aggregate_id AND cap.person_ref = att.label),
+  pr AS (SELECT 'o' || l_orderkey AS aggregate_id, n + 3 AS sequence, l_extendedprice AS price FROM l)
+  SELECT aggregate_id, CAST(sequence AS BIGINT) AS sequence, event_type, string_agg(subject_id, ',' ORDER BY n) AS subjects, string_agg(label, ',' ORDER BY n) AS labels, CAST(sum(b) AS BIGINT) AS n_bytes, max(CASE WHEN event_type = 'AttributesSet' THEN price END) AS price
+  FROM one LEFT JOIN pr USING (aggregate_id, sequence) GROUP BY ALL""",
+    "C5_reconstruct_events": _payloads("er"),
+    "S4_scan_decrypted_log": _payloads("nobody"),
     "C4_decrypt_events": f"WITH {P} SELECT aggregate_id, sequence, label, path, value FROM att",
     "C6_redact_events": f"""WITH {P} SELECT aggregate_id, CAST(sequence AS BIGINT) AS sequence, cap.subject_id, CASE WHEN er.subject_id IS NULL THEN name ELSE '[redacted]' END AS name,
   CASE WHEN er.subject_id IS NULL THEN email ELSE '[redacted]' END AS email, CASE WHEN er.subject_id IS NULL THEN phone END AS phone, CASE WHEN er.subject_id IS NULL THEN 'decrypted' ELSE 'redacted' END AS status

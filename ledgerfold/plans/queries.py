@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, trees
+from ..functions.cut import cut
 from ..operators import admit, classify, documents, fold, keys, pii, rules, validate, views
 from ..operators import models as rule_models
+from ..operators import stored
 from ..sources import commands, samples
 from ..sources import event_log as log
 from . import models
@@ -703,6 +705,51 @@ def C4_decrypt_events(spark, d):
     return pii.attributes_read(got).select("aggregate_id", "sequence", "label", "path", "value")
 
 
+def _payload_log(spark, d):
+    """samples.personal_log as a log with payloads, in clear."""
+    p = samples.personal_log(spark, d)
+    bound = pii.slots(p).groupBy("aggregate_id").agg(*[F.max(F.when(F.col("person_ref") == r, F.col("subject_id"))).alias(r) for r in ("lead", "agent")])
+    part = "if(passport_{0} is not null, named_struct('person_ref', '{0}', 'subject_id', {0}, 'changes', map('/persons/{0}/passportNumber', passport_{0})), null)".format
+    payload = F.expr(f"""case event_type when 'PersonCaptured' then to_json(struct(struct(person_ref, subject_id, name, email, phone) as PersonCaptured))
+        when 'AttributesSet' then to_json(struct(struct(map('/price', price) as plaintext, filter(array({part('lead')}, {part('agent')}), x -> x is not null) as secret_partitions) as AttributesSet))
+        else concat('{{"', event_type, '":{{}}}}') end""")
+    rows = p.join(bound, "aggregate_id", "left")
+    return rows.select(F.lit("journey").alias("aggregate_type"), "aggregate_id", "sequence", "event_type", F.lit("1.0").alias("event_version"), payload.alias("payload"), F.col("timestamp").cast("timestamp").alias("timestamp"))
+
+
+def _stored_log(spark, d):
+    return cut(stored.encrypt(cut(_payload_log(spark, d)), _open_keys(spark, d)))
+
+
+@query
+def C3_encrypt_events(spark, d):
+    e = stored.inspect(_stored_log(spark, d))
+    price = F.expr("""try_variant_get(try_parse_json(clear), '$.plaintext["/price"]', 'double')""")
+    return e.select("aggregate_id", "sequence", "event_type", F.array_join("subjects", ",").alias("subjects"), F.array_join("labels", ",").alias("labels"), F.col("n_bytes").cast("long").alias("n_bytes"), price.alias("price"))
+
+
+def _payload_columns(e):
+    """What payloads say, in clear or redacted, as columns."""
+    get = lambda at, kind="string": F.expr(f"try_variant_get(doc, '$.{at}', '{kind}')")
+    few = e.withColumn("doc", F.expr("try_parse_json(payload)")).withColumn("l", F.expr("try_variant_get(doc, '$.AttributesSet.secret_partitions', 'array<struct<person_ref string, changes map<string,string>>>')"))
+    mine = lambda ref: F.expr(f"element_at(map_entries(get(filter(l, x -> x.person_ref = '{ref}'), 0).changes), 1)")
+    few = few.withColumn("lead", mine("lead")).withColumn("agent", mine("agent"))
+    return few.select(
+        "aggregate_id", "sequence", "event_type", "status", get("PersonCaptured.subject_id").alias("subject_id"), *[get(f"PersonCaptured.{n}").alias(n) for n in ("name", "email", "phone")],
+        get('AttributesSet.plaintext["/price"]', "double").alias("price"), *[F.col(f"{r}.{k}").alias(f"{r}_{n}") for r in ("lead", "agent") for k, n in (("key", "path"), ("value", "value"))],
+    )
+
+
+@query
+def C5_reconstruct_events(spark, d):
+    return _payload_columns(stored.decrypt(_stored_log(spark, d), _live_keys(spark, d)))
+
+
+@query
+def S4_scan_decrypted_log(spark, d):
+    return _payload_columns(stored.decrypt(_stored_log(spark, d), _open_keys(spark, d)))
+
+
 @query
 def C6_redact_events(spark, d):
     got = pii.decrypt(_sealed(spark, d), _live_keys(spark, d))
