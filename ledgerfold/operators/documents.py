@@ -255,7 +255,8 @@ def _judged(todo: DataFrame, starts: DataFrame | None, schema: dict) -> DataFram
     rows = todo.select(*_PIECE, "sequence", "data", "writes")
     if starts is not None:
         rows = rows.unionByName(starts.select(*_PIECE, F.col("document").alias("data")), allowMissingColumns=True)
-    rows = rows.repartition(*_PIECE).sortWithinPartitions(*_PIECE, F.col("sequence").asc_nulls_first())
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, as pieces are few bytes and much work: partitions wouldn't be merged well by size
+    rows = rows.repartition(tasks, *_PIECE).sortWithinPartitions(*_PIECE, F.col("sequence").asc_nulls_first())
     return rows.mapInArrow(run, f"aggregate_id {kinds['aggregate_id']}, segment long, sequence {kinds['sequence']}, refusal string, reasons array<string>")
 
 
