@@ -179,7 +179,7 @@ def _step(doc, data, writes, check):
     return (doc, "InvalidData", reasons) if reasons else (new, None, [])
 
 
-SEGMENT = 2000  # commands of one aggregate that one task reads in a row
+SEGMENT = 20_000  # commands of one aggregate that one task reads in a row
 _PIECE = ["aggregate_id", "segment"]
 
 
