@@ -307,3 +307,48 @@ def test_cross_polytope():
     first = ann.codes(x, 0, 2, 16)
     assert len(first) == 16
     assert all(own[i] in {int(c[i]) for _, c in first} for i in range(5))
+
+
+ARTICLE_PARTS = {
+    "byline": ("<div class=byline>By A. Writer</div>", ["By A. Writer"]),
+    "table": ("<table><tr><th>Year</th><th>Sum</th></tr><tr><td>1999</td><td>12</td></tr></table>", ["Year", "Sum", "1999", "12"]),
+    "quote": ("<blockquote>Short quote</blockquote>", ["Short quote"]),
+    "code": ("<pre>x = 1\ny = 2</pre>", ["x = 1 y = 2"]),
+    "figure": ("<figure><img src=a><figcaption>Caption text here.</figcaption></figure>", ["Caption text here."]),
+    "list": ("<ul class=points><li>one</li><li>two <a href=/z>three</a></li></ul>", ["one", "two three"]),
+    "terms": ("<dl><dt>Term</dt><dd>Meaning</dd></dl>", ["Term", "Meaning"]),
+    "heading": ("<h3>Part <a href=#p>two</a></h3>", ["Part two"]),
+    "link": ("<p>See <a href=/q>the source</a>, and more of it.</p>", ["See the source, and more of it."]),
+    "section": ("<section class=late><p>A later section, with a sentence of its own in it.</p><p>Ok</p></section>", ["A later section, with a sentence of its own in it.", "Ok"]),
+}
+FURNITURE_BEFORE = ["<header><p>The Daily, since 1900.</p></header>", "<nav><ul><li><a href=/>Home</a></ul></nav>", "<div class='cookie notice'><p>We use cookies, and so do others. Agree?</p></div>", "<ul><li><a href=/1>News</a><li><a href=/2>Sport</a></ul>"]
+FURNITURE_INSIDE = ["<aside><p>Side note, with words.</p></aside>", "<div class=ad><p>Buy this, now. And that, too.</p></div>", "<ul class=related><li><a href=/r1>Other one</a><li><a href=/r2>Other two</a></ul>", "<form><label>Mail</label><p>Sign up, please.</p></form>", "<script>var x = '<p>no</p>'</script>"]
+FURNITURE_AFTER = ["<section id=comments><p>Well said, I think, all of it! Yes.</p></section>", "<div class=teasers>" + "".join(f"<div class=card><a href=/{k}>Teaser {k}</a></div>" for k in range(5)) + "</div>", "<footer>&copy; someone</footer>"]
+
+
+def test_html_whole_pages_with_known_text():
+    """Pages of known text: all of the article and nothing else, in several frames."""
+    rng = np.random.default_rng(9)
+    frames = [("<article>", "</article>"), ("<main>", "</main>"), ("<main><article class=post>", "</article></main>"), ("<div class=story>", "</div>"), ("<div id=page><div class='col main-col'>", "</div></div>")]
+    some = lambda rows: "".join(x for x in rows if rng.random() < 0.6)
+    for _ in range(60):
+        for opened, closed in frames:
+            body, want = ["<h1>The title</h1>"], ["The title"]
+            for k in rng.permutation(len(BODY) + len(ARTICLE_PARTS)):
+                part, lines = (f"<p>{BODY[k]}</p>", [BODY[k]]) if k < len(BODY) else list(ARTICLE_PARTS.values())[k - len(BODY)]
+                if k < 5 or rng.random() < 0.6:
+                    body.append(part)
+                    want += lines
+                if rng.random() < 0.2:
+                    body.append(FURNITURE_INSIDE[rng.integers(len(FURNITURE_INSIDE))])
+            page = f"<html><body>{some(FURNITURE_BEFORE)}{opened}{''.join(body)}{closed}{some(FURNITURE_AFTER)}</body></html>"
+            assert html_extract.extract(page) == "\n".join(want), page
+
+
+def test_html_without_a_frame_and_deep():
+    parts = "".join(x for x, _ in ARTICLE_PARTS.values())
+    want = [x for _, lines in ARTICLE_PARTS.values() for x in lines]
+    got = html_extract.extract("<body>" + FURNITURE_BEFORE[1] + "".join(f"<p>{x}</p>" for x in BODY) + parts + FURNITURE_AFTER[2] + "</body>").split("\n")
+    assert set(BODY) <= set(got) and {"Year", "12", "Short quote", "x = 1 y = 2", "Caption text here.", "two three"} <= set(got) and set(got) <= set(BODY) | set(want)
+    deep = "<div>" * 30000 + "<p>" + BODY[0] + "</p>" + "</div>" * 30000
+    assert html_extract.extract(deep) == BODY[0]
