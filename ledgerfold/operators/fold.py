@@ -110,7 +110,8 @@ def snapshot(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     return last, paths.last_writes(resolved(log)[0], ["aggregate_id"], ORDER, containers=True)
 
 
-def _resumed(last: DataFrame, nodes: DataFrame, tail: DataFrame) -> DataFrame:
+def resumed_nodes(last: DataFrame, nodes: DataFrame, tail: DataFrame) -> DataFrame:
+    """What makes up each aggregate's bag after a tail of events, as snapshot gives it."""
     # an object that stands because of what is below it has no row of its own, but is no array
     above = nodes.select("aggregate_id", F.explode(paths.below(F.col("path"))).alias("path")).distinct().join(nodes.select("aggregate_id", "path"), ["aggregate_id", "path"], "left_anti")
     nodes = nodes.drop("arrays").unionByName(above.withColumn("kind", F.lit("object")), allowMissingColumns=True)
@@ -125,19 +126,20 @@ def _resumed(last: DataFrame, nodes: DataFrame, tail: DataFrame) -> DataFrame:
 
 def resume(last: DataFrame, nodes: DataFrame, tail: DataFrame) -> DataFrame:
     """The bag after a tail of events: snapshot and tail together equal a full replay."""
-    return _resumed(last, nodes, tail).where("kind = 'leaf'").select("aggregate_id", "path", "value", "arrays")
+    return resumed_nodes(last, nodes, tail).where("kind = 'leaf'").select("aggregate_id", "path", "value", "arrays")
 
 
 def resume_documents(last: DataFrame, nodes: DataFrame, tail: DataFrame) -> DataFrame:
     """fold_documents after a tail of events."""
-    return trees.rehydrate(_resumed(last, nodes, tail), ["aggregate_id"])
+    return trees.rehydrate(resumed_nodes(last, nodes, tail), ["aggregate_id"])
 
 
 def workflow_history(log: DataFrame) -> DataFrame:
     """All decisions, the latest of each journey flagged."""
-    d = parse_events(log.where("event_type = 'WorkflowEvaluated'"))
-    latest = F.row_number().over(Window.partitionBy("aggregate_id").orderBy(F.desc("sequence"))) == 1
-    return d.select("aggregate_id", "sequence", F.array_join("actions", ",").alias("actions"), "phase", latest.alias("is_latest"))
+    decisions = log.where("event_type = 'WorkflowEvaluated'")
+    newest = decisions.groupBy("aggregate_id").agg(F.max("sequence").alias("newest"))
+    d = parse_events(decisions).join(newest, "aggregate_id")
+    return d.select("aggregate_id", "sequence", F.array_join("actions", ",").alias("actions"), "phase", (F.col("sequence") == F.col("newest")).alias("is_latest"))
 
 
 def step_transitions(log: DataFrame) -> DataFrame:

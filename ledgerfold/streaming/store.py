@@ -1,8 +1,4 @@
-"""Committed batches of several tables, and projections kept up by streams.
-
-A batch of a table is a folder ``table/batch_id=N``; a batch counts once its marker ``_commits/N`` exists, which is written last. Readers
-take committed batches only, so a batch that failed half-way is invisible and is overwritten when it runs again: one writer, exactly once.
-"""
+"""Events stored with what hooks derive from them, duplicates, order and rotation in streams."""
 
 from __future__ import annotations
 
@@ -11,50 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import fold, keys, views
+from ..operators import keys
 from ..sources import event_log
+from .batches import Batches
 
 Hook = Callable[[DataFrame], dict[str, DataFrame]]
 
 
-class Store:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def commits(self) -> list[int]:
-        at = self._path(f"{self.root}/_commits")
-        return sorted(int(s.getPath().getName()) for s in self._fs.listStatus(at)) if self._fs.exists(at) else []
-
-    def write(self, batch_id: int, tables: dict[str, DataFrame]) -> None:
-        """All tables of a batch, then its marker. A committed batch isn't written again."""
-        if batch_id in self.commits():
-            return
-        for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.root}/{name}/batch_id={batch_id}")
-        self._fs.create(self._path(f"{self.root}/_commits/{batch_id}"), True).close()
+#: Tables of a log with the lookup hook; more hooks need more.
+LOG = {"events": event_log.ENVELOPE, "subject_lookup": "subject_id string, email_lower string"}
 
-    def read(self, name: str, schema: str | None = None) -> DataFrame:
-        """The committed batches of a table, with batch_id."""
-        paths = [p for b in self.commits() if self._fs.exists(self._path(p := f"{self.root}/{name}/batch_id={b}"))]
-        if not paths:
-            return self.spark.createDataFrame([], f"{schema}, batch_id int" if schema else "batch_id int")
-        return self.spark.read.option("basePath", f"{self.root}/{name}").parquet(*paths)
 
-
-def persist_with_hooks(store: Store, hooks: list[Hook] = ()) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: events that the log hasn't got, with what the hooks make of them, as one commit. An error in a hook commits nothing."""
+def persist_with_hooks(log: Batches, hooks: list[Hook] = ()) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: events that earlier batches haven't got, with what the hooks make of them, as one write. An error in a hook writes nothing."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        batch = batch.dropDuplicates(["aggregate_type", "aggregate_id", "sequence"]).persist()
         try:
-            known = store.read("events", event_log.ENVELOPE).drop("batch_id")
-            fresh = event_log.append_conflicts(batch.dropDuplicates(["aggregate_type", "aggregate_id", "sequence"]), known).where("not conflict").drop("conflict")
+            fresh = event_log.append_conflicts(batch, log.read("events", batch_id)).where("not conflict").drop("conflict")
             tables = {"events": fresh}
             for hook in hooks:
                 tables |= hook(fresh)
-            store.write(batch_id, tables)
+            log.write(batch_id, tables)
         finally:
             batch.unpersist()
 
@@ -62,33 +36,11 @@ def persist_with_hooks(store: Store, hooks: list[Hook] = ()) -> Callable[[DataFr
 
 
 def lookup_hook(events: DataFrame) -> dict[str, DataFrame]:
-    """A hook: the address of each subject that the batch captures, for the same commit as the events. Captures whose address is encrypted or missing give none."""
+    """A hook: the address of each subject that the batch captures, for the same write as the events. Captures whose address is encrypted or missing give none."""
     captured = event_log.parse_events(events.where("event_type = 'PersonCaptured'")).where("email <> '[redacted]'")
     return {"subject_lookup": keys.lookup(captured)}
 
 
-def project(store: Store, models: Store, key_table: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch over the log: the three read models (journeys, persons, workflow_history) of the journeys that the batch touched, replayed and appended as a
-    version, in one commit; a journey's latest version counts (see latest). Without a key table a subject has a key until it is forgotten."""
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        touched = batch.select("aggregate_id").distinct()
-        log = store.read("events", event_log.ENVELOPE).join(touched, "aggregate_id", "left_semi")
-        events = event_log.parse_events(log.where("event_type in ('PersonCaptured', 'SubjectForgotten')"))
-        forgets = events.where("event_type = 'SubjectForgotten'").select("aggregate_id", "subject_id")
-        alive = key_table if key_table is not None else events.select("subject_id").join(forgets, "subject_id", "left_anti")
-        models.write(batch_id, {"journeys": fold.fold_scalars(log), "persons": views.persons(events, alive, forgets), "workflow_history": fold.workflow_history(log)})
-
-    return run
-
-
-def latest(models: Store, name: str = "journeys") -> DataFrame:
-    """The rows of a read model that each journey's latest version has."""
-    rows = models.read(name)
-    newest = models.read("journeys").groupBy("aggregate_id").agg(F.max("batch_id").alias("batch_id"))
-    return rows.join(newest, ["aggregate_id", "batch_id"], "left_semi").drop("batch_id")
-
-
 def dedupe(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Each event once, for repeats that come within the delay."""
     return stream.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(["aggregate_type", "aggregate_id", "sequence"])
@@ -172,10 +124,10 @@ def rewrap_available(spark: SparkSession, source: str, target: str, current: str
     """Wraps all keys at source anew that no run has seen since current became the version, and returns what was made of them in all runs, for keys.apply_rewrap.
     A schedule calls it; each version has a folder and a checkpoint of its own below target, so the first run after a rotation sweeps the whole
     table and later ones what is new."""
-    made = Store(spark, f"{target}/{current}")
+    made = Batches(spark, f"{target}/{current}/rows", {"rewrapped": f"{keys.KEYS}, old_kek_id string, status string"})
     feed = spark.readStream.schema(keys.KEYS).parquet(source)
     run_available(feed, lambda batch, batch_id: made.write(batch_id, {"rewrapped": keys.rewrap(batch, current, master)}), f"{target}/{current}/_checkpoint")
-    return made.read("rewrapped", f"{keys.KEYS}, old_kek_id string, status string").drop("batch_id")
+    return made.read("rewrapped").drop("batch_id")
 
 
 def run_available(stream: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:

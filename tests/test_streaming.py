@@ -3,14 +3,16 @@
 import time
 
 import pytest
-from ledgerfold.operators import admit, classify, fold, keys, validate
+from ledgerfold.operators import admit, classify, fold, keys, validate, views
 from ledgerfold.plans import queries
 from ledgerfold.sources import event_log, samples
-from ledgerfold.streaming import admission
+from ledgerfold.streaming import admission, projections
 from ledgerfold.streaming import store as st
+from ledgerfold.streaming.batches import Batches
 from pyspark.sql import functions as F
 
 DIR = "/root/testdata/sf0.001"
+HISTORY = ["aggregate_id", "sequence", "actions", "phase", "is_latest"]
 SCALARS = ["aggregate_id", "state", "current_step", "phase", "version"]
 
 
@@ -28,33 +30,71 @@ def folder(spark, tmp_path_factory):
 
 
 def test_project_with_hooks(spark, folder, tmp_path):
-    log, views = st.Store(spark, str(tmp_path / "log")), st.Store(spark, str(tmp_path / "views"))
-    feed = event_log.stream_log(spark, folder)
+    log, models = Batches(spark, str(tmp_path / "log"), st.LOG | {"steps": "aggregate_id string, sequence long"}), projections.model_batches(spark, str(tmp_path / "models"))
+    feed = spark.readStream.schema(event_log.ENVELOPE).option("maxFilesPerTrigger", 1).parquet(folder)
     hook = lambda e: {"steps": e.where("event_type = 'StepProgressed'").select("aggregate_id", "sequence")}
 
     def both(batch, batch_id):
         st.persist_with_hooks(log, [hook])(batch, batch_id)
-        st.project(log, views)(batch, batch_id)
+        projections.project(log, models)(batch_id)
 
     st.run_available(feed, both, str(tmp_path / "c1"))
     want = samples.event_log(spark, DIR)
-    assert log.read("events").count() == want.count()
+    assert log.read("events").count() == want.count() and log.read("events").select("batch_id").distinct().count() > 1
     assert log.read("steps").count() == want.where("event_type = 'StepProgressed'").count()
-    assert rows(st.latest(views), *SCALARS) == rows(fold.fold_scalars(want), *SCALARS)
-    before = log.commits()
-    st.persist_with_hooks(log)(want.limit(5), before[-1])  # a committed batch isn't written again
+    names = [*SCALARS, "started", "actions", "created_at", "updated_at", "shared_data"]
+    assert rows(projections.journeys(models), *names) == rows(views.journey_documents(want), *names)
+    assert rows(projections.workflow_history(models), *HISTORY) == rows(fold.workflow_history(want), *HISTORY)
+    last = log.read("events").agg(F.max("batch_id")).first()[0]
+    st.persist_with_hooks(log, [hook])(want.where("sequence > 45"), last)  # a batch that runs again gives what it gave
     assert log.read("events").count() == want.count()
 
 
-def test_failed_hook_commits_nothing(spark, tmp_path):
-    log = st.Store(spark, str(tmp_path / "log"))
+def test_failed_hook_writes_nothing(spark, tmp_path):
+    log = Batches(spark, str(tmp_path / "log"), st.LOG | {"bad": "x int"})
 
     def broken(events):
         raise RuntimeError("hook")
 
-    with pytest.raises(RuntimeError):
-        st.persist_with_hooks(log, [broken])(samples.event_log(spark, DIR).limit(3), 0)
-    assert log.commits() == [] and log.read("events").count() == 0
+    late = lambda e: {"bad": e.select(F.raise_error(F.lit("in a task")).cast("int").alias("x"))}
+    for hook in (broken, late):
+        with pytest.raises(Exception, match="hook|in a task"):
+            st.persist_with_hooks(log, [hook])(samples.event_log(spark, DIR).limit(3), 0)
+        assert log.read("events").count() == 0
+    with pytest.raises(ValueError):
+        log.write(0, {"unknown": spark.range(1)})
+
+
+def test_read_models_do_not_read_earlier_events(spark, tmp_path):
+    log, models = Batches(spark, str(tmp_path / "log"), st.LOG), projections.model_batches(spark, str(tmp_path / "m"))
+    everything = samples.event_log(spark, DIR).where("aggregate_id in ('u1', 'u2', 'u3', 'u4', 'u5')").persist()
+    parts = ["sequence <= 9 and aggregate_id <> 'u5'", "sequence between 10 and 30 and aggregate_id <> 'u2' or sequence <= 9 and aggregate_id = 'u5'", "sequence > 30 or sequence between 10 and 30 and aggregate_id = 'u2'"]
+    names = [*SCALARS, "shared_data"]
+    for n, part in enumerate(parts):
+        st.persist_with_hooks(log)(everything.where(part), n)
+    for n in range(3):
+        for _ in range(2 if n == 1 else 1):
+            projections.project(log, models)(n)
+        done = everything.where(" or ".join(f"({x})" for x in parts[: n + 1]))
+        assert rows(projections.journeys(models), *names) == rows(views.journey_documents(done), *names)
+        for f in (tmp_path / "log" / f"batch_id={n}").rglob("*.parquet"):
+            f.write_bytes(b"not to be read")  # whoever reads a projected batch again fails
+        if n == 1:
+            models = projections.compact(models, str(tmp_path / "m2"), n)
+            assert rows(projections.journeys(models), *names) == rows(views.journey_documents(done), *names)
+    assert rows(projections.workflow_history(models), *HISTORY) == rows(fold.workflow_history(everything), *HISTORY)
+    everything.unpersist()
+
+
+def test_read_models_with_late_events(spark, tmp_path):
+    log, models = Batches(spark, str(tmp_path / "log"), st.LOG), projections.model_batches(spark, str(tmp_path / "m"))
+    everything = samples.event_log(spark, DIR).where("aggregate_id in ('u1', 'u2', 'u3')")
+    for n, part in enumerate(("aggregate_id <> 'u1' or sequence > 12 or sequence % 3 = 0", "aggregate_id = 'u1' and sequence <= 12 and sequence % 3 > 0")):
+        st.persist_with_hooks(log)(everything.where(part), n)
+        projections.project(log, models)(n)
+    names = [*SCALARS, "shared_data"]
+    assert rows(projections.journeys(models), *names) == rows(views.journey_documents(everything), *names)
+    assert rows(projections.workflow_history(models), *HISTORY) == rows(fold.workflow_history(everything), *HISTORY)
 
 
 def test_fold_stream(spark, folder, tmp_path):
@@ -121,14 +161,14 @@ def people(spark, rows=PEOPLE):
 
 
 def test_all_read_models_and_the_lookup_hook(spark, tmp_path):
-    log, models = st.Store(spark, str(tmp_path / "log")), st.Store(spark, str(tmp_path / "models"))
+    log, models = Batches(spark, str(tmp_path / "log"), st.LOG), projections.model_batches(spark, str(tmp_path / "models"))
     for n, part in enumerate(("sequence < 3", "sequence >= 3")):
         st.persist_with_hooks(log, [st.lookup_hook])(people(spark).where(part), n)
-        st.project(log, models)(people(spark).where(part), n)
-    got = rows(st.latest(models, "persons"), "aggregate_id", "person_ref", "subject_id", "name", "email", "phone", "forgotten")
+        projections.project(log, models)(n)
+    got = rows(projections.persons(models), "aggregate_id", "person_ref", "subject_id", "name", "email", "phone", "forgotten")
     assert got == [("a", "p", "s1", "Ann L", "AL@x.org", "1", False), ("b", "q", "s2", None, None, None, True), ("b", "r", "s3", None, None, None, False)]
-    assert rows(st.latest(models, "workflow_history"), "aggregate_id", "sequence", "actions", "phase", "is_latest") == [("a", 4, "x", "f", True)]
-    assert rows(st.latest(models), "aggregate_id", "version") == [("a", 4), ("b", 3)]
+    assert rows(projections.workflow_history(models), *HISTORY) == [("a", 4, "x", "f", True)]
+    assert rows(projections.journeys(models), "aggregate_id", "version") == [("a", 4), ("b", 3)]
     assert rows(log.read("subject_lookup"), "batch_id", "subject_id", "email_lower") == [(0, "s1", "ann@x.org"), (0, "s2", "bo@x.org"), (1, "s1", "al@x.org")]
 
 
