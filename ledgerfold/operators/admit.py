@@ -15,7 +15,8 @@ from .classify import INVALID, AttributeSchema, classify_changes, rejections
 
 
 def admit(commands: DataFrame, schema: AttributeSchema) -> DataFrame:
-    """commands (see sources.samples.commands) with error (null if accepted), slot_subject (what the command's slot is bound to) and from_step."""
+    """commands (see sources.samples.commands) with error (null if accepted), slot_subject (what the command's slot is bound to), from_step and forgets (of an accepted
+    ForgetSubject: does the subject have a slot that it hadn't forgotten before? Such a command is accepted on completed journeys too, and without such a slot it gives no event)."""
     order = Window.partitionBy("aggregate_id").orderBy("sequence")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     never = F.lit(False)
@@ -25,12 +26,18 @@ def admit(commands: DataFrame, schema: AttributeSchema) -> DataFrame:
     live = F.col("started") & ~F.col("completed")
     slot = Window.partitionBy("aggregate_id", "person_ref").orderBy("sequence").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     bound = F.first(F.when((F.col("command") == "CapturePerson") & live, F.col("subject_id")), ignorenulls=True).over(slot)
-    c = c.withColumn("slot_subject", F.when(F.col("person_ref").isNotNull(), bound))
+    first = F.min(F.when((F.col("command") == "CapturePerson") & live & F.col("subject_id").isNotNull(), F.col("sequence"))).over(slot)
+    c = c.withColumn("slot_subject", F.when(F.col("person_ref").isNotNull(), bound)).withColumn("binds", F.when(first == F.col("sequence"), F.col("sequence")))
+    forget = (F.col("command") == "ForgetSubject") & F.col("started")
+    mine = Window.partitionBy("aggregate_id", "subject_id").orderBy("sequence").rowsBetween(Window.unboundedPreceding, -1)
+    since = F.coalesce(F.max(F.when(forget, F.col("sequence"))).over(mine), F.lit(-1))
+    c = c.withColumn("forgets", F.when(forget, F.coalesce(F.max("binds").over(mine) > since, never))).drop("binds")
     kind = F.when(F.col("path").isNotNull(), schema.classify(F.col("path")))
     error = (
         F.when((F.col("command") == "SetAttributes") & (kind == INVALID), "InvalidJsonPointer")  # never gets as far as a journey
         .when(F.col("command") == "Start", F.when(F.col("started"), "AlreadyStarted"))
         .when(~F.col("started"), "NotFound")
+        .when(F.col("command") == "ForgetSubject", F.lit(None).cast("string"))
         .when(F.col("completed"), "AlreadyCompleted")
         .when(F.col("command") == "CapturePerson", F.when(F.col("slot_subject") != F.col("subject_id"), "PersonRefConflict"))
         .when(F.col("command") == "CapturePersonDetails", F.when(F.col("slot_subject").isNull(), "PersonNotFound"))
@@ -86,6 +93,7 @@ def emitted(admitted: DataFrame) -> DataFrame:
         .when(F.col("command") == "CapturePersonDetails", name("PersonDetailsUpdated"))
         .when(F.col("command") == "SetAttributes", name("AttributesSet", "WorkflowEvaluated"))
         .when(F.col("command") == "Complete", name("JourneyClosed"))
+        .when(F.col("command") == "ForgetSubject", F.when(F.col("forgets"), name("SubjectForgotten")))
         .when(F.col("step").eqNullSafe(F.col("from_step")), name("JourneyModified", "WorkflowEvaluated"))
         .otherwise(name("JourneyModified", "WorkflowEvaluated", "StepProgressed"))
     )

@@ -106,7 +106,7 @@ def erase(log: DataFrame, keys: DataFrame, index: DataFrame, requests: DataFrame
     last = log.join(todo.select("aggregate_id").distinct(), "aggregate_id", "left_semi").groupBy("aggregate_id").agg(F.max("sequence").alias("last"))
     place = F.row_number().over(Window.partitionBy("aggregate_id").orderBy("subject_id"))  # the subjects of one journey
     events = todo.join(last, "aggregate_id").select("aggregate_id", (F.col("last") + place).alias("sequence"), F.lit("SubjectForgotten").alias("event_type"), "subject_id")
-    return {"keys": shred(keys, wanted), "lookup": index.join(wanted, "subject_id", "left_anti"), "events": events}
+    return {"keys": shred(keys, wanted), "lookup": delete_lookup(index, wanted), "events": events}
 
 
 def purge_old_versions(spark, root: str, keep: str) -> list[str]:
@@ -129,11 +129,26 @@ def subject_id(email: Column, namespace_key: bytes) -> Column:
     return F.concat_ws("-", F.substring(mac, 1, 8), F.substring(mac, 9, 4), F.concat(F.lit("5"), F.substring(mac, 14, 3)), F.concat(variant, F.substring(mac, 18, 3)), F.substring(mac, 21, 12))
 
 
+def delete_lookup(index: DataFrame, erased: DataFrame) -> DataFrame:
+    """The lookup without the addresses of erased subjects."""
+    return index.join(erased.select("subject_id").distinct(), "subject_id", "left_anti")
+
+
+def erase_by_email(log: DataFrame, keys: DataFrame, index: DataFrame, emails: DataFrame, journeys: DataFrame) -> dict[str, DataFrame]:
+    """What erase gives for all subjects that have one of the addresses, whatever the case. Take emails again only from a request: the lookup no longer has them."""
+    return erase(log, keys, index, subjects_by_email(index, emails), journeys)
+
+
 def linkage(persons: DataFrame) -> DataFrame:
     """Addresses that several subjects have, which an erasure by one id would not cover."""
     return persons.where("email is not null").groupBy(F.lower("email").alias("email")).agg(F.countDistinct("subject_id").alias("n_subjects")).where("n_subjects > 1")
 
 
+def addresses(persons: DataFrame) -> DataFrame:
+    """Subjects that were captured with several addresses, any of which leads to their erasure."""
+    return persons.where("subject_id is not null and email is not null").groupBy("subject_id").agg(F.countDistinct(F.lower("email")).alias("n_emails")).where("n_emails > 1")
+
+
 def nonce_reuse(sealed: DataFrame) -> DataFrame:
     return sealed.groupBy("subject_id", "nonce").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
@@ -142,7 +157,7 @@ def lookup(captures: DataFrame, erased: DataFrame | None = None) -> DataFrame:
     """subject_id and email_lower: the address of each subject's last capture."""
     good = captures.where("subject_id is not null and email is not null")
     out = good.groupBy("subject_id").agg(F.max_by(F.lower("email"), F.struct("timestamp", "aggregate_id", "sequence")).alias("email_lower"))
-    return out if erased is None else out.join(erased.select("subject_id").distinct(), "subject_id", "left_anti")
+    return out if erased is None else delete_lookup(out, erased)
 
 
 def backfill_lookup(persons: DataFrame, existing: DataFrame) -> DataFrame:

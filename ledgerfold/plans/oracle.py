@@ -219,6 +219,10 @@ ORACLE_SQL: dict[str, str] = {
     "K5_admit_set_attributes": _verdicts("SetAttributes"),
     "K6_admit_complete": _verdicts("Complete"),
     "K7_admit_forget_subject": f"WITH {P} SELECT DISTINCT aggregate_id, subject_id FROM cap WHERE subject_id IN (SELECT subject_id FROM er)",
+    "K7_forget_in_sequence": f"""WITH {ADMIT}, f0 AS (SELECT aggregate_id, sequence, started, 's' || (CAST(substr(aggregate_id, 2) AS BIGINT) + k % 4) AS subject_id FROM g WHERE command = 'CapturePersonDetails' AND k % 2 = 0),
+  f AS (SELECT *, max(CASE WHEN started THEN sequence END) OVER (PARTITION BY aggregate_id, subject_id ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous FROM f0)
+  SELECT f.aggregate_id, f.sequence, f.subject_id, CASE WHEN NOT f.started THEN 'NotFound' END AS error, CASE WHEN f.started THEN count(b.b0) > 0 END AS forgets
+  FROM f LEFT JOIN b ON b.aggregate_id = f.aggregate_id AND b.bs = f.subject_id AND b.b0 < f.sequence AND b.b0 > coalesce(f.previous, -1) GROUP BY f.aggregate_id, f.sequence, f.subject_id, f.started""",
     "K8_emitted_events": f"""WITH {ADMIT}, ok AS (SELECT *, lag(step) OVER (PARTITION BY aggregate_id, command ORDER BY sequence) AS from_step FROM a WHERE error IS NULL),
   ev AS (SELECT aggregate_id, CASE command WHEN 'Start' THEN 'JourneyOpened' WHEN 'CapturePerson' THEN 'PersonCaptured' WHEN 'CapturePersonDetails' THEN 'PersonDetailsUpdated' WHEN 'SetAttributes' THEN 'AttributesSet' WHEN 'Complete' THEN 'JourneyClosed' ELSE 'JourneyModified' END AS event_type FROM ok
     UNION ALL SELECT aggregate_id, 'WorkflowEvaluated' FROM ok WHERE command IN ('SetAttributes', 'Capture') UNION ALL SELECT aggregate_id, 'StepProgressed' FROM ok WHERE command = 'Capture' AND step IS DISTINCT FROM from_step)
@@ -290,6 +294,7 @@ ORACLE_SQL: dict[str, str] = {
     "Q6_find_journeys_by_subject": f"WITH {P} SELECT DISTINCT subject_id, aggregate_id FROM cap WHERE subject_id IN (SELECT subject_id FROM er)",
     "Q7_find_subjects_by_email": f"WITH {P} SELECT subject_id FROM lk WHERE email_lower IN (SELECT e FROM em)",
     "Q8_maintain_subject_lookup": f"WITH {P} SELECT subject_id, email_lower FROM lk WHERE subject_id NOT IN (SELECT subject_id FROM er)",
+    "Q9_delete_subject_lookup": f"WITH {P} SELECT subject_id, email_lower FROM lk WHERE subject_id NOT IN (SELECT subject_id FROM er)",
     "Q10_subject_journey_map": f"WITH {P} SELECT subject_id, aggregate_id FROM cap UNION SELECT subject_id, aggregate_id FROM pa",
     "Q11_kek_usage": f"WITH {P} SELECT kek_id, count(*) AS n FROM ks GROUP BY 1",
     "Q12_unknown_kek_ids": f"WITH {P} SELECT DISTINCT kek_id FROM ks WHERE kek_id = 'v1'",
@@ -356,6 +361,20 @@ SELECT aggregate_id, n = 0 AS is_valid, n AS n_errors, ['origin,destination,depa
     "C21_derive_subject_id": f"""WITH x AS (SELECT c_custkey, sha256(from_hex('{_pad(0x5C)}') || from_hex(sha256(from_hex('{_pad(0x36)}') || encode('user' || (c_custkey % 1000) || '@mail.example.com')))) AS h FROM customer)
   SELECT c_custkey, concat_ws('-', h[1:8], h[9:12], '5' || h[14:16], ('89ab')[(instr('0123456789abcdef', h[17:17]) - 1) % 4 + 1] || h[18:20], h[21:32]) AS id FROM x""",
     "C22_subject_linkage_report": f"WITH {P} SELECT lower(email) AS email, count(DISTINCT subject_id) AS n_subjects FROM cap GROUP BY 1 HAVING count(DISTINCT subject_id) > 1",
+    "C22_subject_addresses": f"WITH {ADMIT} SELECT subject_id, count(DISTINCT k) AS n_emails FROM a WHERE error IS NULL AND command = 'CapturePerson' GROUP BY 1 HAVING count(DISTINCT k) > 1",
     "W7_backfill_subject_lookup": f"WITH {P} SELECT subject_id, email_lower FROM lk WHERE subject_id LIKE 'c%'",
     "W8_backfill_kek_id": f"WITH {P} SELECT CASE WHEN kek_id = 'v2' THEN 'v2' ELSE 'legacy:v1' END AS kek_id, count(*) AS n FROM ks GROUP BY 1",
 }
+
+#: Whole journeys are the rows of P1 with their persons as JSON text.
+ORACLE_SQL["Q2_load_journeys"] = f"""SELECT p1.*, coalesce(ps.persons, '[]') AS persons FROM ({ORACLE_SQL["P1_project_journey_view"]}) p1 LEFT JOIN (WITH {ADMIT},
+  ok AS (SELECT * FROM a WHERE error IS NULL AND command = 'CapturePerson'), gone AS (SELECT DISTINCT aggregate_id, 's' || k AS subject_id FROM a WHERE error IS NULL AND command = 'Complete'),
+  lost AS (SELECT aggregate_id, person_ref, arg_min(subject_id, sequence) AS subject_id, arg_max(k, sequence) AS k FROM ok GROUP BY ALL),
+  pj AS (SELECT lost.aggregate_id, person_ref, '{{"person_ref":"' || person_ref || '","subject_id":"' || lost.subject_id || '"' || CASE WHEN lost.subject_id LIKE '%3' THEN '' ELSE ',"name":"N' || k || '","email":"M' || k || '@x.org"' || CASE WHEN k % 2 = 0 THEN ',"phone":"+' || k || '"' ELSE '' END END
+    || ',"forgotten":' || CASE WHEN gone.subject_id IS NULL THEN 'false' ELSE 'true' END || '}}' AS j FROM lost LEFT JOIN gone ON gone.aggregate_id = lost.aggregate_id AND gone.subject_id = lost.subject_id)
+  SELECT aggregate_id, '[' || string_agg(j, ',' ORDER BY person_ref) || ']' AS persons FROM pj GROUP BY 1) ps USING (aggregate_id)"""
+
+#: Erasure by address: what C18 appends for the subjects of these addresses, and what stays of keys and lookup.
+ORACLE_SQL["C19_erase_by_email"] = f"""WITH {P}, wanted AS (SELECT subject_id FROM lk WHERE email_lower IN (SELECT e FROM em)), ev AS ({ORACLE_SQL["C18_forgotten_events"].replace("(SELECT subject_id FROM er)", "(SELECT subject_id FROM lk WHERE email_lower IN (SELECT e FROM em))")})
+  SELECT 'keys' AS what, subject_id, CAST(NULL AS VARCHAR) AS aggregate_id, CAST(NULL AS BIGINT) AS sequence FROM ks WHERE subject_id NOT IN (SELECT subject_id FROM wanted)
+  UNION ALL SELECT 'lookup', subject_id, NULL, NULL FROM lk WHERE subject_id NOT IN (SELECT subject_id FROM wanted) UNION ALL SELECT 'events', subject_id, aggregate_id, sequence FROM ev"""

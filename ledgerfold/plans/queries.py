@@ -346,6 +346,20 @@ def K7_admit_forget_subject(spark, d):
     return admit.forget_events(samples.erasure_requests(spark, d), bound)
 
 
+def _forgetting(spark, d):
+    """The commands, of which some that capture details are erasures instead."""
+    c = samples.commands(spark, d)
+    erases = (F.col("command") == "CapturePersonDetails") & (F.col("k") % 2 == 0)
+    subject = F.expr("concat('s', cast(substring(aggregate_id, 2) as bigint) + k % 4)")
+    return c.withColumn("e", erases).withColumns({"command": F.when(F.col("e"), "ForgetSubject").otherwise(F.col("command")), "subject_id": F.when(F.col("e"), subject).otherwise(F.col("subject_id")), "person_ref": F.when(~F.col("e"), F.col("person_ref"))}).drop("e")
+
+
+@query
+def K7_forget_in_sequence(spark, d):
+    a = admit.admit(_forgetting(spark, d), classify.BOOKING)
+    return a.where("command = 'ForgetSubject'").select("aggregate_id", "sequence", "subject_id", "error", "forgets")
+
+
 @query
 def K8_emitted_events(spark, d):
     return admit.emitted(_admitted(spark, d)).groupBy("aggregate_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
@@ -614,6 +628,16 @@ def Q2_load_all(spark, d):
     return rows.select("aggregate_id", "version", "complete", F.coalesce(F.size("persons"), F.lit(0)).alias("n_persons"), F.array_join(F.transform("persons", lambda x: x["subject_id"]), ",").alias("subjects"))
 
 
+@query
+def Q2_load_journeys(spark, d):
+    """Whole journeys: scalars, latest decision, document and persons."""
+    people = log.parse_events(_person_events(spark, d))
+    forgets = people.where("event_type = 'SubjectForgotten'")
+    open_keys = people.select("subject_id").where("subject_id not like '%3'")
+    rows = views.load_all(views.journey_documents(_e(spark, d)), views.persons(people, open_keys, forgets))
+    return rows.select("aggregate_id", "state", "current_step", "phase", F.array_join("actions", ",").alias("actions"), "version", "created_at", "updated_at", "shared_data", F.coalesce(F.to_json("persons"), F.lit("[]")).alias("persons"))
+
+
 @query
 def Q3_page_journeys(spark, d):
     return views.page(fold.fold_scalars(_e(spark, d)), 1, 50).select("aggregate_id", "created_at")
@@ -652,6 +676,11 @@ def Q8_maintain_subject_lookup(spark, d):
     return keys.lookup(samples.personal_log(spark, d).where("event_type = 'PersonCaptured'"), samples.erasure_requests(spark, d))
 
 
+@query
+def Q9_delete_subject_lookup(spark, d):
+    return keys.delete_lookup(keys.lookup(samples.personal_log(spark, d).where("event_type = 'PersonCaptured'")), samples.erasure_requests(spark, d))
+
+
 @query
 def Q10_subject_journey_map(spark, d):
     p = samples.personal_log(spark, d)
@@ -824,6 +853,15 @@ def C19_shred_by_email(spark, d):
     return keys.usage(keys.shred(samples.key_table(spark, d, MASTER), keys.subjects_by_email(index, _emails(spark, d))))
 
 
+@query
+def C19_erase_by_email(spark, d):
+    """All that is left of keys and lookup, and the events to append."""
+    p = samples.personal_log(spark, d)
+    done = keys.erase_by_email(p, samples.key_table(spark, d, MASTER), keys.lookup(p.where("event_type = 'PersonCaptured'")), _emails(spark, d), views.subject_journeys(p, pii.extract_partitions(p)))
+    rows = [df.select(F.lit(what).alias("what"), "subject_id", *([F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in (("aggregate_id", "string"), ("sequence", "long"))])) for what, df in done.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 @query
 def C20_partial_shred_read(spark, d):
     return pii.decrypt(_sealed(spark, d), _live_keys(spark, d)).where("label <> 'default'").select("aggregate_id", "sequence", "label", "status")
@@ -841,6 +879,11 @@ def C22_subject_linkage_report(spark, d):
     return keys.linkage(samples.personal_log(spark, d).where("event_type = 'PersonCaptured'"))
 
 
+@query
+def C22_subject_addresses(spark, d):
+    return keys.addresses(log.parse_events(_person_events(spark, d)).where("event_type = 'PersonCaptured'"))
+
+
 @query
 def W7_backfill_subject_lookup(spark, d):
     people = views.persons(samples.personal_log(spark, d), _open_keys(spark, d))

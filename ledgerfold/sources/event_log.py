@@ -22,12 +22,35 @@ def read_log(spark: SparkSession, path: str, aggregate_type: str = "journey", fm
     return scan_event_log(spark.read.schema(ENVELOPE).format(fmt).load(path), aggregate_type)
 
 
-def read_log_jdbc(spark: SparkSession, url: str, table: str = "events", aggregate_type: str = "journey", **options: str) -> DataFrame:
-    """The log from a relational table; the type filter is pushed down."""
-    rows = spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+def uuid_ranges(n: int, column: str = '"aggregate_id"') -> list[str]:
+    """n conditions (1 to 65536) that split ids which begin with random hexadecimal digits, as UUIDs do, into equal ranges; every row, whatever its id, meets one."""
+    if not 1 <= n <= 65536:
+        raise ValueError("1 to 65536 ranges")
+    bounds = [f"'{k * 65536 // n:04x}'" for k in range(1, n)]
+    lower = [f"{column} >= {x}" for x in bounds]
+    upper = [f"{column} < {x}" for x in bounds]
+    if n == 1:
+        return ["1 = 1"]
+    return [f"{upper[0]} or {column} is null", *[f"{x} and {y}" for x, y in zip(lower, upper[1:])], lower[-1]]
+
+
+def read_log_jdbc(spark: SparkSession, url: str, table: str = "events", aggregate_type: str = "journey", conditions: list[str] | None = None, **options: str) -> DataFrame:
+    """The log from a relational table, one task for each condition (SQL of the database; together they have to hold each row once), by default 64 ranges of UUIDs.
+    The type filter and the columns asked for are pushed down."""
+    rows = spark.read.jdbc(url, table, predicates=conditions or uuid_ranges(64), properties=options)
     return scan_event_log(rows.withColumn("payload", F.col("payload").cast("string")), aggregate_type).select(*[c.split()[0] for c in ENVELOPE.split(", ")])
 
 
+def write_bucketed(log: DataFrame, table: str, buckets: int, rows_per_file: int = 5_000_000, mode: str = "overwrite") -> DataFrame:
+    """The log as a catalog table in buckets by aggregate_id: a scan of one aggregate reads one bucket, and groups, windows and joins by aggregate_id need no
+    shuffle. A task writes one bucket's events of one span of sequences, so an aggregate with a third of all events is many tasks' work and many files."""
+    bucket = F.pmod(F.hash("aggregate_id"), F.lit(buckets))
+    span = F.floor(F.col("sequence") / rows_per_file)
+    spread = log.repartition(buckets, bucket, span).sortWithinPartitions("aggregate_id", "sequence")
+    spread.write.format("parquet").mode(mode).bucketBy(buckets, "aggregate_id").sortBy("aggregate_id", "sequence").saveAsTable(table)
+    return log.sparkSession.table(table)
+
+
 def stream_log(spark: SparkSession, path: str, aggregate_type: str = "journey", fmt: str = "parquet") -> DataFrame:
     return scan_event_log(spark.readStream.schema(ENVELOPE).format(fmt).load(path), aggregate_type)
 

@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame
 from ..operators import documents
 from ..operators.classify import INVALID, AttributeSchema
 
-VERDICTS = "aggregate_id string, sequence long, command string, error string, slot_subject string, from_step string, person_ref string, subject_id string, step string"
+VERDICTS = "aggregate_id string, sequence long, command string, error string, slot_subject string, from_step string, person_ref string, subject_id string, step string, forgets boolean"
 STATE = "started boolean, completed boolean, slots string, step string, doc string"
 
 
 def verdict(state: dict, c, schema: AttributeSchema, check: Callable[[Any], list[str]] | None = None) -> str | None:
-    """The error of a command, or None; an accepted one changes state (started, completed, slots, step, doc). With check, a command has changes (path, JSON text) and data (JSON
+    """The error of a command, or None; an accepted one changes state (started, completed, slots, gone: slots whose subject is forgotten, step, doc). With check, a command has changes (path, JSON text) and data (JSON
     text), which are validated as documents.step says."""
     slots = state["slots"]
     if c.command == "SetAttributes":
@@ -30,6 +30,10 @@ def verdict(state: dict, c, schema: AttributeSchema, check: Callable[[Any], list
         return None
     if not state["started"]:
         return "NotFound"
+    if c.command == "ForgetSubject":
+        state["forgets"] = {ref for ref, subject in slots.items() if subject == c.subject_id} - state["gone"]
+        state["gone"] |= state["forgets"]
+        return None
     if state["completed"]:
         return "AlreadyCompleted"
     if c.command == "Complete":
@@ -76,7 +80,9 @@ def admit_stream(commands: DataFrame, schema: AttributeSchema, json_schema: dict
 
     def step(key, frames, state):
         started, completed, slots, at, doc = state.get if state.exists else (False, False, "{}", None, "{}")
-        now = {"started": started, "completed": completed, "slots": json.loads(slots), "step": at, "doc": json.loads(doc)}
+        slots = json.loads(slots)
+        slots, gone = slots if isinstance(slots, list) else (slots, [])  # a stream that began before there was ForgetSubject kept slots alone
+        now = {"started": started, "completed": completed, "slots": slots, "gone": set(gone), "step": at, "doc": json.loads(doc)}
         check = documents.checker(json_schema) if json_schema else None
         rows = pd.concat(list(frames)).sort_values("sequence")
         rows = rows.astype(object).where(rows.notna(), None)
@@ -86,8 +92,8 @@ def admit_stream(commands: DataFrame, schema: AttributeSchema, json_schema: dict
             error = verdict(now, c, schema, check)
             if error is None and c.command == "Capture":
                 now["step"] = c.step
-            out.append((key[0], int(c.sequence), c.command, error, now["slots"].get(c.person_ref) if c.person_ref else None, before, c.person_ref, c.subject_id, c.step))
-        state.update((now["started"], now["completed"], json.dumps(now["slots"]), now["step"], json.dumps(now["doc"])))
+            out.append((key[0], int(c.sequence), c.command, error, now["slots"].get(c.person_ref) if c.person_ref else None, before, c.person_ref, c.subject_id, c.step, bool(now["forgets"]) if c.command == "ForgetSubject" and error is None else None))
+        state.update((now["started"], now["completed"], json.dumps([now["slots"], sorted(now["gone"])]), now["step"], json.dumps(now["doc"])))
         yield pd.DataFrame(out, columns=names)
 
     few = commands.select("aggregate_id", "sequence", "command", "person_ref", "subject_id", *(["changes", "data"] if json_schema else ["path"]), "step")

@@ -209,3 +209,22 @@ def test_rewrap_by_schedule(spark, tmp_path):
     after = keys.unwrap(keys.apply_rewrap(made, delta), {"v3": master["v3"]})
     assert rows(after.select("subject_id", "data_key", "status"), "subject_id", "data_key") == rows(keys.unwrap(made, master), "subject_id", "data_key")
     assert after.where("status <> 'unwrapped'").count() == 0
+
+
+def test_forgetting_in_the_sequence_of_commands(spark, tmp_path):
+    """A stream's verdicts and events are those of batch; slots bound after an erasure are forgotten by the next one only, on completed journeys too."""
+    names = "aggregate_id string, sequence long, command string, person_ref string, subject_id string, path string, step string"
+    rows_of_a = [("ForgetSubject", None, "s"), ("Start", None, None), ("ForgetSubject", None, "s"), ("CapturePerson", "p", "s"), ("CapturePerson", "p", "s"), ("ForgetSubject", None, "s"), ("ForgetSubject", None, "s"), ("CapturePerson", "p", "s"),
+                 ("ForgetSubject", None, "s"), ("CapturePerson", "q", "s"), ("CapturePerson", "q", "t"), ("ForgetSubject", None, None), ("Complete", None, None), ("ForgetSubject", None, "t"), ("ForgetSubject", None, "s"), ("ForgetSubject", None, "s")]
+    small = spark.createDataFrame([("a", n + 1, *r, None, None) for n, r in enumerate(rows_of_a)], names)
+    got = {r.sequence: (r.error, r.forgets) for r in admit.admit(small, classify.BOOKING).where("command = 'ForgetSubject'").collect()}
+    assert got == {1: ("NotFound", None), 3: (None, False), 6: (None, True), 7: (None, False), 9: (None, False), 12: (None, False), 14: (None, False), 15: (None, True), 16: (None, False)}
+    assert sorted(r.sequence for r in admit.emitted(admit.admit(small, classify.BOOKING)).where("event_type = 'SubjectForgotten'").collect()) == [6, 15]
+    commands = queries._forgetting(spark, DIR).select(*small.columns).unionByName(small)
+    root = str(tmp_path / "commands")
+    for part in ("sequence <= 11", "sequence > 11"):
+        commands.where(part).coalesce(1).write.mode("append").parquet(root)
+    feed = spark.readStream.schema(commands.schema).option("maxFilesPerTrigger", 1).parquet(root)
+    made = []
+    st.run_available(admission.admit_stream(feed, classify.BOOKING), lambda b, _: made.extend(map(tuple, b.select("aggregate_id", "sequence", "error", "forgets").collect())), str(tmp_path / "c"))
+    assert sorted(made, key=repr) == rows(admit.admit(commands, classify.BOOKING), "aggregate_id", "sequence", "error", "forgets")
