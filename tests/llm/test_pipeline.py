@@ -7,6 +7,7 @@ import corpus_pipeline as cp
 import numpy as np
 import pytest
 from ledgerfold.llm.queries import tokenizer_path
+from pyspark.sql import functions as F
 from test_text import groups_brute, statistics_brute
 
 DIR = "/root/testdata/sf0.001"
@@ -56,6 +57,19 @@ def test_language(spark, rows):
     assert pairs(cp.language(spark, frame(spark, []), DIR)) == []
 
 
+def test_language_takes_effect(spark):
+    """Rows without a language get the predicted one; without any labelled row all texts with a letter stay."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    blank = docs.withColumn("was", F.col("lang")).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, F.col("lang")))
+    got = {r.doc_id: r.lang for r in cp.language(spark, blank, DIR).collect()}
+    was = {r.doc_id: (r.was, r.lang) for r in blank.where("was is not null").collect() if r.doc_id in got}
+    assert None not in got.values() and all(got[i] == lang for i, (_, lang) in was.items() if lang)
+    hidden = [i for i, (_, lang) in was.items() if lang is None]
+    assert sum(got[i] == was[i][0] for i in hidden) >= 0.95 * len(hidden) > 50
+    none = cp.language(spark, docs.withColumn("lang", F.lit(None).cast("string")), DIR)
+    assert sorted(r.doc_id for r in none.collect()) == sorted(got) and none.where("lang is not null").count() == 0
+
+
 def test_quality(spark, rows):
     def good(t):
         words, _, _, _, repeat = statistics_brute(t)
