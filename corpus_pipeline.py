@@ -18,9 +18,13 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go whose language can't be told: no letter in the text, or no text."""
-    found = language_id.predict(docs, language_id.fit(docs.where(~language_id.held_out())), COLUMNS)
-    return found.where(F.col("lang_pred") != language_id.UNDETERMINED).select(*COLUMNS)
+    """Documents go whose language can't be told: no letter in the text, or no text. The others have the predicted language where lang was null, by which the next stage
+    judges them; where no row has a language to learn from, it stays null."""
+    model = language_id.fit(docs.where(~language_id.held_out()))
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
+    found = language_id.predict(docs, model, COLUMNS).where(F.col("lang_pred") != language_id.UNDETERMINED)
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
