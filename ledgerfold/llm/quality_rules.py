@@ -3,7 +3,7 @@
 A rule rejects a document when a statistic of its text is beyond a cutoff. Cutoffs are not chosen by hand but learned from labelled
 documents that pass the base rule, in two steps:
 
-1. a path of (rule, cutoff) pairs is chosen greedily on the labelled bad documents and a quarter of the good ones (``EXPLORE`` of them at most):
+1. a path of (rule, cutoff) pairs is chosen greedily on all labelled bad documents and a quarter of the good ones, by counts that Spark makes of them anew for each pair:
    each pair rejects bad documents that those before it let pass, at the lowest price in good ones, until the price is over ``PRICE``; a
    cutoff lies midway between the values that it parts;
 2. the other good documents are the holdout. In each stratum the path is followed (fixed-sequence testing) as long as the exact binomial
@@ -41,11 +41,9 @@ RULES = {
     "capitals": "n_upper / greatest(word_chars, 1)",
 }
 STEPS = 4096
-#: How many labelled documents of each label choose the path at most.
-EXPLORE = 20_000
 #: Good documents that the path may cost for each bad one.
 PRICE = 0.25
-#: One in so many good documents chooses the path and is not in the holdout.
+#: One in so many good documents chooses the path; all others are the holdout, as what chooses a cutoff can't certify it.
 SHARE = 4
 Path = list[tuple[str, int]]
 
@@ -140,21 +138,31 @@ def step(rule: str):
     return F.expr(f"cast(least({STEPS}, floor({STEPS} * cbrt(greatest(0, {RULES[rule]})))) as int)")
 
 
+def best_pair(levels: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]], weight: float = SHARE) -> tuple[float, str, int] | None:
+    """(price, rule, cutoff) of the pair that rejects bad documents at the lowest price. levels: of each rule, the steps that documents have, ascending, with the numbers of bad and good ones; each good one stands for weight."""
+    best = None
+    for rule, (level, n_bad, n_good) in levels.items():
+        if not level.size:
+            continue
+        # from the largest value down: what a cutoff below each level rejects
+        bad, lost = np.cumsum(n_bad[::-1]), np.cumsum(n_good[::-1]) * weight
+        price = np.divide(lost + 1, bad, out=np.full(level.size, np.inf), where=bad > 0)
+        k = int(np.argmin(price))
+        at = level.size - 1 - k
+        if at > 0 and (best is None or price[k] < best[0]):
+            best = float(price[k]), rule, int(level[at] + level[at - 1]) // 2
+    return best
+
+
 def choose_path(steps: dict[str, np.ndarray], good: np.ndarray, weight: float = SHARE) -> Path:
-    """Pairs (rule, cutoff) for labelled documents: steps by rule, and which are good; each good one stands for weight."""
+    """fit_path for documents at hand: steps by rule, and which are good."""
     live, path = np.ones(good.size, dtype=bool), []
-    while (live & ~good).any():
-        best = None
+    while live.any():
+        levels = {}
         for rule, value in steps.items():
-            levels, at = np.unique(value[live], return_inverse=True)
-            # from the largest value down: what a cutoff below each level rejects
-            bad = np.cumsum(np.bincount(at[~good[live]], minlength=levels.size)[::-1])
-            lost = np.cumsum(np.bincount(at[good[live]], minlength=levels.size)[::-1]) * weight
-            price = np.divide(lost + 1, bad, out=np.full(levels.size, np.inf), where=bad > 0)
-            k = int(np.argmin(price))
-            level = levels.size - 1 - k
-            if level > 0 and (best is None or price[k] < best[0]):
-                best = float(price[k]), rule, int(levels[level] + levels[level - 1]) // 2
+            level, at = np.unique(value[live], return_inverse=True)
+            levels[rule] = level, np.bincount(at[~good[live]], minlength=level.size), np.bincount(at[good[live]], minlength=level.size)
+        best = best_pair(levels, weight)
         if best is None or best[0] > PRICE:
             break
         path.append(best[1:])
@@ -162,6 +170,21 @@ def choose_path(steps: dict[str, np.ndarray], good: np.ndarray, weight: float =
     return path
 
 
+def fit_path(some: DataFrame, weight: float = SHARE) -> Path:
+    """Pairs (rule, cutoff) for labelled documents: a column of steps for each rule, and good. Each pair is chosen on the counts, by rule, step and label, of all documents that those before it let pass: STEPS + 1 rows a rule are
+    all that reaches the driver."""
+    path: Path = []
+    each = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("step")) for r in RULES])).alias("x")
+    while True:
+        passed = some.where(F.expr(" and ".join(f"{rule} <= {cut}" for rule, cut in path) or "true")).select("good", each)
+        counts = passed.groupBy("x.rule", "x.step").agg(F.count_if(~F.col("good")).alias("n_bad"), F.count_if("good").alias("n_good")).collect()
+        levels = {r: np.array(sorted((x["step"], x["n_bad"], x["n_good"]) for x in counts if x["rule"] == r), dtype=np.int64).reshape(-1, 3).T for r in RULES}
+        best = best_pair(levels, weight)
+        if best is None or best[0] > PRICE:
+            return path
+        path.append(best[1:])
+
+
 def position(path: Path):
     """Where on the path a document is rejected; the path's length if it isn't."""
     return F.coalesce(*[F.when(step(rule) > cut, F.lit(k)) for k, (rule, cut) in enumerate(path)], F.lit(len(path)))
@@ -184,14 +207,12 @@ def certify(counts: dict[str, np.ndarray], risk: Risk) -> dict[str, int]:
 
 
 def fit_cutoffs(stats: DataFrame, labels: DataFrame, stratum: str, risk: Risk = Risk()) -> Cutoffs:
-    """Learns from labels (doc_id, quality). The driver gets 2 * EXPLORE rows at most, and counts by position of the strata with min_good labels."""
+    """Learns from labels (doc_id, quality). The driver gets counts by rule and step, and by position of the strata with min_good labels."""
     label = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality is not null")
     held = stats.where(~base_failed()).join(label, "doc_id").select("doc_id", F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), (F.col("quality") == 1).alias("good"), *[c.split()[0] for c in BASE.split(", ")])
     held = shared_checkpoint(held)
     explores = F.pmod(F.xxhash64("doc_id"), F.lit(SHARE)) == 0
-    some = held.where(~F.col("good") | explores).select("good", *[step(r).alias(r) for r in RULES], F.xxhash64("doc_id", F.lit(1)).alias("h"), "doc_id")
-    rows = [r for good in (True, False) for r in some.where(F.col("good") == good).orderBy("h", "doc_id", *RULES).limit(EXPLORE).collect()]
-    path = choose_path({r: np.array([x[r] for x in rows], dtype=np.int64) for r in RULES}, np.array([x["good"] for x in rows], dtype=bool))
+    path = fit_path(held.where(~F.col("good") | explores).select("good", *[step(r).alias(r) for r in RULES]))
     if not path:
         return Cutoffs(path, {}, 0)
     trials = held.where(F.col("good") & ~explores).groupBy("stratum", "doc_id").agg(F.min(position(path)).alias("k"))

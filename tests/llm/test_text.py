@@ -319,3 +319,13 @@ def test_quality_verdict_equals_brute_force(spark):
             kept = kept and not over
         assert got[r.doc_id] == kept, r.doc_id
     assert rejected > 10
+
+
+def test_path_of_a_table_is_that_of_all_its_rows(spark):
+    """More bad documents than any bound; the rule that rejects the last of them has to be found too."""
+    n = 30_000
+    rows = spark.range(n + 400).selectExpr("id < 400 as good", *[f"cast({'if(id >= 400 and id < 400 + 29990, 100, 0)' if r == 'symbols' else 'if(id >= 400 + 29990, 50, 0)' if r == 'capitals' else '0'} as int) as {r}" for r in quality_rules.RULES])
+    got = quality_rules.fit_path(rows)
+    x = rows.toPandas()
+    assert got == quality_rules.choose_path({r: x[r].to_numpy() for r in quality_rules.RULES}, x["good"].to_numpy()) == [("symbols", 50), ("capitals", 25)]
+    assert quality_rules.fit_path(rows.limit(0)) == [] == quality_rules.fit_path(rows.where("good"))
