@@ -30,18 +30,10 @@ def strip_prefix(pointer: Column, prefix: Column) -> Column:
     return F.when(F.startswith(pointer, F.concat(prefix, F.lit("/"))), F.substring(pointer, F.length(prefix) + 1, F.lit(1 << 30)))
 
 
-def item(path: str, v: str = "cast(null as variant)", kind: str = "cast(null as string)", part: str = "c.part", arrays: str = "c.arrays", fresh: str = "false", base: str = "c.base") -> str:
-    """SQL of a node of a document on its way to leaves. kind: leaf, null, object, array or reset (a fresh object, that replaces); null as long as
-    the node isn't taken apart. part: its place in the order of writes; arrays: the arrays it stands in; fresh: whether it replaces what it is written to; base: how many tokens of its path are a pointer that was assigned, 0 if none was."""
-    return f"named_struct('path', {path}, 'v', {v}, 'kind', {kind}, 'part', cast({part} as int), 'arrays', {arrays}, 'fresh', {fresh}, 'base', cast({base} as int))"
-
-
-NO_ARRAYS = "cast(array() as array<string>)"
-_KEY = "concat(c.path, '/', replace(replace(e.key, '~', '~0'), '/', '~1'))"
-_APART = f"""case when c.kind is not null then array(c) else coalesce(
-  concat(array({item("c.path", kind="if(c.fresh, 'reset', 'object')")}), transform(map_entries(try_variant_get(c.v, '$', 'map<string,variant>')), e -> {item(_KEY, "e.value")})),
-  concat(array({item("c.path", kind="'array'")}), transform(try_variant_get(c.v, '$', 'array<variant>'), (x, i) -> {item("concat(c.path, '/', i)", "x", arrays="concat(c.arrays, array(c.path))")})),
-  array({item("c.path", "c.v", kind="if(c.v is null or is_variant_null(c.v), 'null', 'leaf')")})) end"""
+def item(path: str, v: str, part: str, fresh: str = "false", base: str = "0") -> str:
+    """SQL of a node of a document that is to be taken apart. part: its place in the order of writes; fresh: whether it replaces what it is written to; base: how many tokens of its path are a pointer that was
+    assigned, 0 if none was."""
+    return f"named_struct('path', {path}, 'v', {v}, 'part', cast({part} as int), 'fresh', {fresh}, 'base', cast({base} as int))"
 
 
 class _Number(str):
@@ -73,37 +65,80 @@ def deep_items(nodes: list | None) -> list[tuple] | None:
 _DEEP = "array<struct<path string, leaf string, kind string, part int, arrays array<string>, base int>>"
 
 
-def taken_apart(df: DataFrame, start: str, keep: list[str], text: str, depth: int = 8) -> DataFrame:
-    """(keep..., path, value, json, kind, part, arrays, base): the items that start (SQL of an array of items, made of the JSON text) holds, at any depth, as rows. value is a leaf as text, json its JSON text.
+_OPENED = "array<struct<path:string,kind:string,arrays:array<string>>>"
+
+
+def _level(rows: str, keep: str, containers: bool) -> str:
+    """SQL of rows (SQL of a relation) whose variant holds others replaced by one row for each of these; of rows that hold none, all stay."""
+    cols = [keep, "if(e.pos is null, r.__path, concat(r.__path, '/', coalesce(replace(replace(e.key, '~', '~0'), '/', '~1'), string(e.pos)))) as __path", "if(e.pos is null, r.__v, e.value) as __v", "r.__part", "r.__base"]
+    if containers:
+        kind = "case when e.key is null then 'array' when r.__fresh then 'reset' else 'object' end"
+        cols += [
+            f"case when e.pos is null then r.__opened when e.pos = 0 then concat(r.__opened, array(struct(r.__path as path, {kind} as kind, r.__arrays as arrays))) else cast(array() as {_OPENED}) end as __opened",
+            "if(e.pos is not null and e.key is null, concat(r.__arrays, array(r.__path)), r.__arrays) as __arrays", "r.__fresh and e.pos is null as __fresh",
+        ]
+    return f"(select {', '.join(c for c in cols if c)} from {rows} as r, lateral variant_explode_outer(r.__v) as e)"
+
+
+def taken_apart(df: DataFrame, start: str, keep: list[str], text: str, depth: int = 8, containers: bool = True) -> DataFrame:
+    """(keep..., path, value, json, kind, part, arrays, base): the items that start (SQL of an array of items, made of the JSON text) holds, at any depth, as rows. value is a leaf as text, json its JSON text. Without containers: leaves only, without arrays.
 
-    Levels are one expression of a row, as many as the texts have brackets, ``depth`` at most. Only if some text goes deeper, these texts and no others go through deep_items."""
+    A level is one variant_explode of the rows so far; the first row of a container brings the container's own. There are as many levels as the texts have brackets, ``depth`` at most. Only if some text goes deeper, these texts and no others go through deep_items."""
     brackets = F.coalesce(F.length(text) - F.length(F.translate(text, "{[", "")), F.lit(0))
     most = df.agg(F.max(brackets)).first()[0] or 0
-    for _ in range(min(depth, most + 1)):
-        start = f"flatten(transform({start}, c -> {_APART}))"
-    flat = ["path", F.expr("if(kind = 'leaf', cast(v as string), null)").alias("value"), F.expr("if(kind = 'leaf', to_json(v), null)").alias("json"), "kind", "part", "arrays", "base"]
-    exploded = lambda rows, items: rows.select(*keep, F.explode(items).alias("__x")).where("__x.path <> '' or __x.kind is null").select(*keep, "__x.*")
-    many = df.where(brackets >= depth).withColumn("__i", F.expr(start))
-    if most < depth or many.where("exists(__i, c -> c.kind is null)").isEmpty():
-        return exploded(df, F.expr(start)).select(*keep, *flat)
-    rows = exploded(df.where(brackets < depth), F.expr(start)).unionByName(exploded(many, F.col("__i")))
-    nodes = F.udf(lambda nodes: deep_items(nodes), _DEEP)(F.array(F.struct("path", F.to_json("v").alias("text"), "part", "arrays", "base")))
-    found = rows.where("kind is null").select(*keep, F.explode(nodes).alias("c")).select(*keep, "c.*").select(*keep, "path", F.expr("cast(try_parse_json(leaf) as string)").alias("value"), F.expr("to_json(try_parse_json(leaf))").alias("json"), "kind", "part", "arrays", "base")
-    return rows.where("kind is not null").select(*keep, *flat).unionByName(found.where("path <> ''"))
+    none = F.array().cast("array<string>")
+
+    def levels(few: DataFrame) -> DataFrame:
+        given = few.select(*keep, F.explode(F.expr(start)).alias("__c"))
+        more = [F.col("__c.fresh").alias("__fresh"), none.alias("__arrays"), F.array().cast(_OPENED).alias("__opened")] if containers else []
+        given = given.select(*keep, *[F.col(f"__c.{c}").alias(f"__{c}") for c in ("path", "v", "part", "base")], *more)
+        sql = "{given}"
+        for _ in range(min(depth, most)):
+            sql = _level(sql, ", ".join(f"r.`{c}`" for c in keep), containers)
+        rows = given.sparkSession.sql(f"select * from {sql} as r", given=given)
+        rows = rows.withColumn("__json", F.to_json("__v"))
+        nothing = F.col("__v").isNull() | F.is_variant_null("__v")
+        end = F.when(nothing, "null").when(~F.substring("__json", 1, 1).isin("{", "["), "leaf")
+        if not containers:
+            return rows.withColumn("__kind", end.when(F.col("__json").isin("{}", "[]"), "none"))
+        empty = F.when(F.col("__json") == "[]", "array").when(F.col("__json") == "{}", F.when(F.col("__fresh"), "reset").otherwise("object"))
+        return rows.withColumn("__kind", F.coalesce(end, empty))
+
+    def done(rows: DataFrame) -> DataFrame:
+        at = lambda c: F.when(F.col("__kind") == "leaf", c)
+        own = [F.col("__path").alias("path"), at(F.col("__v").cast("string")).alias("value"), at(F.col("__json")).alias("json"), F.col("__kind").alias("kind")]
+        if not containers:
+            flat = rows.where("__kind in ('leaf', 'null')").select(*keep, *own, F.col("__part").alias("part"), F.col("__base").alias("base"))
+        else:
+            last = F.struct(*own, F.col("__arrays").alias("arrays"))
+            opened = F.transform("__opened", lambda o: F.struct(o["path"].alias("path"), F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("json"), o["kind"].alias("kind"), o["arrays"].alias("arrays")))
+            every = F.when((F.size("__opened") == 0) & F.col("__kind").isNotNull(), F.array(last)).when(F.col("__kind").isNull(), opened).otherwise(F.concat(opened, F.array(last)))
+            flat = rows.select(*keep, F.explode(every).alias("__x"), "__part", "__base").select(*keep, "__x.path", "__x.value", "__x.json", "__x.kind", F.col("__part").alias("part"), "__x.arrays", F.col("__base").alias("base"))
+        return flat.where("path <> ''")
+
+    many = levels(df.where(brackets > depth)).where("__kind is null")
+    if most <= depth or many.isEmpty():
+        return done(levels(df))
+    rest = F.array(F.struct(F.col("__path").alias("path"), F.col("__json").alias("text"), F.col("__part").alias("part"), (F.col("__arrays") if containers else none).alias("arrays"), F.col("__base").alias("base")))
+    found = many.select(*keep, F.explode(F.udf(lambda nodes: deep_items(nodes), _DEEP)(rest)).alias("c")).select(*keep, "c.*")
+    found = found.select(*keep, "path", F.expr("cast(try_parse_json(leaf) as string)").alias("value"), F.expr("to_json(try_parse_json(leaf))").alias("json"), "kind", "part", *(["arrays"] if containers else []), "base")
+    return done(levels(df)).unionByName(found.where("path <> ''" if containers else "path <> '' and kind in ('leaf', 'null')"))
+
+
+def _root(json: str) -> str:
+    return f"array({item(chr(39) * 2, f'try_parse_json({json})', '0')})"
 
 
 def flatten(df: DataFrame, json: str, keep: list[str], depth: int = 8) -> DataFrame:
     """(keep..., path, value, is_null): the leaves of a JSON text column, at any depth. Null leaves stay; a root scalar and empty objects or
     arrays vanish."""
-    root = f"array({item(chr(39) * 2, f'try_parse_json({json})', part='0', arrays=NO_ARRAYS, base='0')})"
-    rows = taken_apart(df, root, keep, json, depth).where("kind in ('leaf', 'null')")
+    rows = taken_apart(df, _root(json), keep, json, depth, containers=False)
     return rows.select(*keep, "path", "value", (F.col("kind") == "null").alias("is_null"))
 
 
 def flatten_nodes(df: DataFrame, json: str, keep: list[str], depth: int = 8) -> DataFrame:
     """(keep..., path, kind, json): leaves and containers of a JSON text column, at any depth, as trees.rehydrate reads them; without the root."""
-    root = f"array({item(chr(39) * 2, f'try_parse_json({json})', part='0', arrays=NO_ARRAYS, base='0')})"
-    rows = taken_apart(df, root, keep, json, depth)
+    rows = taken_apart(df, _root(json), keep, json, depth)
     return rows.select(*keep, "path", F.expr("case when kind in ('leaf', 'null') then 'leaf' else kind end").alias("kind"), F.expr("case when kind = 'null' then 'null' else json end").alias("json"))
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json as js
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -11,8 +14,6 @@ from pyspark.sql import functions as F
 from .cut import cut
 from .paths import below
 
-_CUT_EVERY = 8  # levels
-
 
 def _parts(path: Column) -> Column:
     return F.split(F.substring(path, 2, 1 << 30), "/")
@@ -22,37 +23,72 @@ def _upto(parts: Column, n: Column | int) -> Column:
     return F.when(F.lit(n) <= 0, F.lit("")).otherwise(F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, n), "/")))
 
 
+@lru_cache(100_000)
+def _step(path: str) -> tuple[str, str, str, tuple]:
+    """Of a path: the one above, its last token decoded, this as a JSON text (written as Spark's to_json does), and where an element of this path stands: by its position, or after the numbers by its name."""
+    up, _, token = path.rpartition("/")
+    name = token.replace("~1", "/").replace("~0", "~")
+    quoted = "".join(f"\\u{ord(c):04X}" if c < " " and c not in "\b\t\n\f\r" else js.dumps(c, ensure_ascii=False)[1:-1] for c in name)
+    number = int(token) if re.fullmatch("[+-]?[0-9]{1,19}", token) else 1 << 63
+    return up, name, f'"{quoted}":', (False, number, name) if -(1 << 63) <= number < 1 << 63 else (True, 0, name)
+
+
+def _written(nodes: list[tuple]) -> str:
+    """The JSON text of a document, of its (path, kind, json)."""
+    texts, arrays, inside = {}, set(), {}
+    for path, kind, text in nodes:
+        if path and path[0] != "/":
+            path = "/" + path[1:]
+        if kind == "leaf":
+            texts[path] = max(text, texts.get(path, text))
+        elif kind == "array":
+            arrays.add(path)
+        while path:
+            up = _step(path)[0]
+            if up in inside:
+                inside[up].add(path)
+                break
+            inside[up] = {path}
+            path = up
+    text_of = lambda x: texts[x] if x in texts else "[]" if x in arrays else "{}"
+    for path in sorted(inside, key=lambda x: x.count("/"), reverse=True):
+        if path in arrays:
+            texts[path] = "[" + ",".join([text_of(x) for x in sorted(inside[path], key=lambda x: _step(x)[3])]) + "]"
+        else:
+            texts[path] = "{" + ",".join([_step(x)[2] + text_of(x) for x in sorted(inside[path], key=lambda x: _step(x)[1])]) + "}"
+    return text_of("")
+
+
 def rehydrate(nodes: DataFrame, key: list[str]) -> DataFrame:
     """(key..., document): JSON texts from the rows (key..., path, kind, json) of documents. kind is leaf (json is its JSON text; null is null), object or array; containers need a
     row only if they are arrays or empty. Keys are sorted; elements stand in the order of their positions.
 
-    Trees are built from the bottom up: the rows of the deepest level are grouped by their parent, which is written as one text and is a leaf of the level above from then on. All rows of a document are
-    in one partition from the start, as the document will be one value, so the levels take one shuffle. A row at the root ("") is the whole document. Rows of the same path count once; a
+    Rows are shuffled once, by document, and read as sorted streams; a document is one value, so its rows are all that a task holds. A row at the root ("") is the whole document. Rows of the same path count once; a
     leaf with rows below it is replaced by the container of these. A position that isn't a number sorts after the numbers."""
-    parts = _parts(F.col("path"))
-    rows = nodes.select(*key, "path", "kind", F.when(F.col("kind") == "leaf", F.coalesce("json", F.lit("null"))).alias("json"), F.when(F.col("path") == "", 0).otherwise(F.size(parts)).alias("depth"))
-    rows = cut(rows.repartition(*key))
-    deepest = rows.agg(F.max("depth")).first()[0] or 0
-    for d in range(deepest, 0, -1):
-        down = F.col("depth") == d
-        up = F.when(down, _upto(parts, d - 1)).otherwise(F.col("path"))
-        name = F.element_at(parts, -1)
-        plain = F.replace(F.replace(name, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~"))
-        text = F.to_json(F.array(plain))
-        child = F.when(down, F.struct(name.try_cast("long").isNull().alias("word"), name.try_cast("long").alias("at"), plain.alias("name"), F.expr("substring(t, 2, length(t) - 2)").alias("quoted"), F.when(F.col("kind") == "leaf", F.col("json")).when(F.col("kind") == "array", "[]").otherwise("{}").alias("json")))
-        mine = F.when(~down, F.col("kind"))
-        rows = rows.withColumn("t", text).withColumn("up", up).groupBy(*key, "up").agg(
-            F.array_sort(F.array_distinct(F.collect_list(child))).alias("c"), F.max(F.when(mine == "leaf", F.col("json"))).alias("json"), F.max(F.when(mine == "array", True)).alias("is_array"),
-            F.max(F.when(mine == "object", True)).alias("is_object"), F.max(F.when(~down, F.col("depth"))).alias("own"),
-        )
-        array = F.concat(F.lit("["), F.array_join(F.transform("c", lambda x: x["json"]), ","), F.lit("]"))
-        obj = F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.transform("c", lambda x: F.struct(x["name"], x["quoted"], x["json"]))), lambda x: F.concat(x["quoted"], F.lit(":"), x["json"])), ","), F.lit("}"))
-        built = F.when(F.size("c") > 0, F.when(F.col("is_array"), array).otherwise(obj)).otherwise(F.col("json"))
-        kind = F.when(built.isNotNull(), "leaf").when(F.col("is_array"), "array").otherwise("object")
-        rows = rows.select(*key, F.col("up").alias("path"), kind.alias("kind"), built.alias("json"), F.coalesce("own", F.lit(d - 1)).alias("depth"))
-        if d % _CUT_EVERY == 1 and d > 1:
-            rows = cut(rows)
-    return rows.groupBy(*key).agg(F.max(F.when(F.col("kind") == "leaf", F.col("json")).when(F.col("kind") == "array", "[]").otherwise("{}")).alias("document"))
+    json = F.when(F.col("kind") == "leaf", F.coalesce("json", F.lit("null")))
+    rows = nodes.select(*key, "path", "kind", json.alias("json")).repartition(*key).sortWithinPartitions(*key)
+    kinds = dict(nodes.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, types = None, [], None
+        for b in batches:
+            types = [*(b.schema.field(i).type for i in range(len(key))), pa.string()]
+            cols = [b.column(i).to_pylist() for i in range(len(key) + 3)]
+            out = []
+            for here, *node in zip(zip(*cols[: len(key)]), *cols[len(key) :]):
+                if here != last:
+                    if held:
+                        out.append((*last, _written(held)))
+                    last, held = here, []
+                held.append(node)
+            yield documents(out, types)
+        if held:
+            yield documents([(*last, _written(held))], types)
+
+    def documents(out: list[tuple], types: list[pa.DataType]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * len(types), types)], [*key, "document"])
+
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in key) + ", document string")
 
 
 def _scan(events: DataFrame, names: list[str]) -> DataFrame:

@@ -274,8 +274,8 @@ def _writes(commands: DataFrame) -> DataFrame:
     mended = commands.where(odd).withColumn("m", again("data", "writes")).select("aggregate_id", "segment", "sequence", "m.data", "m.writes")
     c = commands.where(~odd).select(*keep).unionByName(mended).withColumn("text", F.coalesce("data", F.expr("array_join(transform(writes, w -> w.value), ' ')")))
     c = cut(c.where("writes is not null or try_variant_get(try_parse_json(data), '$', 'map<string,variant>') is not null"))
-    patch = paths.item("''", "try_parse_json(data)", part="0", arrays=paths.NO_ARRAYS, base="0")
-    assigned = paths.item("e.path", "try_parse_json(e.value)", part="i", arrays=paths.NO_ARRAYS, fresh="true", base="size(split(e.path, '/')) - 1")
+    patch = paths.item("''", "try_parse_json(data)", "0")
+    assigned = paths.item("e.path", "try_parse_json(e.value)", "i", fresh="true", base="size(split(e.path, '/')) - 1")
     by_path = "array_sort(writes, (a, b) -> case when a.path < b.path then -1 when a.path > b.path then 1 else 0 end)"
     start = f"case when writes is null then array({patch}) else transform({by_path}, (e, i) -> {assigned}) end"
     rows = paths.taken_apart(c.withColumn("patch", F.col("writes").isNull()), start, ["aggregate_id", "segment", "sequence", "patch"], "text")

@@ -22,8 +22,8 @@ def upcast(log: DataFrame) -> DataFrame:
     only, secrets never enter shared state."""
     few = log.where(F.col("event_type").isin("JourneyModified", "AttributesSet"))
     data = few.select("aggregate_id", "sequence", "event_type", "payload", F.expr("try_parse_json(payload)").alias("doc"))
-    patch = paths.item("''", "try_variant_get(doc, '$.Modified.data', 'variant')", part="0", arrays=paths.NO_ARRAYS, base="0")
-    assigned = paths.item("e.key", "e.value", part="i", arrays=paths.NO_ARRAYS, fresh="true", base="size(split(e.key, '/')) - 1")  # keys of an assignment are pointers themselves
+    patch = paths.item("''", "try_variant_get(doc, '$.Modified.data', 'variant')", "0")
+    assigned = paths.item("e.key", "e.value", "i", fresh="true", base="size(split(e.key, '/')) - 1")  # keys of an assignment are pointers themselves
     start = f"""case event_type when 'JourneyModified' then array({patch})
         else transform(map_entries(try_variant_get(doc, '$.AttributesSet.plaintext', 'map<string,variant>')), (e, i) -> {assigned}) end"""
     rows = paths.taken_apart(data, start, ["aggregate_id", "sequence", "event_type"], "payload")
@@ -48,7 +48,7 @@ def fold_documents(log: DataFrame) -> DataFrame:
 
 def patch_writes(patches: DataFrame, key: list[str]) -> DataFrame:
     """Writes (key..., sequence, part, path, value, op, arrays) of merge patches: data, JSON text, of each row (key..., sequence)."""
-    root = f"array({paths.item(chr(39) * 2, 'try_parse_json(data)', part='0', arrays=paths.NO_ARRAYS, base='0')})"
+    root = f"array({paths.item(chr(39) * 2, 'try_parse_json(data)', '0')})"
     rows = paths.taken_apart(patches, root, [*key, "sequence"], "data")
     op = F.when(F.col("kind") == "leaf", "set").when(F.col("kind") == "null", F.when(F.size("arrays") == 0, "delete").otherwise("set")).otherwise(F.col("kind"))
     return rows.select(*key, "sequence", "part", "path", "value", op.alias("op"), "arrays")

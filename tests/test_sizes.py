@@ -5,6 +5,7 @@ import re
 
 import __spark_entry__ as entry
 import pytest
+from ledgerfold.functions import paths, trees
 from ledgerfold.operators import pii
 from ledgerfold.sources import samples
 
@@ -27,3 +28,21 @@ def test_stored_payloads_are_neither_written_nor_shuffled(spark, name):
 def test_partitions_read_the_log_once(spark):
     text = plan(pii.extract_partitions(samples.personal_log(spark, DIR)))
     assert len(re.findall(r"Exchange hashpartitioning\(aggregate_id", text)) == 2 and text.count("lineitem.parquet") == 1
+
+
+def test_documents_are_shuffled_once_and_never_written(spark):
+    sc = spark.sparkContext
+    nodes = spark.createDataFrame([(1, "/a/b/c", "leaf", "1"), (1, "/a/d", "leaf", "2")], "id long, path string, kind string, json string")
+    folder = lambda: sorted(os.listdir(sc.getCheckpointDir().removeprefix("file:"))) if sc.getCheckpointDir() else []
+    before = folder()
+    df = trees.rehydrate(nodes, ["id"])
+    assert before == folder() and plan(df).count("Exchange") == 1
+    assert [tuple(r) for r in df.collect()] == [(1, '{"a":{"b":{"c":1},"d":2}}')]
+
+
+def test_flattening_has_one_generator_a_level(spark):
+    doc = spark.createDataFrame([(1, '{"a":{"b":[1,{}]},"c":null}')], "id long, doc string")
+    df = paths.flatten(doc, "doc", ["id"])
+    assert plan(df).count("variant_explode") == 4 and "lambdafunction" not in plan(df)
+    assert sorted(tuple(r) for r in df.collect()) == [(1, "/a/b/0", "1", False), (1, "/c", None, True)]
+    assert sorted((r.path, r.kind, r.json) for r in paths.flatten_nodes(doc, "doc", ["id"]).collect()) == [("/a", "object", None), ("/a/b", "array", None), ("/a/b/0", "leaf", "1"), ("/a/b/1", "object", None), ("/c", "leaf", "null")]
