@@ -4,6 +4,7 @@ import os
 import re
 
 import __spark_entry__ as entry
+import numpy as np
 import pytest
 from ledgerfold.functions import paths, trees
 from ledgerfold.operators import pii
@@ -46,3 +47,20 @@ def test_flattening_has_one_generator_a_level(spark):
     assert plan(df).count("variant_explode") == 4 and "lambdafunction" not in plan(df)
     assert sorted(tuple(r) for r in df.collect()) == [(1, "/a/b/0", "1", False), (1, "/c", None, True)]
     assert sorted((r.path, r.kind, r.json) for r in paths.flatten_nodes(doc, "doc", ["id"]).collect()) == [("/a", "object", None), ("/a/b", "array", None), ("/a/b/0", "leaf", "1"), ("/a/b/1", "object", None), ("/c", "leaf", "null")]
+
+
+def test_rule_inputs_are_one_aggregation(spark):
+    rng = np.random.default_rng(3)
+    every = ["/a", "/a/b", "/a/b/0", "/a/c", "/ab", "/a/b/0/x"]
+    rows = []
+    for key in range(80):
+        for n in range(rng.integers(1, 7)):
+            p, op = str(rng.choice(every)), str(rng.choice(["set", "set", "set", "delete", "object", "array", "reset"]))
+            rows.append((key, int(n), int(rng.integers(2)), p, str(n) if op == "set" else None, op, ["/a/b"] if p.startswith("/a/b/") and rng.random() < 0.5 else None))
+    writes = spark.createDataFrame(rows, "id long, sequence long, part int, path string, value string, op string, arrays array<string>").dropDuplicates(["id", "sequence", "part", "path"]).localCheckpoint()
+    wanted = dict(zip("pqrstu", every))
+    got = paths.last_values(writes, ["id"], ["sequence", "part"], wanted)
+    assert plan(got).count("Exchange hashpartitioning") <= 1 and "Join" not in plan(got)
+    stands = {(r.id, r.path): r.value for r in paths.last_writes(writes, ["id"], ["sequence", "part"]).collect()}
+    assert stands and {r.id: r for r in got.collect()}.keys() == {r[0] for r in rows}
+    assert {(r.id, p): r[c] for r in got.collect() for c, p in wanted.items() if r[c] is not None} == stands
