@@ -100,12 +100,15 @@ def erase(log: DataFrame, keys: DataFrame, index: DataFrame, requests: DataFrame
     subject (journeys: subject_id, aggregate_id) and hasn't forgotten it, numbered on from its last event. Write keys and lookup first: without events the
     data is gone all the same, and a second run appends what is missing and nothing twice."""
     wanted = requests.select("subject_id").where("subject_id is not null").distinct()
-    known = journeys.join(wanted, "subject_id", "left_semi").select("aggregate_id", "subject_id").distinct()
-    done = log.where("event_type = 'SubjectForgotten'").select("aggregate_id", "subject_id")
-    todo = known.join(done, ["aggregate_id", "subject_id"], "left_anti")
-    last = log.join(todo.select("aggregate_id").distinct(), "aggregate_id", "left_semi").groupBy("aggregate_id").agg(F.max("sequence").alias("last"))
-    place = F.row_number().over(Window.partitionBy("aggregate_id").orderBy("subject_id"))  # the subjects of one journey
-    events = todo.join(last, "aggregate_id").select("aggregate_id", (F.col("last") + place).alias("sequence"), F.lit("SubjectForgotten").alias("event_type"), "subject_id")
+    known = journeys.join(wanted, "subject_id", "left_semi").select("aggregate_id", "subject_id", F.lit(True).alias("known"), F.lit(None).cast("long").alias("last"))
+    forgot = F.when(F.col("event_type") == "SubjectForgotten", F.col("subject_id"))
+    rows = log.select("aggregate_id", forgot.alias("subject_id"), F.lit(False).alias("known"), F.col("sequence").cast("long").alias("last")).unionByName(known)
+    # one row for each subject of a journey, and one of its other events; a subject that both know is forgotten already
+    pairs = rows.groupBy("aggregate_id", "subject_id").agg(F.every("known").alias("todo"), F.max("last").alias("last"))
+    mine = Window.partitionBy("aggregate_id")
+    pairs = pairs.withColumn("last", F.max("last").over(mine)).where("todo and last is not null and aggregate_id is not null")
+    place = F.row_number().over(mine.orderBy("subject_id"))  # the subjects of one journey
+    events = pairs.select("aggregate_id", (F.col("last") + place).alias("sequence"), F.lit("SubjectForgotten").alias("event_type"), "subject_id")
     return {"keys": shred(keys, wanted), "lookup": delete_lookup(index, wanted), "events": events}
 
 

@@ -63,10 +63,10 @@ def find_by_email(people: DataFrame, emails: DataFrame) -> DataFrame:
     return people.where("not forgotten").join(wanted, F.lower("email") == F.col("e"), "left_semi").select("aggregate_id").distinct()
 
 
-def subject_journeys(log: DataFrame, partitions: DataFrame) -> DataFrame:
-    """(subject_id, aggregate_id) pairs, from captures and from partitions, without decryption: to be stored by subject_id."""
+def subject_journeys(log: DataFrame, partitions: DataFrame | None = None) -> DataFrame:
+    """(subject_id, aggregate_id) pairs, from captures and from partitions, without decryption: to be stored by subject_id. Partitions that pii takes from the same log need not be given: each has the subject of a capture of its journey."""
     captured = log.where("event_type = 'PersonCaptured' and subject_id is not null").select("subject_id", "aggregate_id")
-    return captured.unionByName(partitions.select("subject_id", "aggregate_id")).distinct()
+    return (captured if partitions is None else captured.unionByName(partitions.select("subject_id", "aggregate_id"))).distinct()
 
 
 def survival(decrypted: DataFrame) -> DataFrame:

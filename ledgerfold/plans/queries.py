@@ -847,7 +847,7 @@ def C18_shred_subjects(spark, d):
 @query
 def C18_forgotten_events(spark, d):
     p = samples.personal_log(spark, d)
-    erased = keys.erase(p, _open_keys(spark, d), keys.lookup(p.where("event_type = 'PersonCaptured'")), samples.erasure_requests(spark, d), views.subject_journeys(p, pii.extract_partitions(p)))
+    erased = keys.erase(p, _open_keys(spark, d), keys.lookup(p.where("event_type = 'PersonCaptured'")), samples.erasure_requests(spark, d), views.subject_journeys(p))
     return erased["events"].select("aggregate_id", "subject_id", "sequence")
 
 
@@ -861,7 +861,7 @@ def C19_shred_by_email(spark, d):
 def C19_erase_by_email(spark, d):
     """All that is left of keys and lookup, and the events to append."""
     p = samples.personal_log(spark, d)
-    done = keys.erase_by_email(p, samples.key_table(spark, d, MASTER), keys.lookup(p.where("event_type = 'PersonCaptured'")), _emails(spark, d), views.subject_journeys(p, pii.extract_partitions(p)))
+    done = keys.erase_by_email(p, samples.key_table(spark, d, MASTER), keys.lookup(p.where("event_type = 'PersonCaptured'")), _emails(spark, d), views.subject_journeys(p))
     rows = [df.select(F.lit(what).alias("what"), "subject_id", *([F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in (("aggregate_id", "string"), ("sequence", "long"))])) for what, df in done.items()]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 

@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 import numpy as np
 import pytest
 from ledgerfold.functions import paths, trees
-from ledgerfold.operators import pii
+from ledgerfold.operators import keys, pii
 from ledgerfold.sources import samples
 
 DIR = "/root/testdata/sf0.001"
@@ -31,6 +31,20 @@ def test_partitions_read_the_log_once(spark):
     assert len(re.findall(r"Exchange hashpartitioning\(aggregate_id", text)) == 2 and text.count("lineitem.parquet") == 1
 
 
+def test_erasure_reads_the_log_twice(spark):
+    assert plan(entry.queries()["C18_forgotten_events"](spark, DIR)).count("lineitem.parquet") == 2
+
+
+def test_erasure_appends_what_is_missing(spark):
+    rows = [("a", 1, "PersonCaptured", "s2"), ("a", 2, "PersonCaptured", "s1"), ("a", 5, "JourneyClosed", None), ("b", 1, "PersonCaptured", "s1"), ("b", 4, "SubjectForgotten", "s1"), ("c", 3, "PersonCaptured", "s3"), ("d", 2, "SubjectForgotten", None), (None, 1, "PersonCaptured", "s1")]
+    log = spark.createDataFrame(rows, "aggregate_id string, sequence long, event_type string, subject_id string")
+    journeys = log.where("event_type = 'PersonCaptured'").select("subject_id", "aggregate_id").unionByName(spark.createDataFrame([("s1", "nowhere"), ("s1", "d"), ("s1", "a")], "subject_id string, aggregate_id string"))
+    table, wanted = spark.createDataFrame([("s1",), ("s9",)], "subject_id string"), spark.createDataFrame([("s1",), ("s2",), ("s1",), (None,)], "subject_id string")
+    got = keys.erase(log, table, table, wanted, journeys)
+    assert sorted(tuple(r) for r in got["events"].collect()) == [("a", 6, "SubjectForgotten", "s1"), ("a", 7, "SubjectForgotten", "s2"), ("d", 3, "SubjectForgotten", "s1")]
+    assert [r.subject_id for r in got["keys"].collect()] == ["s9"]
+
+
 def test_documents_are_shuffled_once_and_never_written(spark):
     sc = spark.sparkContext
     nodes = spark.createDataFrame([(1, "/a/b/c", "leaf", "1"), (1, "/a/d", "leaf", "2")], "id long, path string, kind string, json string")
