@@ -60,16 +60,18 @@ def slots(log: DataFrame) -> DataFrame:
 
 
 def _of_slots(log: DataFrame, columns: dict[str, str], name: str) -> DataFrame:
-    """Captures and the secrets of AttributesSet events, one row for each slot: (aggregate_id, sequence, person_ref, subject_id, value, payload, bound, captured_at), bound being the subject of the slot's first capture. The log is
-    read once; a log that is partitioned by aggregate_id isn't shuffled."""
-    kind = "struct<person_ref:string,subject_id:string,value:string,payload:string>"
-    capture = F.array(F.struct("person_ref", "subject_id", F.lit(None).cast("string").alias("value"), F.to_json(F.struct(*PERSON.secret)).alias("payload")).cast(kind))
-    secret = lambda ref, col: F.struct(F.lit(ref), F.lit(None), F.col(col).cast("string"), F.to_json(F.create_map(F.lit(f"/persons/{ref}/{name}"), F.col(col)))).cast(kind)
-    secrets = F.filter(F.array(*[secret(ref, col) for ref, col in columns.items()]), lambda x: x["value"].isNotNull())
+    """Captures and the secrets of AttributesSet events, one row for each: (aggregate_id, sequence, person_ref, subject_id, capture, payload, bound, captured_at), bound being the subject of the slot's first capture; null for captures.
+    It is known before events are exploded: one window by aggregate_id, without payloads. The log is read once; a log that is partitioned by aggregate_id isn't shuffled."""
     captured = F.col("event_type") == "PersonCaptured"
-    rows = log.where(captured | (F.col("event_type") == "AttributesSet")).select("aggregate_id", "sequence", captured.alias("capture"), F.explode(F.when(captured, capture).otherwise(secrets)).alias("x")).select("aggregate_id", "sequence", "capture", "x.*")
-    slot, at = Window.partitionBy("aggregate_id", "person_ref"), F.when(F.col("capture"), F.col("sequence"))
-    return rows.withColumn("bound", F.min_by("subject_id", at).over(slot)).withColumn("captured_at", F.min(at).over(slot))
+    first = lambda ref: F.min(F.when(captured & (F.col("person_ref") == ref), F.struct("sequence", "subject_id"))).over(Window.partitionBy("aggregate_id"))
+    rows = log.where(captured | (F.col("event_type") == "AttributesSet")).select("aggregate_id", "sequence", "person_ref", "subject_id", *PERSON.secret, *columns.values(), captured.alias("capture"), *[first(ref).alias(f"__{n}") for n, ref in enumerate(columns)])
+    text, number = F.lit(None).cast("string"), F.lit(None).cast("long")
+    own = F.struct(F.col("person_ref").alias("ref"), text.alias("json"), text.alias("bound"), number.alias("captured_at"))
+    json = lambda ref, col: F.when(F.col(col).isNotNull(), F.to_json(F.create_map(F.lit(f"/persons/{ref}/{name}"), F.col(col))))
+    secrets = [F.struct(F.lit(ref).alias("ref"), json(ref, col).alias("json"), F.col(f"__{n}.subject_id").alias("bound"), F.col(f"__{n}.sequence").cast("long").alias("captured_at")) for n, (ref, col) in enumerate(columns.items())]
+    rows = rows.withColumn("x", F.explode(F.when(F.col("capture"), F.array(own)).otherwise(F.array(*secrets)))).where("capture or x.json is not null")
+    payload = F.when(F.col("capture"), F.to_json(F.struct(*PERSON.secret))).otherwise(F.col("x.json"))
+    return rows.select("aggregate_id", "sequence", F.col("x.ref").alias("person_ref"), "subject_id", "capture", payload.alias("payload"), "x.bound", "x.captured_at")
 
 
 def attribute_partitions(log: DataFrame, columns: dict[str, str], name: str) -> DataFrame:

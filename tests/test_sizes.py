@@ -31,6 +31,21 @@ def test_partitions_read_the_log_once(spark):
     assert len(re.findall(r"Exchange hashpartitioning\(aggregate_id", text)) == 2 and text.count("lineitem.parquet") == 1
 
 
+def test_slots_are_one_window_before_events_are_exploded(spark):
+    text = plan(pii.extract_partitions(samples.personal_log(spark, DIR)))
+    assert text.count("Window [min(") == 1 and "Window [min_by(" not in text and "person_ref#" not in "".join(re.findall(r"Sort \[.*", text))
+    assert "lambdafunction" not in "".join(x for x in text.splitlines() if "Generate" in x and "/persons/lead" in x)
+
+
+def test_secrets_keep_their_kind_and_first_subject(spark):
+    log = spark.createDataFrame(
+        [("a", 1, "AttributesSet", None, None, 7, "early"), ("a", 2, "PersonCaptured", "lead", "s1", None, None), ("a", 3, "PersonCaptured", "lead", "s2", None, None), ("a", 4, "AttributesSet", None, None, 8, "x"), ("a", 5, "AttributesSet", None, None, None, None), ("b", 6, "AttributesSet", None, None, 9, "other")],
+        "aggregate_id string, sequence long, event_type string, person_ref string, subject_id string, n int, t string",
+    ).selectExpr("*", "'N' as name", "null as email", "null as phone")
+    got = pii.attribute_partitions(log, {"lead": "n", "agent": "t"}, "no")
+    assert [tuple(r) for r in got.collect()] == [("a", 4, "s1", "lead", '{"/persons/lead/no":8}')]
+
+
 def test_erasure_reads_the_log_twice(spark):
     assert plan(entry.queries()["C18_forgotten_events"](spark, DIR)).count("lineitem.parquet") == 2
 
