@@ -8,10 +8,11 @@ Order. Shingles stand in the order of their hashes, but those that several sets
 under any such order is known before the counts are (hash at most ``SHIFT`` above that of the plain prefix), so only these are kept (low) and counted, over all distinct sets. A set whose prefix holds no shared element is done.
 
 Index-level skipping. A list is sorted by size and, within a size, by position: blocks in which, once an entry stands too far back for o elements to be left, all later ones do. Blocks too small for the probing set
-and entries beyond that position are passed over, as are pairs whose elements that no other set has are more than the two may differ by. A short list gives all pairs that are left. A long one is read as a stream, in which each entry is paired with the last one that could still reach it; lists of frequent elements are
+and entries beyond that position are passed over, as are pairs whose elements that no other set has, or whose sketches (parity bits of the sets), differ by more than the two may. A short list gives all pairs that are left. A long one is read as a stream, in which each entry is paired with the last one that could still reach it; lists of frequent elements are
 dealt to parts by element and set, so the parts differ from list to list.
 
-Answer-level skipping. What joins two groups is then looked for in long lists that still hold several groups: by pairs of different groups that the blocks leave, and in lists of more than ``MANY`` sets blocks of members are compared through an index of their whole sets. The overlaps of the first set of a group with all others are
+Answer-level skipping. What joins two groups is then looked for in long lists that still hold several groups: of the pairs that the blocks leave, a list gives as many as connect its groups. Where all of these are links, the others follow from them; lists where one is none
+give all that are left between different groups. In lists of more than ``MANY`` sets blocks of members are compared through an index of their whole sets. The overlaps of the first set of a group with all others are
 counted from the index; those of the next, similar set are derived from them by the lists of the few elements that only one of both has. Members of one group are not compared.
 
 Groups are the components of the links. A link between two sets of one group adds nothing to the result and is skipped; no link that joins two groups is.
@@ -35,7 +36,7 @@ SHIFT = 1 << 60  # an eighth of the range of places
 #: From so many sets on, an element counts as frequent, and its list is dealt to so many parts.
 OFTEN, PARTS = 64, 16
 #: Lists of so many sets are compared pair by pair; of so many, once most groups are known.
-FEW, MANY = 8, 4096
+FEW, MANY = 8, 16384
 BITMAP_PARTS = 2048
 _U = np.uint64
 
@@ -72,12 +73,48 @@ def numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(whole[offs[0] : offs[-1]].tobytes(), dtype="<u8"), (offs - offs[0]) // 8
 
 
+def sketches(h: np.ndarray, offs: np.ndarray) -> pa.Array:
+    """A bit vector of each set, of two to four bits an element: a bit is the parity of the elements that fall on it, so two vectors differ in no more bits than their sets in elements."""
+    n = np.diff(offs)
+    words = (1 << np.ceil(np.log2(np.maximum((n + 31) // 32, 1))).astype(np.int64)).astype(np.int64)
+    start = np.concatenate([[0], np.cumsum(words)])
+    bit = np.repeat(64 * start[:-1], n) + (h & np.repeat(64 * words - 1, n).astype(_U)).astype(np.int64)
+    odd = (np.bincount(bit, minlength=64 * start[-1]) & 1).astype(np.uint8)
+    return binaries(np.packbits(odd, bitorder="little"), 8 * start)
+
+
+def spare(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """By how many elements linked sets of n and m elements may differ."""
+    return n + m - 2 * -(-percent * (n + m) // (100 + percent))
+
+
+def apart(words: np.ndarray, offs: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """By how many elements the sets x[k] and y[k] differ at least, from their sketches (on end in words). The longer one is folded: halves laid upon each other are the sketch of half the length."""
+    width = np.diff(offs)
+    least = np.minimum(width[x], width[y])
+    out = np.zeros(x.size, dtype=np.int64)
+    for w in np.unique(least).tolist():
+        pairs = np.flatnonzero(least == w)
+        row = np.full(width.size, -1)
+        used = np.unique(np.concatenate([x[pairs], y[pairs]]))
+        row[used] = np.arange(used.size)
+        table = np.empty((used.size, w), dtype=_U)
+        for of in np.unique(width[used]).tolist():
+            those = used[width[used] == of]
+            table[row[those]] = np.bitwise_xor.reduce(words[offs[those][:, None] + np.arange(of)].reshape(those.size, of // w, w), axis=1)
+        step = max(1, (1 << 18) // w)
+        for lo in range(0, pairs.size, step):
+            k = pairs[lo : lo + step]
+            out[k] = np.bitwise_count(table[row[x[k]]] ^ table[row[y[k]]]).sum(axis=1)
+    return out
+
+
 def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
     return n + n * -percent // 100 + 1
 
 
 def heads(docs: DataFrame, size: int, percent: int, with_low: bool) -> DataFrame:
-    """doc_id, n_shingles, node (a digest of the set) and, if asked for, low: the shingles, ascending, that can be in the prefix; null for all but one of the equal sets of a chunk."""
+    """doc_id, n_shingles, node (a digest of the set) and, if asked for, low (the shingles, ascending, that can be in the prefix) and a sketch; both null for all but one of the equal sets of a chunk."""
     bounded_batches(docs.sparkSession)
 
     def run(batch: pa.RecordBatch):
@@ -97,9 +134,10 @@ def heads(docs: DataFrame, size: int, percent: int, with_low: bool) -> DataFrame
                 low &= ~np.repeat(again, n)
                 packed = binaries(h[low], 8 * np.concatenate([[0], np.cumsum(low)])[offs])
                 out["low"] = pc.if_else(pa.array(again), pa.scalar(None, pa.binary()), packed)
+                out["sketch"] = pc.if_else(pa.array(again), pa.scalar(None, pa.binary()), sketches(h, offs))
             yield out
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_shingles long, node binary" + ", low binary" * with_low)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_shingles long, node binary" + ", low binary, sketch binary" * with_low)
 
 
 def shared_elements(nodes: DataFrame) -> DataFrame:
@@ -222,47 +260,70 @@ def shared_lists(entries: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "element long, id long, n long, position long, alone long, mate long")
 
 
-def between_groups(members: DataFrame, percent: int) -> DataFrame:
-    """Of long lists (element, id, n, position, alone, label), element, id, n, label and mate: of those of up to MANY sets the pairs (id, mate) of different labels that size and position leave possible, with a null element; every
-    entry of others.
+def between_groups(members: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Of long lists (element, id, n, position, alone, label, sketch), element, id, n, label and mate: of those of up to MANY sets the pairs (id, mate) of different labels that size, position and sketches leave possible; every
+    entry of others, with a null mate. forest: of these pairs only as many as connect their labels, nearest ones first, so fewer than the list has entries; if all of them are links, so is what the others would join.
 
     In a sorted list the sizes that fit are one range, and of these only the entries that stand far enough in front count."""
     many = MANY
     rows = members.repartition("element").sortWithinPartitions("element", "n", "position", "id")
 
-    def pairs(ids, n, position, alone, label):
-        found = []
-        left = n - position
+    def pairs(element, ids, n, position, alone, label, words, offs):
+        found, waiting, left, group = [], [[], [], 0], n - position, label.copy()
+
+        def compare():
+            x, y = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in waiting[:2])
+            over = apart(words, offs, x, y) - spare(n[x], n[y], percent)
+            near = np.flatnonzero(over <= 0)
+            if forest:
+                near, joins = near[np.argsort(over[near], kind="stable")], []
+                for k, i, j in zip(near.tolist(), x[near].tolist(), y[near].tolist()):
+                    if group[i] != group[j]:
+                        group[group == group[i]] = group[j]
+                        joins.append(k)
+                near = joins
+            found.append((y[near], x[near]))
+            waiting[:] = [], [], 0
+
         for y in range(1, n.size):
             x = np.arange(np.searchsorted(n[:y], -(-percent * n[y] // 100)), y)
             need = -(-percent * (n[x] + n[y]) // (100 + percent))
-            x = x[(left[x] >= need) & (left[y] >= need) & (alone[x] + alone[y] <= n[x] + n[y] - 2 * need) & (label[x] != label[y])]
-            found.append((np.full(x.size, y), x))
-        y, x = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
-        return [None] * y.size, ids[y], n[y], label[y], ids[x]
+            x = x[(left[x] >= need) & (left[y] >= need) & (alone[x] + alone[y] <= n[x] + n[y] - 2 * need) & (group[x] != group[y])]
+            if x.size:
+                waiting[0].append(x)
+                waiting[1].append(np.full(x.size, y))
+                waiting[2] += x.size
+            if waiting[2] > 50_000:
+                compare()
+        compare()
+        y, x = (np.concatenate(c) for c in zip(*found))
+        return np.full(y.size, element), ids[y], n[y], label[y], ids[x]
 
     def run(batches):
         held, passing = None, None  # the last list as long as it is short; an element whose list is longer
         for batch in batches:
             cols = [batch.column(c).to_numpy() for c in ("element", "id", "n", "position", "alone", "label")]
+            words, offs = numbers(batch.column("sketch"))
             if held is not None:
-                cols = [np.concatenate(c) for c in zip(held, cols)]
+                words, offs = np.concatenate([held[6], words]), np.concatenate([held[7], held[7][-1] + offs[1:]])
+                cols = [np.concatenate(c) for c in zip(held[:6], cols)]
             edge = np.append(np.flatnonzero(np.concatenate([[True], cols[0][1:] != cols[0][:-1]])), cols[0].size)
             out = []
             held = None
             for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
                 element, ids, n, position, alone, label = (c[lo:hi] for c in cols)
+                mine = words[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
                 if hi - lo > many or element[0] == passing:
                     passing = element[0]
                     out.append((element, ids, n, label, [None] * (hi - lo)))
                 elif hi == edge[-1]:
-                    held = [c[lo:hi].copy() for c in cols]
+                    held = [*(c[lo:hi].copy() for c in cols), mine[0].copy(), mine[1]]
                 elif hi - lo > 1:
-                    out.append(pairs(ids, n, position, alone, label))
+                    out.append(pairs(element[0], ids, n, position, alone, label, *mine))
             yield listed(out)
             release()
         if held is not None:
-            yield listed([pairs(*held[1:])])
+            yield listed([pairs(held[0][0], *held[1:])])
 
     def listed(out):
         return pa.RecordBatch.from_pydict({c: pa.chunked_array([pa.array(o[k], pa.int64()) for o in out], pa.int64()).combine_chunks() for k, c in enumerate(("element", "id", "n", "label", "mate"))})
@@ -296,20 +357,16 @@ def set_table(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return found.groupBy("node", "id").agg(F.first("shingles").alias("shingles"), F.first("n_first").alias("n_first")).select("id", "shingles", "n_first")
 
 
-def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose elements in the first quarter of the range of hashes don't differ by more than two linked sets may differ by as a whole. Only these elements are shuffled."""
-    small = sets.select("id", F.expr("substring(shingles, 1, 8 * n_first)").alias("s"), (F.octet_length("shingles") / 8).cast("long").alias("n"))
-    both = pairs.join(small.select(F.col("id").alias("a"), F.col("s").alias("sa"), F.col("n").alias("na")), "a").join(small.select(F.col("id").alias("b"), F.col("s").alias("sb"), F.col("n").alias("nb")), "b")
+def possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches don't differ by more than two linked sets may. Sketches are a twentieth of their sets."""
+    small = nodes.select("id", "sketch", F.col("n_shingles").alias("n"))
+    both = pairs.join(small.select(F.col("id").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na")), "a").join(small.select(F.col("id").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb")), "b")
 
     def run(batch: pa.RecordBatch):
-        na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-        spare = na + nb - 2 * -(-percent * (na + nb) // (100 + percent))
-        keep = []
-        for k, (x, y) in enumerate(zip(batch.column("sa"), batch.column("sb"))):
-            x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
-            keep.append(x.size + y.size - 2 * np.intersect1d(x, y, assume_unique=True).size <= spare[k])
-        mask = np.array(keep, dtype=bool)
-        yield {"a": batch.column("a").to_numpy()[mask], "b": batch.column("b").to_numpy()[mask]}
+        a, b, na, nb = (batch.column(c).to_numpy() for c in ("a", "b", "na", "nb"))
+        (wa, oa), (wb, ob) = numbers(batch.column("sa")), numbers(batch.column("sb"))
+        near = apart(np.concatenate([wa, wb]), np.concatenate([oa, oa[-1] + ob[1:]]), np.arange(a.size), a.size + np.arange(a.size)) <= spare(na, nb, percent)
+        yield {"a": a[near], "b": b[near]}
 
     return map_arrow(both.select("a", "b", "sa", "sb", "na", "nb"), run, "a long, b long")
 
@@ -418,27 +475,44 @@ def join_groups(docs: DataFrame, size: int = 3, percent: int = 90, block: int =
     named = every.where("doc_id is not null")
     filled = lambda rows: rows.where("doc_id is not null and n_shingles > 0").groupBy("node")
     firsts = filled(every).agg(F.min("row").alias("id"), F.min_by("doc_id", "row").alias("doc_id"), F.first("n_shingles").alias("n_shingles"))
-    lows = filled(heads(docs, size, percent, True)).agg(F.first("low", ignorenulls=True).alias("low"))
+    lows = filled(heads(docs, size, percent, True)).agg(F.first("low", ignorenulls=True).alias("low"), F.first("sketch", ignorenulls=True).alias("sketch"))
     nodes = shared_checkpoint(firsts.join(lows, "node"))
     lists = shared_checkpoint(shared_lists(postings(nodes, shared_elements(nodes), percent), percent))
     whole = lambda ids: nodes.select("doc_id", "node", "id").join(ids.distinct(), "id", "left_semi")
     ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    pairs = lists.where("mate is not null").select(F.col("id").alias("a"), F.col("mate").alias("b")).distinct()
+    mates = lambda rows: rows.where("mate is not null").select(F.least("id", "mate").alias("a"), F.greatest("id", "mate").alias("b")).distinct()
+    pairs = shared_checkpoint(possible(mates(lists), nodes, percent))
     sets = shared_checkpoint(set_table(docs, whole(ends(pairs)), size))
     links = verified(pairs, sets, percent)
     shared_ids = links_by_doc_id(named, nodes)
     labels = components(links if shared_ids is None else links.unionByName(shared_ids))
     # long lists that hold several groups still
-    members = lists.where("element is not null").join(labels.withColumnRenamed("node", "id"), "id", "left").select("element", "id", "n", "position", "alone", F.coalesce("label", "id").alias("label"))
-    several = members.groupBy("element").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("element")
-    rest = shared_checkpoint(between_groups(members.join(several, "element", "left_semi"), percent))
-    pairs = rest.where("mate is not null").select(F.col("id").alias("a"), F.col("mate").alias("b")).distinct()
-    longest = open_buckets(rest.where("element is not null").select(F.lit(0).alias("band"), F.col("element").alias("key"), "id", F.col("n").alias("n_shingles"), "label", F.lit(0).alias("n"))).drop("n", "mean")
-    new = ends(pairs).union(longest.select("id")).join(sets.select("id"), "id", "left_anti")
-    sets = sets.unionByName(shared_checkpoint(set_table(docs, whole(new), size)))
-    more = verified(possible(pairs, sets, percent), sets, percent).unionByName(links_in_lists(longest, sets, percent, block))
-    more = more.join(labels.selectExpr("node as a", "label as la"), "a", "left").join(labels.selectExpr("node as b", "label as lb"), "b", "left").selectExpr("coalesce(la, a) as a", "coalesce(lb, b) as b").where("a <> b")
-    more = shared_checkpoint(more)
+    entries = lists.where("element is not null").select("element", "id", "n", "position", "alone")
+
+    def open_lists(labels):
+        members = entries.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        several = members.groupBy("element").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("element")
+        return members.join(several, "element", "left_semi")
+
+    def with_sets(ids, sets):
+        return sets.unionByName(shared_checkpoint(set_table(docs, whole(ids.join(sets.select("id"), "id", "left_anti")), size)))
+
+    sketched = lambda members: members.join(nodes.select("id", "sketch"), "id")
+    named_by = lambda rows, labels, c: rows.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")), c, "left").withColumn(f"l{c}", F.coalesce(f"l{c}", c))
+    rest = shared_checkpoint(between_groups(sketched(open_lists(labels)), percent, True))
+    tried = mates(rest)
+    sets = with_sets(ends(tried), sets)
+    joined = labels.selectExpr("node as a", "label as b").unionByName(shared_checkpoint(verified(tried, sets, percent)))
+    labels = components(joined)
+    # only lists where a pair was no link may hold others that are
+    failed = named_by(named_by(rest.where("mate is not null").selectExpr("element", "id as a", "mate as b"), labels, "a"), labels, "b").where("la <> lb").select("element").distinct()
+    longest = rest.where("mate is null").join(labels.select(F.col("node").alias("id"), F.col("label").alias("top")), "id", "left").withColumn("label", F.coalesce("top", "id"))
+    longest = open_buckets(longest.select(F.lit(0).alias("band"), F.col("element").alias("key"), "id", F.col("n").alias("n_shingles"), "label", F.lit(0).alias("n"))).drop("n", "mean")
+    pairs = shared_checkpoint(mates(between_groups(sketched(open_lists(labels).join(failed, "element", "left_semi")), percent, False)).join(tried, ["a", "b"], "left_anti"))
+    needed = ends(pairs).union(longest.select("id")).distinct()
+    sets = with_sets(needed, sets).join(needed, "id", "left_semi")
+    more = verified(pairs, sets, percent).unionByName(links_in_lists(longest, sets, percent, block))
+    more = shared_checkpoint(named_by(named_by(more, labels, "a"), labels, "b").selectExpr("la as a", "lb as b").where("a <> b"))
     out = named.select("row", "doc_id", "n_shingles", "node").join(nodes.select("node", "id"), "node", "left").select("doc_id", "n_shingles", F.coalesce("id", "row").alias("node"))
     out = out.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("label", "node").alias("label"))
     if not more.isEmpty():

@@ -101,3 +101,40 @@ def test_positions_are_skipped(spark):
     got = sorted(((r.element or 0, r.id, r.mate or 0) for r in set_join.shared_lists(df, 90).collect()))
     assert got == [(0, 5, 4), (4, 7, 0), (5, 10, 0), *((5, 10 + i, 10) for i in range(1, 12)), (5, 22, 0), *((5, 10 + i, 22) for i in range(13, 20))]
     assert set_join.shared_lists(df.where(F.lit(False)), 90).collect() == []
+
+
+def test_pairs_of_a_cluster_grow_with_its_members(spark, monkeypatch):
+    """Noisy copies of one text, of which many are near one another without a link: pairs that are compared by whole sets don't grow with the square of their number."""
+    rng = np.random.default_rng(5)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(240):
+        words = list(base)
+        for at in rng.choice(150, rng.integers(1, 14), replace=False):
+            words[at] = f"n{rng.integers(0, 60)}"
+        rows.append((i, " ".join(words)))
+    compared, verified = [], set_join.verified
+
+    def counted(pairs, sets, percent):
+        compared.append(pairs.count())
+        return verified(pairs, sets, percent)
+
+    monkeypatch.setattr(set_join, "verified", counted)
+    assert grouped(spark, rows, 3, 90, 1024) == groups_brute(rows, 3, 90)
+    assert 0 < sum(compared) <= 3 * len(rows), compared
+
+
+def test_sketches_bound_differences():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 63, 700).astype(np.uint64)
+    items = [np.unique(np.concatenate([rng.choice(base, n, replace=False), rng.integers(0, 1 << 63, k).astype(np.uint64)])) for n, k in zip(rng.integers(1, 700, 80), rng.integers(0, 60, 80))]
+    items += [base[:0], base[:1], np.unique(base)]
+    offs = np.concatenate([[0], np.cumsum([x.size for x in items])])
+    words, at = set_join.numbers(set_join.sketches(np.concatenate(items), offs))
+    x, y = (c.reshape(-1) for c in np.meshgrid(np.arange(len(items)), np.arange(len(items))))
+    real = np.array([np.setxor1d(items[i], items[j]).size for i, j in zip(x, y)])
+    least = set_join.apart(words, at, x, y)
+    assert (least <= real).all() and ((least - real) % 2 == 0).all() and (least[x == y] == 0).all()
+    size = np.array([i.size for i in items])
+    near = (real < size[x] / 10) & (x != y)
+    assert (least[near] >= 0.8 * real[near]).all()
