@@ -481,36 +481,24 @@ def join_groups(docs: DataFrame, size: int = 3, percent: int = 90, block: int =
     whole = lambda ids: nodes.select("doc_id", "node", "id").join(ids.distinct(), "id", "left_semi")
     ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("id"))
     mates = lambda rows: rows.where("mate is not null").select(F.least("id", "mate").alias("a"), F.greatest("id", "mate").alias("b")).distinct()
-    pairs = shared_checkpoint(possible(mates(lists), nodes, percent))
-    sets = shared_checkpoint(set_table(docs, whole(ends(pairs)), size))
-    links = verified(pairs, sets, percent)
-    shared_ids = links_by_doc_id(named, nodes)
-    labels = components(links if shared_ids is None else links.unionByName(shared_ids))
-    # long lists that hold several groups still
-    entries = lists.where("element is not null").select("element", "id", "n", "position", "alone")
-
-    def open_lists(labels):
-        members = entries.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        several = members.groupBy("element").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("element")
-        return members.join(several, "element", "left_semi")
-
-    def with_sets(ids, sets):
-        return sets.unionByName(shared_checkpoint(set_table(docs, whole(ids.join(sets.select("id"), "id", "left_anti")), size)))
-
     sketched = lambda members: members.join(nodes.select("id", "sketch"), "id")
     named_by = lambda rows, labels, c: rows.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")), c, "left").withColumn(f"l{c}", F.coalesce(f"l{c}", c))
-    rest = shared_checkpoint(between_groups(sketched(open_lists(labels)), percent, True))
-    tried = mates(rest)
-    sets = with_sets(ends(tried), sets)
-    joined = labels.selectExpr("node as a", "label as b").unionByName(shared_checkpoint(verified(tried, sets, percent)))
-    labels = components(joined)
+    entries = lists.where("element is not null").select("element", "id", "n", "position", "alone")
+    rest = shared_checkpoint(between_groups(sketched(entries.withColumn("label", F.col("id"))), percent, True))
+    tried = shared_checkpoint(possible(mates(lists.where("element is null")), nodes, percent).union(mates(rest)).distinct())
+    sets = shared_checkpoint(set_table(docs, whole(ends(tried)), size))
+    links = verified(tried, sets, percent)
+    shared_ids = links_by_doc_id(named, nodes)
+    labels = components(links if shared_ids is None else links.unionByName(shared_ids))
     # only lists where a pair was no link may hold others that are
     failed = named_by(named_by(rest.where("mate is not null").selectExpr("element", "id as a", "mate as b"), labels, "a"), labels, "b").where("la <> lb").select("element").distinct()
     longest = rest.where("mate is null").join(labels.select(F.col("node").alias("id"), F.col("label").alias("top")), "id", "left").withColumn("label", F.coalesce("top", "id"))
     longest = open_buckets(longest.select(F.lit(0).alias("band"), F.col("element").alias("key"), "id", F.col("n").alias("n_shingles"), "label", F.lit(0).alias("n"))).drop("n", "mean")
-    pairs = shared_checkpoint(mates(between_groups(sketched(open_lists(labels).join(failed, "element", "left_semi")), percent, False)).join(tried, ["a", "b"], "left_anti"))
+    members = entries.join(failed, "element", "left_semi").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    pairs = shared_checkpoint(mates(between_groups(sketched(members), percent, False)).join(tried, ["a", "b"], "left_anti"))
     needed = ends(pairs).union(longest.select("id")).distinct()
-    sets = with_sets(needed, sets).join(needed, "id", "left_semi")
+    new = shared_checkpoint(set_table(docs, whole(needed.join(sets.select("id"), "id", "left_anti")), size))
+    sets = sets.unionByName(new).join(needed, "id", "left_semi")
     more = verified(pairs, sets, percent).unionByName(links_in_lists(longest, sets, percent, block))
     more = shared_checkpoint(named_by(named_by(more, labels, "a"), labels, "b").selectExpr("la as a", "lb as b").where("a <> b"))
     out = named.select("row", "doc_id", "n_shingles", "node").join(nodes.select("node", "id"), "node", "left").select("doc_id", "n_shingles", F.coalesce("id", "row").alias("node"))
