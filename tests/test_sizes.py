@@ -93,3 +93,10 @@ def test_rule_inputs_are_one_aggregation(spark):
     stands = {(r.id, r.path): r.value for r in paths.last_writes(writes, ["id"], ["sequence", "part"]).collect()}
     assert stands and {r.id: r for r in got.collect()}.keys() == {r[0] for r in rows}
     assert {(r.id, p): r[c] for r in got.collect() for c, p in wanted.items() if r[c] is not None} == stands
+
+
+@pytest.mark.parametrize("name", ["C5_reconstruct_events", "S4_scan_decrypted_log"])
+def test_stored_events_stay_where_they_were_encrypted(spark, name):
+    """Neither the payloads nor the rows of partitions are under an Exchange, and payloads are parsed as often as they are new."""
+    text = plan(entry.queries()[name](spark, DIR))
+    assert not re.search(r"Exchange hashpartitioning\(aggregate_id[^\n]*\n[^\n]*Project \[[^\n]*(payload|__e)#", text)
