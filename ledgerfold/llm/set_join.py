@@ -23,20 +23,22 @@ a null doc_id is alone, with a null component_id.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .near_dedup import Forest, components, digests, links_by_doc_id, meets, open_buckets
+from .near_dedup import Forest, components, digests, links_by_doc_id, meets
 from .textops import Texts, binaries, bounded_batches, chunks, map_arrow, mix, release, shared_checkpoint
 
 SHIFT = 1 << 60  # an eighth of the range of places
 #: From so many sets on, an element counts as frequent, and its list is dealt to so many parts.
 OFTEN, PARTS = 64, 16
-#: Lists of so many sets are compared pair by pair; of so many, once most groups are known.
-FEW, MANY = 8, 16384
+#: Lists of so many sets are compared pair by pair; of so many, once most groups are known, in blocks of so many sets and bytes of sketches.
+FEW, MANY, BLOCK_BYTES = 8, 16384, 32 << 20
 BITMAP_PARTS = 2048
 _U = np.uint64
 
@@ -260,45 +262,59 @@ def shared_lists(entries: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "element long, id long, n long, position long, alone long, mate long")
 
 
+def near_pairs(element, ids, n, position, alone, label, words, offs, percent: int, take: str, side: np.ndarray | None = None):
+    """element, id, n, label and mate of the pairs (id, mate) of different labels that a sorted list's sizes, positions and sketches leave possible; with side, of those that have one set on each. take: all, forest (only as many as connect
+    their labels, nearest ones first) or ends (each set that is in a pair once, with a null mate)."""
+    found, waiting, left, group, marked = [], [[], [], 0], n - position, label.copy(), np.zeros(n.size, dtype=bool)
+
+    def compare():
+        x, y = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in waiting[:2])
+        over = apart(words, offs, x, y) - spare(n[x], n[y], percent)
+        near = np.flatnonzero(over <= 0)
+        if take == "forest":
+            near, joins = near[np.argsort(over[near], kind="stable")], []
+            for k, i, j in zip(near.tolist(), x[near].tolist(), y[near].tolist()):
+                if group[i] != group[j]:
+                    group[group == group[i]] = group[j]
+                    joins.append(k)
+            near = joins
+        marked[x[near]] = marked[y[near]] = True
+        if take != "ends":
+            found.append((y[near], x[near]))
+        waiting[:] = [], [], 0
+
+    for y in range(1, n.size):
+        x = np.arange(np.searchsorted(n[:y], -(-percent * n[y] // 100)), y)
+        need = -(-percent * (n[x] + n[y]) // (100 + percent))
+        x = x[(left[x] >= need) & (left[y] >= need) & (alone[x] + alone[y] <= n[x] + n[y] - 2 * need) & (group[x] != group[y])]
+        if side is not None:
+            x = x[side[x] != side[y]]
+        if x.size:
+            waiting[0].append(x)
+            waiting[1].append(np.full(x.size, y))
+            waiting[2] += x.size
+        if waiting[2] > 50_000:
+            compare()
+    compare()
+    if take == "ends":
+        y = np.flatnonzero(marked)
+        return np.full(y.size, element), ids[y], n[y], label[y], [None] * y.size
+    y, x = (np.concatenate(c) for c in zip(*found))
+    return np.full(y.size, element), ids[y], n[y], label[y], ids[x]
+
+
+def listed_pairs(out: list) -> dict:
+    return {c: pa.chunked_array([pa.array(o[k], pa.int64()) for o in out], pa.int64()).combine_chunks() for k, c in enumerate(("element", "id", "n", "label", "mate"))}
+
+
 def between_groups(members: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """Of long lists (element, id, n, position, alone, label, sketch), element, id, n, label and mate: of those of up to MANY sets the pairs (id, mate) of different labels that size, position and sketches leave possible; every
-    entry of others, with a null mate. forest: of these pairs only as many as connect their labels, nearest ones first, so fewer than the list has entries; if all of them are links, so is what the others would join.
+    """Of long lists (element, id, n, position, alone, label, sketch), element, id, n, label and mate: of those of up to MANY sets the pairs (id, mate) of different labels that size, position and sketches leave possible; of
+    others, an entry now and then, with a null mate. forest: of these pairs only as many as connect their labels, nearest ones first, so fewer than the list has entries; if all of them are links, so is what the others would join.
 
     In a sorted list the sizes that fit are one range, and of these only the entries that stand far enough in front count."""
-    many = MANY
+    many, take = MANY, "forest" if forest else "all"
     rows = members.repartition("element").sortWithinPartitions("element", "n", "position", "id")
 
-    def pairs(element, ids, n, position, alone, label, words, offs):
-        found, waiting, left, group = [], [[], [], 0], n - position, label.copy()
-
-        def compare():
-            x, y = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in waiting[:2])
-            over = apart(words, offs, x, y) - spare(n[x], n[y], percent)
-            near = np.flatnonzero(over <= 0)
-            if forest:
-                near, joins = near[np.argsort(over[near], kind="stable")], []
-                for k, i, j in zip(near.tolist(), x[near].tolist(), y[near].tolist()):
-                    if group[i] != group[j]:
-                        group[group == group[i]] = group[j]
-                        joins.append(k)
-                near = joins
-            found.append((y[near], x[near]))
-            waiting[:] = [], [], 0
-
-        for y in range(1, n.size):
-            x = np.arange(np.searchsorted(n[:y], -(-percent * n[y] // 100)), y)
-            need = -(-percent * (n[x] + n[y]) // (100 + percent))
-            x = x[(left[x] >= need) & (left[y] >= need) & (alone[x] + alone[y] <= n[x] + n[y] - 2 * need) & (group[x] != group[y])]
-            if x.size:
-                waiting[0].append(x)
-                waiting[1].append(np.full(x.size, y))
-                waiting[2] += x.size
-            if waiting[2] > 50_000:
-                compare()
-        compare()
-        y, x = (np.concatenate(c) for c in zip(*found))
-        return np.full(y.size, element), ids[y], n[y], label[y], ids[x]
-
     def run(batches):
         held, passing = None, None  # the last list as long as it is short; an element whose list is longer
         for batch in batches:
@@ -315,22 +331,49 @@ def between_groups(members: DataFrame, percent: int, forest: bool) -> DataFrame:
                 mine = words[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
                 if hi - lo > many or element[0] == passing:
                     passing = element[0]
-                    out.append((element, ids, n, label, [None] * (hi - lo)))
+                    out.append((element[:1], ids[:1], n[:1], label[:1], [None]))
                 elif hi == edge[-1]:
                     held = [*(c[lo:hi].copy() for c in cols), mine[0].copy(), mine[1]]
                 elif hi - lo > 1:
-                    out.append(pairs(element[0], ids, n, position, alone, label, *mine))
+                    out.append(near_pairs(element[0], ids, n, position, alone, label, *mine, percent, take))
             yield listed(out)
             release()
         if held is not None:
-            yield listed([pairs(held[0][0], *held[1:])])
+            yield listed([near_pairs(held[0][0], *held[1:], percent, take)])
 
     def listed(out):
-        return pa.RecordBatch.from_pydict({c: pa.chunked_array([pa.array(o[k], pa.int64()) for o in out], pa.int64()).combine_chunks() for k, c in enumerate(("element", "id", "n", "label", "mate"))})
+        return pa.RecordBatch.from_pydict(listed_pairs(out))
 
     return rows.mapInArrow(run, "element long, id long, n long, label long, mate long")
 
 
+def in_blocks(lists: DataFrame, percent: int, take: str) -> DataFrame:
+    """near_pairs of lists of any length (element, id, n, position, alone, label, sketch). A list is cut by size, so that linked sets are of one range or of neighbouring ones, and a range into blocks; each two blocks are one group.
+    Blocks hold sketches and not sets, which are twenty times as large, and as many rows as memory has room for: what is shuffled is a list times its blocks of three ranges."""
+    ratio = math.log(1.0001 * max(100 / percent, 1.05))
+    sized = lists.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / ratio))
+    count = sized.groupBy("element", "size").agg(F.greatest(F.ceil(F.count(F.lit(1)) / MANY), F.ceil(F.sum(F.length("sketch")) / BLOCK_BYTES)).cast("int").alias("blocks"))
+    beside = lambda step, name: count.select("element", (F.col("size") - step).alias("size"), F.col("blocks").alias(name))
+    around = count.join(beside(1, "above"), ["element", "size"], "left").join(beside(-1, "below"), ["element", "size"], "left")
+    cut = sized.join(around, ["element", "size"]).withColumn("k", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    meet = F.expr("""concat(transform(sequence(0, blocks - 1), o -> struct(size as range, 0 as up, least(k, o) as i, greatest(k, o) as j, if(k <= o, 0, 1) as side)),
+        if(above is null, array(), transform(sequence(0, above - 1), o -> struct(size as range, 1 as up, k as i, o as j, 0 as side))),
+        if(below is null, array(), transform(sequence(0, below - 1), o -> struct(size - 1 as range, 1 as up, o as i, k as j, 1 as side))))""")
+    wide = cut.withColumn("m", F.explode(meet)).select("element", "m.*", "id", "n", "position", "alone", "label", "sketch")
+
+    def compare(table):
+        table = table.sort_by([("n", "ascending"), ("position", "ascending"), ("id", "ascending")])
+        ids, n, position, alone, label, side = (table.column(c).to_numpy() for c in ("id", "n", "position", "alone", "label", "side"))
+        out = []
+        if (label != label[0]).any():
+            whole = table.column("up")[0].as_py() == 0 and table.column("i")[0].as_py() == table.column("j")[0].as_py()
+            out.append(near_pairs(table.column("element")[0].as_py(), ids, n, position, alone, label, *numbers(table.column("sketch")), percent, take, None if whole else side))
+            release()
+        return pa.table(listed_pairs(out))
+
+    return wide.groupBy("element", "range", "up", "i", "j").applyInArrow(compare, "element long, id long, n long, label long, mate long")
+
+
 def set_table(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """id, shingles (packed, ascending) and n_first (how many are in the first quarter of the range) of the wanted sets (doc_id of a row that has it, node, id).
 
@@ -492,15 +535,35 @@ def join_groups(docs: DataFrame, size: int = 3, percent: int = 90, block: int =
     labels = components(links if shared_ids is None else links.unionByName(shared_ids))
     # only lists where a pair was no link may hold others that are
     failed = named_by(named_by(rest.where("mate is not null").selectExpr("element", "id as a", "mate as b"), labels, "a"), labels, "b").where("la <> lb").select("element").distinct()
-    longest = rest.where("mate is null").join(labels.select(F.col("node").alias("id"), F.col("label").alias("top")), "id", "left").withColumn("label", F.coalesce("top", "id"))
-    longest = open_buckets(longest.select(F.lit(0).alias("band"), F.col("element").alias("key"), "id", F.col("n").alias("n_shingles"), "label", F.lit(0).alias("n"))).drop("n", "mean")
     members = entries.join(failed, "element", "left_semi").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    pairs = shared_checkpoint(mates(between_groups(sketched(members), percent, False)).join(tried, ["a", "b"], "left_anti"))
-    needed = ends(pairs).union(longest.select("id")).distinct()
-    new = shared_checkpoint(set_table(docs, whole(needed.join(sets.select("id"), "id", "left_anti")), size))
-    sets = sets.unionByName(new).join(needed, "id", "left_semi")
-    more = verified(pairs, sets, percent).unionByName(links_in_lists(longest, sets, percent, block))
-    more = shared_checkpoint(named_by(named_by(more, labels, "a"), labels, "b").selectExpr("la as a", "lb as b").where("a <> b"))
+    pairs = mates(between_groups(sketched(members), percent, False))
+    long = rest.where("mate is null").select("element").distinct()
+    there = not long.isEmpty()
+    if there:
+        longest = entries.join(long, "element", "left_semi").join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        several = longest.groupBy("element").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("element")
+        longest = longest.join(several, "element", "left_semi")
+        joining = shared_checkpoint(in_blocks(sketched(longest), percent, "forest"))
+        pairs = pairs.union(mates(joining)).distinct()
+    pairs = shared_checkpoint(pairs.join(tried, ["a", "b"], "left_anti"))
+
+    def with_sets(needed):
+        """The sets of needed (id), of which those built before are kept."""
+        new = shared_checkpoint(set_table(docs, whole(needed.join(sets.select("id"), "id", "left_anti")), size))
+        return sets.unionByName(new).join(needed.distinct(), "id", "left_semi")
+
+    top = lambda rows: named_by(named_by(rows, labels, "a"), labels, "b").selectExpr("la as a", "lb as b").where("a <> b")
+    more = shared_checkpoint(top(verified(pairs, with_sets(ends(pairs)), percent)))
+    if there:
+        # the long lists where a pair was no link: what is left there is compared by whole sets
+        tops = components(more).select(F.col("node").alias("label"), F.col("label").alias("top"))
+        above = lambda rows: rows.join(tops, "label", "left").withColumn("label", F.coalesce("top", "label")).drop("top")
+        of = lambda c: above(named_by(joining.selectExpr("element", "id as a", "mate as b"), labels, c).withColumnRenamed(f"l{c}", "label"))
+        no_link = of("a").withColumnRenamed("label", "la").join(of("b").withColumnRenamed("label", "lb"), ["element", "a", "b"]).where("la <> lb").select("element").distinct()
+        left = shared_checkpoint(in_blocks(sketched(above(longest.join(no_link, "element", "left_semi"))), percent, "ends").drop("mate").distinct())
+        if not left.isEmpty():
+            last = left.select(F.lit(0).alias("band"), F.col("element").alias("key"), "id", F.col("n").alias("n_shingles"), "label")
+            more = more.unionByName(shared_checkpoint(links_in_lists(last, with_sets(last.select("id")), percent, block).where("a <> b")))
     out = named.select("row", "doc_id", "n_shingles", "node").join(nodes.select("node", "id"), "node", "left").select("doc_id", "n_shingles", F.coalesce("id", "row").alias("node"))
     out = out.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("label", "node").alias("label"))
     if not more.isEmpty():

@@ -138,3 +138,38 @@ def test_sketches_bound_differences():
     size = np.array([i.size for i in items])
     near = (real < size[x] / 10) & (x != y)
     assert (least[near] >= 0.8 * real[near]).all()
+
+
+def test_long_lists_send_sketches(spark, monkeypatch):
+    """Sets are sent to the blocks of a list longer than MANY only where sketches leave a pair without a link."""
+    monkeypatch.setattr(set_join, "MANY", 20)
+    rng = np.random.default_rng(7)
+    common = " ".join(f"c{i}" for i in range(40))
+    rows = [(i, f"{common} {' '.join(f't{i % 50}x{j}' for j in range(30 + i % 3))} e{i}") for i in range(400)]
+    rows += [(400 + i, " ".join(f"w{k}" for k in rng.integers(0, 30, 12))) for i in range(100)]
+    sent, links_in_lists, in_blocks, long = [0], set_join.links_in_lists, set_join.in_blocks, []
+
+    def counted(lists, *args):
+        sent.append(lists.count())
+        return links_in_lists(lists, *args)
+
+    monkeypatch.setattr(set_join, "links_in_lists", counted)
+    monkeypatch.setattr(set_join, "in_blocks", lambda lists, *args: long.append(lists.count()) or in_blocks(lists, *args))
+    assert grouped(spark, rows, 3, 90, 1024) == groups_brute(rows, 3, 90)
+    assert sum(long) > 20 and sum(sent) <= 20, (long, sent)
+
+
+@pytest.mark.parametrize("many, bytes_", [(1 << 20, 1 << 30), (7, 1 << 30), (1 << 20, 600)])
+def test_blocks_leave_no_pair_out(spark, monkeypatch, many, bytes_):
+    rng = np.random.default_rng(2)
+    base = np.sort(rng.integers(0, 1 << 63, 130).astype(np.uint64))
+    items = [np.unique(np.concatenate([rng.choice(base, k, replace=False), rng.integers(0, 1 << 63, 3).astype(np.uint64)])) for k in rng.integers(40, 130, 120)]
+    offs = np.concatenate([[0], np.cumsum([x.size for x in items])])
+    sketch = set_join.sketches(np.concatenate(items), offs).to_pylist()
+    df = spark.createDataFrame([(9, k, x.size, 0, 0, k % 100, bytearray(sketch[k])) for k, x in enumerate(items)], "element long, id long, n long, position long, alone long, label long, sketch binary").repartition(3)
+    monkeypatch.setattr(set_join, "MANY", many)
+    monkeypatch.setattr(set_join, "BLOCK_BYTES", bytes_)
+    got = {tuple(sorted((r.id, r.mate))) for r in set_join.in_blocks(df, 90, "all").collect()}
+    linked = {(x, y) for y in range(120) for x in range(y) if x % 100 != y % 100 and 190 * np.intersect1d(items[x], items[y]).size >= 90 * (items[x].size + items[y].size)}
+    assert linked and linked <= got
+    assert {r.id for r in set_join.in_blocks(df, 90, "ends").collect()} == {k for p in got for k in p}
