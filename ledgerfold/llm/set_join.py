@@ -40,6 +40,8 @@ OFTEN, PARTS = 64, 16
 #: Lists of so many sets are compared pair by pair; of so many, once most groups are known, in blocks of so many sets and bytes of sketches.
 FEW, MANY, BLOCK_BYTES = 8, 16384, 32 << 20
 BITMAP_PARTS = 2048
+#: Elements of lists are hashes of 48 bits.
+CUT = 16
 _U = np.uint64
 
 
@@ -75,6 +77,23 @@ def numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(whole[offs[0] : offs[-1]].tobytes(), dtype="<u8"), (offs - offs[0]) // 8
 
 
+def packed_low(h: np.ndarray, offs: np.ndarray) -> pa.Array:
+    """Hashes without their CUT lowest bits, six bytes each. Elements that fall together are one element to the lists, where sets of both meet; all that is decided there is which sets are compared."""
+    return binaries(np.ascontiguousarray((h >> _U(CUT)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).reshape(-1), 6 * offs)
+
+
+def lows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of packed_low, with zeros for the bits that were cut, as one array, and where each row's begin."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    offs = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    whole = np.frombuffer(data, dtype=np.uint8)[offs[0] : offs[-1]] if data is not None else np.zeros(0, np.uint8)
+    wide = np.zeros((whole.size // 6, 8), dtype=np.uint8)
+    wide[:, :6] = whole.reshape(-1, 6)
+    return wide.reshape(-1).view("<u8") << _U(CUT), (offs - offs[0]) // 6
+
+
 def sketches(h: np.ndarray, offs: np.ndarray) -> pa.Array:
     """A bit vector of each set, of two to four bits an element: a bit is the parity of the elements that fall on it, so two vectors differ in no more bits than their sets in elements."""
     n = np.diff(offs)
@@ -129,12 +148,12 @@ def heads(docs: DataFrame, size: int, percent: int, with_low: bool) -> DataFrame
             if with_low:
                 filled = np.flatnonzero(n)
                 limit = np.zeros(n.size, dtype=_U)
-                limit[filled] = (h[offs[filled] + prefix_size(n[filled], percent) - 1] >> _U(1)) + _U(SHIFT)
+                limit[filled] = ((h[offs[filled] + prefix_size(n[filled], percent) - 1] | _U((1 << CUT) - 1)) >> _U(1)) + _U(SHIFT)  # whatever the bits that are cut
                 low = (h >> _U(1)) <= np.repeat(limit, n)
                 seen: set = set()
                 again = np.array([i is None or x is None or x in seen or seen.add(x) is not None for i, x in zip(ids.to_pylist(), node.to_pylist())], dtype=bool)
                 low &= ~np.repeat(again, n)
-                packed = binaries(h[low], 8 * np.concatenate([[0], np.cumsum(low)])[offs])
+                packed = packed_low(h[low], np.concatenate([[0], np.cumsum(low)])[offs])
                 out["low"] = pc.if_else(pa.array(again), pa.scalar(None, pa.binary()), packed)
                 out["sketch"] = pc.if_else(pa.array(again), pa.scalar(None, pa.binary()), sketches(h, offs))
             yield out
@@ -146,7 +165,7 @@ def shared_elements(nodes: DataFrame) -> DataFrame:
     """id, element and often of the elements of low that several sets have in low: often is how many, OFTEN at most. Elements come as sorted streams."""
 
     def run_rows(batch: pa.RecordBatch):
-        low, offs = numbers(batch.column("low"))
+        low, offs = lows(batch.column("low"))
         yield {"element": low.view(np.int64), "id": np.repeat(batch.column("id").to_numpy(), np.diff(offs))}
 
     rows = map_arrow(nodes.select("id", "low"), run_rows, "element long, id long").repartition("element").sortWithinPartitions("element")
@@ -177,11 +196,12 @@ def shared_elements(nodes: DataFrame) -> DataFrame:
 def postings(nodes: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
     """element, part (0 if the list is whole), id, n, position and alone of those elements of each set's prefix that other sets have. alone: how many elements below SHIFT no other set has; every
     set has all of its own in low. A set with more of them than it can do without in a link is left out."""
-    own = shared.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("element", "often"))).alias("s"))  # no more than the set's own elements
+    # rows are dealt before they are gathered: a set's elements come from all tasks, so lists of them would be of one or two
+    own = shared.repartition("id").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("element", "often"))).alias("s"))  # no more than the set's own elements
     rows = own.join(nodes.select("id", "n_shingles", "low"), "id").select("id", "n_shingles", "low", F.col("s.element").alias("element"), F.col("s.often").alias("often"))
 
     def run(batch: pa.RecordBatch):
-        low, offs = numbers(batch.column("low"))
+        low, offs = lows(batch.column("low"))
         n, ids = batch.column("n_shingles").to_numpy(), batch.column("id").to_numpy()
         owner = np.repeat(np.arange(n.size), np.diff(offs))
         rank, often = low >> _U(1), np.ones(low.size, dtype=np.int64)
@@ -189,8 +209,9 @@ def postings(nodes: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
         ends = np.concatenate([[0], np.cumsum([len(x) for x in element])])
         mine, count = element.flatten().to_numpy().view(_U), batch.column("often").flatten().to_numpy()
         for k in range(n.size):
-            at = offs[k] + np.searchsorted(low[offs[k] : offs[k + 1]], mine[ends[k] : ends[k + 1]])
-            often[at] = count[ends[k] : ends[k + 1]]
+            there, of = mine[ends[k] : ends[k + 1]], low[offs[k] : offs[k + 1]]
+            at = np.minimum(np.searchsorted(there.view(np.int64), of.view(np.int64)), there.size - 1)  # several elements of a set may have fallen together
+            often[offs[k] : offs[k + 1]] = np.where(there[at] == of, count[ends[k] + at], 1)
         # shared elements are put off by most of SHIFT, frequent ones by all of it
         rank += np.where(often > 1, (0.8 + 0.2 * np.log2(often) / np.log2(OFTEN)) * SHIFT, 0).astype(_U)
         alone = np.bincount(owner[((low >> _U(1)) <= _U(SHIFT)) & (often == 1)], minlength=n.size)

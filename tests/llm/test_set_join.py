@@ -173,3 +173,20 @@ def test_blocks_leave_no_pair_out(spark, monkeypatch, many, bytes_):
     linked = {(x, y) for y in range(120) for x in range(y) if x % 100 != y % 100 and 190 * np.intersect1d(items[x], items[y]).size >= 90 * (items[x].size + items[y].size)}
     assert linked and linked <= got
     assert {r.id for r in set_join.in_blocks(df, 90, "ends").collect()} == {k for p in got for k in p}
+
+
+def test_lists_hold_six_bytes_an_element(spark):
+    """What the lists are made of is shuffled and written four times: hashes are cut, and sets stay the same groups where all of them fall together."""
+    docs = spark.createDataFrame([(1, " ".join(f"v{i}" for i in range(2000))), (2, "a b c d")], "doc_id long, text string").coalesce(1)
+    rows = {r.doc_id: r for r in set_join.heads(docs, 3, 90, True).collect()}
+    h = np.sort(np.random.default_rng(0).integers(0, 1 << 64, 50, dtype=np.uint64))
+    offs = np.array([0, 20, 20, 50])
+    low, at = set_join.lows(set_join.packed_low(h, offs))
+    assert (low == h >> np.uint64(16) << np.uint64(16)).all() and (at == offs).all()
+    assert all(len(r.low) % 6 == 0 for r in rows.values()) and len(rows[1].low) < 6 * 0.3 * 1998
+
+
+def test_elements_that_fall_together(spark, monkeypatch):
+    monkeypatch.setattr(set_join, "packed_low", lambda h, offs, cut=set_join.packed_low: cut(h >> np.uint64(54) << np.uint64(54), offs))
+    rows = corpus(4, 200, 3)
+    assert grouped(spark, rows, 3, 90, 1024) == groups_brute(rows, 3, 90)
